@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing
+from . import chat, decontam, langid, media, packing
 from .common import documents
 
 
@@ -14,6 +14,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media(documents(spark, sf_dir)))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("mask", chat.spans(F.col("mask")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs, langid.fit(langid.training_sample(docs)))
@@ -24,5 +32,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_media, op9_language, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontam.SQL, "op8_chat": chat.SQL}
