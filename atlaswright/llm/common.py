@@ -54,21 +54,20 @@ def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node id followed by a join, cut through the shared folder. Hubs are pre-aggregated
     (min), and their join is an ordinary equi-join that adaptive execution may split."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ends = edges
+    ends, before = edges, None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: larger neighbours of a hang on the least of a's neighbourhood
+        # large star: larger neighbours hang on the least of the neighbourhood
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: smaller neighbours and a itself hang on the least
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = cut(small)
-        stats = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if "before" in locals() and tuple(stats) == before:  # noqa: F821
-            edges = new
+        # small star: smaller neighbours, and the node itself, hang on the least of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        edges = cut(large.join(least, "a").select(hung.alias("e")).select("e.*").where("a <> b").distinct())
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
             break
-        before, edges = tuple(stats), new
+        before = state
     labels = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id")
     nodes = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))

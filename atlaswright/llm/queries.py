@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, media, packing
+from . import chat, decontam, jaccard, langid, lines, media, packing
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.per_document(documents(spark, sf_dir)).withColumn("removed", F.array_join("removed", ","))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media(documents(spark, sf_dir)))
 
@@ -36,5 +40,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_lines, op3_jaccard, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL}
