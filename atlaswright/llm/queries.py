@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lines, media, packing
+from . import chat, decontam, jaccard, langid, lines, lm, media, packing
 from .common import documents
 
 
+def op1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.per_document(documents(spark, sf_dir)).withColumn("removed", F.array_join("removed", ","))
 
@@ -40,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_jaccard, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL}
