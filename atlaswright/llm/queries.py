@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lines, lm, media, packing
+from . import chat, decontam, jaccard, langid, lines, lm, media, packing, quality
 from .common import documents
 
 
@@ -22,6 +22,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"]))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media(documents(spark, sf_dir)))
 
@@ -44,5 +49,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL}
