@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lines, lm, media, packing, quality
+from . import chat, decontam, jaccard, langid, lines, lm, media, packing, quality, substrings
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(documents(spark, sf_dir))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("mask", chat.spans(F.col("mask")))
 
@@ -49,5 +53,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op8_chat, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op7_substrings, op8_chat, op9_language, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL}
