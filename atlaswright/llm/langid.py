@@ -194,3 +194,10 @@ def identify(docs: DataFrame, models: dict[str, Automaton], keep: list[str] = ()
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return docs.select("doc_id", *keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, out + ", lang_pred string, score double, bits_per_byte double")
+
+
+def accepted(docs: DataFrame, models: dict[str, Automaton]) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose language is not ``und``."""
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    inner = docs.select("doc_id", "text", *(docs[c].alias(n) for c, n in names.items()))
+    return identify(inner, models, list(names.values())).where("lang_pred <> 'und'").select(*(F.col(n).alias(c) for c, n in names.items()))
