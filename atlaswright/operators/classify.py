@@ -33,10 +33,7 @@ def palette_join(shapes: DataFrame, palette: DataFrame, default: str, threshold:
     """JN-24: for each shape the kind of the first palette entry (``ord, colour, kind``) within
     the threshold; every distinct colour is compared once. A palette is a fixed list of a
     few dozen entries."""
-    parts = ("l", "a", "b")
-    lab = lambda df, p: df.select("*", *[c.alias(f"{p}{n}") for n, c in zip(parts, colour.lab(F.col("colour")), strict=True)])
-    distinct = lab(shapes.select("colour").distinct(), "s_")
-    entries = lab(palette, "p_").drop("colour")
-    cols = lambda p: tuple(F.col(f"{p}{n}") for n in parts)
-    near = distinct.join(F.broadcast(entries), colour.delta_e(cols("s_"), cols("p_")) < threshold).groupBy("colour").agg(F.min_by("kind", "ord").alias("kind"))
+    distinct = shapes.select("colour").distinct().withColumn("s", colour.lab(F.col("colour")))
+    entries = palette.select("ord", "kind", colour.lab(F.col("colour")).alias("p"))
+    near = distinct.join(F.broadcast(entries), colour.delta_e(F.col("s"), F.col("p")) < threshold).groupBy("colour").agg(F.min_by("kind", "ord").alias("kind"))
     return shapes.join(near, "colour", "left").withColumn("kind", F.coalesce("kind", F.lit(default)))

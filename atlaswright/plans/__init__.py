@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import paths, scalars
+from . import joins, paths, scalars
 
-MODULES = [scalars, paths]
+MODULES = [scalars, paths, joins]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -96,7 +96,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Property rules: label and colour for each class, a label for some ids."""
     p = table(spark, sf_dir, "part")
     brands = p.select(F.col("p_brand").alias("b")).distinct()
-    by_class = brands.select(F.lit("class").alias("scope"), F.col("b").alias("key"), F.explode(F.array(F.struct(F.lit("label").alias("prop"), F.concat(F.lit("Class "), "b").alias("value")), F.struct(F.lit("colour"), F.lower("b")))).alias("e")).select("scope", "key", "e.prop", "e.value")
+    by_class = brands.select(F.lit("class").alias("scope"), F.col("b").alias("key"), F.explode(F.array(F.struct(F.lit("label").alias("prop"), F.concat(F.lit("Class "), "b").alias("value")), F.struct(F.lit("colour").alias("prop"), F.lower("b").alias("value")))).alias("e")).select("scope", "key", "e.prop", "e.value")
     by_id = p.where("p_partkey % 13 = 0").select(F.lit("id").alias("scope"), F.col("p_partkey").cast("string").alias("key"), F.lit("label").alias("prop"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("value"))
     return by_class.union(by_id)
 
