@@ -110,14 +110,18 @@ def shortest_pack_first(counts: dict[int, int], size: int) -> list[tuple[tuple[i
                 use = min(n, left)
                 if n > use:
                     heapq.heappush(open_, (total, pattern, n - use))
-            else:
-                total, pattern, use = 0, (), left
-            left -= use
-            item = (total + length, (*pattern, length), use)
-            if item[0] < size:
-                heapq.heappush(open_, item)
-            else:
-                done.append(item[1:])
+                left -= use
+                opened = [(total + length, (*pattern, length), use)]
+            else:  # the pack just opened is the one with least in it, until it is full
+                most = size // length
+                full, rest = divmod(left, most)
+                opened = [(m * length, (length,) * m, n) for m, n in ((most, full), (rest, 1)) if m and n]
+                left = 0
+            for item in opened:
+                if item[0] < size:
+                    heapq.heappush(open_, item)
+                else:
+                    done.append(item[1:])
     return done + [(p, n) for _, p, n in sorted(open_)]
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 4000
 ROUNDS = 3
+SURE = 3.5  # deviations from chance at which a feature counts
 GROW = 100  # pseudo-labels of each kind that a view hands over in a round
 BITS = 18
 META = 512  # hashed metadata features
@@ -98,7 +99,9 @@ def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, prior: float = 20.0, steps
     n1, n0 = (weight * y).sum() + 1, (weight * (1 - y)).sum() + 1
     rate = (pos + neg) / (n1 + n0)
     ratio = np.log((pos + prior * rate + 1e-6) / (n1 + prior)) - np.log((neg + prior * rate + 1e-6) / (n0 + prior))
-    ratio[pos + neg == 0] = 0
+    # how far the positives that have a feature are from what chance gives them
+    apart = (pos - n1 * rate) / np.sqrt(n1 * rate * (1 - np.minimum(rate, 0.999)) + 1e-6)
+    ratio[(pos + neg == 0) | (np.abs(apart) < SURE)] = 0
     w, bias = 0.2 * ratio, math.log(n1 / n0)
     m, v = np.zeros(x.width + 1), np.zeros(x.width + 1)
     balance = weight * np.where(y > 0, (n0 + n1) / (2 * n1), (n0 + n1) / (2 * n0))
