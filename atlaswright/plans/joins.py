@@ -91,12 +91,12 @@ def jn32_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     a = p.where("p_size < 20").select(F.col("p_type").alias("name"), F.col("p_brand").alias("parent"), F.col("p_size").alias("term"))
     n = p.select(F.col("p_type").alias("name"), F.col("p_brand").alias("parent")).distinct()
-    return terms.name_lookup(n, a)
+    return terms.name_lookup(n, a).withColumn("term", F.col("term").cast("string"))
 
 
 JN32 = """WITH a AS (SELECT p_type AS name, p_brand AS parent, p_size AS term FROM part WHERE p_size < 20),
 p AS (SELECT list_sort([name, parent]) AS k, min(term) AS t FROM a GROUP BY k HAVING count(DISTINCT term) = 1), s AS (SELECT name, min(term) AS t FROM a GROUP BY name HAVING count(DISTINCT term) = 1)
-SELECT n.name, n.parent, coalesce(p.t, s.t) AS term FROM (SELECT DISTINCT p_type AS name, p_brand AS parent FROM part) n LEFT JOIN p ON p.k = list_sort([n.name, n.parent]) LEFT JOIN s ON s.name = n.name"""
+SELECT n.name, n.parent, coalesce(p.t, s.t)::VARCHAR AS term FROM (SELECT DISTINCT p_type AS name, p_brand AS parent FROM part) n LEFT JOIN p ON p.k = list_sort([n.name, n.parent]) LEFT JOIN s ON s.name = n.name"""
 
 
 def jn38_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +178,12 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn16_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.nearest(_ends(spark, sf_dir), frames.points(spark, sf_dir), 40)
+    return spatial.nearest(_ends(spark, sf_dir), frames.points(spark, sf_dir), 40).withColumn("connector", F.col("connector").cast("string"))
 
 
 JN16 = with_frames("features", "points", body=""", p AS (SELECT f.id, p.id AS c, (f.x0 - x) ** 2 + (f.y0 - y) ** 2 AS d FROM features f JOIN points p ON x BETWEEN f.x0 - 40 AND f.x0 + 40 AND y BETWEEN f.y0 - 40 AND f.y0 + 40),
 m AS (SELECT id, c, d FROM p WHERE d < 1600 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)
-SELECT f.id, c AS connector, round(sqrt(d), 6) AS distance FROM features f LEFT JOIN m USING (id)""")
+SELECT f.id, c::VARCHAR AS connector, round(sqrt(d), 6) AS distance FROM features f LEFT JOIN m USING (id)""")
 
 
 def jn17_all_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

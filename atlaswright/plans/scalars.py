@@ -13,13 +13,13 @@ from .frames import table, with_frames
 def sc1_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = frames.markup(spark, sf_dir)
     p = markup.parsed(F.col("markup"))
-    return m.select(F.col("id").alias("shape"), p["id"].alias("id"), p["class"].alias("class"), F.array_join(p["flags"], ",").alias("flags"), p["details"].alias("details"), p["maxzoom"].alias("maxzoom"), p["warning"].alias("warning"), p["error"].alias("error"))
+    return m.select(F.col("id").alias("shape"), p["id"].alias("id"), p["class"].alias("class"), F.array_join(p["flags"], ",").alias("flags"), p["details"].alias("details"), p["maxzoom"].cast("string").alias("maxzoom"), p["warning"].alias("warning"), p["error"].alias("error"))
 
 
 SC1 = with_frames("markup", body="""
 SELECT id AS shape, nullif(regexp_extract(markup, '\\bid\\(([^()]*)\\)', 1), '') AS id, nullif(regexp_extract(markup, '\\bclass\\(([^()]*)\\)', 1), '') AS class,
   array_to_string(list_sort(list_filter(['marker', 'node', 'styling'], lambda w: regexp_matches(markup, ' ' || w || '( |$)'))), ',') AS flags,
-  nullif(regexp_extract(markup, 'details\\((D\\d+), ', 1), '') AS details, try_cast(nullif(regexp_extract(markup, 'details\\(D\\d+, (\\d+)', 1), '') AS INTEGER) - 1 AS maxzoom,
+  nullif(regexp_extract(markup, 'details\\((D\\d+), ', 1), '') AS details, (try_cast(nullif(regexp_extract(markup, 'details\\(D\\d+, (\\d+)', 1), '') AS INTEGER) - 1)::VARCHAR AS maxzoom,
   CASE WHEN markup LIKE '% marker%' THEN 'Deprecated `marker`' END AS warning,
   CASE WHEN markup LIKE '% styling%' THEN '''styling'' element can''t have an ''id'' nor ''class''' WHEN markup LIKE '%path(%' THEN 'Syntax error' END AS error
 FROM markup""")
