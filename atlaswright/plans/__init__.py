@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import joins, paths, routes, scalars
+from . import audits, joins, paths, routes, scalars
 
-MODULES = [scalars, paths, joins, routes]
+MODULES = [scalars, paths, joins, routes, audits]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
