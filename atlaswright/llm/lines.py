@@ -6,7 +6,8 @@ on the input. Candidates come from the pigeonhole on segments: a line cut into
 ``DISTANCE + 1`` even segments shares at least one whole segment with any line that near,
 at a place shifted by no more than the edits allow. So every line is indexed under (length,
 segment number, segment), and probes, for each length from ``DISTANCE`` shorter to its own,
-the substrings that can be the segment (multi-match-aware windows). Pairs are verified by
+the substrings that can be the segment (multi-match-aware windows). Lines meet only if their
+counts of eight letters are no further apart than the edits allow, and are then verified by
 a banded bit-parallel automaton.
 
 Line copies share one hash and meet once per task before they are shuffled, so a line of
@@ -52,24 +53,48 @@ def _key(length: Column, part: int, line: Column, start: Column, size: Column) -
     return F.xxhash64(length, F.lit(part), F.substring(line, start + 1, size))
 
 
-def index_keys(line: Column, distance: int) -> Column:
-    n = F.length(line)
+def index_keys(line: Column, n: Column, distance: int) -> Column:
+    """Keys of the even segments of a line of ``n`` characters."""
     return F.array(*[_key(n, k, line, s, z) for k, (s, z) in enumerate(_segments(n, distance + 1))])
 
 
-def probe_keys(line: Column, distance: int) -> Column:
-    """Keys under which lines up to ``distance`` characters shorter, or as long, may lie."""
-    n, out = F.length(line), []
+def probe_keys(line: Column, n: Column, distance: int) -> Column:
+    """Keys under which other lines up to ``distance`` characters shorter, or as long, may
+    lie, without those of the line's own segments."""
+    out = []
     for less in range(distance + 1):
         for k, (s, z) in enumerate(_segments(n - less, distance + 1)):
             # shifts by which both what is left and what is right of the segment stay within the edits
             low, high = max(-k, less - (distance - k)), min(k, less + (distance - k))
             for shift in range(low, high + 1):
-                at = s + shift
-                out.append(F.when((at >= 0) & (at + z <= n), _key(n - less, k, line, at, z)))
+                if less or shift:
+                    out.append(F.when((s + shift >= 0) & (s + shift + z <= n), _key(n - less, k, line, s + shift, z)))
     return F.array_compact(F.array(*out))
 
 
+#: Characters whose counts tell lines apart before they are paired.
+SIGNED = "etanoris"
+
+
+def signature(line: Column, n: Column) -> Column:
+    """How often each of ``SIGNED`` occurs, a byte each (modulo 256)."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(SIGNED):
+        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count, 8 * k))
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """A lower bound of how far the counts of two signatures are apart: an edit changes it by two at most."""
+    total = F.lit(0)
+    for k in range(len(SIGNED)):
+        byte = lambda s, k=k: F.shiftrightunsigned(s, 8 * k).bitwiseAND(F.lit(255)).cast("int")
+        d = F.abs(byte(a) - byte(b))
+        total = total + F.least(d, 256 - d)
+    return total
+
+
 def within(a: Column, b: Column, distance: int) -> Column:
     """Whether two strings are at most ``distance`` edits apart.
 
@@ -133,19 +158,37 @@ def within(a: Column, b: Column, distance: int) -> Column:
     return F.element_at(F.transform(pair, run), 1)
 
 
-def near_lines(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Verified pairs ``(line, near)`` of different lines, both ways."""
-    h = F.xxhash64("line").alias("h")
-    index = lines.select(h, F.explode(index_keys(F.col("line"), distance)).alias("key")).distinct()
-    probes = lines.select(h, F.explode(probe_keys(F.col("line"), distance)).alias("key")).distinct().withColumnRenamed("h", "g")
-    pairs = index.join(probes, "key").where("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
+#: Up to so many hashes (of 8 bytes) are broadcast to find their lines; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def _hashes() -> tuple[Column, Column]:
+    """128 bits that tell lines apart; the first 64 serve as a handle."""
+    return F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("i")
+
+
+def near_lines(lines: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs ``(line, near)`` of different lines, both ways, and the first place of
+    each line that a candidate pair names: ``(line, first)``."""
+    own = distance + 1
+    keyed = lines.select("line", F.length("line").alias("n")).select(
+        *_hashes(), signature(F.col("line"), F.col("n")).alias("sig"), F.concat(index_keys(F.col("line"), F.col("n"), distance), probe_keys(F.col("line"), F.col("n"), distance)).alias("keys")
+    )
+    keyed = keyed.dropDuplicates(["h", "i"])  # copies fall together before any key is sent
+    sent = keyed.select("h", "sig", F.posexplode("keys").alias("pos", "key"))
+    index = sent.where(F.col("pos") < own).select("h", "sig", "key")
+    probes = sent.select(F.col("h").alias("g"), F.col("sig").alias("gsig"), "key")
+    near = (F.col("h") != F.col("g")) & (counts_apart(F.col("sig"), F.col("gsig")) <= 2 * distance)
+    pairs = index.join(probes, (index["key"] == probes["key"]) & near).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     pairs = cut(pairs)
     wanted = pairs.select("h").union(pairs.select("g")).distinct()
-    texts = lines.select(h, "line").join(wanted, "h", "left_semi").distinct()
-    both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("near")), "g")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = lines.select(_hashes()[0], "line", "doc_id", "line_no").join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
+    texts = cut(texts.groupBy("h", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
+    both = pairs.join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("near")), "g")
     both = both.where(F.abs(F.length("line") - F.length("near")) <= distance).where(within(F.col("line"), F.col("near"), distance))
-    both = both.select("line", "near")
-    return both.union(both.select("near", "line"))
+    both = cut(both.select("line", "near"))
+    return both.union(both.select("near", "line")), texts.select("line", "first")
 
 
 def removals(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -153,14 +196,11 @@ def removals(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHA
     equals it, else ``near``."""
     lines = lines_of(docs, min_chars)
     place = F.struct("doc_id", "line_no")
-    near = near_lines(lines, distance)
-    ends = near.select("line").distinct()
-    firsts = lines.join(ends, "line", "left_semi").groupBy("line").agg(F.min(place).alias("first"))
+    near, firsts = near_lines(lines, distance)
     # of a line's neighbours, the one that comes first
     earlier = near.join(firsts.withColumnRenamed("line", "near"), "near").groupBy("line").agg(F.min("first").alias("before"))
     beaten = earlier.join(firsts, "line").where("before < first").select("line", "first.doc_id", "first.line_no")
-    h = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("i"))  # 128 bits tell lines apart
-    all_ = lines.select("doc_id", "line_no", *h)
+    all_ = lines.select("doc_id", "line_no", *_hashes())
     first = all_.groupBy("h", "i").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = all_.join(first, ["h", "i"]).where(place != F.col("first")).select("doc_id", "line_no", F.lit("copy").alias("kind")).distinct()
     return copies.unionByName(beaten.select("doc_id", "line_no", F.lit("near").alias("kind")))
