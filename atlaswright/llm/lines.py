@@ -7,7 +7,7 @@ on the input. Candidates come from the pigeonhole on segments: a line cut into
 at a place shifted by no more than the edits allow. So every line is indexed under (length,
 segment number, segment), and probes, for each length from ``DISTANCE`` shorter to its own,
 the substrings that can be the segment (multi-match-aware windows). Lines meet only if their
-counts of eight letters are no further apart than the edits allow, and are then verified by
+counts of sixteen letters are no further apart than the edits allow, and are then verified by
 a banded bit-parallel automaton.
 
 Line copies share one hash and meet once per task before they are shuffled, so a line of
@@ -73,26 +73,27 @@ def probe_keys(line: Column, n: Column, distance: int) -> Column:
 
 
 #: Characters whose counts tell lines apart before they are paired.
-SIGNED = "etanoris"
+SIGNED = "etanorishdluwbcm"
 
 
 def signature(line: Column, n: Column) -> Column:
-    """How often each of ``SIGNED`` occurs, a byte each (modulo 256)."""
+    """How often each of ``SIGNED`` occurs, four bits each (modulo 16)."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(SIGNED):
-        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count, 8 * k))
+        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count, 4 * k))
     return out
 
 
-def counts_apart(a: Column, b: Column) -> Column:
-    """A lower bound of how far the counts of two signatures are apart: an edit changes it by two at most."""
-    total = F.lit(0)
+def may_be_near(a: Column, b: Column, distance: int) -> Column:
+    """Whether two signatures can be ``distance`` edits apart: an edit adds one character at
+    most and takes one away at most, so neither the gains nor the losses exceed it."""
+    gains, losses = F.lit(0), F.lit(0)
     for k in range(len(SIGNED)):
-        byte = lambda s, k=k: F.shiftrightunsigned(s, 8 * k).bitwiseAND(F.lit(255)).cast("int")
-        d = F.abs(byte(a) - byte(b))
-        total = total + F.least(d, 256 - d)
-    return total
+        x, y = (F.shiftrightunsigned(s, 4 * k).bitwiseAND(F.lit(15)).cast("int") for s in (a, b))
+        d = (x - y + 8).bitwiseAND(F.lit(15)) - 8
+        gains, losses = gains + F.greatest(d, F.lit(0)), losses + F.greatest(-d, F.lit(0))
+    return (gains <= distance) & (losses <= distance)
 
 
 def within(a: Column, b: Column, distance: int) -> Column:
@@ -178,7 +179,7 @@ def near_lines(lines: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, D
     sent = keyed.select("h", "sig", F.posexplode("keys").alias("pos", "key"))
     index = sent.where(F.col("pos") < own).select("h", "sig", "key")
     probes = sent.select(F.col("h").alias("g"), F.col("sig").alias("gsig"), "key")
-    near = (F.col("h") != F.col("g")) & (counts_apart(F.col("sig"), F.col("gsig")) <= 2 * distance)
+    near = (F.col("h") != F.col("g")) & may_be_near(F.col("sig"), F.col("gsig"), distance)
     pairs = index.join(probes, (index["key"] == probes["key"]) & near).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     pairs = cut(pairs)
     wanted = pairs.select("h").union(pairs.select("g")).distinct()
