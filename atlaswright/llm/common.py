@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Lets Spark drop a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends here,
-    and a lost executor costs only the tasks that read it."""
+    and a lost executor costs only the tasks that read it. The shuffle files of the write
+    go with it, rather than when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/atlaswright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,14 +58,44 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Edges that one task joins up on its own before tasks exchange any.
+EDGES = 300_000
+
+
+def _hung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, least node reached)`` over the edges of a partition."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = find(a), find(b)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
 def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): rows ``(id, label)`` for every end,
     ``label`` the smallest id reachable.
 
-    Alternating large-star and small-star rounds; every round is an aggregation on the
+    Tasks contract their own edges first, and if one task holds them all, that is the answer.
+    Then alternating large-star and small-star rounds; every round is an aggregation on the
     node id followed by a join, cut through the shared folder. Hubs are pre-aggregated
     (min), and their join is an ordinary equi-join that adaptive execution may split."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tasks = -(-edges.count() // EDGES)
+    # every task first hangs the nodes it sees on the least they reach through its own edges
+    edges = cut(edges.coalesce(max(1, tasks)).mapInArrow(_hung, "a long, b long"))
+    if tasks <= 1:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    edges = edges.where("a <> b")
     ends, before = edges, None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,7 +2,7 @@
 
 Set relations do the skipping. Equal sets are one set. The others are indexed under their
 prefixes (the ``n - ceil(t n) + 1`` first of their ``n`` shingles, of which any linked pair
-shares one) in an order that puts the hottest shingles last. A short posting list is
+shares one) in an order that puts the rarest shingles first. A short posting list is
 skipped through by position: a pair survives only if what both sets hold behind its two
 positions can still reach the overlap that the threshold asks for. The members of a long
 list become a family. In a family, answers come from those of highly similar sets: all
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, min_label, words_of
+from . import blocks, hashing
+from .common import cut, min_label
 
 WIDTH = 4
 THRESHOLD = (85, 100)
@@ -37,100 +38,132 @@ THRESHOLD = (85, 100)
 SHORT = 8
 #: Members of a block of a family.
 BLOCK = 256
-#: The hottest shingles go last in prefixes: at most so many, seen in ``LOCAL`` documents of one task at least.
-HOT = 200_000
-LOCAL = 3
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-_hashes = _Hashes()
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of ``raw``, and where it starts."""
+    x = np.frombuffer(raw, np.uint8)
+    word = np.r_[False, ~_BLANK[x], False]
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return hashing.of_ranges(x, starts, ends), starts
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text, as int64."""
-    ws = words_of(text)
-    if not ws:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    n = max(1, len(h) - width + 1)
-    mixed = np.full(n, len(h) if len(h) < width else width, np.uint64)
-    for k in range(min(width, len(h))):
-        mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed.view(np.int64))
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, as int64; about a megabyte at a time."""
+    return _in_parts([(t or "").encode("utf-8", "surrogatepass") for t in texts], width)
 
 
-def prefix_size(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
-    return n + (-threshold[0] * n // threshold[1]) + 1
-
+def _in_parts(texts: list[bytes], width: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size > 1_000_000 or k + 1 == len(texts):
+            out += _sets(texts[first : k + 1], width)
+            first, size = k + 1, 0
+    return out
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    h, starts = word_hashes(b"\n".join(texts).lower())
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))  # words before each text's end
+    rolled = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for k in range(width):
+        rolled = hashing.mixed(rolled * np.uint64(hashing.BASE) + h[k : k + len(rolled)])
+    out, a = [], 0
+    for b in ends.tolist():
+        if b - a >= width:
+            grams = rolled[a : b - width + 1]
+        else:  # fewer words than a shingle has: all of them are one
+            grams = np.zeros(min(1, b - a), np.uint64)
+            for k in range(a, b):
+                grams = hashing.mixed(grams * np.uint64(hashing.BASE) + h[k] + np.uint64(b - a))
+        out.append(np.unique(grams.view(np.int64)))
+        a = b
+    return out
 
-def hot_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """The hottest shingles, at most ``HOT``, by falling count. They only order prefixes: any
-    order gives the same links."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size, found = [], 0, []
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                kept.append(shingle_set(text, width))
-                size += len(kept[-1])
-                if size > 8_000_000:
-                    found.append(_counted(kept))
-                    kept, size = [], 0
-        found.append(_counted(kept))
-        values = np.concatenate([v for v, _ in found])
-        counts = np.concatenate([c for _, c in found])
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["g", "n"])
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    return shingle_sets([text], width)[0]
 
-    counted = _texts(docs).select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "g").limit(HOT).select("g").toArrow()
-    return rows.column("g").to_numpy()
 
+def prefix_size(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
+    return n + (-threshold[0] * n // threshold[1]) + 1
 
-def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
-    often = counts >= LOCAL
-    return values[often], counts[often].astype(np.int64)
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def set_table(docs: DataFrame, width: int, threshold: tuple[int, int], hot: np.ndarray) -> DataFrame:
-    """Rows ``(doc_id, n, s, t, prefix)``: set size, identity and prefix shingles in order."""
-    order = np.argsort(hot)
-    values, places = hot[order], len(hot) - np.arange(len(hot))[order]  # the hottest last
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                g = shingle_set(text, width)
-                raw = g.tobytes()
-                out[0].append(len(g))
+def set_table(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """Rows ``(doc_id, n, s, t, prefix)``: a set's size and identity, and those shingles of its
+    prefix that another set has too, each with its place.
+
+    Prefixes are in order of how many documents have a shingle (up to 255), then of hash;
+    the counts come from all documents, by 32 bits of hash and the bucket: whatever falls
+    together there counts together, so that the order is the same everywhere."""
+    spark = docs.sparkSession
+    table = cut(blocks.blocks(docs))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // 8))
+
+    def distinct(row: dict) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes, raw = blocks.opened(row)
+        stops = np.cumsum(sizes).tolist()
+        sets = _in_parts([raw[b - a : b] for a, b in zip(sizes.tolist(), stops, strict=True)], width)
+        values, number, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+        return ids, sets, values.view(np.uint64), number, counts
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in blocks.rows_of(batches):
+            _, _, values, _, counts = distinct(row)
+            order, bucket, rest = blocks.by_bucket(values, parts)
+            counts = np.minimum(counts, 255).astype(np.uint8)[order]
+            out = [(row["block"], b, rest[lo:hi].tobytes() + counts[lo:hi].tobytes()) for b, lo, hi in blocks.runs(bucket)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "sent"])
+
+    def compare(rows: list[dict]) -> list[tuple]:
+        size = [len(r["sent"]) // 5 for r in rows]
+        rest = np.concatenate([np.frombuffer(r["sent"], np.uint32, n) for r, n in zip(rows, size, strict=True)])
+        counts = np.concatenate([np.frombuffer(r["sent"], np.uint8, n, 4 * n) for r, n in zip(rows, size, strict=True)])
+        order = np.argsort(rest)
+        first = np.flatnonzero(np.r_[True, rest[order][1:] != rest[order][:-1]])
+        total = np.minimum(np.add.reduceat(counts[order].astype(np.int64), first), 255).astype(np.uint8)
+        known = np.empty(len(rest), np.uint8)
+        known[order] = np.repeat(total, np.diff(np.r_[first, len(rest)]))
+        ends = np.cumsum([0, *size])
+        return [(r["block"], r["bucket"], blocks.pack(known[a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in blocks.rows_of(batches):
+            ids, sets, values, number, _ = distinct(row)
+            order, bucket, _ = blocks.by_bucket(values, parts)
+            counts = np.ones(len(values), np.uint8)
+            of = {a["bucket"]: a["answer"] for a in row["counts"] or []}
+            for b, lo, hi in blocks.runs(bucket):
+                counts[order[lo:hi]] = np.frombuffer(blocks.unpack(of[b]), np.uint8)
+            out: list[list] = [[], [], []]
+            found, at = [], 0
+            for g in sets:
+                n, raw = len(g), g.tobytes()
+                out[0].append(n)
                 for k in (1, 2):
-                    out[k].append(np.uint64(xxhash.xxh64_intdigest(raw, k)).astype(np.int64) if len(g) else 0)
-                if len(g):
-                    late = np.zeros(len(g), np.int64)
-                    if len(values):
-                        at = np.minimum(np.searchsorted(values, g), len(values) - 1)
-                        late = np.where(values[at] == g, places[at], 0)
-                    g = g[np.lexsort((g, late))][: prefix_size(len(g), threshold)]
-                out[3].append(g)
-            flat = np.concatenate([*out[3], np.zeros(0, np.int64)])
-            ends = np.cumsum([0, *map(len, out[3])]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(c, np.int64)) for c in out[:3]), prefix], ["doc_id", "n", "s", "t", "prefix"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, s long, t long, prefix array<long>")
+                    out[k].append(np.uint64(xxhash.xxh64_intdigest(raw, k)).astype(np.int64) if n else 0)
+                c = counts[number[at : at + n]]
+                at += n
+                places = np.lexsort((g, c))[: prefix_size(n, threshold)] if n else np.zeros(0, np.int64)
+                shared = np.flatnonzero(c[places] > 1)
+                found.append((g[places[shared]], shared))
+            ends = np.cumsum([0, *(len(p) for p, _ in found)]).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["g", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.array(c, np.int64)) for c in out), pa.ListArray.from_arrays(pa.array(ends), items)], ["doc_id", "n", "s", "t", "prefix"])
+
+    counted = blocks.answers(table.mapInArrow(send, blocks.SENT), parts, compare)
+    return blocks.answered(table, counted, "counts").mapInArrow(build, "doc_id long, n long, s long, t long, prefix array<struct<g:long,pos:long>>")
 
 
 def candidates(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -153,7 +186,7 @@ def candidates(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             cols = rest if batch is None else tuple(np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest))
             g, rep, n, pos = cols
             starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-            ends = np.r_[starts[1:], len(g)]
+            ends = np.r_[starts[1:], len(g)][: len(starts)]
             last = len(starts) - 1
             out: list[tuple[int, int, bool]] = []
             rest = tuple(c[:0] for c in cols)
@@ -210,6 +243,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: n
         m = np.zeros((len(sets), min(step, width - at)), np.float32)
         m[owner[lo:hi], column[lo:hi] - at] = 1
         inter += m[a] @ m[b].T
+    inter = inter.astype(np.float64)
     union = size[a][:, None] + size[b][None, :] - inter
     i, j = np.nonzero((den * inter >= num * union) & (label[a][:, None] != label[b][None, :]))
     root = list(range(len(sets)))
@@ -247,6 +281,8 @@ def verify(tasks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             return [(int(rep[i]), int(rep[j])) for i, j in _links(sets, *flags, table.column("label").to_numpy(), threshold)]
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key = batch.column("task").to_numpy(zero_copy_only=False)
             starts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             out = []
@@ -278,15 +314,15 @@ def _family_links(families: DataFrame, grams: DataFrame, threshold: tuple[int, i
     def sent(tasks: DataFrame) -> DataFrame:
         return tasks.groupBy("task", "rep", "label").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")).join(grams.select("rep", "grams"), "rep")
 
-    one = members.where(F.col("total") <= BLOCK).select(F.xxhash64(F.lit(0), "family").cast("string").alias("task"), "rep", F.col("rep").alias("label"), yes.alias("left"), yes.alias("right"))
+    one = members.where(F.col("total") <= BLOCK).select(F.concat_ws("/", F.lit("all"), "family").alias("task"), "rep", F.col("rep").alias("label"), yes.alias("left"), yes.alias("right"))
     big = members.where(F.col("total") > BLOCK)
-    blocks = big.select("family", "class", "block").distinct()
+    cells_of = big.select("family", "class", "block").distinct()
     name = F.concat_ws("/", "family", "of", "from", "class", "block")
 
     def against(chosen: DataFrame, whole: DataFrame) -> DataFrame:
         """A task for each block of ``chosen(family, class, block, rep, label)`` and each near block of all."""
         pairs = chosen.select("family", F.col("class").alias("of"), F.col("block").alias("from")).distinct()
-        pairs = pairs.select("family", "of", "from", F.explode(F.array(*[F.col("of") + k for k in (-1, 0, 1)])).alias("class")).join(blocks, ["family", "class"])
+        pairs = pairs.select("family", "of", "from", F.explode(F.array(*[F.col("of") + k for k in (-1, 0, 1)])).alias("class")).join(cells_of, ["family", "class"])
         left = pairs.join(chosen.select("family", F.col("class").alias("of"), F.col("block").alias("from"), "rep", "label"), ["family", "of", "from"]).select(name.alias("task"), "rep", "label", yes.alias("left"), no.alias("right"))
         right = pairs.join(whole.select("family", "class", "block", "rep", "label"), ["family", "class", "block"]).select(name.alias("task"), "rep", "label", no.alias("left"), yes.alias("right"))
         return left.unionByName(right)
@@ -306,13 +342,12 @@ def _family_links(families: DataFrame, grams: DataFrame, threshold: tuple[int, i
 
 def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id)``, one per row of ``docs`` with an id."""
-    sets = cut(set_table(docs, width, threshold, hot_shingles(docs, width)))
+    sets = cut(set_table(docs, width, threshold))
     classes = sets.where("n > 0").groupBy("s", "t", "n").agg(F.min("doc_id").alias("rep"))
     of = cut(sets.select("doc_id", "s", "t", "n").join(classes, ["s", "t", "n"]).select("doc_id", "rep").distinct())
     reps = of.select("rep").distinct()
-    postings = sets.where("n > 0").join(reps, sets["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id", "s", "t"]).select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "g"))
-    listed = postings.withColumn("many", F.count("*").over(Window.partitionBy("g"))).where("many > 1").withColumn("pos", F.col("pos").cast("long"))
-    edges = cut(candidates(listed, threshold))
+    postings = sets.where("n > 0").join(reps, sets["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id", "s", "t"]).select(F.col("doc_id").alias("rep"), "n", F.inline("prefix"))
+    edges = cut(candidates(postings, threshold))
     families = cut(min_label(edges.where("family").select("a", "b")))
     of_a, of_b = (families.select(F.col("id").alias(c), F.col("label").alias(f"f{c}")) for c in "ab")
     pairs = edges.where("not family").select("a", "b").distinct().join(of_a, "a", "left").join(of_b, "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
@@ -321,7 +356,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            got = shingle_sets(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["rep", "n", "grams"])
 
     grams = cut(_texts(docs).join(needed, F.col("doc_id") == needed["rep"], "left_semi").mapInArrow(grams_of, "rep long, n long, grams binary").dropDuplicates(["rep"]))

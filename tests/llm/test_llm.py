@@ -203,7 +203,9 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, short, block):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
-def test_min_label(spark):
+@pytest.mark.parametrize("edges_per_task", [300_000, 4])
+def test_min_label(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(common, "EDGES", edges_per_task)
     edges = spark.createDataFrame([(k, k + 1) for k in range(20) if k != 9] + [(30, 25), (3, 3)], "a long, b long")
     got = {r["id"]: r["label"] for r in common.min_label(edges).collect()}
     assert got == {**{k: 0 for k in range(10)}, **{k: 10 for k in range(10, 21)}, 30: 25, 25: 25}
