@@ -27,39 +27,17 @@ id is smaller); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import blocks, hashing
 from .common import cut
 
 LENGTH = 50
 ANCHOR = 24
-BLOCK_BYTES = 2_000_000
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = (a ^ (b << np.uint64(23) | b >> np.uint64(41))) * np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(32)
-    return out
-
-
-def anchor_hashes(x: np.ndarray) -> np.ndarray:
-    """A hash of the ``ANCHOR`` = 16 + 8 bytes from each place of a byte array."""
-    h = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    n = 1
-    eight = None
-    while n < 16:
-        h = _mix(h[:-n], h[n:])
-        n *= 2
-        if n == 8:
-            eight = h
-    return _mix(h[: len(h) - 8], eight[16:])
 
 
 class Block:
@@ -74,25 +52,27 @@ class Block:
         self.hash = np.zeros(0, np.uint64)
         if len(x) < length:
             return
-        h = anchor_hashes(x)
+        h = hashing.of_length(x, ANCHOR)
         # the least hash, leftmost of equals, among the anchors of a window
-        key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        key = h & np.uint64(0xFFFFFFFF00000000)
+        key |= np.arange(len(h), dtype=np.uint64)
         span, width = length - ANCHOR + 1, 1
         while width * 2 <= span:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
         if width < span:
             key = np.minimum(key[: width - span], key[span - width :])
-        anchor = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
-        window = np.flatnonzero(np.arange(len(anchor)) + length <= self.stops[doc])
-        if not len(window):
-            return
-        anchor, doc = anchor[window], doc[window]
-        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1) | (doc[1:] != doc[:-1])])
+        anchor = key.view(np.uint32)[::2] if np.little_endian else key.astype(np.uint32)
+        inside = np.ones(len(anchor), bool)  # windows that end in the document they start in
+        for a, b in zip(np.maximum(self.starts, self.stops - length + 1).tolist(), self.stops.tolist(), strict=True):
+            inside[a:b] = False
+        change = anchor[1:] != anchor[:-1]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= change | ~inside[:-1]
+        last[:-1] &= change | ~inside[1:]
         # windows ``first .. last`` of document ``doc`` belong to the anchor at ``at``
-        self.first, self.last = window[new], window[np.r_[new[1:], len(window)] - 1]
-        self.at, self.doc = anchor[new], doc[new]
+        self.first, self.last = np.flatnonzero(first), np.flatnonzero(last)
+        self.at, self.doc = anchor[self.first].astype(np.int64), np.searchsorted(self.stops, self.first, "right")
         self.hash = h[self.at]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,14 +185,6 @@ def least_owner(strings: list[bytes], owner: np.ndarray, length: int = LENGTH) -
     return out[at]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
-
-
 def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -221,85 +193,17 @@ def _flags(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
 
 
-def blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows ``(block, n, head, body)``: about ``size`` bytes of documents a block, compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, total = [], [], 0
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            out = []
-            for k, (i, t) in enumerate(rows):
-                ids.append(i)
-                texts.append((t or "").encode("utf-8", "surrogatepass"))
-                total += len(texts[-1])
-                if total >= size or k + 1 == len(rows):
-                    head = np.array([ids, [len(t) for t in texts]], np.int64).tobytes()
-                    out.append((uuid.uuid4().hex, len(ids), head, _pack(np.frombuffer(b"".join(texts), np.uint8))))
-                    ids, texts, total = [], [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "n", "head", "body"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "block string, n long, head binary, body binary")
-
-
 def _opened(row: dict) -> Block:
-    head = np.frombuffer(row["head"], np.int64).reshape(2, -1)
-    return Block(head[0], _unpack(row["body"]), head[1])
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
-
-
-def _by_bucket(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of hashes by bucket, the bucket of each in that order, and what is left of the hash."""
-    bucket = (values % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order], (values // np.uint64(buckets) >> np.uint64(8)).astype(np.uint32)[order]
-
-
-def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edges = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(x[a]), a, b
-
-
-def _grouped(run, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``run(rows of one bucket)`` gives ``(block, bucket, answer)`` rows; rows come sorted by bucket."""
-    held: list[dict] = []
-    out: list[tuple] = []
-    for row in _and_none(_rows(rows)):
-        if held and (row is None or row["bucket"] != held[0]["bucket"]):
-            out += run(held)
-            held = []
-        if row is not None:
-            held.append(row)
-        if out and (row is None or len(out) >= 500):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "answer"])
-            out = []
-
-
-def _and_none(rows: Iterator[dict]) -> Iterator[dict | None]:
-    yield from rows
-    yield None
-
-
-def _answered(table: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """``table`` with all answers of a block, by bucket, in the column ``name``."""
-    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
-    return table.join(each, "block", "left")
+    ids, sizes, raw = blocks.opened(row)
+    return Block(ids, raw, sizes)
 
 
 def _shared_flags(block: Block, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Which distinct anchors are shared, and each anchor's number."""
     values, flags, number = block.distinct()
-    order, bucket, _ = _by_bucket(values, buckets)
+    order, bucket, _ = blocks.by_bucket(values, buckets)
     of = {a["bucket"]: a["answer"] for a in answers or []}
-    for b, lo, hi in _runs(bucket):
+    for b, lo, hi in blocks.runs(bucket):
         flags[order[lo:hi]] |= _flags(of[b], hi - lo)
     return flags, number
 
@@ -307,16 +211,15 @@ def _shared_flags(block: Block, answers: list[dict] | None, buckets: int) -> tup
 def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``."""
     spark = docs.sparkSession
-    table = cut(blocks(docs))
+    table = cut(blocks.blocks(docs))
     n_blocks = table.count()
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks)
-    parts = max(1, buckets)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in blocks.rows_of(batches):
             values, _, _ = _opened(row).distinct()
-            _, bucket, rest = _by_bucket(values, buckets)
-            out = [(row["block"], b, rest[lo:hi].tobytes()) for b, lo, hi in _runs(bucket)]
+            _, bucket, rest = blocks.by_bucket(values, buckets)
+            out = [(row["block"], b, rest[lo:hi].tobytes()) for b, lo, hi in blocks.runs(bucket)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "sent"])
 
@@ -328,17 +231,17 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return [(r["block"], r["bucket"], _bits(flags[a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
 
     def send_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in blocks.rows_of(batches):
             block = _opened(row)
             flags, number = _shared_flags(block, row["anchors"], buckets)
             strings, least, pick, of = block.shared(flags, number)
             hashes = np.zeros(len(strings), np.uint64)
             hashes[of] = block.hash[pick]
-            order, bucket, rest = _by_bucket(hashes, buckets)
+            order, bucket, rest = blocks.by_bucket(hashes, buckets)
             out = []
-            for b, lo, hi in _runs(bucket):
+            for b, lo, hi in blocks.runs(bucket):
                 chosen = [strings[k] for k in order[lo:hi].tolist()]
-                out.append((row["block"], b, _pack(np.array([hi - lo], np.int64), least[order[lo:hi]], rest[lo:hi], np.array([len(s) for s in chosen], np.uint32), np.frombuffer(b"".join(chosen), np.uint8))))
+                out.append((row["block"], b, blocks.pack(np.array([hi - lo], np.int64), least[order[lo:hi]], rest[lo:hi], np.array([len(s) for s in chosen], np.uint32), np.frombuffer(b"".join(chosen), np.uint8))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "sent"])
 
@@ -347,7 +250,7 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         groups = []
         for r in rows:
-            raw = _unpack(r["sent"])
+            raw = blocks.unpack(r["sent"])
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             least = np.frombuffer(raw, np.int64, n, 8)
             rest = np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
@@ -373,11 +276,11 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             row = np.repeat(many, windows)
             column = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
             found[row, column] = least_owner(chosen, owner[many])
-        return [(r["block"], r["bucket"], _pack(np.packbits(found[of] < least[:, None], axis=1))) for r, (least, of) in zip(rows, parts, strict=True)]
+        return [(r["block"], r["bucket"], blocks.pack(np.packbits(found[of] < least[:, None], axis=1))) for r, (least, of) in zip(rows, parts, strict=True)]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = LENGTH - ANCHOR + 1
-        for row in _rows(batches):
+        for row in blocks.rows_of(batches):
             block = _opened(row)
             removed = np.zeros(len(block.raw) + 1, np.int32)
             flags, number = _shared_flags(block, row["anchors"], buckets)
@@ -385,11 +288,11 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             if len(strings):
                 hashes = np.zeros(len(strings), np.uint64)
                 hashes[of] = block.hash[pick]
-                order, bucket, _ = _by_bucket(hashes, buckets)
+                order, bucket, _ = blocks.by_bucket(hashes, buckets)
                 lesser = np.zeros((len(strings), width), bool)
                 answers = {a["bucket"]: a["answer"] for a in row["windows"] or []}
-                for b, lo, hi in _runs(bucket):
-                    got = np.frombuffer(_unpack(answers[b]), np.uint8).reshape(hi - lo, -1)
+                for b, lo, hi in blocks.runs(bucket):
+                    got = np.frombuffer(blocks.unpack(answers[b]), np.uint8).reshape(hi - lo, -1)
                     lesser[order[lo:hi]] = np.unpackbits(got, axis=1, count=width)
                 gone = lesser[of] | (block.ids[block.doc[pick]] > least[of])[:, None]
                 windows = block.last[pick] - block.first[pick] + 1
@@ -402,14 +305,9 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             columns = [pa.array(c) for c in zip(*digests, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(block.sizes), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    def exchange(sent: DataFrame, run) -> DataFrame:
-        rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").select("block", "bucket", "sent")
-        return rows.mapInArrow(lambda batches: _grouped(run, batches), "block string, bucket long, answer binary")
-
-    sent = "block string, bucket long, sent binary"
-    anchors = exchange(table.mapInArrow(send_anchors, sent), compare_anchors)
-    known = cut(_answered(table.select("block"), anchors, "anchors"))
+    anchors = blocks.answers(table.mapInArrow(send_anchors, blocks.SENT), buckets, compare_anchors)
+    known = cut(blocks.answered(table.select("block"), anchors, "anchors"))
     full = table.join(known, "block")
-    windows = exchange(full.mapInArrow(send_surroundings, sent), compare_surroundings)
-    done = _answered(full, windows, "windows")
+    windows = blocks.answers(full.mapInArrow(send_surroundings, blocks.SENT), buckets, compare_surroundings)
+    done = blocks.answered(full, windows, "windows")
     return done.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
