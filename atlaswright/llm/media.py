@@ -21,7 +21,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 FRAME = 192  # bytes, which are samples
 RATE = 8000  # samples a second: 24 ms a frame
