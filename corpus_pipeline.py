@@ -25,8 +25,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id."""
-    others = jaccard.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id."""
+    others = jaccard.join(docs, width=5, threshold=(4, 5)).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
