@@ -9,10 +9,9 @@ self-attention makes of the ids before. Texts are scored in windows of two block
 those of the first as context, in batches under a mask that hides later ids and what lies
 before a text.
 
-Counts of words and bigrams cover all training documents. The attention weights are
-trained by as many tasks as scan the table, each on a 1/``RATE`` share of its training
-documents (of a small corpus a larger share, of about ``LEAST`` documents in all), and
-averaged (weighted by ids) after each of ``ROUNDS`` rounds.
+Counts of words and bigrams cover all training documents, and so does the training of the
+attention weights: as many tasks as scan the table each learn from all training documents
+of their share, and are averaged (weighted by ids) after each of ``ROUNDS`` rounds.
 
 For the base model's word counts, the ``FREQUENT`` most frequent words (of up to
 ``WORD_BYTES`` bytes: a few megabytes at any size of corpus) go to every task; the counts of
@@ -48,8 +47,6 @@ END = SUBWORDS
 BLOCK = 16
 WIDTH = 16
 HELD_OUT = (7, 2)
-RATE = 48
-LEAST = 1500
 ROUNDS = 2
 FREQUENT = 200_000
 WORD_BYTES = 48
@@ -338,13 +335,11 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, "word binary, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, prior: Priors, path: str, rate: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged attention weights after ``rounds`` rounds, each over another 1/``rate`` of
-    the training documents."""
+def train(docs: DataFrame, prior: Priors, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """The averaged attention weights after ``rounds`` rounds, each over all training documents."""
     sc = docs.sparkSession.sparkContext
     flat, sent = start(), sc.broadcast(prior)
-    for turn in range(rounds):
-        chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rate)) == turn % rate)
+    for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
             cutter = subwords(path)
@@ -360,7 +355,7 @@ def train(docs: DataFrame, prior: Priors, path: str, rate: int, rounds: int = RO
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(LENGTH, dtype=np.int32)), pa.array(new.astype(np.float64) * seen), pa.array(np.full(LENGTH, seen, np.int64))], ["at", "x", "n"])
 
-        mean = chosen.mapInArrow(run, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+        mean = docs.mapInArrow(run, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if mean.num_rows:
             flat = np.zeros(LENGTH, np.float32)
             flat[mean.column("at").to_numpy()] = mean.column("x").to_numpy()
@@ -378,8 +373,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     bigrams = np.zeros(SIDE**4)
     bigrams[pairs.column(0).to_numpy()] = pairs.column(1).to_numpy()
     prior = Priors(bigrams)
-    trained_on = words.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    flat = train(docs, prior, path, min(RATE, max(1, trained_on // LEAST)))
+    flat = train(docs, prior, path)
     often = words.where(F.length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
     sent = docs.sparkSession.sparkContext.broadcast((flat, prior, frequent))

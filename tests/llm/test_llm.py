@@ -362,6 +362,23 @@ def test_base_scores(spark):
     assert lm.score(docs(spark, texts).where("false")).count() == 0
 
 
+def test_weights_learn_from_every_training_document(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["the", "cat", "sat", f"w{k % 50}", "on"], k=6)) for k in range(3800)]
+    path = packing.tokenizer_file()
+    cutter = lm.subwords(path)
+    got = lm.Texts([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], cutter)
+    prior = lm.Priors(np.bincount(np.r_[lm.END, got.ids[:-1]] * lm.SIDE**2 + got.ids, minlength=lm.SIDE**4).astype(float))
+    flat = lm.start()
+    for _ in range(lm.ROUNDS):
+        flat = lm.trained(flat, prior, [got])[0]
+    every = lm.Texts(texts, cutter)
+    keys, targets, valid, owner = lm.blocks(every.ids, every.sizes)
+    want = np.bincount(owner, lm.forward(lm.weights(flat), prior, keys, targets, valid).sum(1), len(texts)) / math.log(10)
+    scores = {r["doc_id"]: r["score"] for r in lm.score(docs(spark, texts).coalesce(1).orderBy("doc_id").coalesce(1)).collect()}
+    assert [scores[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-3)
+
+
 # quality
 
 
