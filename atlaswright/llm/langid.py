@@ -1,8 +1,10 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
-For every language, up to ``SAMPLE_DOCS`` labelled training documents (those of the
-smallest id hashes, at most ``SAMPLE_BYTES`` bytes together) are strung into one text whose
-suffix automaton accepts exactly its substrings. A document is parsed against each
+For every language, pieces of labelled training documents, ``SAMPLE_BYTES`` bytes together,
+are strung into one text whose suffix automaton accepts exactly its substrings. Documents
+of any length take part in the order of their hashes, each with a piece (of up to a
+``SAMPLE_DOCS``-th of these bytes) from a hashed place of its text; further pieces of the
+same documents follow only where that does not fill the bytes. A document is parsed against each
 automaton into longest matches, every phrase ending where no transition goes on; the
 language with the fewest phrases, weighted by the bits that name a place in its training
 text, wins. Texts are parsed in segments of ``SEGMENT`` bytes, a phrase ending with its
@@ -17,12 +19,14 @@ gives none. Only ``doc_id``, ``text`` and, for learning, ``lang`` are read.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 60
@@ -150,19 +154,67 @@ def is_held_out(doc_id: Column, mod: int = 3, remainder: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == remainder
 
 
+class _Sample:
+    """Of each language the pieces of the smallest ``(draw, hash)`` that fill ``SAMPLE_BYTES``."""
+
+    def __init__(self):
+        self.kept: dict[str, list[tuple[int, int, bytes]]] = {}  # heaps, the largest key first
+        self.size: dict[str, int] = {}
+
+    def wants(self, lang: str, draw: int, h: int) -> bool:
+        return self.size.get(lang, 0) < SAMPLE_BYTES or (-draw, -h) > self.kept[lang][0][:2]
+
+    def add(self, lang: str, draw: int, h: int, piece: bytes) -> None:
+        heap = self.kept.setdefault(lang, [])
+        heapq.heappush(heap, (-draw, -h, piece))
+        size = self.size.get(lang, 0) + len(piece) + 1  # a zero byte between pieces
+        while size - len(heap[0][2]) - 1 >= SAMPLE_BYTES:
+            size -= len(heapq.heappop(heap)[2]) + 1
+        self.size[lang] = size
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(lang, -d, -h, piece) for lang, heap in self.kept.items() for d, h, piece in heap]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["lang", "draw", "h", "piece"])
+
+
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """At most ``per_lang`` folded training texts of each label, cut at ``SAMPLE_BYTES``
-    over ``per_lang`` bytes each: a bounded sample, the same for the same rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and length(text) >= 200")
-    rows = rows.where(~is_held_out(F.col("doc_id")))
+    """Folded pieces of each label's training texts, of at most ``SAMPLE_BYTES`` over
+    ``per_lang`` bytes each, until they fill ``SAMPLE_BYTES`` or the texts end: a bounded
+    sample, the same for the same rows. A text's pieces are drawn from a hashed one on."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = rows.where(~is_held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     each = SAMPLE_BYTES // per_lang
-    rows = rows.select("lang", F.substring("text", 1, 2 * each).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    # a first cut per partition of the scan, so that no label's rows meet in one task
-    first = Window.partitionBy("lang", "part").orderBy("h")
-    rows = rows.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
-    got = sorted(rows.select("lang", "r", "text").collect())
-    return [(lang, t) for lang, _, text in got if (t := folded(text)[:each])]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = _Sample()
+        for batch in batches:
+            texts = batch.column(2)
+            for k, (lang, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if not sample.wants(lang, 0, h):
+                    continue
+                raw = folded(texts[k].as_py())
+                pieces = -(-len(raw) // each)
+                for turn in range(pieces):
+                    if not sample.wants(lang, turn, h):
+                        break
+                    # not the order's hash itself, of which the sample holds the smallest
+                    at = (zlib.crc32(str(h).encode()) + turn) % pieces * each
+                    sample.add(lang, turn, h, raw[at : at + each])
+        yield sample.rows()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = _Sample()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sample.wants(*row[:3]):
+                    sample.add(*row)
+        yield sample.rows()
+
+    # every task of the scan sends a full sample at most, and so does every share of a label's rows
+    schema = "lang string, draw int, h long, piece binary"
+    parts = rows.mapInArrow(draw, schema).repartition("lang", F.pmod("h", F.lit(16))).mapInArrow(merge, schema)
+    got = parts.repartition("lang").mapInArrow(merge, schema).collect()
+    return [(r["lang"], bytes(r["piece"])) for r in sorted(got, key=lambda r: (r["lang"], r["draw"], r["h"], bytes(r["piece"])))]
 
 
 def identify(docs: DataFrame, models: dict[str, Automaton], keep: list[str] = ()) -> DataFrame:

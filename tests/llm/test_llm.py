@@ -316,6 +316,25 @@ def test_language_accuracy_and_edges(spark):
     assert kept.columns == docs(spark, [], extra=True).columns and kept.count() == 1
 
 
+def test_language_sample_takes_short_texts_and_whole_ones(spark):
+    short = [(k, f"kurz und gut {k}", "de", "s", 0) for k in range(40)]
+    head = "the same boilerplate head " * 100
+    long = [(100 + k, head + " ".join(f"body{'abcdefghij'[k % 10]}x{j}" for j in range(800)), "en", "s", 0) for k in range(90)]
+    d = spark.createDataFrame(short + long, DOC).repartition(3)
+    sample = langid.training_sample(d)
+    size = {lang: sum(len(t) + 1 for x, t in sample if x == lang) for lang in ("de", "en")}
+    want = sorted(langid.folded(t) for i, t, *_ in short if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert sorted(t for lang, t in sample if lang == "de") == want
+    assert langid.SAMPLE_BYTES <= size["en"] < langid.SAMPLE_BYTES + 1001
+    english = [t for lang, t in sample if lang == "en"]
+    assert sum(b"body" in t for t in english) > len(english) / 2
+    few = langid.training_sample(d.where("doc_id in (100, 101, 102)"))
+    assert sum(len(t) for _, t in few) == sum(len(langid.folded(t)) for i, t, *_ in long if i in (100, 101, 102) and zlib.crc32(str(i).encode()) % 3 != 1)
+    models = langid.fit(langid.training_sample(d.where("lang = 'de'")))
+    assert langid.identify(d, models).where("lang_pred = 'und'").count() == 0
+    assert sorted(sample) == sorted(langid.training_sample(d.repartition(7)))
+
+
 # language model
 
 
