@@ -42,38 +42,70 @@ def terminals(edges: DataFrame) -> DataFrame:
     return d.join(least, ["path", "degree"]).select("path", "node", "degree")
 
 
-def pruned(edges: DataFrame, keep: DataFrame, rounds: int = 100) -> DataFrame:
-    """GR-3: leaves that are not in ``keep(node)`` go, again and again."""
-    pairs = cut(ends(edges))
-    for _ in range(rounds):
-        loose = pairs.groupBy("path", "node").agg(F.count("*").alias("n")).where("n <= 1").join(keep.select("node").distinct(), "node", "left_anti").select("path", "node")
-        loose = cut(loose)
-        if loose.isEmpty():
+#: Rounds that take single nodes before runs of nodes are taken out together.
+PLAIN = 8
+
+
+def _runs(pairs: DataFrame) -> DataFrame:
+    """``(path, node, run)`` of ``pairs(path, node, neighbour)``: connected nodes share a run."""
+    named = components(pairs.select(F.struct("path", "node").alias("a"), F.struct("path", F.col("neighbour").alias("node")).alias("b")))
+    return named.select("id.path", "id.node", F.col("component.node").alias("run"))
+
+
+def pruned(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """GR-3: leaves that are not in ``keep(node)`` go, again and again. After ``PLAIN`` rounds
+    a leaf takes the whole run of such nodes of two neighbours with it, so that the rounds
+    do not grow with the length of runs."""
+    pairs, k = cut(ends(edges)), 0
+    while True:
+        free = pairs.groupBy("path", "node").agg(F.count("*").alias("n")).where("n <= 2").join(keep.select("node").distinct(), "node", "left_anti").select("path", "node", "n")
+        free = cut(free)
+        leaves = free.where("n <= 1").select("path", "node")
+        if leaves.isEmpty():
             break
+        loose = leaves
+        if k >= PLAIN:
+            inside = pairs.join(free.select("path", "node"), ["path", "node"], "left_semi").join(free.select("path", F.col("node").alias("neighbour")), ["path", "neighbour"], "left_semi")
+            runs = cut(_runs(inside))
+            ended = runs.join(leaves, ["path", "node"], "left_semi").select("path", "run").distinct()
+            loose = cut(leaves.union(runs.join(ended, ["path", "run"], "left_semi").select("path", "node")).distinct())
         pairs = pairs.join(loose, ["path", "node"], "left_anti").join(loose.withColumnRenamed("node", "neighbour"), ["path", "neighbour"], "left_anti")
-        pairs = cut(pairs.select("path", "node", "neighbour"))
+        pairs, k = cut(pairs.select("path", "node", "neighbour")), k + 1
     return pairs.where("node < neighbour").select("path", F.col("node").alias("a"), F.col("neighbour").alias("b"))
 
 
-def bypassed(edges: DataFrame, missing: DataFrame, rounds: int = 100) -> DataFrame:
+def bypassed(edges: DataFrame, missing: DataFrame) -> DataFrame:
     """GR-4: edges around missing nodes: what comes before one is joined to what comes after,
     or all its neighbours to each other where nothing comes before or after; edges so made
-    are not complete. Each round takes the least missing node of each path out."""
+    are not complete. The result is that of taking the least missing node of each path out,
+    one after the other: a round takes those out together that are less than all missing
+    neighbours, whose edges nothing taken out before them in that order can change. After
+    ``PLAIN`` rounds, hashes order the nodes of runs in which each has one edge in and one
+    out, since any order makes the same edges there."""
     now = cut(edges.where("src <> dst").groupBy("path", "src", "dst").agg(F.lit(True).alias("complete")))
-    gone = missing.select("node").distinct()
-    for _ in range(rounds):
-        at = now.select("path", F.col("src").alias("node")).union(now.select("path", "dst")).distinct().join(gone, "node", "left_semi")
-        pick = cut(at.groupBy("path").agg(F.min("node").alias("node")))
-        if pick.isEmpty():
+    gone, free, k = missing.select("node").distinct(), None, 0
+    while True:
+        at = now.select("path", F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(now.select("path", "dst", F.lit(1), F.lit(0))).groupBy("path", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).join(gone, "node", "left_semi")
+        at = cut(at.select("path", "node", ((F.col("i") == 1) & (F.col("o") == 1)).alias("plain"), F.lit(0).cast("long").alias("rank")))
+        if at.isEmpty():
             break
-        before = now.join(pick.withColumnRenamed("node", "dst"), ["path", "dst"], "left_semi").select("path", F.col("src").alias("n"), F.lit(-1).alias("side"))
-        after = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"], "left_semi").select("path", F.col("dst").alias("n"), F.lit(1).alias("side"))
+        inside = ends(now).join(at.select("path", "node"), ["path", "node"], "left_semi").join(at.select("path", F.col("node").alias("neighbour")), ["path", "neighbour"], "left_semi").select("path", "node", "neighbour")
+        if k == PLAIN:
+            runs = cut(_runs(cut(inside)).join(at.select("path", "node", "plain"), ["path", "node"]))
+            free = cut(runs.groupBy("path", "run").agg(F.min("plain").alias("plain")).where("plain").join(runs.drop("plain"), ["path", "run"]).select("path", "node", F.lit(True).alias("free")))
+        if free is not None:  # what is left of such a run stays one
+            at = cut(at.join(free, ["path", "node"], "left").select("path", "node", F.when(F.col("free"), F.xxhash64("node")).otherwise(F.lit(0)).alias("rank")))
+        rank = at.select("path", "node", "rank")
+        later = inside.join(rank, ["path", "node"]).join(rank.toDF("path", "neighbour", "other"), ["path", "neighbour"]).where("other < rank or (other = rank and neighbour < node)").select("path", "node").distinct()
+        pick = cut(rank.join(later, ["path", "node"], "left_anti").select("path", "node"))
+        before = now.join(pick.withColumnRenamed("node", "dst"), ["path", "dst"]).select("path", F.col("dst").alias("node"), F.col("src").alias("n"), F.lit(-1).alias("side"))
+        after = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"]).select("path", F.col("src").alias("node"), F.col("dst").alias("n"), F.lit(1).alias("side"))
         around = before.union(after).distinct()
-        both = around.groupBy("path").agg((F.countDistinct("side") == 2).alias("through"))
-        left, right = around.join(both, "path").toDF("path", "src", "s", "through"), around.toDF("path", "dst", "t")
-        made = left.join(right, "path").where("src <> dst and (through and s = -1 and t = 1 or not through and src < dst)").select("path", "src", "dst", F.lit(False).alias("complete"))
-        kept = now.join(pick, "path", "left").where("node is null or (src <> node and dst <> node)").select("path", "src", "dst", "complete")
-        now = cut(kept.union(made).groupBy("path", "src", "dst").agg(F.max("complete").alias("complete")))
+        both = around.groupBy("path", "node").agg((F.countDistinct("side") == 2).alias("through"))
+        left, right = around.join(both, ["path", "node"]).toDF("path", "node", "src", "s", "through"), around.toDF("path", "node", "dst", "t")
+        made = left.join(right, ["path", "node"]).where("src <> dst and (through and s = -1 and t = 1 or not through and src < dst)").select("path", "src", "dst", F.lit(False).alias("complete"))
+        kept = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"], "left_anti").join(pick.withColumnRenamed("node", "dst"), ["path", "dst"], "left_anti").select("path", "src", "dst", "complete")
+        now, k = cut(kept.union(made).groupBy("path", "src", "dst").agg(F.max("complete").alias("complete"))), k + 1
     return now
 
 
@@ -85,11 +117,11 @@ def contracted(edges: DataFrame, same: DataFrame) -> DataFrame:
     return named.where("src2 <> dst2").groupBy("path", F.col("src2").alias("src"), F.col("dst2").alias("dst")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("src", "dst"))))).alias("contracted"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """GR-10: ``(id, component)`` of ``edges(a, b)``, by alternating large and small stars."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes, before = now.select(F.col("a").alias("id")).union(now.select("b")).distinct(), None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -102,12 +134,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes.join(now.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def closure(subclass: DataFrame, rounds: int = 60) -> DataFrame:
+def closure(subclass: DataFrame) -> DataFrame:
     """GR-12: ``(child, ancestor, level)`` of ``subclass(child, parent)``, the least level of each
     pair; paths double in length every round."""
     step = cut(subclass.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("level", F.lit(1)))
     all_ = step
-    for _ in range(rounds):
+    while True:
         n = all_.count()
         longer = all_.alias("p").join(all_.alias("q"), F.col("p.ancestor") == F.col("q.child")).select("p.child", "q.ancestor", (F.col("p.level") + F.col("q.level")).alias("level"))
         all_ = cut(all_.union(longer).groupBy("child", "ancestor").agg(F.min("level").alias("level")))
@@ -132,7 +164,7 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select("node").distinct(), pairs.where("parent is not null")
 
 
-def chains(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def chains(edges: DataFrame) -> DataFrame:
     """GR-8: runs of nodes with two neighbours become one edge ``(path, a, b, inner)``; ends
     are nodes of any other number of neighbours, cycles without one are left out. All
     walks take a step a round."""
@@ -141,7 +173,7 @@ def chains(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     # a walk stands on ``at`` having come from ``start`` by way of ``via``
     walk = pairs.join(inner.select("path", "node"), ["path", "node"], "left_anti").select("path", F.col("node").alias("start"), F.col("node").alias("last"), F.col("neighbour").alias("at"), F.array().cast("array<long>").alias("via"))
     walk, done = cut(walk), None
-    for _ in range(rounds):
+    while True:
         on = walk.join(inner.withColumnRenamed("node", "at"), ["path", "at"], "left")
         ended = on.where("lo is null").select("path", "start", "at", "via")
         done = cut(ended) if done is None else cut(done.union(ended))
@@ -151,13 +183,14 @@ def chains(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     return done.where("start < at or (start = at and (size(via) = 0 or via[0] <= via[size(via) - 1]))").select("path", F.col("start").alias("a"), F.col("at").alias("b"), F.col("via").alias("inner")).distinct()
 
 
-def between(edges: DataFrame, chosen: DataFrame, rounds: int = 1000) -> DataFrame:
+def between(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """GR-9: the edges on any shortest path between chosen nodes ``(path, node)`` of a path:
     breadth-first from all of them, level by level."""
     pairs = cut(ends(edges))
     front = cut(chosen.select("path", F.col("node").alias("from"), "node").distinct().withColumn("d", F.lit(0)))
-    seen = front
-    for k in range(1, rounds):
+    seen, k = front, 0
+    while True:
+        k += 1
         step = front.join(pairs, ["path", "node"]).select("path", "from", F.col("neighbour").alias("node")).distinct()
         front = cut(step.join(seen, ["path", "from", "node"], "left_anti").withColumn("d", F.lit(k)))
         if front.isEmpty():
@@ -187,11 +220,11 @@ def suffixes(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", "node", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", k, F.size("parts")), "/"))).alias("dropped", "suffix"))
 
 
-def flattened(tree: DataFrame, parent_path: str = "at", rounds: int = 100) -> DataFrame:
+def flattened(tree: DataFrame, parent_path: str = "at") -> DataFrame:
     """GR-23: rows ``(id, parent, ord)`` with the path of ordinals from the root, by which they sort depth first."""
     level = tree.where("parent is null").select("id", F.array("ord").alias(parent_path))
     out = level
-    for _ in range(rounds):
+    while True:
         level = cut(tree.join(level.withColumnRenamed("id", "parent"), "parent").select("id", F.array_append(parent_path, F.col("ord")).alias(parent_path)))
         if level.isEmpty():
             break

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,36 @@ def test_bypass_joins_what_is_left(spark):
     assert {tuple(r) for r in graph.bypassed(edges, gone).collect()} == {(1, 1, 3, False), (2, 8, 9, False)}
 
 
+def _bypassed_one_by_one(edges, gone):
+    now = {(a, b): True for a, b in edges if a != b}
+    while at := {n for e in now for n in e} & gone:
+        x = min(at)
+        before, after = {a for a, b in now if b == x}, {b for a, b in now if a == x}
+        made = {(a, b) for a in before for b in after} if before and after else {(a, b) for a in before | after for b in before | after if a < b}
+        now = {e: c for e, c in now.items() if x not in e} | {e: now.get(e, False) for e in made if e[0] != e[1] and x not in e}
+    return {(*e, c) for e, c in now.items()}
+
+
+def test_long_runs_of_missing_nodes_are_bypassed(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PLAIN", 1)
+    rng = random.Random(1)
+    paths = {1: [(0, 4), *((k, k + 1) for k in range(4, 106))]}
+    for p in range(2, 12):
+        paths[p] = [(rng.randrange(14), rng.randrange(14)) for _ in range(16)]
+    missing = set(range(4, 106))
+    edges = spark.createDataFrame([(p, *e) for p, es in paths.items() for e in es], "path long, src long, dst long")
+    got = graph.bypassed(edges, spark.createDataFrame([(k,) for k in missing], "node long")).collect()
+    want = {(p, *e) for p, es in paths.items() for e in _bypassed_one_by_one(es, missing)}
+    assert {tuple(r) for r in got} == want and (1, 0, 106, False) in want
+
+
+def test_long_undrawn_chains_are_pruned(spark):
+    chain = [(1, k, k + 1) for k in range(250)] + [(2, k, k + 1) for k in range(230)] + [(2, 0, 300)]
+    keep = spark.createDataFrame([(300,), (3,)], "node long")
+    edges = spark.createDataFrame(chain, "path long, src long, dst long")
+    assert {tuple(r) for r in graph.pruned(edges, keep).collect()} == {(2, 0, 300), (2, 0, 1), (2, 1, 2), (2, 2, 3)}
+
+
 def test_filtered_paths_without_lists_keeps_all(spark):
     p = spark.createDataFrame([(1,), (2,)], "path long")
     none = p.where("false")
