@@ -1,39 +1,44 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
-A line of at least ``MIN_CHARS`` characters goes when an earlier line (of a smaller
-``doc_id``, or further up in the same document) is within ``DISTANCE`` edits of it, judged
-on the input. Candidates come from the pigeonhole on segments: a line cut into
-``DISTANCE + 1`` even segments shares at least one whole segment with any line that near,
-at a place shifted by no more than the edits allow. So every line is indexed under (length,
-segment number, segment), and probes, for each length from ``DISTANCE`` shorter to its own,
-the substrings that can be the segment (multi-match-aware windows). Lines meet only if their
-counts of sixteen letters are no further apart than the edits allow, and are then verified by
-a banded bit-parallel automaton.
+A line goes when an earlier line (of a smaller ``doc_id``, or further up in the same
+document) equals it or, if it has at least ``MIN_CHARS`` characters, is within ``DISTANCE``
+edits of it, judged on the input. Candidates come from the pigeonhole on segments: a line
+cut into ``DISTANCE + 1`` even segments shares at least one whole segment with any line that
+near, at a place shifted by no more than the edits allow. So every line is indexed under
+(length, segment number, segment), and probes, for each length from ``DISTANCE`` shorter to
+its own, the substrings that can be the segment (multi-match-aware windows). Lines alone
+under all their keys, most of them, drop out there. The others meet only if their counts of
+sixteen letters are no further apart than the edits allow, and are then verified by a banded
+bit-parallel automaton.
 
 Line copies share one hash and meet once per task before they are shuffled, so a line of
-millions of copies is a single row of the join.
-
-Edge cases: null and empty texts have no lines; lines shorter than ``MIN_CHARS`` are never
-removed and remove nothing; documents without ``doc_id`` are left out; rows that repeat a
-``doc_id`` count as one document, so a line does not remove its own copy at the same place
-there; an empty table gives no rows; other columns are ignored whatever their names.
+millions of copies is a single row of the join. The first places of the most frequent lines
+are sent to every task, those of the others are joined; a key under which very many lines
+meet is left to adaptive execution, which splits such partitions of the join.
+
+Edge cases: null and empty texts have no lines; lines of blanks alone are never removed;
+documents without ``doc_id`` are left out; rows that repeat a ``doc_id`` count as one
+document, so a line does not remove its own copy at the same place there; lines of any
+length are compared whole; an empty table gives no rows; other columns are ignored whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 DISTANCE = 2
+#: Shorter lines go as copies only: two edits make another word of them.
 MIN_CHARS = 20
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows ``(doc_id, line_no, line)`` of the lines long enough to compare; numbers from 0."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, line_no, line)`` of the lines that are not blank; numbers from 0."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    return lines.where(F.col("line").rlike(r"[^ \t\n\x0B\f\r]"))
 
 
 def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
@@ -161,6 +166,8 @@ def within(a: Column, b: Column, distance: int) -> Column:
 
 #: Up to so many hashes (of 8 bytes) are broadcast to find their lines; more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: At most so many of the most frequent lines have their first places broadcast.
+FREQUENT = 100_000
 
 
 def _hashes() -> tuple[Column, Column]:
@@ -168,24 +175,32 @@ def _hashes() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("i")
 
 
-def near_lines(lines: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs ``(line, near)`` of different lines, both ways, and the first place of
-    each line that a candidate pair names: ``(line, first)``."""
+def met(lines: DataFrame, distance: int) -> DataFrame:
+    """Rows ``(key, h, own)`` of the keys under which a line indexed there meets another one."""
     own = distance + 1
-    keyed = lines.select("line", F.length("line").alias("n")).select(
-        *_hashes(), signature(F.col("line"), F.col("n")).alias("sig"), F.concat(index_keys(F.col("line"), F.col("n"), distance), probe_keys(F.col("line"), F.col("n"), distance)).alias("keys")
-    )
-    keyed = keyed.dropDuplicates(["h", "i"])  # copies fall together before any key is sent
-    sent = keyed.select("h", "sig", F.posexplode("keys").alias("pos", "key"))
-    index = sent.where(F.col("pos") < own).select("h", "sig", "key")
-    probes = sent.select(F.col("h").alias("g"), F.col("sig").alias("gsig"), "key")
-    near = (F.col("h") != F.col("g")) & may_be_near(F.col("sig"), F.col("gsig"), distance)
-    pairs = index.join(probes, (index["key"] == probes["key"]) & near).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    pairs = cut(pairs)
-    wanted = pairs.select("h").union(pairs.select("g")).distinct()
+    once = lines.select(*_hashes(), "line").groupBy("h", "i").agg(F.first("line").alias("line"))  # copies fall together before keys are made
+    once = once.select("h", "line", F.length("line").alias("n"))
+    keyed = once.select("h", F.posexplode(F.concat(index_keys(F.col("line"), F.col("n"), distance), probe_keys(F.col("line"), F.col("n"), distance))).alias("pos", "key"))
+    under = Window.partitionBy("key")
+    keyed = keyed.select("key", "h", (F.col("pos") < own).alias("own"), F.min("h").over(under).alias("least"), F.max("h").over(under).alias("most"), F.max(F.col("pos") < own).over(under).alias("indexed"))
+    return keyed.where("indexed and least <> most").select("key", "h", "own")
+
+
+def near_lines(lines: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs ``(line, near)`` of different lines, both ways, and the first place of
+    each line that meets another under a key: ``(line, first)``."""
+    lines = lines.where(F.length("line") >= min_chars)
+    keys = cut(met(lines, distance))
+    wanted = cut(keys.select("h").distinct())
     few = wanted.count() <= BROADCAST_ROWS
     texts = lines.select(_hashes()[0], "line", "doc_id", "line_no").join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
-    texts = cut(texts.groupBy("h", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
+    texts = texts.groupBy("h", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    texts = cut(texts.withColumn("sig", signature(F.col("line"), F.length("line"))))
+    signed = keys.join(texts.select("h", "sig"), "h")
+    index = signed.where("own").select("h", "sig", "key")
+    probes = signed.select(F.col("h").alias("g"), F.col("sig").alias("gsig"), "key")
+    near = (F.col("h") != F.col("g")) & may_be_near(F.col("sig"), F.col("gsig"), distance)
+    pairs = cut(index.join(probes, (index["key"] == probes["key"]) & near).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct())
     both = pairs.join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("near")), "g")
     both = both.where(F.abs(F.length("line") - F.length("near")) <= distance).where(within(F.col("line"), F.col("near"), distance))
     both = cut(both.select("line", "near"))
@@ -195,15 +210,20 @@ def near_lines(lines: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, D
 def removals(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows ``(doc_id, line_no, kind)`` of the lines to remove: ``copy`` where an earlier line
     equals it, else ``near``."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs)
     place = F.struct("doc_id", "line_no")
-    near, firsts = near_lines(lines, distance)
+    near, firsts = near_lines(lines, distance, min_chars)
     # of a line's neighbours, the one that comes first
     earlier = near.join(firsts.withColumnRenamed("line", "near"), "near").groupBy("line").agg(F.min("first").alias("before"))
     beaten = earlier.join(firsts, "line").where("before < first").select("line", "first.doc_id", "first.line_no")
-    all_ = lines.select("doc_id", "line_no", *_hashes())
-    first = all_.groupBy("h", "i").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = all_.join(first, ["h", "i"]).where(place != F.col("first")).select("doc_id", "line_no", F.lit("copy").alias("kind")).distinct()
+    every = cut(lines.select("doc_id", "line_no", *_hashes()))
+    first = cut(every.groupBy("h", "i").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    # lines that make up more than a FREQUENT-th of all: no more than FREQUENT of them
+    often = max(1000, every.count() // FREQUENT)
+    frequent, others = first.where(F.col("n") > often).select("h", "i", "first"), first.where(F.col("n") <= often).select("h", "i", "first")
+    known = every.join(F.broadcast(frequent), ["h", "i"], "left")
+    copies = known.where("first is not null").select("doc_id", "line_no", "first").union(known.where("first is null").drop("first").join(others, ["h", "i"]).select("doc_id", "line_no", "first"))
+    copies = copies.where(place != F.col("first")).select("doc_id", "line_no", F.lit("copy").alias("kind")).distinct()
     return copies.unionByName(beaten.select("doc_id", "line_no", F.lit("near").alias("kind")))
 
 
@@ -227,18 +247,19 @@ def without(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHAR
 
 _LETTERS = "etanhosri"  # an edit changes the count of any letter by one at most
 _PAIRS = "\n  UNION ALL ".join(
-    f"SELECT b.line FROM f a JOIN f b ON b.n = a.n + ({d}) WHERE a.first < b.first AND {' AND '.join(f'abs(a.c{i} - b.c{i}) <= {DISTANCE}' for i in range(len(_LETTERS)))} AND levenshtein(a.line, b.line) <= {DISTANCE}"
+    f"SELECT b.line FROM near a JOIN near b ON b.n = a.n + ({d}) WHERE a.first < b.first AND {' AND '.join(f'abs(a.c{i} - b.c{i}) <= {DISTANCE}' for i in range(len(_LETTERS)))} AND levenshtein(a.line, b.line) <= {DISTANCE}"
     for d in range(-DISTANCE, DISTANCE + 1)
 )
 SQL = f"""
 WITH l AS (
   SELECT doc_id, unnest(range(0, len(s))) AS line_no, unnest(s) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents WHERE doc_id IS NOT NULL)),
-k AS (SELECT * FROM l WHERE length(line) >= {MIN_CHARS}),
-f AS (
-  SELECT line, min((doc_id, line_no)) AS first, length(line) AS n,
+k AS (SELECT * FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+f AS (SELECT line, min((doc_id, line_no)) AS first FROM k GROUP BY line),
+near AS (
+  SELECT line, first, length(line) AS n,
          {", ".join(f"length(line) - length(replace(line, '{c}', '')) AS c{i}" for i, c in enumerate(_LETTERS))}
-  FROM k GROUP BY line),
+  FROM f WHERE length(line) >= {MIN_CHARS}),
 p AS ({_PAIRS}),
 r AS (
   SELECT k.doc_id, k.line_no, (k.doc_id, k.line_no) <> f.first AS copied
