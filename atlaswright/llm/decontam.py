@@ -113,9 +113,12 @@ def masks() -> list[int]:
 
 
 def weight_in_common(a: Column, b: Column) -> Column:
-    """Occurrences that two arrays of shingles have in common."""
+    """Occurrences that two arrays of shingles have in common; where one repeats none, as most
+    do, those are the different ones in common."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    once = lambda xs: F.size(F.array_distinct(xs)) == F.size(xs)
+    both = F.array_intersect(a, b)
+    return F.when(once(a) | once(b), F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x))))
 
 
 def _sized(rows: DataFrame, few: bool) -> DataFrame:
