@@ -28,9 +28,10 @@ def unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows ``(block, n, head, body)``: about ``size`` bytes of documents with an id a block;
-    ``head`` holds ids and byte lengths, ``body`` the texts."""
+def blocks(docs: DataFrame, size: int = BLOCK_BYTES, nulls: bool = False) -> DataFrame:
+    """Rows ``(block, n, head, body)``: about ``size`` bytes of documents a block, with ``nulls``
+    also those without an id; ``head`` holds ids, byte lengths and which ids are null, ``body``
+    the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,22 +42,28 @@ def blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
                 texts.append((t or "").encode("utf-8", "surrogatepass"))
                 total += len(texts[-1])
                 if total >= size or k + 1 == batch.num_rows:
-                    head = np.array([ids, [len(t) for t in texts]], np.int64).tobytes()
+                    head = np.array([[i or 0 for i in ids], [len(t) for t in texts], [i is None for i in ids]], np.int64).tobytes()
                     out.append((uuid.uuid4().hex, len(ids), head, pack(np.frombuffer(b"".join(texts), np.uint8))))
                     ids, texts, total = [], [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "n", "head", "body"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = (docs if nulls else docs.where("doc_id is not null")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "block string, n long, head binary, body binary")
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Ids, byte lengths and the texts, strung together, of a block."""
-    ids, sizes = np.frombuffer(row["head"], np.int64).reshape(2, -1)
+    ids, sizes, _ = np.frombuffer(row["head"], np.int64).reshape(3, -1)
     return ids, sizes, unpack(row["body"])
 
 
+def ids_of(row: dict) -> list[int | None]:
+    """The ids of a block, nulls as they were."""
+    ids, _, null = np.frombuffer(row["head"], np.int64).reshape(3, -1)
+    return [None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)]
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; where the session
-    names none (tests on one machine) a new temporary folder, set for later calls."""
+    names none (tests on one machine) a new temporary folder, set for later calls. A cluster
+    has no such default: an executor's own folder would hide data from the others."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-atlaswright-")
         sc.setCheckpointDir(at)
     return at
@@ -27,12 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/atlaswright-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends here,
     and a lost executor costs only the tasks that read it. The shuffle files of the write
     go with it, rather than when the driver happens to collect its garbage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/atlaswright-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

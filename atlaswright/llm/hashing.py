@@ -10,7 +10,7 @@ BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd base and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
@@ -26,7 +26,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _power_tables(len(x) + 1)
+    up, down = powers(len(x) + 1)
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(np.take(_LETTER, x) * up[:-1], out=sums[1:])
     return sums, down

@@ -1,17 +1,31 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in NumPy.
 
 Words are lower-cased byte runs. For the model, a blank and the word are cut by the first
-``SUBWORDS`` merges of a public byte-level BPE; id ``END`` closes a text. The next id ``y``
-has the probability ``P(y // 32) * P(y % 32 | y // 32)``: both softmaxes add to a log-count
-prior, taken from the bigram counts of all training text, what a head of causal
-self-attention makes of the ids before. Texts are scored in windows of two blocks of
-``BLOCK`` ids that overlap by one: the ids of the second block are scored, once each, with
-those of the first as context, in batches under a mask that hides later ids and what lies
-before a text.
-
-Counts of words and bigrams cover all training documents, and so does the training of the
-attention weights: as many tasks as scan the table each learn from all training documents
-of their share, and are averaged (weighted by ids) after each of ``ROUNDS`` rounds.
+``SUBWORDS`` merges of a public byte-level BPE (words of more than 64 bytes every 64 bytes);
+id ``END`` closes a text.
+
+A position attends to what stands before it: the query of the last id meets the keys of the
+ids before the places before it, with a bias by distance. Each of those places votes for
+the id that followed there; three more slots, with logits by the last id and by how often
+its context was seen, vote with what all training text says: the counts of the next id after
+the word so far (from the ``FREQUENT`` most frequent words, where the words of a text follow
+each other freely), after the last id, and alone, each backing off to the next. All slots
+are weighed together (by ``(1 + x/8)**8``, which is close to ``exp(x)`` and much cheaper)
+and mixed, so the probabilities of all ids add to one. Texts are scored in windows of two
+blocks of ``BLOCK`` ids that overlap by one: the ids of the second block are scored, once
+each, with those of the first as context, in batches under a mask that hides the place
+itself, later ones, and what lies before a text.
+
+What follows the same ``MEMORY`` words anywhere in the training texts outweighs all that: a
+word seen ``c`` of ``n`` times after the three words before it has the probability
+``(c + w p) / (n + w)``, where ``p`` is the model's. These counts grow with the corpus; every
+block of documents asks for those it needs by hash.
+
+All counts, and the attention weights, learn from all training documents. Documents fall by
+the hash of their id into ``CLASSES`` classes; each class is one step of gradient ascent
+(Adam), its gradient summed over all its documents on the executors, so that the weights
+do not depend on how the table is split. In training every id's own occurrence is taken off
+the counts.
 
 For the base model's word counts, the ``FREQUENT`` most frequent words (of up to
 ``WORD_BYTES`` bytes: a few megabytes at any size of corpus) go to every task; the counts of
@@ -19,8 +33,9 @@ all others are joined to the documents that hold them.
 
 Edge cases: a null or empty text is its end alone; a null ``doc_id`` counts as empty text for
 the split and stays null; repeated rows are scored as often as they occur and learned from
-as often; an empty table, or one without training rows, has zero counts: every score is
-then finite, from the uniform model. Columns other than ``doc_id`` and ``text`` are ignored.
+as often; very long texts are scored in as many windows as it takes; an empty table, or one
+without training rows, has zero counts: every score is then finite, from the uniform model.
+Columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,22 +50,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, words_of
+from . import blocks, hashing
+from .blocks import pack, unpack
+from .common import crc_mod, cut, shared_path, words_of
+from .langid import is_held_out
 from .packing import tokenizer_file
 
-SIDE = 32
-SUBWORDS = SIDE * SIDE - 1
+SUBWORDS = 1023
+VOCAB = SUBWORDS + 1
 END = SUBWORDS
 BLOCK = 16
-WIDTH = 16
+WIDTH = 8
 HELD_OUT = (7, 2)
-ROUNDS = 2
+CLASSES = 24
 FREQUENT = 200_000
 WORD_BYTES = 48
 BATCH = 512  # blocks
+MEMORY = 3  # words
+MEMORY_WEIGHT = 0.25
+#: Parts in which tables of counts travel, and tasks that add up gradients.
+RANGES = 32
 
 
 class Subwords:
@@ -64,15 +88,19 @@ class Subwords:
         with open(path, "rb") as f:
             ranks = {t: r for a, b in map(bytes.split, f) if (r := int(b)) < SUBWORDS for t in [base64.b64decode(a)]}
         self._cut = tiktoken.Encoding("subwords", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.starts = np.zeros(VOCAB, bool)  # ids that begin a word, or end a text
+        self.starts[[r for t, r in ranks.items() if t[:1] == b" "] + [END]] = True
         self._forget()
 
     def _forget(self) -> None:
         self._known = _Numbers(self)
         self.words: list[bytes] = []
-        self._flat, self._ends = array("H"), array("q", [0])
+        self._flat, self._ends, self._hashes = array("H"), array("q", [0]), array("Q")
+        self._counted: tuple[Trie | None, np.ndarray, np.ndarray] = (None, *_NONE)
 
     def add(self, word: bytes) -> int:
         self.words.append(word)
+        self._hashes.append(xxhash.xxh3_64_intdigest(word))
         for at in range(0, len(word), 64):  # the merge loop's cost grows with the square of a word
             self._flat.extend(self._cut(b" " + word[:64] if not at else word[at : at + 64]))
         self._ends.append(len(self._flat))
@@ -88,6 +116,60 @@ class Subwords:
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self._flat, np.uint16), np.array(self._ends, np.int64)
 
+    def hashes(self) -> np.ndarray:
+        return np.array(self._hashes, np.uint64)
+
+    def counted(self, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+        """For all known words, how many words of ``trie`` begin with each of their beginnings
+        (like ``arrays()[0]``), and how many are the whole word."""
+        of, begin, whole = self._counted
+        if of is not trie:
+            begin, whole = _NONE
+        if len(whole) < len(self.words):
+            flat, ends = self.arrays()
+            more = trie.look_up(flat[len(begin) :], ends[len(whole) :] - len(begin))
+            begin, whole = np.r_[begin, more[0]], np.r_[whole, more[1]]
+            self._counted = trie, begin, whole
+        return begin, whole
+
+
+_NONE = (np.zeros(0, np.float32), np.zeros(0, np.float32))
+
+
+def beginnings(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of every beginning of words of ids, strung together; a word spans ``ends[k]`` to ``ends[k + 1]``."""
+    up, down = hashing.powers(len(flat) + 1)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) * np.uint64(hashing.BASE) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+    first = np.repeat(ends[:-1], np.diff(ends))
+    return hashing.mixed((sums[1:] - sums[first]) * down[first])
+
+
+class Trie:
+    """How often words begin with given ids, by the hash of those ids."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, texts: int):
+        h = beginnings(flat, ends)
+        last = ends[1:] - 1
+        keys, at = np.unique(np.r_[h, self.closed(h[last])], return_inverse=True)
+        self.keys, self.counts = keys, np.bincount(at, np.r_[np.repeat(counts, np.diff(ends)), counts], len(keys)).astype(np.float32)
+        self.texts = np.float32(max(1, texts))
+        self.total = np.float32(counts.sum() + self.texts)  # beginnings of words, and ends of texts
+
+    @staticmethod
+    def closed(h: np.ndarray) -> np.ndarray:
+        return hashing.mixed(h ^ np.uint64(hashing.BASE))
+
+    def look_up(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = beginnings(flat, ends)
+        return tuple(self._of(x) for x in (h, self.closed(h[ends[1:] - 1])))
+
+    def _of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.counts[at], np.float32(0))
+
 
 class _Numbers(dict):
     def __init__(self, owner: Subwords):
@@ -103,63 +185,125 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-def spread(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of words one after another, and each word's count of ids."""
+def spread(ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of words lie, one after another, and each word's count of ids."""
     size = ends[numbers + 1] - ends[numbers]
     stop = np.cumsum(size)
     at = np.repeat(ends[numbers] - (stop - size), size)
     at += np.arange(len(at))
-    return flat[at].astype(np.int64), size
+    return at, size
 
 
 class Texts:
     """A batch of texts as words and ids; every text's ids close with ``END``."""
 
-    def __init__(self, texts: list[str | None], cutter: Subwords):
-        self.words = [words_of(t) for t in texts]
+    def __init__(self, texts: list[str | None] | list[bytes], cutter: Subwords):
+        self.words = [t.lower().split() if isinstance(t, bytes) else words_of(t) for t in texts]
         self.lengths = np.array([len(w) for w in self.words])
         self.numbers = cutter.numbers([w for ws in self.words for w in ws])
         self.vocabulary = cutter.words
-        ids, size = spread(*cutter.arrays(), self.numbers)
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), self.lengths), size, len(texts)).astype(np.int64)
-        stops = np.cumsum(per_text)
-        self.ids = np.insert(ids, stops, END)
+        flat, ends = cutter.arrays()
+        self.cutter = cutter
+        self._at, self._size = spread(ends, self.numbers)
+        per_text = np.bincount(np.repeat(np.arange(len(texts)), self.lengths), self._size, len(texts)).astype(np.int64)
+        self._stops = np.cumsum(per_text)
+        self.ids = np.insert(flat[self._at].astype(np.int64), self._stops, END)
         self.sizes = per_text + 1
 
-
-def blocks(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(keys, targets, valid, owner)`` in rows of blocks: ``keys`` holds, for each target,
-    the id before it in the block's own half, and the block before in the first half (-1
-    where there is none)."""
-    count = -(-sizes // BLOCK)
-    owner = np.repeat(np.arange(len(sizes)), count)
-    first = np.cumsum(count) - count
-    stop = np.cumsum(sizes)
-    slot = np.arange(len(ids)) + np.repeat(first * BLOCK - (stop - sizes), sizes)
-    targets = np.zeros(int(count.sum()) * BLOCK, np.int64)
-    valid = np.zeros(len(targets), bool)
-    targets[slot], valid[slot] = ids, True
-    before = np.full(len(targets), END, np.int64)
-    before[1:] = targets[:-1]
-    targets, valid, before = (x.reshape(-1, BLOCK) for x in (targets, valid, before))
-    begins = np.zeros(len(targets), bool)
-    begins[first] = True
-    before[begins, 0] = END  # a text starts after an end
-    context = np.full_like(before, -1)
-    context[1:] = before[:-1]
-    context[begins] = -1
-    return np.concatenate([context, before], 1), targets, valid, owner
-
-
-_LATER = np.where(np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
-SHAPES = {"q": (SIDE * SIDE, WIDTH), "k": (SIDE * SIDE, WIDTH), "v": (SIDE * SIDE, WIDTH), "place": (BLOCK, 2 * BLOCK), "group": (WIDTH, SIDE), "member": (SIDE, WIDTH, SIDE)}
+    def word_starts(self) -> np.ndarray:
+        """Where words, and ends of texts, start in ``ids``."""
+        size = np.insert(self._size, np.cumsum(self.lengths), 1)
+        return np.cumsum(size) - size
+
+    def word_counts(self, trie: Trie, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each id, how often words go on with it after the ids of its word so far, and how
+        often those occur; ``own`` occurrences taken off. A word that is over goes on with the
+        beginnings of words (and the ends of texts) as they are frequent."""
+        begin, whole = self.cutter.counted(trie)
+        so_far = np.insert(begin[self._at], self._stops, trie.texts)
+        over = np.zeros(len(self._at), np.float32)
+        over[np.cumsum(self._size) - 1] = whole[self.numbers]
+        over = np.insert(over, self._stops, trie.texts)
+        before, over = np.r_[trie.texts, so_far[:-1]], np.r_[trie.texts, over[:-1]]
+        fresh = self.cutter.starts[self.ids]
+        goes_on = np.where(fresh, np.maximum(over - own, 0) * (so_far / trie.total), np.maximum(so_far - own, 0))
+        return goes_on.astype(np.float32), np.maximum(before - own, 0).astype(np.float32)
+
+
+class Contexts:
+    """The different (``MEMORY`` words, next word) of a batch of texts, ends included as words:
+    hashes of the ``context`` and 32 bits of the ``word``, and which of them stands at which of
+    the ``places``."""
+
+    def __init__(self, texts: Texts):
+        stops = np.cumsum(texts.lengths)
+        words = np.insert(texts.cutter.hashes()[texts.numbers], stops, np.uint64(0))
+        size = texts.lengths + 1
+        self.text = np.repeat(np.arange(len(size)), size)
+        self.places = np.flatnonzero(np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size) >= MEMORY)
+        context = np.zeros(len(self.places), np.uint64)
+        for k in range(1, MEMORY + 1):
+            context = hashing.mixed(context * np.uint64(hashing.BASE) + words[self.places - k])
+        word = words[self.places]
+        _, first, self.which = np.unique(hashing.mixed(context * np.uint64(hashing.BASE) + word), return_index=True, return_inverse=True)
+        self.context, self.word = context[first], (word[first] >> np.uint64(32)).astype(np.uint32)
+
+
+class Blocks:
+    """Ids of texts in rows of ``BLOCK``: the ``target`` ids, the ``last`` id before each (an end
+    stands before a text), the word counts ``on`` and ``of``, which targets are ``valid``, the row's
+    ``owner`` among the texts, and which rows ``begin`` a text."""
+
+    NAMES = ("target", "last", "on", "of", "valid", "owner", "begins")
+
+    def __init__(self, texts: Texts, trie: Trie, own: int = 0):
+        ids, sizes = texts.ids, texts.sizes
+        count = -(-sizes // BLOCK)
+        self.owner = np.repeat(np.arange(len(sizes)), count)
+        first = np.cumsum(count) - count
+        stop = np.cumsum(sizes)
+        slot = np.arange(len(ids)) + np.repeat(first * BLOCK - (stop - sizes), sizes)
+
+        def laid(values: np.ndarray, empty: int = 0) -> np.ndarray:
+            out = np.full(len(self.owner) * BLOCK, empty, values.dtype)
+            out[slot] = values
+            return out.reshape(-1, BLOCK)
+
+        small = ids.astype(np.int32)
+        self.target = laid(small)
+        self.last = laid(np.r_[np.int32(END), small[:-1]], END)  # every text closes with an end
+        self.on, self.of = map(laid, texts.word_counts(trie, own))
+        self.valid = laid(np.ones(len(ids), bool), False)
+        self.begins = np.zeros(len(self.owner), bool)
+        self.begins[first] = True
+
+    def batches(self, rows: int = BATCH) -> Iterator[dict[str, np.ndarray]]:
+        """Runs of rows, each after the row before it (not valid there), its context."""
+        for at in range(0, len(self.owner), rows):
+            lead = max(0, at - 1)
+            part = {name: getattr(self, name)[lead : at + rows] for name in self.NAMES}
+            if lead < at:
+                part["valid"] = part["valid"].copy()
+                part["valid"][0] = False
+            yield part
+
+
+EXPERTS = 3
+_BEFORE = np.arange(2 * BLOCK)[None] < np.arange(BLOCK)[:, None] + BLOCK
+#: By the last id: its query, its key, the logits of the slots of counts; by distance; by how often a context was seen.
+SHAPES = {"last": (VOCAB, 2 * WIDTH + EXPERTS), "place": (BLOCK, 2 * BLOCK), "seen": (2, EXPERTS)}
 LENGTH = sum(math.prod(s) for s in SHAPES.values())
+_SCALE = np.float32(WIDTH**-0.5 / 8)
 
 
 def start() -> np.ndarray:
+    """Weights at first: places after the same id attract."""
     rng = np.random.default_rng(11)
-    parts = [rng.normal(0, 0.3 if name in "qkv" else 0.0 if name == "place" else 0.1, math.prod(s)) for name, s in SHAPES.items()]
-    return np.concatenate(parts).astype(np.float32)
+    flat = np.zeros(LENGTH, np.float32)
+    w = weights(flat)
+    w["last"][:, :WIDTH] = w["last"][:, WIDTH : 2 * WIDTH] = rng.normal(0, 1.2, (VOCAB, WIDTH))
+    w["last"][:, 2 * WIDTH :] = (8.0, 5.0, 2.0)
+    return flat
 
 
 def weights(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -172,99 +316,84 @@ def weights(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Priors:
-    """Log priors from bigram counts: of the next id's group given the id, and of its place
-    in the group given both, smoothed by the counts without the id before."""
-
-    def __init__(self, counts: np.ndarray, weight: float = 4.0):
-        c = counts.reshape(SIDE * SIDE, SIDE, SIDE)
-        whole = c.sum(0) + 0.5
-        group, member = whole.sum(1) / whole.sum(), whole / whole.sum(1, keepdims=True)
-        by_group = c.sum(2)
-        self.group = np.log((by_group + weight * group) / (by_group.sum(1, keepdims=True) + weight)).astype(np.float32)
-        self.member = np.log((c + weight * member) / (by_group[:, :, None] + weight)).astype(np.float32).reshape(-1, SIDE)
-
-
-def _exp(x: np.ndarray, drop: np.ndarray | None = None) -> np.ndarray:
-    """Exponentiates ``x`` in place; the sums over its last axis, or with ``drop`` (from which
-    a shift is taken off) their logs. Rows are shifted only where float32 would not do."""
-    ones = np.ones(x.shape[-1], np.float32)
-    kept = x.copy()
-    if x.max(initial=0) < 80:
-        np.exp(x, out=x)
-        total = x @ ones
-        if total.min(initial=1) > 1e-30:
-            return total if drop is None else np.log(total)
-    top = kept.max(-1, keepdims=True)
-    np.exp(kept - top, out=x)
-    if drop is not None:
-        drop -= top[..., 0]
-    return x @ ones if drop is None else np.log(x @ ones)
-
-
-def forward(w: dict[str, np.ndarray], prior: Priors, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray, train: bool = False):
-    """Natural-log probabilities of the targets (0 where not valid); in training, the flat
-    gradient of their negative sum as well."""
-    seen = np.maximum(keys, 0)
-    before = keys[:, BLOCK:].ravel()
-    q, k, v = np.take(w["q"], keys[:, BLOCK:], 0), np.take(w["k"], seen, 0), np.take(w["v"], seen, 0)
-    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    s *= WIDTH**-0.5
-    s += w["place"] + _LATER
-    s[keys[:, 0] < 0, :, :BLOCK] = -1e9  # a text's first block has no block before it
-    s /= _exp(s)[:, :, None]
-    h = (s @ v).reshape(-1, WIDTH)
-    y = targets.ravel()
-    group, member = y // SIDE, y % SIDE
-    rows = np.arange(len(y))
-
-    a = h @ w["group"]
-    a += np.take(prior.group, before, 0)
-    log_p = a[rows, group].astype(np.float64)
-    log_p -= _exp(a, log_p)
-
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    sorted_group = group[order]
-    edges = np.searchsorted(sorted_group, np.arange(SIDE + 1))
-    hs = np.take(h, order, 0)
-    b = np.take(prior.member, before[order] * SIDE + sorted_group, 0)
-    for g in range(SIDE):
-        if edges[g] < edges[g + 1]:
-            b[edges[g] : edges[g + 1]] += hs[edges[g] : edges[g + 1]] @ w["member"][g]
-    log_b = b[rows, member[order]].astype(np.float64)
-    log_b -= _exp(b, log_b)
-    log_p[order] += log_b
-    log_p *= valid.ravel()
+class Counts:
+    """Counts of pairs of ids, and the trie of words."""
+
+    WEIGHT = (2.0, 8.0, 0.5)  # of what a count backs off to
+
+    def __init__(self, pairs: np.ndarray, trie: Trie):
+        self.trie = trie
+        self.pair = pairs.astype(np.float32)
+        table = self.pair.reshape(VOCAB, VOCAB)
+        self.pair_sum, self.alone = table.sum(1), table.sum(0)
+        self.all = np.float32(self.alone.sum())
+        self.known = (np.log1p(self.pair_sum) / 10).astype(np.float32)
+
+    def votes(self, part: dict[str, np.ndarray], own: int) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of the targets in each slot of counts, ``own`` occurrences taken off,
+        and how well known their contexts are, about 0 to 2."""
+        target, last, of = part["target"], part["last"], part["of"]
+        a, b, c = map(np.float32, self.WEIGHT)
+        out = np.empty((*target.shape, EXPERTS), np.float32)
+        alone = (np.maximum(self.alone[target] - own, 0) + c) / (np.maximum(self.all - own, 0) + c * VOCAB)
+        pair = (np.maximum(self.pair[last * VOCAB + target] - own, 0) + b * alone) / (np.maximum(self.pair_sum[last] - own, 0) + b)
+        out[..., 0], out[..., 1], out[..., 2] = (part["on"] + a * pair) / (of + a), pair, alone
+        return out, np.stack([np.log1p(of) / 10, self.known[last]], -1)
+
+
+_ONE, _ONES, _THREE = np.float32(1), np.ones(2 * BLOCK, np.float32), np.ones(EXPERTS, np.float32)
+
+
+def forward(w: dict[str, np.ndarray], counts: Counts, part: dict[str, np.ndarray], train: bool = False):
+    """Natural-log probabilities of a batch's targets (0 where not valid); in training, the
+    flat gradient of their sum as well."""
+    target, last, valid = part["target"], part["last"], part["valid"]
+    n = len(target)
+    rows = np.take(w["last"], last, 0)
+    q = rows[..., :WIDTH] * _SCALE
+    k, followed = np.zeros((n, WIDTH, 2 * BLOCK), np.float32), np.full((n, 2 * BLOCK), -1, target.dtype)
+    k[:, :, BLOCK:] = rows[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    k[1:, :, :BLOCK] = k[:-1, :, BLOCK:]
+    followed[:, BLOCK:], followed[1:, :BLOCK] = target, target[:-1]
+    x = q @ k
+    x += np.where(_BEFORE, 1 + w["place"] / 8, np.float32(-1e9))
+    x[part["begins"], :, :BLOCK] = -1  # a text's first block has no block before it
+    x[0, :, :BLOCK] = -1
+    np.maximum(x, 0, out=x)
+    votes, seen = counts.votes(part, 1 if train else 0)
+    y = np.maximum(1 + (rows[..., 2 * WIDTH :] + seen @ w["seen"]) / 8, np.float32(0.05))
+    s, g = _eighth(x), _eighth(y)
+    whole = s @ _ONES + g @ _THREE
+    hit = followed[:, None, :] == target[:, :, None]
+    mine = (hit * s) @ _ONES + (g * votes) @ _THREE
+    log_p = np.where(valid, np.log(mine / whole), np.float32(0))
     if not train:
-        return log_p.reshape(targets.shape)
-
-    on = valid.ravel().astype(np.float32)
-    da = a / a.sum(1, keepdims=True)
-    da[rows, group] -= 1
-    da *= on[:, None]
-    db = b / b.sum(1, keepdims=True)
-    db[rows, member[order]] -= 1
-    db *= on[order][:, None]
+        return log_p
+
+    on = valid.astype(np.float32)
+    less, more = (on / whole)[..., None], (on / mine)[..., None]
+    ds = hit * more
+    ds -= less
+    ds *= s
+    ds /= np.maximum(x, np.float32(1e-6))
+    dg = g * (votes * more - less) / y * (y > np.float32(0.05))
     grad = np.zeros(LENGTH, np.float32)
     d = weights(grad)
-    d["group"] += h.T @ da
-    dh = da @ w["group"].T
-    dhs = np.zeros_like(hs)
-    for g in range(SIDE):
-        lo, hi = edges[g], edges[g + 1]
-        if lo < hi:
-            d["member"][g] += hs[lo:hi].T @ db[lo:hi]
-            dhs[lo:hi] = db[lo:hi] @ w["member"][g].T
-    dh[order] += dhs
-    dh = dh.reshape(len(keys), BLOCK, WIDTH)
-    dv = s.transpose(0, 2, 1) @ dh
-    ds = dh @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True))
     d["place"] += ds.sum(0)
-    ds *= WIDTH**-0.5
-    for name, at, g in (("q", keys[:, BLOCK:], ds @ k), ("k", seen, ds.transpose(0, 2, 1) @ q), ("v", seen, dv)):
-        _scatter(d[name], at.ravel(), g.reshape(-1, WIDTH))
-    return log_p.reshape(targets.shape), grad
+    d["seen"] += seen.reshape(-1, 2).T @ dg.reshape(-1, EXPERTS)
+    dk = (8 * q).transpose(0, 2, 1) @ ds
+    dk[:-1, :, BLOCK:] += dk[1:, :, :BLOCK]
+    drows = np.concatenate([(ds @ k.transpose(0, 2, 1)) * (8 * _SCALE), dk[:, :, BLOCK:].transpose(0, 2, 1), dg], -1)
+    _scatter(d["last"], last.ravel(), drows.reshape(-1, drows.shape[-1]))
+    return log_p, grad
+
+
+def _eighth(x: np.ndarray) -> np.ndarray:
+    """The eighth power."""
+    x = x * x
+    x *= x
+    x *= x
+    return x
 
 
 def _scatter(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -275,29 +404,26 @@ def _scatter(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     table[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def trained(flat: np.ndarray, prior: Priors, stream: Iterator[Texts], rate: float = 0.01) -> tuple[np.ndarray, int]:
-    """Adam over the batches of ``stream``, once; the new weights and how many ids they saw."""
-    flat = flat.copy()
-    m, v, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-    for texts in stream:
-        keys, targets, valid, _ = blocks(texts.ids, texts.sizes)
-        shuffled = np.random.default_rng(step).permutation(len(keys))
-        for at in range(0, len(keys), 128):
-            pick = shuffled[at : at + 128]
-            n = int(valid[pick].sum())
-            _, g = forward(weights(flat), prior, keys[pick], targets[pick], valid[pick], train=True)
-            g /= max(1, n)
-            step, seen = step + 1, seen + n
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            flat -= rate * min(1, step / 10) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return flat, seen
+class Adam:
+    """Steps of gradient ascent on the mean log probability."""
+
+    def __init__(self, flat: np.ndarray, rate: float = 0.15):
+        self.flat, self.rate, self.step = flat.astype(np.float64), rate, 0
+        self.m, self.v = np.zeros(len(flat)), np.zeros(len(flat))
+
+    def __call__(self, gradient: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.m = 0.8 * self.m + 0.2 * gradient
+        self.v = 0.95 * self.v + 0.05 * gradient**2
+        # gradients too small to tell from rounding do not move a weight
+        self.flat = self.flat + self.rate * self.step**-0.3 * (self.m / (1 - 0.8**self.step)) / (np.sqrt(self.v / (1 - 0.95**self.step)) + 1e-6)
+        return self.flat.astype(np.float32)
 
 
 def _slices(batch: pa.RecordBatch, characters: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """``batch`` (of ``doc_id, text``) in runs of about so many characters."""
+    """``batch`` (the text in its last column) in runs of about so many characters."""
     at, size = 0, 0
-    for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+    for k, n in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
         size += n or 0
         if size >= characters:
             yield batch.slice(at, k + 1 - at)
@@ -310,109 +436,217 @@ def _trains(doc_id) -> bool:
     return crc_mod(doc_id, HELD_OUT[0]) != HELD_OUT[1]
 
 
-def counts(docs: DataFrame, path: str) -> DataFrame:
-    """Rows ``(word, pair, n)`` over the training documents: a word's count (the empty word
-    is the end), or that of the bigram ``pair``."""
+def gathered(docs: DataFrame, path: str) -> DataFrame:
+    """What training documents say: counts ``n`` of words (the empty word is the end), and in
+    ``RANGES`` parts the packed counts of pairs of ids."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+
+    def said(vocabulary: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(n).tolist()
+        for k in range(0, len(at), 100_000):
+            some = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([vocabulary[j] for j in some], pa.binary()), pa.array(n[some]), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = subwords(path)
-        pairs = np.zeros(SIDE**4, np.int64)
+        pairs, words, texts = np.zeros(VOCAB**2, np.int64), np.zeros(0, np.int64), 0
+        vocabulary = cutter.words
         for batch in batches:
             for part in _slices(batch, 8_000_000):
-                texts = [t for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _trains(i)]
-                if not texts:
+                some = [t for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _trains(i)]
+                if not some:
                     continue
-                got = Texts(texts, cutter)
-                n = np.bincount(got.numbers, minlength=len(got.vocabulary))
-                at = np.flatnonzero(n)
-                words = [got.vocabulary[k] for k in at.tolist()] + [b""]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.nulls(len(words), pa.int32()), pa.array(np.r_[n[at], len(texts)])], ["word", "pair", "n"])
-                before = np.r_[END, got.ids[:-1]]
-                pairs += np.bincount(before * SIDE * SIDE + got.ids, minlength=SIDE**4)
-        at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(pairs[at])], ["word", "pair", "n"])
-
-    return docs.mapInArrow(run, "word binary, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame, prior: Priors, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged attention weights after ``rounds`` rounds, each over all training documents."""
-    sc = docs.sparkSession.sparkContext
-    flat, sent = start(), sc.broadcast(prior)
-    for _ in range(rounds):
-
-        def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            cutter = subwords(path)
-
-            def stream() -> Iterator[Texts]:
-                for batch in batches:
-                    for part in _slices(batch):
-                        texts = [t for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _trains(i)]
-                        if texts:
-                            yield Texts(texts, cutter)
-
-            new, seen = trained(flat, sent.value, stream())
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(LENGTH, dtype=np.int32)), pa.array(new.astype(np.float64) * seen), pa.array(np.full(LENGTH, seen, np.int64))], ["at", "x", "n"])
-
-        mean = docs.mapInArrow(run, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
-        if mean.num_rows:
-            flat = np.zeros(LENGTH, np.float32)
-            flat[mean.column("at").to_numpy()] = mean.column("x").to_numpy()
+                got = Texts(some, cutter)
+                if got.vocabulary is not vocabulary:  # the cutter has started anew
+                    yield from said(vocabulary, words)
+                    vocabulary, words = got.vocabulary, np.zeros(0, np.int64)
+                n = np.bincount(got.numbers, minlength=len(vocabulary))
+                n[: len(words)] += words
+                words, texts = n, texts + len(some)
+                pairs += np.bincount(np.r_[END, got.ids[:-1]] * VOCAB + got.ids, minlength=VOCAB**2)
+        yield from said(vocabulary, words)
+        yield from said([b""], np.array([texts]))
+        for k in range(RANGES):
+            mine = pairs[k * _SPAN : (k + 1) * _SPAN]
+            at = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([pack(at, mine[at])])], schema=schema)
+
+    return docs.mapInArrow(run, "word binary, n long, part int, blob binary")
+
+
+_SPAN = VOCAB**2 // RANGES
+
+
+def pair_counts(parts: DataFrame) -> np.ndarray:
+    """The sum of all packed counts ``(part, blob)``: added up part by part on the executors."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, n = np.frombuffer(unpack(blob), np.int64).reshape(2, -1)
+                total.setdefault(part, np.zeros(_SPAN, np.int64))[at] += n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack(x) for x in total.values()], pa.binary())], ["part", "blob"])
+
+    out = np.zeros(VOCAB**2, np.int64)
+    for part, blob in parts.select("part", "blob").repartition(RANGES, "part").mapInArrow(add, "part int, blob binary").collect():  # VOCAB**2 numbers
+        out[part * _SPAN : (part + 1) * _SPAN] = np.frombuffer(unpack(blob), np.int64)
+    return out
+
+
+def by_class(docs: DataFrame) -> DataFrame:
+    """The texts of training documents, written class by class."""
+    spark = docs.sparkSession
+    path = shared_path(spark)
+    hashed = lambda column, n: F.pmod(F.xxhash64("doc_id", column), F.lit(n)).cast("int")
+    slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // CLASSES)
+    texts = docs.where(~is_held_out(F.col("doc_id"), *HELD_OUT)).select("text", hashed(F.lit("class"), CLASSES).alias("class"), hashed("text", slots).alias("slot"))
+    texts.repartition("class", "slot").drop("slot").write.partitionBy("class").parquet(path)
+    return spark.read.schema("text string, class int").parquet(path)
+
+
+def train(texts: DataFrame, counts: Broadcast, path: str) -> np.ndarray:
+    """The weights after a step for each class of ``texts(text, class)``."""
+    schema = "blob binary, n long"
+
+    def packed(total: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["blob", "n"])
+
+    def gradient(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+        w, cutter, total, n = weights(flat), subwords(path), np.zeros(LENGTH), 0
+        for batch in batches:
+            for part in _slices(batch):
+                got = Texts(part.column(0).to_pylist(), cutter)
+                for some in Blocks(got, counts.value.trie, 1).batches():
+                    total += forward(w, counts.value, some, train=True)[1]
+                n += len(got.ids)
+        yield from packed(total, n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(LENGTH), 0
+        for batch in batches:
+            for blob, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total, n = total + np.frombuffer(blob.as_py()), n + k
+        yield from packed(total, n)
+
+    adam, flat = Adam(start()), start()
+    for c in range(CLASSES):
+        sums = texts.where(F.col("class") == c).select("text").mapInArrow(functools.partial(gradient, flat=flat), schema)
+        got = sums.repartition(RANGES).mapInArrow(add, schema).collect()  # RANGES rows at most
+        if got:
+            flat = adam(sum(np.frombuffer(r["blob"]) for r in got) / sum(r["n"] for r in got))
     return flat
 
 
+def remembered(table: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``table`` of blocks with, by bucket, how often each of its ``Contexts`` items occurs in
+    training texts, and how often its context does."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in blocks.rows_of(batches):
+            items = Contexts(texts_of(row, path))
+            trains = np.array([_trains(i) for i in blocks.ids_of(row)], np.int64)
+            n = np.bincount(items.which, trains[items.text[items.places]], len(items.word)).astype(np.uint32)
+            order, bucket, rest = blocks.by_bucket(items.context, buckets)
+            sent = [rest, items.word[order], n[order]]
+            out = [(row["block"], b, pack(*(x[lo:hi] for x in sent))) for b, lo, hi in blocks.runs(bucket)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "sent"])
+
+    def compare(rows: list[dict]) -> list[tuple]:
+        sent = [np.frombuffer(unpack(r["sent"]), np.uint32).reshape(3, -1) for r in rows]
+        context, word, n = np.concatenate(sent, 1)
+        key = context.astype(np.uint64) << np.uint64(32) | word
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.int64)
+        out = np.empty((2, len(key)), np.uint32)
+        for k, x in enumerate((key, key >> np.uint64(32))):
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            out[k, order] = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(x)]))
+        ends = np.cumsum([0, *(x.shape[1] for x in sent)])
+        return [(r["block"], r["bucket"], pack(out[0, a:b], out[1, a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
+
+    return blocks.answered(table, blocks.answers(table.mapInArrow(send, blocks.SENT), buckets, compare), "seen")
+
+
+def texts_of(row: dict, path: str) -> Texts:
+    """The texts of a block."""
+    _, sizes, raw = blocks.opened(row)
+    stops = np.cumsum(sizes).tolist()
+    return Texts([raw[b - a : b] for a, b in zip(sizes.tolist(), stops, strict=True)], subwords(path))
+
+
+def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np.ndarray:
+    """Natural-log probabilities of words (and ends), those of the model mixed with the memory's."""
+    order, bucket, _ = blocks.by_bucket(items.context, buckets)
+    seen = np.zeros((2, len(order)))
+    of = {a["bucket"]: a["answer"] for a in row["seen"] or []}
+    for b, lo, hi in blocks.runs(bucket):
+        seen[:, order[lo:hi]] = np.frombuffer(unpack(of[b]), np.uint32).reshape(2, -1)
+    c, n = seen[:, items.which]
+    out = log_p.copy()
+    with np.errstate(divide="ignore"):
+        out[items.places] = np.logaddexp(np.log(c), math.log(MEMORY_WEIGHT) + log_p[items.places]) - np.log(n + MEMORY_WEIGHT)
+    return out
+
+
+def trie_of(frequent: dict[bytes, int], texts: int, path: str) -> Trie:
+    cutter = Subwords(path)
+    cutter.numbers(list(frequent))
+    return Trie(*cutter.arrays(), np.array(list(frequent.values()), np.int64), texts)
+
+
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords)``."""
     path = path or tokenizer_file()
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = cut(counts(docs, path))
-    words = table.where("word is not null").select("word", "n")
-    n_all, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    pairs = table.where("pair is not null").select("pair", "n").toArrow()  # at most 32**4 rows
-    bigrams = np.zeros(SIDE**4)
-    bigrams[pairs.column(0).to_numpy()] = pairs.column(1).to_numpy()
-    prior = Priors(bigrams)
-    flat = train(docs, prior, path)
-    often = words.where(F.length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    table = cut(blocks.blocks(docs, nulls=True))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // 8))
+    raw = cut(gathered(docs, path))
+    words = cut(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    ends = F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))
+    n_all, n_words, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), ends).first()
+    often = words.where(F.length("word").between(1, WORD_BYTES)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
-    sent = docs.sparkSession.sparkContext.broadcast((flat, prior, frequent))
+    counts = spark.sparkContext.broadcast(Counts(pair_counts(raw.where("part is not null")), trie_of(frequent, end, path)))  # of bounded size
+    flat = train(by_class(docs), counts, path)
+    sent = spark.sparkContext.broadcast((flat, frequent))
     less = math.log10(n_all + n_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, prior, frequent = sent.value
-        w, cutter, rng = weights(flat), subwords(path), random.SystemRandom()
-        end = frequent.get(b"", 0)
-        for batch in batches:
-            for part in _slices(batch):
-                got = Texts(part.column(1).to_pylist(), cutter)
-                rows = part.num_rows
-                keys, targets, valid, owner = blocks(got.ids, got.sizes)
-                lm = np.zeros(rows)
-                for at in range(0, len(keys), BATCH):
-                    to = slice(at, at + BATCH)
-                    p = forward(w, prior, keys[to], targets[to], valid[to])
-                    lm += np.bincount(owner[to], p.sum(1), rows)
-                distinct, inverse = np.unique(got.numbers, return_inverse=True)
-                c = np.array([frequent.get(got.vocabulary[k], -1) for k in distinct.tolist()], np.int64)[inverse] if len(distinct) else np.zeros(0, np.int64)
-                of = np.repeat(np.arange(rows), got.lengths)
-                base = np.bincount(of, np.log10(np.maximum(c, 0) + 1.0), rows) + math.log10(end + 1) - (got.lengths + 1) * less
-                known = np.bincount(of[c > 0], minlength=rows) + (end > 0)
-                # the words without a count here, counted per text
-                rare = np.flatnonzero(c < 0)
-                pair, n = np.unique(np.stack([of[rare], got.numbers[rare]]), axis=1, return_counts=True) if len(rare) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                ends = np.searchsorted(pair[0], np.arange(rows + 1)).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array([got.vocabulary[k] for k in pair[1].tolist()], pa.binary()), pa.array(n.astype(np.int64))], ["word", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([rng.getrandbits(63) for _ in range(rows)], pa.int64()), part.column(0), pa.array([not _trains(i) for i in part.column(0).to_pylist()]),
-                        pa.array((got.lengths + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lm / math.log(10)), pa.array(got.sizes), pa.ListArray.from_arrays(pa.array(ends), items),
-                    ],
-                    ["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_subwords", "rare"],
-                )
+        flat, frequent = sent.value
+        w, rng = weights(flat), random.SystemRandom()
+        for row in blocks.rows_of(batches):
+            got, ids = texts_of(row, path), blocks.ids_of(row)
+            rows = len(ids)
+            log_p = [forward(w, counts.value, some)[some["valid"]] for some in Blocks(got, counts.value.trie).batches()]
+            items = Contexts(got)
+            words = np.add.reduceat(np.concatenate(log_p, dtype=np.float64), got.word_starts())
+            lm = np.bincount(items.text, by_memory(words, items, row, buckets), rows)
+            distinct, inverse = np.unique(got.numbers, return_inverse=True)
+            c = np.array([frequent.get(got.vocabulary[k], -1) for k in distinct.tolist()], np.int64)[inverse] if len(distinct) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(rows), got.lengths)
+            base = np.bincount(of, np.log10(np.maximum(c, 0) + 1.0), rows) + math.log10(end + 1) - (got.lengths + 1) * less
+            known = np.bincount(of[c > 0], minlength=rows) + (end > 0)
+            # the words without a count here, counted per text
+            rare = np.flatnonzero(c < 0)
+            pair, n = np.unique(of[rare] * (1 << 32) + got.numbers[rare], return_counts=True)
+            text, word = pair >> 32, pair & (1 << 32) - 1
+            ends = np.searchsorted(text, np.arange(rows + 1)).astype(np.int32)
+            more = pa.StructArray.from_arrays([pa.array([got.vocabulary[k] for k in word.tolist()], pa.binary()), pa.array(n.astype(np.int64))], ["word", "times"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rng.getrandbits(63) for _ in range(rows)], pa.int64()), pa.array(ids, pa.int64()), pa.array([not _trains(i) for i in ids]),
+                    pa.array((got.lengths + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lm / math.log(10)), pa.array(got.sizes), pa.ListArray.from_arrays(pa.array(ends), more),
+                ],
+                ["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_subwords", "rare"],
+            )
 
     schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_subwords long, rare array<struct<word:binary,times:long>>"
-    scored = cut(docs.mapInArrow(run, schema))
+    scored = cut(remembered(table, path, buckets).mapInArrow(run, schema))
     rare = scored.select("key", F.inline("rare")).join(words, "word")
     rare = rare.groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
     return scored.drop("rare").join(rare, "key", "left").select(
