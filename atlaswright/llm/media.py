@@ -7,7 +7,9 @@ table of packets with track, timestamp and byte range.
 
 Edge cases: a null or empty text is one frame of 192 blanks; unpaired surrogates cannot
 occur in Spark strings; repeated rows give repeated results; a null ``doc_id`` stays null;
-an empty table gives no rows; other columns are ignored whatever their names.
+an empty table gives no rows; other columns are ignored whatever their names. A file that
+cannot be parsed (``demux`` raises ``ValueError``) has one row in the packet table, with the
+``error``, and no payload; a null file has no packets.
 """
 
 from __future__ import annotations
@@ -32,9 +34,15 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 DOC_TYPE, TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC = 0x4282, 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x83, 0x86
 AUDIO, FREQUENCY, CHANNELS, BIT_DEPTH, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE1, 0xB5, 0x9F, 0x6264, 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+TRACK_UID, MUXING_APP, WRITING_APP, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x73C5, 0x4D80, 0x5741, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 
+#: What ends an element of unknown size: nothing that could be its child.
+_PARTS = frozenset({INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS})
+_NAME = b"atlaswright"
+
+
 def _id(x: int) -> bytes:
     return x.to_bytes((x.bit_length() + 7) // 8, "big")
 
@@ -57,9 +65,9 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
     """A Matroska file of one mono 8-bit track; ``payload`` is a multiple of ``frame``."""
     ms = frame * 1000 // rate
     frames = len(payload) // frame
-    info = element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", frames * ms)))
+    info = element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, _NAME) + element(WRITING_APP, _NAME) + element(DURATION, struct.pack(">d", frames * ms)))
     audio = element(AUDIO, element(FREQUENCY, struct.pack(">d", rate)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     at, body, cues = len(info) + len(tracks), [], []
     for first in range(0, frames, LACE * BLOCKS):
         blocks = [_uint(TIMESTAMP, first * ms)]
@@ -84,8 +92,8 @@ class Packet(NamedTuple):
 
 def _number(data: bytes, at: int, keep: bool) -> tuple[int, int]:
     """A variable-length number at ``at`` and where it ends; ``keep``: with its length bits."""
-    first = data[at]
-    if not first:
+    first = data[at] if at < len(data) else 0
+    if not first or at + 9 - first.bit_length() > len(data):
         raise ValueError(f"no variable-length number of up to 8 bytes at byte {at}")
     width = 9 - first.bit_length()
     x = int.from_bytes(data[at : at + width], "big")
@@ -104,25 +112,40 @@ class Element(NamedTuple):
 
 
 def children(data: bytes, at: int, end: int) -> Iterator[Element]:
-    """The elements between two places; one of unknown size lasts to the end."""
+    """The elements between two places; one of unknown size lasts until an element that
+    cannot be part of it (a segment's next part, or a next segment), or to the end."""
     while at < end:
         head = at
         name, at = _number(data, at, True)
         size, at = _number(data, at, False)
-        stop = end if size < 0 else at + size
+        stop = at + size if size >= 0 else _unknown(data, at, end, name)
         if stop > end:
             raise ValueError(f"element {name:#x} at byte {head} ends after its parent")
         yield Element(name, head, at, stop)
         at = stop
 
 
+def _unknown(data: bytes, at: int, end: int, name: int) -> int:
+    """Where an element of unknown size whose children start at ``at`` ends."""
+    ends = frozenset({EBML, SEGMENT}) | (frozenset() if name == SEGMENT else _PARTS)
+    while at < end:
+        child, then = _number(data, at, True)
+        if child in ends:
+            return at
+        size, then = _number(data, then, False)
+        at = then + size if size >= 0 else _unknown(data, then, end, child)
+    return end
+
+
 def laced(data: bytes, at: int, stop: int, kind: int) -> list[tuple[int, int]]:
     """Byte ranges of the frames of a block whose lacing head, if any, is at ``at``."""
     if kind == NO_LACING:
         return [(at, stop)]
     n, at = data[at] + 1, at + 1
     if kind == FIXED:
-        each = (stop - at) // n
+        each, over = divmod(stop - at, n)
+        if over:
+            raise ValueError(f"{stop - at} bytes do not make {n} frames of one size")
         return [(at + k * each, at + (k + 1) * each) for k in range(n)]
     sizes: list[int] = []
     for k in range(n - 1):
@@ -140,6 +163,8 @@ def laced(data: bytes, at: int, stop: int, kind: int) -> list[tuple[int, int]]:
     for size in sizes:
         out.append((at, at + size))
         at += size
+    if at > stop or min(sizes, default=0) < 0:
+        raise ValueError(f"frames of {sizes} bytes do not fit their block")
     return [*out, (at, stop)]
 
 
@@ -202,6 +227,14 @@ def demux(data: bytes) -> tuple[dict[int, dict], list[Packet]]:
     return tracks, packets
 
 
+def _read(data: bytes) -> tuple[dict[int, dict], list[Packet], str | None]:
+    """What ``demux`` gives, or nothing and the error of a damaged file."""
+    try:
+        return *demux(data), None
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        return {}, [], f"{type(e).__name__}: {e}"
+
+
 def payload_of(text: str | None, frame: int = FRAME) -> tuple[bytes, int]:
     """The text's UTF-8, filled up with blanks to a positive multiple of ``frame``, and its own length."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -250,18 +283,21 @@ def packets(files: DataFrame) -> DataFrame:
     """The packet table of ``files(doc_id, media)``: one row per frame, with its byte range in the file."""
 
     def run(doc_id, data):
-        for k, p in enumerate(demux(data)[1] if data else []):
-            yield doc_id, k, p.track, p.timestamp_ms, p.start, p.stop, p.key
+        _, found, error = _read(data) if data else ({}, [], None)
+        for k, p in enumerate(found):
+            yield doc_id, k, p.track, p.timestamp_ms, p.start, p.stop, p.key, None
+        if error:
+            yield doc_id, None, None, None, None, None, None, error
 
-    return _mapped(files, ["doc_id", "media"], "doc_id long, packet int, track int, timestamp_ms double, start long, stop long, key boolean", run)
+    return _mapped(files, ["doc_id", "media"], "doc_id long, packet int, track int, timestamp_ms double, start long, stop long, key boolean, error string", run)
 
 
 def digests(files: DataFrame) -> DataFrame:
     """Per file of ``files(doc_id, n_bytes, media)``: what reading its packets back gives."""
 
     def run(doc_id, n, data):
-        tracks, found = demux(data)
+        tracks, found, error = _read(data)
         got = b"".join([data[p.start : p.stop] for p in found])
-        yield doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(tracks, found, got)
+        yield doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), len(data), hashlib.sha256(data).hexdigest(), error or features(tracks, found, got)
 
     return _mapped(files, ["doc_id", "n_bytes", "media"], "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", run)
