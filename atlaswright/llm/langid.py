@@ -1,19 +1,21 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
-For every language, pieces of labelled training documents, ``SAMPLE_BYTES`` bytes together,
-are strung into one text whose suffix automaton accepts exactly its substrings. Documents
-of any length take part in the order of their hashes, each with a piece (of up to a
-``SAMPLE_DOCS``-th of these bytes) from a hashed place of its text; further pieces of the
-same documents follow only where that does not fill the bytes. A document is parsed against each
-automaton into longest matches, every phrase ending where no transition goes on; the
-language with the fewest phrases, weighted by the bits that name a place in its training
-text, wins. Texts are parsed in segments of ``SEGMENT`` bytes, a phrase ending with its
-segment, so that NumPy can move all segments of a batch one byte at a time; every byte is
-parsed.
+For every language, pieces of labelled training documents, ``SAMPLE_BYTES`` bytes together
+(or, of many languages, an even share of ``ALL_BYTES``), are strung into one text whose
+suffix automaton accepts exactly its substrings. Documents of any length take part in the
+order of their hashes, each with a piece (of up to a ``SAMPLE_DOCS``-th of these bytes) from
+a hashed place of its text; further pieces of the same documents follow only where that
+does not fill the bytes. A document is parsed against each automaton into longest matches,
+every phrase ending where no transition goes on; the language with the fewest phrases,
+weighted by the bits that name a place in its training text, wins. NumPy moves all segments
+of ``SEGMENT`` bytes of a batch one byte at a time, each as if a phrase began with it; then
+every segment is entered again in the state in which the one before it ends, until that
+makes no difference, so the phrases are those of the whole text.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; ties go to the
-language first in the alphabet; labels that are null are not learned; without any
-learned language everything is ``und``; repeated rows give repeated rows; an empty table
+language first in the alphabet; labels that are null are not learned; more than
+``MOST_LABELS`` labels are an error, not languages; without any learned language everything
+is ``und``; very long texts are parsed whole; repeated rows give repeated rows; an empty table
 gives none. Only ``doc_id``, ``text`` and, for learning, ``lang`` are read.
 """
 
@@ -31,6 +33,9 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 60
 SAMPLE_BYTES = 60_000
+#: Bytes that all automata are built from: what bounds their tables, which go to every task.
+ALL_BYTES = 400_000
+MOST_LABELS = 2_000
 SEGMENT = 512
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -89,37 +94,68 @@ class Automaton:
         self.width, self.bits = width, float(np.log2(len(text) + 2))
         self.table = np.where(table < 0, -1, table * width).ravel()  # states are row offsets
 
-    def phrases(self, block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each row of ``block`` (rows by falling ``lengths``), the first ``lengths`` bytes of it."""
-        table, top = self.table, self.width
-        roots = table[:top]
-        count = np.zeros(len(lengths), np.int64)
-        state = np.zeros(len(lengths), np.int32)
+    def _step(self, state: np.ndarray, symbols: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The states after one more byte each; ``count`` grows by the phrases that end."""
+        to = self.table[state + symbols]
+        stuck = np.flatnonzero(to < 0)
+        if len(stuck):
+            # a phrase ends before this byte, unless it is empty: then the byte is one itself
+            fresh = self.table[symbols[stuck]]
+            count[stuck] += (state[stuck] > 0) + (fresh < 0).astype(np.int32)
+            to[stuck] = np.maximum(fresh, 0)
+        return to
+
+    def phrases(self, block: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases of each row of ``block`` (rows by falling ``lengths``), the first ``lengths``
+        bytes of it; where ``before`` names a row rather than -1, the text goes on from that."""
+        size = block.shape[1]
         symbols = self.symbol.astype(np.int32)[block.T]  # one row per byte position
-        live = np.searchsorted(-lengths, -np.arange(block.shape[1]), "left")  # rows longer than the position
-        for at in range(block.shape[1]):
+        live = np.searchsorted(-lengths, -np.arange(size), "left")  # rows longer than the position
+        states, counts = np.zeros((size, len(lengths)), np.int32), np.zeros((size, len(lengths)), np.int32)
+        state, count = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
+        for at in range(size):
             n = live[at]
             if not n:
                 break
-            c = symbols[at, :n]
-            to = table[state[:n] + c]
-            stuck = np.flatnonzero(to < 0)
-            if len(stuck):
-                # a phrase ends before this byte, unless it is empty: then the byte is one itself
-                fresh = roots[c[stuck]]
-                begun = state[stuck] > 0
-                count[stuck] += begun
-                count[stuck] += fresh < 0
-                to[stuck] = np.maximum(fresh, 0)
-            state[:n] = to
-        return count + (state > 0)
+            state[:n] = self._step(state[:n], symbols[at, :n], count[:n])
+            states[at], counts[at] = state, count
+        alone = count.copy()  # phrases that end in a row entered at the start of a phrase
+        after = np.full(len(lengths), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            now, ended = state[before[todo]], np.zeros(len(todo), np.int32)
+            rows, which = todo, np.arange(len(todo))
+            end, total = states[lengths[todo] - 1, todo], alone[todo]
+            for at in range(size):
+                on = lengths[rows] > at
+                if not on.all():  # rows that end without meeting their first parse
+                    end[which[~on]], total[which[~on]] = now[~on], ended[~on]
+                    now, ended, rows, which = now[on], ended[on], rows[on], which[on]
+                now = self._step(now, symbols[at, rows], ended)
+                met = now == states[at, rows]
+                if met.any():
+                    total[which[met]] = ended[met] + alone[rows[met]] - counts[at, rows[met]]
+                    now, ended, rows, which = now[~met], ended[~met], rows[~met], which[~met]
+                if not len(rows):
+                    break
+            end[which], total[which] = now, ended
+            other = end != state[todo]
+            state[todo], count[todo] = end, total
+            todo = after[todo[other]]  # those were entered in another state
+            todo = todo[todo >= 0]
+        return count + ((after < 0) & (state > 0))
 
 
 def fit(sample: list[tuple[str, bytes]]) -> dict[str, Automaton]:
     texts: dict[str, list[bytes]] = {}
     for lang, text in sample:
         texts.setdefault(lang, []).append(text)
-    return {lang: Automaton(b"\0".join(texts[lang])[:SAMPLE_BYTES]) for lang in sorted(texts)}
+    return {lang: Automaton(b"\0".join(texts[lang])[: bytes_each(len(texts))]) for lang in sorted(texts)}
+
+
+def bytes_each(labels: int) -> int:
+    return min(SAMPLE_BYTES, ALL_BYTES // max(1, labels))
 
 
 def rates(models: dict[str, Automaton], texts: list[bytes]) -> np.ndarray:
@@ -128,11 +164,15 @@ def rates(models: dict[str, Automaton], texts: list[bytes]) -> np.ndarray:
     parts = [t[a : a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)]
     lengths = np.array([len(p) for p in parts])
     order = np.argsort(-lengths, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    goes_on = np.r_[False, owner[1:] == owner[:-1]]
+    before = np.where(goes_on, np.r_[-1, place[:-1]], -1)[order]
     block = np.frombuffer(b"".join(parts[k].ljust(SEGMENT, b"\0") for k in order), np.uint8).reshape(-1, SEGMENT)
     size = np.array([len(t) for t in texts])
     out = np.zeros((len(texts), len(models)))
     for k, m in enumerate(models.values()):
-        out[:, k] = np.bincount(owner[order], m.phrases(block, lengths[order]), len(texts)) * m.bits / size
+        out[:, k] = np.bincount(owner[order], m.phrases(block, lengths[order], before), len(texts)) * m.bits / size
     return out
 
 
@@ -155,20 +195,21 @@ def is_held_out(doc_id: Column, mod: int = 3, remainder: int = 1) -> Column:
 
 
 class _Sample:
-    """Of each language the pieces of the smallest ``(draw, hash)`` that fill ``SAMPLE_BYTES``."""
+    """Of each language the pieces of the smallest ``(draw, hash)`` that fill ``most`` bytes."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.kept: dict[str, list[tuple[int, int, bytes]]] = {}  # heaps, the largest key first
         self.size: dict[str, int] = {}
 
     def wants(self, lang: str, draw: int, h: int) -> bool:
-        return self.size.get(lang, 0) < SAMPLE_BYTES or (-draw, -h) > self.kept[lang][0][:2]
+        return self.size.get(lang, 0) < self.most or (-draw, -h) > self.kept[lang][0][:2]
 
     def add(self, lang: str, draw: int, h: int, piece: bytes) -> None:
         heap = self.kept.setdefault(lang, [])
         heapq.heappush(heap, (-draw, -h, piece))
         size = self.size.get(lang, 0) + len(piece) + 1  # a zero byte between pieces
-        while size - len(heap[0][2]) - 1 >= SAMPLE_BYTES:
+        while size - len(heap[0][2]) - 1 >= self.most:
             size -= len(heapq.heappop(heap)[2]) + 1
         self.size[lang] = size
 
@@ -178,15 +219,19 @@ class _Sample:
 
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """Folded pieces of each label's training texts, of at most ``SAMPLE_BYTES`` over
-    ``per_lang`` bytes each, until they fill ``SAMPLE_BYTES`` or the texts end: a bounded
+    """Folded pieces of each label's training texts, of at most a
+    ``per_lang``-th of a label's bytes each, until they fill those or the texts end: a bounded
     sample, the same for the same rows. A text's pieces are drawn from a hashed one on."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     rows = rows.where(~is_held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    each = SAMPLE_BYTES // per_lang
+    labels = rows.agg(F.countDistinct("lang")).first()[0]
+    if labels > MOST_LABELS:
+        raise ValueError(f"{labels} labels: no more than {MOST_LABELS} can be languages")
+    most = bytes_each(labels)
+    each = max(1, most // per_lang)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = _Sample()
+        sample = _Sample(most)
         for batch in batches:
             texts = batch.column(2)
             for k, (lang, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -203,7 +248,7 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list[tuple[
         yield sample.rows()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = _Sample()
+        sample = _Sample(most)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sample.wants(*row[:3]):
