@@ -66,6 +66,22 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: At most so many of the most frequent keys of a join have their rows broadcast.
+FREQUENT = 100_000
+
+
+def join_copies(rows: DataFrame, table: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per ``keys``; ``copies`` says how many of the
+    ``total`` rows have them). Keys that more than a ``FREQUENT``-th of the rows share, no more
+    than ``FREQUENT`` of them, are broadcast, so that no task gets all copies of one."""
+    often = F.col(copies) > max(1000, total // FREQUENT)
+    hot = table.where(often).drop(copies)
+    new = [c for c in hot.columns if c not in keys]
+    known = rows.join(F.broadcast(hot), keys, "left")
+    rest = known.where(F.col(new[0]).isNull()).drop(*new).join(table.where(~often).drop(copies), keys)
+    return known.where(F.col(new[0]).isNotNull()).unionByName(rest)
+
+
 #: Edges that one task joins up on its own before tasks exchange any.
 EDGES = 300_000
 
@@ -89,12 +105,12 @@ def _hung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
-def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def min_label(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): rows ``(id, label)`` for every end,
     ``label`` the smallest id reachable.
 
     Tasks contract their own edges first, and if one task holds them all, that is the answer.
-    Then alternating large-star and small-star rounds; every round is an aggregation on the
+    Then alternating large-star and small-star rounds, until one changes nothing; every round is an aggregation on the
     node id followed by a join, cut through the shared folder. Hubs are pre-aggregated
     (min), and their join is an ordinary equi-join that adaptive execution may split."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -105,7 +121,7 @@ def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     edges = edges.where("a <> b")
     ends, before = edges, None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours hang on the least of the neighbourhood

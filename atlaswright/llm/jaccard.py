@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, hashing
-from .common import cut, min_label
+from .common import cut, join_copies, min_label
 
 WIDTH = 4
 THRESHOLD = (85, 100)
@@ -91,6 +91,12 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return shingle_sets([text], width)[0]
 
 
+def _identity(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    raw = grams.tobytes()
+    return tuple(int(np.uint64(xxhash.xxh64_intdigest(raw, k)).astype(np.int64)) if raw else 0 for k in (1, 2))
+
+
 def prefix_size(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     return n + (-threshold[0] * n // threshold[1]) + 1
 
@@ -149,10 +155,9 @@ def set_table(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFr
             out: list[list] = [[], [], []]
             found, at = [], 0
             for g in sets:
-                n, raw = len(g), g.tobytes()
-                out[0].append(n)
-                for k in (1, 2):
-                    out[k].append(np.uint64(xxhash.xxh64_intdigest(raw, k)).astype(np.int64) if n else 0)
+                n = len(g)
+                for x, column in zip((n, *_identity(g)), out, strict=True):
+                    column.append(x)
                 c = counts[number[at : at + n]]
                 at += n
                 places = np.lexsort((g, c))[: prefix_size(n, threshold)] if n else np.zeros(0, np.int64)
@@ -340,32 +345,53 @@ def _family_links(families: DataFrame, grams: DataFrame, threshold: tuple[int, i
     return first.union(verify(sent(against(rest, known)), threshold))
 
 
+#: Further sets of a ``doc_id`` that several rows with different texts have get ids from here downwards.
+_FURTHER = (1 << 63) - 1
+
+
+def _members(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The non-empty sets with a ``member`` id: their ``doc_id``, but for the further sets of an
+    id that has several (which are returned too), so that every id names one set."""
+    full = sets.where("n > 0")
+    first = full.groupBy("doc_id").agg(F.min(F.struct("s", "t")).alias("first"), F.max(F.struct("s", "t")).alias("last")).where("first <> last").select("doc_id", "first")
+    further = full.join(first, "doc_id").where(F.struct("s", "t") != F.col("first")).select("doc_id", "s", "t").distinct()
+    further = cut(further.withColumn("member", F.lit(_FURTHER) - F.monotonically_increasing_id()))
+    return full.join(further, ["doc_id", "s", "t"], "left").withColumn("member", F.coalesce("member", "doc_id")), further
+
+
 def join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id)``, one per row of ``docs`` with an id."""
     sets = cut(set_table(docs, width, threshold))
-    classes = sets.where("n > 0").groupBy("s", "t", "n").agg(F.min("doc_id").alias("rep"))
-    of = cut(sets.select("doc_id", "s", "t", "n").join(classes, ["s", "t", "n"]).select("doc_id", "rep").distinct())
-    reps = of.select("rep").distinct()
-    postings = sets.where("n > 0").join(reps, sets["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id", "s", "t"]).select(F.col("doc_id").alias("rep"), "n", F.inline("prefix"))
+    members, further = _members(sets)
+    least = F.min(F.struct("member", "doc_id"))
+    classes = cut(members.groupBy("s", "t", "n").agg(least.alias("m"), F.count("*").alias("copies")).select("s", "t", "n", F.col("m.member").alias("rep"), F.col("m.doc_id").alias("of"), "copies"))
+    full = sets.where("n > 0").select("doc_id", "s", "t", "n")
+    of = cut(join_copies(full, classes.select("s", "t", "n", "rep", "copies"), ["s", "t", "n"], "copies", full.count()).select("doc_id", "rep").distinct())
+    heads = classes.select(F.col("of").alias("doc_id"), "s", "t", "n", "rep")
+    postings = sets.join(heads, ["doc_id", "s", "t", "n"]).dropDuplicates(["rep"]).select("rep", "n", F.inline("prefix"))
     edges = cut(candidates(postings, threshold))
     families = cut(min_label(edges.where("family").select("a", "b")))
     of_a, of_b = (families.select(F.col("id").alias(c), F.col("label").alias(f"f{c}")) for c in "ab")
     pairs = edges.where("not family").select("a", "b").distinct().join(of_a, "a", "left").join(of_b, "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
     pairs = cut(pairs)
     needed = families.select(F.col("id").alias("rep")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    needed = cut(heads.join(needed, "rep"))
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["rep", "n", "grams"])
+            names = [[_identity(g)[k] for g in got] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in names), pa.array([g.tobytes() for g in got], pa.binary())], ["doc_id", "s", "t", "grams"])
 
-    grams = cut(_texts(docs).join(needed, F.col("doc_id") == needed["rep"], "left_semi").mapInArrow(grams_of, "rep long, n long, grams binary").dropDuplicates(["rep"]))
+    sent = _texts(docs).join(needed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(grams_of, "doc_id long, s long, t long, grams binary")
+    grams = cut(sent.join(needed, ["doc_id", "s", "t"]).select("rep", "n", "grams").dropDuplicates(["rep"]))
     task = F.concat_ws("-", "a", "b").alias("task")
     both = pairs.select(task, F.explode(F.array("a", "b")).alias("rep"))
     both = both.select("task", "rep", F.col("rep").alias("label"), F.lit(True).alias("left"), F.lit(True).alias("right")).join(grams.select("rep", "grams"), "rep")
     links = verify(both, threshold).union(_family_links(families.withColumnRenamed("id", "rep"), grams, threshold))
-    # rows that repeat a doc_id with another text tie their classes together
-    twice = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    # rows that repeat a doc_id with other texts tie their classes together
+    several = of.join(further.select("doc_id").distinct(), "doc_id")
+    twice = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
     labels = min_label(links.union(twice))
     named = of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_copies
 
 DISTANCE = 2
 #: Shorter lines go as copies only: two edits make another word of them.
@@ -166,8 +166,6 @@ def within(a: Column, b: Column, distance: int) -> Column:
 
 #: Up to so many hashes (of 8 bytes) are broadcast to find their lines; more are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: At most so many of the most frequent lines have their first places broadcast.
-FREQUENT = 100_000
 
 
 def _hashes() -> tuple[Column, Column]:
@@ -218,11 +216,7 @@ def removals(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHA
     beaten = earlier.join(firsts, "line").where("before < first").select("line", "first.doc_id", "first.line_no")
     every = cut(lines.select("doc_id", "line_no", *_hashes()))
     first = cut(every.groupBy("h", "i").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    # lines that make up more than a FREQUENT-th of all: no more than FREQUENT of them
-    often = max(1000, every.count() // FREQUENT)
-    frequent, others = first.where(F.col("n") > often).select("h", "i", "first"), first.where(F.col("n") <= often).select("h", "i", "first")
-    known = every.join(F.broadcast(frequent), ["h", "i"], "left")
-    copies = known.where("first is not null").select("doc_id", "line_no", "first").union(known.where("first is null").drop("first").join(others, ["h", "i"]).select("doc_id", "line_no", "first"))
+    copies = join_copies(every, first, ["h", "i"], "n", every.count())
     copies = copies.where(place != F.col("first")).select("doc_id", "line_no", F.lit("copy").alias("kind")).distinct()
     return copies.unionByName(beaten.select("doc_id", "line_no", F.lit("near").alias("kind")))
 
