@@ -1,35 +1,35 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in NumPy.
 
-Words are lower-cased byte runs. For the model, a blank and the word are cut by the first
-``SUBWORDS`` merges of a public byte-level BPE (words of more than 64 bytes every 64 bytes);
-id ``END`` closes a text.
-
-A position attends to what stands before it: the query of the last id meets the keys of the
-ids before the places before it, with a bias by distance. Each of those places votes for
-the id that followed there; three more slots, with logits by the last id and by how often
-its context was seen, vote with what all training text says: the counts of the next id after
-the word so far (from the ``FREQUENT`` most frequent words, where the words of a text follow
-each other freely), after the last id, and alone, each backing off to the next. All slots
-are weighed together (by ``(1 + x/8)**8``, which is close to ``exp(x)`` and much cheaper)
-and mixed, so the probabilities of all ids add to one. Texts are scored in windows of two
-blocks of ``BLOCK`` ids that overlap by one: the ids of the second block are scored, once
-each, with those of the first as context, in batches under a mask that hides the place
-itself, later ones, and what lies before a text.
+Tokens are lower-cased byte runs (words) and the end of a text. A word is, with a blank
+before it, cut by the first ``SUBWORDS`` merges of a public byte-level BPE (words of more
+than 64 bytes every 64 bytes); ``END`` is the id of the end.
+
+A token attends to the tokens before it: its query, made of the first and last subword ids
+of the token before it, meets the keys (of the same kind) of the places before it, with a
+bias by distance. Each of those places votes for the token that stood there; one more slot,
+with a logit by the same two ids and by how often their word was seen, votes for every token
+as it is spelled: a first id after the last one, further ids, and the end of the word, by
+the counts of all training text of how words begin (the ``FREQUENT`` most frequent words),
+backing off to pairs of ids. All slots are weighed together (by ``(1 + x/8)**8``, close to
+``exp(x)`` and much cheaper) and mixed, so the probabilities of all tokens add to one. Texts
+are scored in windows of two blocks of ``BLOCK`` tokens that overlap by one: the tokens of
+the second block are scored, once each, with those of the first as context, in batches
+under a mask that hides the place itself, later ones, and what lies before a text.
 
 What follows the same ``MEMORY`` words anywhere in the training texts outweighs all that: a
-word seen ``c`` of ``n`` times after the three words before it has the probability
+token seen ``c`` of ``n`` times after the three words before it has the probability
 ``(c + w p) / (n + w)``, where ``p`` is the model's. These counts grow with the corpus; every
 block of documents asks for those it needs by hash.
 
 All counts, and the attention weights, learn from all training documents. Documents fall by
 the hash of their id into ``CLASSES`` classes; each class is one step of gradient ascent
 (Adam), its gradient summed over all its documents on the executors, so that the weights
-do not depend on how the table is split. In training every id's own occurrence is taken off
-the counts.
+do not depend on how the table is split. In training every token's own occurrence is taken
+off the counts. Words are told apart by 64 bits of hash.
 
-For the base model's word counts, the ``FREQUENT`` most frequent words (of up to
-``WORD_BYTES`` bytes: a few megabytes at any size of corpus) go to every task; the counts of
-all others are joined to the documents that hold them.
+For the base model's word counts, the ``FREQUENT`` most frequent words (a few megabytes at
+any size of corpus) go to every task; the counts of all others are joined to the documents
+that hold them.
 
 Edge cases: a null or empty text is its end alone; a null ``doc_id`` counts as empty text for
 the split and stays null; repeated rows are scored as often as they occur and learned from
@@ -44,6 +44,8 @@ import base64
 import functools
 import math
 import random
+import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -52,13 +54,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, hashing
 from .blocks import pack, unpack
 from .common import crc_mod, cut, shared_path, words_of
-from .langid import is_held_out
 from .packing import tokenizer_file
 
 SUBWORDS = 1023
@@ -73,8 +74,10 @@ WORD_BYTES = 48
 BATCH = 512  # blocks
 MEMORY = 3  # words
 MEMORY_WEIGHT = 0.25
-#: Parts in which tables of counts travel, and tasks that add up gradients.
-RANGES = 32
+#: Packed bytes of blocks whose contexts, on average, one bucket compares.
+BUCKET_BYTES = 4_000_000
+#: Parts in which counts of pairs travel, and tasks that add up gradients.
+RANGES = 8
 
 
 class Subwords:
@@ -96,13 +99,15 @@ class Subwords:
         self._known = _Numbers(self)
         self.words: list[bytes] = []
         self._flat, self._ends, self._hashes = array("H"), array("q", [0]), array("Q")
-        self._counted: tuple[Trie | None, np.ndarray, np.ndarray] = (None, *_NONE)
 
     def add(self, word: bytes) -> int:
         self.words.append(word)
         self._hashes.append(xxhash.xxh3_64_intdigest(word))
-        for at in range(0, len(word), 64):  # the merge loop's cost grows with the square of a word
-            self._flat.extend(self._cut(b" " + word[:64] if not at else word[at : at + 64]))
+        if len(word) <= 64:
+            self._flat.extend(self._cut(b" " + word))
+        else:  # the merge loop's cost grows with the square of a word
+            for at in range(0, len(word), 64):
+                self._flat.extend(self._cut(b" " + word[:64] if not at else word[at : at + 64]))
         self._ends.append(len(self._flat))
         return len(self.words) - 1
 
@@ -113,27 +118,69 @@ class Subwords:
             self._forget()
         return np.fromiter(map(self._known.__getitem__, ws), np.int64, len(ws))
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self._flat, np.uint16), np.array(self._ends, np.int64)
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the known words; their ids, strung together; and where those start and end."""
+        return np.array(self._hashes, np.uint64), np.array(self._flat, np.uint16), np.array(self._ends, np.int64)
 
-    def hashes(self) -> np.ndarray:
-        return np.array(self._hashes, np.uint64)
 
-    def counted(self, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-        """For all known words, how many words of ``trie`` begin with each of their beginnings
-        (like ``arrays()[0]``), and how many are the whole word."""
-        of, begin, whole = self._counted
-        if of is not trie:
-            begin, whole = _NONE
-        if len(whole) < len(self.words):
-            flat, ends = self.arrays()
-            more = trie.look_up(flat[len(begin) :], ends[len(whole) :] - len(begin))
-            begin, whole = np.r_[begin, more[0]], np.r_[whole, more[1]]
-            self._counted = trie, begin, whole
-        return begin, whole
+class _Numbers(dict):
+    def __init__(self, owner: Subwords):
+        self.owner = owner
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self.owner.add(word)
+        return n
+
+
+@functools.cache
+def subwords(path: str) -> Subwords:
+    return Subwords(path)
 
 
-_NONE = (np.zeros(0, np.float32), np.zeros(0, np.float32))
+class Texts:
+    """Texts as tokens: ``lengths`` counts each one's words, ``token`` says of every token (the
+    words and the end, ``END_TOKEN``, of one text after another) which of the different words it is;
+    of those there are the ``hashes``, the ids strung together in ``flat``, and their ``ends``."""
+
+    def __init__(self, lengths: np.ndarray, which: np.ndarray, hashes: np.ndarray, flat: np.ndarray, ends: np.ndarray):
+        self.lengths, self.which, self.hashes, self.flat, self.ends = lengths, which, hashes, flat, ends
+        self.sizes = lengths + 1
+        self.end = len(hashes)  # stands for the end of a text
+        self.token = np.insert(which, np.cumsum(lengths), self.end)
+        self.ids_of = np.bincount(np.repeat(np.arange(len(lengths)), lengths), np.diff(ends)[which], len(lengths)).astype(np.int64) + 1
+
+    @staticmethod
+    def of(numbers: np.ndarray, lengths: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Texts:
+        hashes, flat, ends = known
+        some, which = np.unique(numbers, return_inverse=True)
+        size = ends[some + 1] - ends[some]
+        stop = np.cumsum(size)
+        at = np.repeat(ends[some] - (stop - size), size) + np.arange(int(size.sum()))
+        return Texts(lengths, which, hashes[some], flat[at], np.r_[0, stop])
+
+    def packed(self) -> bytes:
+        lengths = [np.array([len(x) for x in (self.lengths, self.which, self.hashes, self.flat)], np.int64)]
+        return pack(*lengths, self.hashes, self.lengths.astype(np.uint32), self.which.astype(np.uint32), np.diff(self.ends).astype(np.uint32), self.flat)
+
+    @staticmethod
+    def unpacked(blob: bytes) -> Texts:
+        raw, at = unpack(blob), 32
+        n = np.frombuffer(raw, np.int64, 4).tolist()
+        out = []
+        for size, kind in ((n[2], np.uint64), (n[0], np.uint32), (n[1], np.uint32), (n[2], np.uint32), (n[3], np.uint16)):
+            out.append(np.frombuffer(raw, kind, size, at))
+            at += out[-1].nbytes
+        hashes, lengths, which, sizes, flat = out
+        return Texts(lengths.astype(np.int64), which.astype(np.int64), hashes, flat, np.r_[0, np.cumsum(sizes, dtype=np.int64)])
+
+
+def cut_texts(texts: list[str | None], cutter: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words, and how many words each text has."""
+    words = [words_of(t) for t in texts]
+    return cutter.numbers([w for ws in words for w in ws]), np.array([len(w) for w in words], np.int64)
+
+
+# counts of words
 
 
 def beginnings(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -145,164 +192,115 @@ def beginnings(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return hashing.mixed((sums[1:] - sums[first]) * down[first])
 
 
-class Trie:
-    """How often words begin with given ids, by the hash of those ids."""
+class Counts:
+    """How words are spelled: how often words begin with given ids (by the hash of those), and
+    how often an id follows another in the texts."""
+
+    WEIGHTS = np.float64(2), np.float64(8), np.float64(0.5)  # of what a count backs off to
 
-    def __init__(self, flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, texts: int):
+    def __init__(self, pairs: np.ndarray, flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, texts: int, starts: np.ndarray):
         h = beginnings(flat, ends)
-        last = ends[1:] - 1
-        keys, at = np.unique(np.r_[h, self.closed(h[last])], return_inverse=True)
-        self.keys, self.counts = keys, np.bincount(at, np.r_[np.repeat(counts, np.diff(ends)), counts], len(keys)).astype(np.float32)
-        self.texts = np.float32(max(1, texts))
-        self.total = np.float32(counts.sum() + self.texts)  # beginnings of words, and ends of texts
+        keys, at = np.unique(np.r_[h, self._closed(h[ends[1:] - 1])], return_inverse=True)
+        self.keys, self.counts = keys, np.bincount(at, np.r_[np.repeat(counts, np.diff(ends)), counts], len(keys))
+        self.firsts = np.bincount(flat[ends[:-1]], counts, VOCAB)
+        self.firsts[END] = texts
+        self.starts, table = starts, pairs.reshape(VOCAB, VOCAB).astype(np.float64)
+        self.alone, self.sums = table.sum(0), table.sum(1)
+        a, b, c = self.WEIGHTS
+        self.alone = (self.alone + c) / (self.alone.sum() + c * VOCAB)
+        #: The next id after an id, a start of a word or not.
+        self.pair = ((table + b * self.alone) / (self.sums + b)[:, None]).astype(np.float32)
+        self.stop = self.pair[:, starts].sum(1, dtype=np.float64)
+        #: Logs of the first id of a token after the last id of the one before.
+        first = (self.firsts + c * starts) / (self.firsts + c * starts).sum()
+        known = table[:, starts].sum(1)
+        after = (np.where(starts, table, 0) + b * first) / (known + b)[:, None]
+        with np.errstate(divide="ignore"):
+            self.first = np.log(after).astype(np.float32).ravel()
 
     @staticmethod
-    def closed(h: np.ndarray) -> np.ndarray:
+    def _closed(h: np.ndarray) -> np.ndarray:
         return hashing.mixed(h ^ np.uint64(hashing.BASE))
 
-    def look_up(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = beginnings(flat, ends)
-        return tuple(self._of(x) for x in (h, self.closed(h[ends[1:] - 1])))
-
     def _of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(h), np.float32)
+            return np.zeros(len(h))
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.counts[at], np.float32(0))
-
-
-class _Numbers(dict):
-    def __init__(self, owner: Subwords):
-        self.owner = owner
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.owner.add(word)
-        return n
-
-
-@functools.cache
-def subwords(path: str) -> Subwords:
-    return Subwords(path)
-
-
-def spread(ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the ids of words lie, one after another, and each word's count of ids."""
-    size = ends[numbers + 1] - ends[numbers]
-    stop = np.cumsum(size)
-    at = np.repeat(ends[numbers] - (stop - size), size)
-    at += np.arange(len(at))
-    return at, size
-
-
-class Texts:
-    """A batch of texts as words and ids; every text's ids close with ``END``."""
-
-    def __init__(self, texts: list[str | None] | list[bytes], cutter: Subwords):
-        self.words = [t.lower().split() if isinstance(t, bytes) else words_of(t) for t in texts]
-        self.lengths = np.array([len(w) for w in self.words])
-        self.numbers = cutter.numbers([w for ws in self.words for w in ws])
-        self.vocabulary = cutter.words
-        flat, ends = cutter.arrays()
-        self.cutter = cutter
-        self._at, self._size = spread(ends, self.numbers)
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), self.lengths), self._size, len(texts)).astype(np.int64)
-        self._stops = np.cumsum(per_text)
-        self.ids = np.insert(flat[self._at].astype(np.int64), self._stops, END)
-        self.sizes = per_text + 1
-
-    def word_starts(self) -> np.ndarray:
-        """Where words, and ends of texts, start in ``ids``."""
-        size = np.insert(self._size, np.cumsum(self.lengths), 1)
-        return np.cumsum(size) - size
-
-    def word_counts(self, trie: Trie, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each id, how often words go on with it after the ids of its word so far, and how
-        often those occur; ``own`` occurrences taken off. A word that is over goes on with the
-        beginnings of words (and the ends of texts) as they are frequent."""
-        begin, whole = self.cutter.counted(trie)
-        so_far = np.insert(begin[self._at], self._stops, trie.texts)
-        over = np.zeros(len(self._at), np.float32)
-        over[np.cumsum(self._size) - 1] = whole[self.numbers]
-        over = np.insert(over, self._stops, trie.texts)
-        before, over = np.r_[trie.texts, so_far[:-1]], np.r_[trie.texts, over[:-1]]
-        fresh = self.cutter.starts[self.ids]
-        goes_on = np.where(fresh, np.maximum(over - own, 0) * (so_far / trie.total), np.maximum(so_far - own, 0))
-        return goes_on.astype(np.float32), np.maximum(before - own, 0).astype(np.float32)
-
+        return np.where(self.keys[at] == h, self.counts[at], 0)
+
+    def spelled(self, texts: Texts, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the different words, the log probability of all but the first id, and of the end
+        after them, with ``own`` occurrences taken off; and how often the word was seen."""
+        flat, ends = texts.flat, texts.ends
+        if not len(flat):
+            return np.zeros(0), np.zeros(0)
+        h = beginnings(flat, ends)
+        begun, whole = self._of(h), self._of(self._closed(h[ends[1:] - 1]))
+        less = lambda x: np.maximum(x - own, 0)
+        a = self.WEIGHTS[0]
+        p = (less(begun[1:]) + a * self.pair[flat[:-1], flat[1:]]) / (less(begun[:-1]) + a)
+        steps = np.r_[0.0, np.log(p)]
+        steps[ends[:-1]] = 0
+        last = ends[1:] - 1
+        stop = (less(whole) + a * self.stop[flat[last]]) / (less(begun[last]) + a)
+        return np.add.reduceat(steps, ends[:-1]) + np.log(stop), whole
 
-class Contexts:
-    """The different (``MEMORY`` words, next word) of a batch of texts, ends included as words:
-    hashes of the ``context`` and 32 bits of the ``word``, and which of them stands at which of
-    the ``places``."""
 
-    def __init__(self, texts: Texts):
-        stops = np.cumsum(texts.lengths)
-        words = np.insert(texts.cutter.hashes()[texts.numbers], stops, np.uint64(0))
-        size = texts.lengths + 1
-        self.text = np.repeat(np.arange(len(size)), size)
-        self.places = np.flatnonzero(np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size) >= MEMORY)
-        context = np.zeros(len(self.places), np.uint64)
-        for k in range(1, MEMORY + 1):
-            context = hashing.mixed(context * np.uint64(hashing.BASE) + words[self.places - k])
-        word = words[self.places]
-        _, first, self.which = np.unique(hashing.mixed(context * np.uint64(hashing.BASE) + word), return_index=True, return_inverse=True)
-        self.context, self.word = context[first], (word[first] >> np.uint64(32)).astype(np.uint32)
+# the model
 
 
 class Blocks:
-    """Ids of texts in rows of ``BLOCK``: the ``target`` ids, the ``last`` id before each (an end
-    stands before a text), the word counts ``on`` and ``of``, which targets are ``valid``, the row's
-    ``owner`` among the texts, and which rows ``begin`` a text."""
-
-    NAMES = ("target", "last", "on", "of", "valid", "owner", "begins")
-
-    def __init__(self, texts: Texts, trie: Trie, own: int = 0):
-        ids, sizes = texts.ids, texts.sizes
+    """Tokens of texts in rows of ``BLOCK``: the ``target`` tokens, the token ``before`` each,
+    the log probability ``spelled``, which targets are ``valid``, and which rows ``begin`` a text.
+    Of the different tokens, ``first`` and ``last`` hold their ids, ``seen`` how well known they are."""
+
+    def __init__(self, texts: Texts, counts: Counts, own: int = 0):
+        sizes, token = texts.sizes, texts.token
+        rest, seen = counts.spelled(texts, own)
+        self.first = np.r_[texts.flat[texts.ends[:-1]], END].astype(np.int64)
+        self.last = np.r_[texts.flat[texts.ends[1:] - 1], END].astype(np.int64)
+        self.seen = (np.log1p(np.r_[seen, counts.firsts[END]]) / 10).astype(np.float32)
+        before = np.r_[texts.end, token[:-1]]  # every text closes with an end
+        spelled = np.r_[rest, 0.0][token] + counts.first[self.last[before] * VOCAB + self.first[token]]
         count = -(-sizes // BLOCK)
-        self.owner = np.repeat(np.arange(len(sizes)), count)
+        owner = np.repeat(np.arange(len(sizes)), count)
         first = np.cumsum(count) - count
-        stop = np.cumsum(sizes)
-        slot = np.arange(len(ids)) + np.repeat(first * BLOCK - (stop - sizes), sizes)
+        self.slot = np.arange(len(token)) + np.repeat(first * BLOCK - (np.cumsum(sizes) - sizes), sizes)
 
-        def laid(values: np.ndarray, empty: int = 0) -> np.ndarray:
-            out = np.full(len(self.owner) * BLOCK, empty, values.dtype)
-            out[slot] = values
+        def laid(values: np.ndarray, empty: float) -> np.ndarray:
+            out = np.full(len(owner) * BLOCK, empty, values.dtype)
+            out[self.slot] = values
             return out.reshape(-1, BLOCK)
 
-        small = ids.astype(np.int32)
-        self.target = laid(small)
-        self.last = laid(np.r_[np.int32(END), small[:-1]], END)  # every text closes with an end
-        self.on, self.of = map(laid, texts.word_counts(trie, own))
-        self.valid = laid(np.ones(len(ids), bool), False)
-        self.begins = np.zeros(len(self.owner), bool)
+        self.target, self.before = laid(token.astype(np.int32), -2), laid(before, texts.end)
+        self.spelled = laid(spelled, 0.0)
+        self.begins = np.zeros(len(owner), bool)
         self.begins[first] = True
 
-    def batches(self, rows: int = BATCH) -> Iterator[dict[str, np.ndarray]]:
-        """Runs of rows, each after the row before it (not valid there), its context."""
-        for at in range(0, len(self.owner), rows):
-            lead = max(0, at - 1)
-            part = {name: getattr(self, name)[lead : at + rows] for name in self.NAMES}
-            if lead < at:
-                part["valid"] = part["valid"].copy()
-                part["valid"][0] = False
-            yield part
+    def batches(self, rows: int = BATCH) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        """Runs of rows, each after the row before it, its context; and how many rows that is."""
+        for at in range(0, len(self.begins), rows):
+            lead = min(1, at)
+            yield lead, {name: getattr(self, name)[at - lead : at + rows] for name in ("target", "before", "spelled", "begins")}
 
 
-EXPERTS = 3
 _BEFORE = np.arange(2 * BLOCK)[None] < np.arange(BLOCK)[:, None] + BLOCK
-#: By the last id: its query, its key, the logits of the slots of counts; by distance; by how often a context was seen.
-SHAPES = {"last": (VOCAB, 2 * WIDTH + EXPERTS), "place": (BLOCK, 2 * BLOCK), "seen": (2, EXPERTS)}
+_COLUMNS = 2 * WIDTH + 1
+#: By first and last id of the token before: query, key, and the logit of the spelled slot; by distance; by how well known that token is.
+SHAPES = {"first": (VOCAB, _COLUMNS), "last": (VOCAB, _COLUMNS), "place": (BLOCK, 2 * BLOCK), "seen": (1,)}
 LENGTH = sum(math.prod(s) for s in SHAPES.values())
 _SCALE = np.float32(WIDTH**-0.5 / 8)
+_LEAST = np.float32(0.05)
+_ONES = np.ones(2 * BLOCK, np.float32)
 
 
 def start() -> np.ndarray:
-    """Weights at first: places after the same id attract."""
+    """Weights at first: places after the same word attract."""
     rng = np.random.default_rng(11)
     flat = np.zeros(LENGTH, np.float32)
-    w = weights(flat)
-    w["last"][:, :WIDTH] = w["last"][:, WIDTH : 2 * WIDTH] = rng.normal(0, 1.2, (VOCAB, WIDTH))
-    w["last"][:, 2 * WIDTH :] = (8.0, 5.0, 2.0)
+    for table in map(weights(flat).get, ("first", "last")):
+        table[:, :WIDTH] = table[:, WIDTH : 2 * WIDTH] = rng.normal(0, 1.0, (VOCAB, WIDTH))
+        table[:, 2 * WIDTH] = 4.0
     return flat
 
 
@@ -316,86 +314,63 @@ def weights(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Counts:
-    """Counts of pairs of ids, and the trie of words."""
-
-    WEIGHT = (2.0, 8.0, 0.5)  # of what a count backs off to
-
-    def __init__(self, pairs: np.ndarray, trie: Trie):
-        self.trie = trie
-        self.pair = pairs.astype(np.float32)
-        table = self.pair.reshape(VOCAB, VOCAB)
-        self.pair_sum, self.alone = table.sum(1), table.sum(0)
-        self.all = np.float32(self.alone.sum())
-        self.known = (np.log1p(self.pair_sum) / 10).astype(np.float32)
-
-    def votes(self, part: dict[str, np.ndarray], own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of the targets in each slot of counts, ``own`` occurrences taken off,
-        and how well known their contexts are, about 0 to 2."""
-        target, last, of = part["target"], part["last"], part["of"]
-        a, b, c = map(np.float32, self.WEIGHT)
-        out = np.empty((*target.shape, EXPERTS), np.float32)
-        alone = (np.maximum(self.alone[target] - own, 0) + c) / (np.maximum(self.all - own, 0) + c * VOCAB)
-        pair = (np.maximum(self.pair[last * VOCAB + target] - own, 0) + b * alone) / (np.maximum(self.pair_sum[last] - own, 0) + b)
-        out[..., 0], out[..., 1], out[..., 2] = (part["on"] + a * pair) / (of + a), pair, alone
-        return out, np.stack([np.log1p(of) / 10, self.known[last]], -1)
-
-
-_ONE, _ONES, _THREE = np.float32(1), np.ones(2 * BLOCK, np.float32), np.ones(EXPERTS, np.float32)
-
-
-def forward(w: dict[str, np.ndarray], counts: Counts, part: dict[str, np.ndarray], train: bool = False):
-    """Natural-log probabilities of a batch's targets (0 where not valid); in training, the
+def forward(w: dict[str, np.ndarray], rows: Blocks, part: dict[str, np.ndarray], lead: int, train: bool = False):
+    """Natural-log probabilities of a batch's targets (of what is no token, 0); in training, the
     flat gradient of their sum as well."""
-    target, last, valid = part["target"], part["last"], part["valid"]
+    target, before = part["target"], part["before"]
+    valid = target >= 0
+    valid[:lead] = False
     n = len(target)
-    rows = np.take(w["last"], last, 0)
-    q = rows[..., :WIDTH] * _SCALE
-    k, followed = np.zeros((n, WIDTH, 2 * BLOCK), np.float32), np.full((n, 2 * BLOCK), -1, target.dtype)
-    k[:, :, BLOCK:] = rows[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    first, last = rows.first[before], rows.last[before]
+    of = np.take(w["first"], first, 0)
+    of += np.take(w["last"], last, 0)
+    q = of[..., :WIDTH] * _SCALE
+    k, there = np.zeros((n, WIDTH, 2 * BLOCK), np.float32), np.full((n, 2 * BLOCK), -1, np.int32)
+    k[:, :, BLOCK:] = of[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
     k[1:, :, :BLOCK] = k[:-1, :, BLOCK:]
-    followed[:, BLOCK:], followed[1:, :BLOCK] = target, target[:-1]
+    there[:, BLOCK:], there[1:, :BLOCK] = target, target[:-1]
     x = q @ k
     x += np.where(_BEFORE, 1 + w["place"] / 8, np.float32(-1e9))
-    x[part["begins"], :, :BLOCK] = -1  # a text's first block has no block before it
-    x[0, :, :BLOCK] = -1
+    alone = part["begins"].copy()
+    alone[0] = True
+    x[alone, :, :BLOCK] = -1  # a text's first block has no block before it
     np.maximum(x, 0, out=x)
-    votes, seen = counts.votes(part, 1 if train else 0)
-    y = np.maximum(1 + (rows[..., 2 * WIDTH :] + seen @ w["seen"]) / 8, np.float32(0.05))
-    s, g = _eighth(x), _eighth(y)
-    whole = s @ _ONES + g @ _THREE
-    hit = followed[:, None, :] == target[:, :, None]
-    mine = (hit * s) @ _ONES + (g * votes) @ _THREE
-    log_p = np.where(valid, np.log(mine / whole), np.float32(0))
+    known = rows.seen[before]
+    y = np.maximum(1 + (of[..., 2 * WIDTH] + known * w["seen"][0]) / 8, _LEAST)
+    s = x * x
+    s *= s
+    s *= s
+    g = ((y * y) ** 2) ** 2
+    whole = s @ _ONES + g
+    hit = there[:, None, :] == target[:, :, None]
+    copied = (hit * s) @ _ONES
+    by_spelling = np.log(g) + part["spelled"]
+    with np.errstate(divide="ignore"):
+        mine = np.logaddexp(np.log(copied), by_spelling)
+    log_p = np.where(valid, mine - np.log(whole), 0.0)
     if not train:
         return log_p
 
     on = valid.astype(np.float32)
-    less, more = (on / whole)[..., None], (on / mine)[..., None]
-    ds = hit * more
-    ds -= less
+    less = on / whole
+    more = on * np.where(copied > 0, np.exp(-mine), 0).astype(np.float32)
+    ds = hit * more[..., None]
+    ds -= less[..., None]
     ds *= s
     ds /= np.maximum(x, np.float32(1e-6))
-    dg = g * (votes * more - less) / y * (y > np.float32(0.05))
+    dg = ((on * np.exp(by_spelling - mine)).astype(np.float32) - g * less) / y * (y > _LEAST)
     grad = np.zeros(LENGTH, np.float32)
     d = weights(grad)
     d["place"] += ds.sum(0)
-    d["seen"] += seen.reshape(-1, 2).T @ dg.reshape(-1, EXPERTS)
+    d["seen"] += (known * dg).sum()
     dk = (8 * q).transpose(0, 2, 1) @ ds
     dk[:-1, :, BLOCK:] += dk[1:, :, :BLOCK]
-    drows = np.concatenate([(ds @ k.transpose(0, 2, 1)) * (8 * _SCALE), dk[:, :, BLOCK:].transpose(0, 2, 1), dg], -1)
-    _scatter(d["last"], last.ravel(), drows.reshape(-1, drows.shape[-1]))
+    dof = np.concatenate([(ds @ k.transpose(0, 2, 1)) * (8 * _SCALE), dk[:, :, BLOCK:].transpose(0, 2, 1), dg[..., None]], -1).reshape(-1, _COLUMNS)
+    _scatter(d["first"], first.ravel(), dof)
+    _scatter(d["last"], last.ravel(), dof)
     return log_p, grad
 
 
-def _eighth(x: np.ndarray) -> np.ndarray:
-    """The eighth power."""
-    x = x * x
-    x *= x
-    x *= x
-    return x
-
-
 def _scatter(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Adds ``rows`` to the rows ``at`` of ``table``."""
     order = np.argsort(at.astype(np.uint16), kind="stable")
@@ -407,7 +382,7 @@ def _scatter(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 class Adam:
     """Steps of gradient ascent on the mean log probability."""
 
-    def __init__(self, flat: np.ndarray, rate: float = 0.15):
+    def __init__(self, flat: np.ndarray, rate: float = 0.2):
         self.flat, self.rate, self.step = flat.astype(np.float64), rate, 0
         self.m, self.v = np.zeros(len(flat)), np.zeros(len(flat))
 
@@ -420,10 +395,13 @@ class Adam:
         return self.flat.astype(np.float32)
 
 
-def _slices(batch: pa.RecordBatch, characters: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """``batch`` (the text in its last column) in runs of about so many characters."""
+# on Spark
+
+
+def _slices(batch: pa.RecordBatch, characters: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` (of ``doc_id, text``) in runs of about so many characters."""
     at, size = 0, 0
-    for k, n in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
+    for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
         size += n or 0
         if size >= characters:
             yield batch.slice(at, k + 1 - at)
@@ -432,49 +410,74 @@ def _slices(batch: pa.RecordBatch, characters: int = 1_000_000) -> Iterator[pa.R
         yield batch.slice(at)
 
 
-def _trains(doc_id) -> bool:
-    return crc_mod(doc_id, HELD_OUT[0]) != HELD_OUT[1]
+def class_of(doc_id) -> int:
+    """The step that a document trains, -1 for those held out."""
+    if crc_mod(doc_id, HELD_OUT[0]) == HELD_OUT[1]:
+        return -1
+    return zlib.crc32(b"class" + (b"" if doc_id is None else str(doc_id).encode())) % CLASSES
+
+
+_GATHERED = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("class", pa.int32()), ("block", pa.string()), ("head", pa.binary()), ("body", pa.binary())])
+_SPAN = VOCAB**2 // RANGES
+
+
+def _gathered(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _GATHERED], schema=_GATHERED)
 
 
 def gathered(docs: DataFrame, path: str) -> DataFrame:
-    """What training documents say: counts ``n`` of words (the empty word is the end), and in
-    ``RANGES`` parts the packed counts of pairs of ids."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+    """In one pass, ``block`` rows of all documents, cut and dealt by class, and what those that
+    train say: counts ``n`` of words (the empty word is the end), and packed counts of pairs
+    of ids in ``RANGES`` parts."""
 
-    def said(vocabulary: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(n).tolist()
+    def said(cutter_words: list[bytes], hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(n)
         for k in range(0, len(at), 100_000):
             some = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([vocabulary[j] for j in some], pa.binary()), pa.array(n[some]), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], schema=schema)
+            yield _gathered(len(some), h=hashes[some].view(np.int64), word=[cutter_words[j] for j in some.tolist()], n=n[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = subwords(path)
         pairs, words, texts = np.zeros(VOCAB**2, np.int64), np.zeros(0, np.int64), 0
-        vocabulary = cutter.words
+        vocabulary, known = cutter.words, cutter.arrays()
         for batch in batches:
             for part in _slices(batch, 8_000_000):
-                some = [t for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _trains(i)]
-                if not some:
-                    continue
-                got = Texts(some, cutter)
-                if got.vocabulary is not vocabulary:  # the cutter has started anew
-                    yield from said(vocabulary, words)
-                    vocabulary, words = got.vocabulary, np.zeros(0, np.int64)
-                n = np.bincount(got.numbers, minlength=len(vocabulary))
+                ids = part.column(0).to_pylist()
+                numbers, lengths = cut_texts(part.column(1).to_pylist(), cutter)
+                if cutter.words is not vocabulary:  # the cutter has started anew
+                    yield from said(vocabulary, known[0], words)
+                    vocabulary, words = cutter.words, np.zeros(0, np.int64)
+                known = cutter.arrays()
+                klass = np.array([class_of(i) for i in ids])
+                owner = np.repeat(np.arange(len(ids)), lengths)
+                rows = []
+                for c in np.unique(klass).tolist():
+                    mine = klass == c
+                    got = Texts.of(numbers[mine[owner]], lengths[mine], known)
+                    head = np.array([[(i or 0, i is None) for i, m in zip(ids, mine, strict=True) if m]], np.int64).tobytes()
+                    rows.append((c, uuid.uuid4().hex, head, got.packed()))
+                    if c >= 0:
+                        texts += int(mine.sum())
+                        flat, at = got.flat.astype(np.int64), got.ends
+                        times = np.bincount(got.which, minlength=got.end)
+                        inner = np.repeat(times, np.diff(at))[1:]
+                        inner[at[1:-1] - 1] = 0
+                        pairs += np.bincount(flat[:-1] * VOCAB + flat[1:], inner, VOCAB**2).astype(np.int64) if len(flat) else 0
+                        first, last = np.r_[flat[at[:-1]], END], np.r_[flat[at[1:] - 1], END]
+                        pairs += np.bincount(last[np.r_[got.end, got.token[:-1]]] * VOCAB + first[got.token], minlength=VOCAB**2)
+                n = np.bincount(numbers[(klass >= 0)[owner]], minlength=len(vocabulary))
                 n[: len(words)] += words
-                words, texts = n, texts + len(some)
-                pairs += np.bincount(np.r_[END, got.ids[:-1]] * VOCAB + got.ids, minlength=VOCAB**2)
-        yield from said(vocabulary, words)
-        yield from said([b""], np.array([texts]))
+                words = n
+                yield _gathered(len(rows), **{"class": [r[0] for r in rows], "block": [r[1] for r in rows], "head": [r[2] for r in rows], "body": [r[3] for r in rows]})
+        yield from said(vocabulary, known[0], words)
+        if texts:
+            yield _gathered(1, h=[0], word=[b""], n=[texts])
         for k in range(RANGES):
-            mine = pairs[k * _SPAN : (k + 1) * _SPAN]
-            at = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([pack(at, mine[at])])], schema=schema)
-
-    return docs.mapInArrow(run, "word binary, n long, part int, blob binary")
-
+            at = np.flatnonzero(pairs[k * _SPAN : (k + 1) * _SPAN])
+            if len(at):
+                yield _gathered(1, part=[k], blob=[pack(at, pairs[k * _SPAN + at])])
 
-_SPAN = VOCAB**2 // RANGES
+    return docs.mapInArrow(run, "h long, word binary, n long, part int, blob binary, class int, block string, head binary, body binary")
 
 
 def pair_counts(parts: DataFrame) -> np.ndarray:
@@ -495,19 +498,18 @@ def pair_counts(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def by_class(docs: DataFrame) -> DataFrame:
-    """The texts of training documents, written class by class."""
-    spark = docs.sparkSession
+def by_class(table: DataFrame) -> DataFrame:
+    """The blocks, written class by class."""
+    spark = table.sparkSession
     path = shared_path(spark)
-    hashed = lambda column, n: F.pmod(F.xxhash64("doc_id", column), F.lit(n)).cast("int")
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // CLASSES)
-    texts = docs.where(~is_held_out(F.col("doc_id"), *HELD_OUT)).select("text", hashed(F.lit("class"), CLASSES).alias("class"), hashed("text", slots).alias("slot"))
-    texts.repartition("class", "slot").drop("slot").write.partitionBy("class").parquet(path)
-    return spark.read.schema("text string, class int").parquet(path)
+    slot = F.pmod(F.xxhash64("block"), F.lit(slots))
+    table.select("class", "block", "head", "body").repartition("class", slot).write.partitionBy("class").parquet(path)
+    return spark.read.schema("block string, head binary, body binary, class int").parquet(path)
 
 
-def train(texts: DataFrame, counts: Broadcast, path: str) -> np.ndarray:
-    """The weights after a step for each class of ``texts(text, class)``."""
+def train(table: DataFrame, counts: Broadcast) -> np.ndarray:
+    """The weights after a step for each class of the blocks."""
     schema = "blob binary, n long"
 
     def packed(total: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -515,13 +517,14 @@ def train(texts: DataFrame, counts: Broadcast, path: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["blob", "n"])
 
     def gradient(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-        w, cutter, total, n = weights(flat), subwords(path), np.zeros(LENGTH), 0
+        w, total, n = weights(flat), np.zeros(LENGTH), 0
         for batch in batches:
-            for part in _slices(batch):
-                got = Texts(part.column(0).to_pylist(), cutter)
-                for some in Blocks(got, counts.value.trie, 1).batches():
-                    total += forward(w, counts.value, some, train=True)[1]
-                n += len(got.ids)
+            for body in batch.column(0):
+                got = Texts.unpacked(body.as_py())
+                rows = Blocks(got, counts.value, 1)
+                for lead, part in rows.batches():
+                    total += forward(w, rows, part, lead, train=True)[1]
+                n += len(got.token)
         yield from packed(total, n)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,32 +536,50 @@ def train(texts: DataFrame, counts: Broadcast, path: str) -> np.ndarray:
 
     adam, flat = Adam(start()), start()
     for c in range(CLASSES):
-        sums = texts.where(F.col("class") == c).select("text").mapInArrow(functools.partial(gradient, flat=flat), schema)
+        sums = table.where(F.col("class") == c).select("body").mapInArrow(functools.partial(gradient, flat=flat), schema)
         got = sums.repartition(RANGES).mapInArrow(add, schema).collect()  # RANGES rows at most
         if got:
             flat = adam(sum(np.frombuffer(r["blob"]) for r in got) / sum(r["n"] for r in got))
     return flat
 
 
-def remembered(table: DataFrame, path: str, buckets: int) -> DataFrame:
-    """``table`` of blocks with, by bucket, how often each of its ``Contexts`` items occurs in
-    training texts, and how often its context does."""
+# memory
+
+
+class Contexts:
+    """The different (``MEMORY`` words, next token) of texts: hashes of the ``context`` and 32 bits
+    of the ``token``, and which of them stands at which of the ``places``."""
+
+    def __init__(self, texts: Texts):
+        words = np.r_[texts.hashes, np.uint64(0)][texts.token]
+        self.text = np.repeat(np.arange(len(texts.sizes)), texts.sizes)
+        self.places = np.flatnonzero(np.arange(len(words)) - np.repeat(np.cumsum(texts.sizes) - texts.sizes, texts.sizes) >= MEMORY)
+        context = np.zeros(len(self.places), np.uint64)
+        for k in range(1, MEMORY + 1):
+            context = hashing.mixed(context * np.uint64(hashing.BASE) + words[self.places - k])
+        word = words[self.places]
+        _, first, self.which = np.unique(hashing.mixed(context * np.uint64(hashing.BASE) + word), return_index=True, return_inverse=True)
+        self.context, self.token = context[first], (word[first] >> np.uint64(32)).astype(np.uint32)
+
+
+def remembered(table: DataFrame, buckets: int) -> DataFrame:
+    """The blocks with, by bucket, how often each of their ``Contexts`` occurs in training texts,
+    and how often its words do."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in blocks.rows_of(batches):
-            items = Contexts(texts_of(row, path))
-            trains = np.array([_trains(i) for i in blocks.ids_of(row)], np.int64)
-            n = np.bincount(items.which, trains[items.text[items.places]], len(items.word)).astype(np.uint32)
+            items = Contexts(Texts.unpacked(row["body"]))
+            n = np.bincount(items.which, minlength=len(items.token)).astype(np.uint32) * np.uint32(row["class"] >= 0)
             order, bucket, rest = blocks.by_bucket(items.context, buckets)
-            sent = [rest, items.word[order], n[order]]
+            sent = [rest, items.token[order], n[order]]
             out = [(row["block"], b, pack(*(x[lo:hi] for x in sent))) for b, lo, hi in blocks.runs(bucket)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "sent"])
 
     def compare(rows: list[dict]) -> list[tuple]:
         sent = [np.frombuffer(unpack(r["sent"]), np.uint32).reshape(3, -1) for r in rows]
-        context, word, n = np.concatenate(sent, 1)
-        key = context.astype(np.uint64) << np.uint64(32) | word
+        context, token, n = np.concatenate(sent, 1)
+        key = context.astype(np.uint64) << np.uint64(32) | token
         order = np.argsort(key)
         key, n = key[order], n[order].astype(np.int64)
         out = np.empty((2, len(key)), np.uint32)
@@ -568,88 +589,84 @@ def remembered(table: DataFrame, path: str, buckets: int) -> DataFrame:
         ends = np.cumsum([0, *(x.shape[1] for x in sent)])
         return [(r["block"], r["bucket"], pack(out[0, a:b], out[1, a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
 
-    return blocks.answered(table, blocks.answers(table.mapInArrow(send, blocks.SENT), buckets, compare), "seen")
-
-
-def texts_of(row: dict, path: str) -> Texts:
-    """The texts of a block."""
-    _, sizes, raw = blocks.opened(row)
-    stops = np.cumsum(sizes).tolist()
-    return Texts([raw[b - a : b] for a, b in zip(sizes.tolist(), stops, strict=True)], subwords(path))
+    return blocks.answered(table, blocks.answers(table.mapInArrow(send, blocks.SENT), buckets, compare), "said")
 
 
 def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np.ndarray:
-    """Natural-log probabilities of words (and ends), those of the model mixed with the memory's."""
+    """Natural-log probabilities of tokens, those of the model mixed with the memory's."""
     order, bucket, _ = blocks.by_bucket(items.context, buckets)
-    seen = np.zeros((2, len(order)))
-    of = {a["bucket"]: a["answer"] for a in row["seen"] or []}
+    said = np.zeros((2, len(order)))
+    of = {a["bucket"]: a["answer"] for a in row["said"] or []}
     for b, lo, hi in blocks.runs(bucket):
-        seen[:, order[lo:hi]] = np.frombuffer(unpack(of[b]), np.uint32).reshape(2, -1)
-    c, n = seen[:, items.which]
+        said[:, order[lo:hi]] = np.frombuffer(unpack(of[b]), np.uint32).reshape(2, -1)
+    c, n = said[:, items.which]
     out = log_p.copy()
     with np.errstate(divide="ignore"):
         out[items.places] = np.logaddexp(np.log(c), math.log(MEMORY_WEIGHT) + log_p[items.places]) - np.log(n + MEMORY_WEIGHT)
     return out
 
 
-def trie_of(frequent: dict[bytes, int], texts: int, path: str) -> Trie:
+def spelling(pairs: np.ndarray, frequent: dict[bytes, int], texts: int, path: str) -> Counts:
     cutter = Subwords(path)
     cutter.numbers(list(frequent))
-    return Trie(*cutter.arrays(), np.array(list(frequent.values()), np.int64), texts)
+    _, flat, ends = cutter.arrays()
+    return Counts(pairs, flat, ends, np.array(list(frequent.values()), np.int64), texts, cutter.starts)
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords)``."""
     path = path or tokenizer_file()
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = cut(blocks.blocks(docs, nulls=True))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // 8))
-    raw = cut(gathered(docs, path))
-    words = cut(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    raw = cut(gathered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path))
+    table = by_class(raw.where("block is not null"))
+    words = cut(raw.where("word is not null").groupBy("h", "word").agg(F.sum("n").alias("n")))
     ends = F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))
     n_all, n_words, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), ends).first()
-    often = words.where(F.length("word").between(1, WORD_BYTES)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    frequent = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
-    counts = spark.sparkContext.broadcast(Counts(pair_counts(raw.where("part is not null")), trie_of(frequent, end, path)))  # of bounded size
-    flat = train(by_class(docs), counts, path)
-    sent = spark.sparkContext.broadcast((flat, frequent))
+    short = F.when(F.length("word") <= WORD_BYTES, F.col("word")).alias("word")
+    often = words.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(FREQUENT).select("h", short, "n").toArrow().sort_by("h")
+    h, n = (often.column(c).to_numpy() for c in ("h", "n"))
+    frequent = {w: k for w, k in zip(often.column("word").to_pylist(), n.tolist(), strict=True) if w is not None}
+    counts = spark.sparkContext.broadcast(spelling(pair_counts(raw.where("part is not null")), frequent, end, path))  # of bounded size
+    flat = train(table, counts)
+    sent = spark.sparkContext.broadcast((flat, h, n))
     less = math.log10(n_all + n_words + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.agg(F.sum(F.length("body"))).first()[0] // BUCKET_BYTES) if n_all else 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, frequent = sent.value
+        flat, often, times = sent.value
         w, rng = weights(flat), random.SystemRandom()
         for row in blocks.rows_of(batches):
-            got, ids = texts_of(row, path), blocks.ids_of(row)
-            rows = len(ids)
-            log_p = [forward(w, counts.value, some)[some["valid"]] for some in Blocks(got, counts.value.trie).batches()]
+            got = Texts.unpacked(row["body"])
+            ids, null = np.frombuffer(row["head"], np.int64).reshape(-1, 2).T.tolist()
+            rows = Blocks(got, counts.value)
+            log_p = np.concatenate([forward(w, rows, part, lead)[lead:] for lead, part in rows.batches()]).ravel()[rows.slot]
             items = Contexts(got)
-            words = np.add.reduceat(np.concatenate(log_p, dtype=np.float64), got.word_starts())
-            lm = np.bincount(items.text, by_memory(words, items, row, buckets), rows)
-            distinct, inverse = np.unique(got.numbers, return_inverse=True)
-            c = np.array([frequent.get(got.vocabulary[k], -1) for k in distinct.tolist()], np.int64)[inverse] if len(distinct) else np.zeros(0, np.int64)
-            of = np.repeat(np.arange(rows), got.lengths)
-            base = np.bincount(of, np.log10(np.maximum(c, 0) + 1.0), rows) + math.log10(end + 1) - (got.lengths + 1) * less
-            known = np.bincount(of[c > 0], minlength=rows) + (end > 0)
+            total = np.bincount(items.text, by_memory(log_p, items, row, buckets), len(ids))
+            hashes = got.hashes.view(np.int64)
+            at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
+            c = np.where(often[at] == hashes, times[at], -1)[got.which] if len(often) else np.full(len(got.which), -1)
+            of = np.repeat(np.arange(len(ids)), got.lengths)
+            base = np.bincount(of, np.log10(np.maximum(c, 0) + 1.0), len(ids)) + math.log10(end + 1) - got.sizes * less
+            known = np.bincount(of[c > 0], minlength=len(ids)) + (end > 0)
             # the words without a count here, counted per text
             rare = np.flatnonzero(c < 0)
-            pair, n = np.unique(of[rare] * (1 << 32) + got.numbers[rare], return_counts=True)
-            text, word = pair >> 32, pair & (1 << 32) - 1
-            ends = np.searchsorted(text, np.arange(rows + 1)).astype(np.int32)
-            more = pa.StructArray.from_arrays([pa.array([got.vocabulary[k] for k in word.tolist()], pa.binary()), pa.array(n.astype(np.int64))], ["word", "times"])
+            pair, n = np.unique(of[rare] * (1 << 32) + got.which[rare], return_counts=True)
+            stops = np.searchsorted(pair >> 32, np.arange(len(ids) + 1)).astype(np.int32)
+            more = pa.StructArray.from_arrays([pa.array(hashes[pair & (1 << 32) - 1]), pa.array(n.astype(np.int64))], ["h", "times"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([rng.getrandbits(63) for _ in range(rows)], pa.int64()), pa.array(ids, pa.int64()), pa.array([not _trains(i) for i in ids]),
-                    pa.array((got.lengths + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lm / math.log(10)), pa.array(got.sizes), pa.ListArray.from_arrays(pa.array(ends), more),
+                    pa.array([rng.getrandbits(63) for _ in ids], pa.int64()), pa.array(ids, pa.int64(), mask=np.array(null, bool)), pa.array([row["class"] < 0] * len(ids)),
+                    pa.array(got.sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total / math.log(10)), pa.array(got.ids_of), pa.ListArray.from_arrays(pa.array(stops), more),
                 ],
                 ["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_subwords", "rare"],
             )
 
-    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_subwords long, rare array<struct<word:binary,times:long>>"
-    scored = cut(remembered(table, path, buckets).mapInArrow(run, schema))
-    rare = scored.select("key", F.inline("rare")).join(words, "word")
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_subwords long, rare array<struct<h:long,times:long>>"
+    scored = cut(remembered(table, buckets).mapInArrow(run, schema))
+    rare = scored.select("key", F.inline("rare")).join(words.select("h", "n"), "h")
     rare = rare.groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
     return scored.drop("rare").join(rare, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score", "n_subwords",
     )
+
