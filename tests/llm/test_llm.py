@@ -95,17 +95,57 @@ def test_all_lacings_are_read():
         assert [body[a:b] for a, b in media.laced(body, 0, len(body), kind)] == frames
 
 
+def test_clusters_of_unknown_size_end_at_the_next():
+    data = media.mux(b"ab" * 96 * 3000)
+    (segment,) = (e for e in media.children(data, 0, len(data)) if e.name == media.SEGMENT)
+    parts = list(media.children(data, segment.start, segment.stop))
+    open_ = lambda e: media._id(e.name) + b"\xff" + data[e.start : e.stop] if e.name == media.CLUSTER else data[e.head : e.stop]
+    assert sum(e.name == media.CLUSTER for e in parts) == 3
+    streamed = data[: segment.head] + media._id(media.SEGMENT) + b"\x01" + b"\xff" * 7 + b"".join(open_(e) for e in parts if e.name != media.CUES)
+    tracks, packets = media.demux(streamed)
+    assert b"".join(streamed[p.start : p.stop] for p in packets) == b"ab" * 96 * 3000 and tracks[1]["rate"] == 8000
+    assert [p.timestamp_ms for p in packets] == [24.0 * k for k in range(3000)]
+
+
+def test_damaged_files_and_odd_rows(spark):
+    good = media.mux(b"x" * 192)
+    bad = [good[:-40], b"\x00" * 9, good.replace(media._id(media.SIMPLE_BLOCK) + media.vint(196), media._id(media.SIMPLE_BLOCK) + media.vint(250)), None]
+    files = spark.createDataFrame([(k, bytearray(x) if x is not None else None) for k, x in enumerate([*bad, good])], "doc_id long, media binary")
+    got = {k: [(r["packet"], r["error"] is None) for r in rows] for k, rows in itertools.groupby(sorted(media.packets(files).collect(), key=lambda r: r["doc_id"]), lambda r: r["doc_id"])}
+    assert got == {0: [(None, False)], 1: [(None, False)], 2: [(None, False)], 4: [(0, True)]}
+    with pytest.raises(ValueError):
+        media.laced(b"\x02abcd", 0, 5, media.FIXED)
+    rows = spark.createDataFrame([(None, "a", "en", "s", 0), (1, "b", "en", "s", 0), (1, "b", "en", "s", 0)], DOC)
+    assert sorted(str(r["doc_id"]) for r in media.digests(media.media(rows.withColumn("media", F.lit("clash")).withColumn("n_bytes", F.lit(0)))).collect()) == ["1", "1", "None"]
+    assert media.digests(media.media(rows.where("false"))).count() == 0
+
+
+def test_features_by_hand(spark):
+    (r,) = media.digests(media.media(docs(spark, ["ab" * 96]))).collect()
+    x = [97, 98] * 96
+    rms = (sum(v * v for v in x) / 192) ** 0.5
+    assert r["feature"] == f"tracks=1;packets=1;ms=24;mean=97.5000;rms={rms:.4f};step={191 / 192:.4f};distinct=2"
+    data = media.mux(b"ab" * 96)
+    assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest()) and data.count(b"ab" * 96) == 1
+
+
 # chat
 
 
 def test_rotation(spark):
-    t = spark.createDataFrame([(1, 0, "system", "S"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, None, "x"), (None, 0, "user", "lost"), (2, 0, "system", "only"), (3, 300, "user", "late"), (3, 1, "user", "a"), (3, 1, "user", "a")], "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(t).collect()}
-    assert set(got) == {(1, "user", 0), (1, "assistant", 0), (1, "unknown", 0), (3, "user", 0), (3, "user", 1)}
-    r = got[1, "user", 0]
-    assert r["text"] == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=assistant|>\n<|end|>\n<|user name=unknown|>\nx<|end|>\n"
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, None, "x<|end|>"), (None, 0, "user", "lost"), (2, 0, "system", "only"), (3, 300, "user", "late"), (3, 1, "user", "a"), (3, 1, "user", "a"), (3, None, "u|>", "first")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *[F.lit("clash").alias(c) for c in ("part", "head", "said", "k", "at", "perspective", "mask")])
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(t).collect()}
+    assert set(got) == {(1, "user"), (1, "assistant"), (1, "unknown"), (3, "user"), (3, "u| >")}
+    r = got[1, "user"]
+    assert r["text"] == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=assistant|>\n<|end|>\n<|user name=unknown|>\nx< |end|><|end|>\n"
     assert [r["text"][m["start"] : m["stop"]] for m in r["mask"]] == ["hi<|end|>\n"]
-    assert got[3, "user", 0]["n_turns"] == 2 and chat.rotate(t.where("false")).count() == 0
+    assert got[3, "user"]["n_turns"] == 4 and got[3, "user"]["text"].startswith("<|user name=u| >|>\nfirst") and chat.rotate(t.where("false")).count() == 0
+    parts = {(r["perspective"], r["part"]): r["n_turns"] for r in chat.rotate(t.where("conv_id = 3"), part=256).collect()}
+    assert parts == {("user", 0): 3, ("user", 1): 1, ("u| >", 0): 3, ("u| >", 1): 1}
+    long = spark.createDataFrame([(1, k, "ab"[k % 2], "w " * (k % 7) if k else "z" * 50_000) for k in range(1500)], "conv_id long, turn long, role string, text string")
+    for r in chat.rotate(long).collect():
+        assert r["n_turns"] == 1500 and r["n_own_turns"] == 750 and "".join(r["text"][m["start"] : m["stop"]] for m in r["mask"]).count(chat.END) == 750
 
 
 # lines
@@ -126,7 +166,8 @@ def test_within_is_edit_distance(spark):
         assert df.where(lines.within(F.col("a"), F.col("b"), d) != (F.levenshtein("a", "b") <= d)).count() == 0
 
 
-def test_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("frequent", [100_000, 1])
+def test_lines_against_all_pairs(spark, monkeypatch, frequent):
     rng = random.Random(4)
     texts = []
     for _ in range(30):
@@ -138,7 +179,8 @@ def test_lines_against_all_pairs(spark):
                 b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "c"])
             ls.append("".join(b))
         texts.append("\n".join(ls))
-    texts += [None, "", "short\nshort"]
+    texts += [None, "", "short\nshort", " \n \n\t", "z" * 90_000, "z" * 90_001, "short"]
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     got = {r["doc_id"]: r for r in lines.per_document(docs(spark, texts, extra=True)).collect()}
 
     def distance(a, b):
@@ -153,8 +195,9 @@ def test_lines_against_all_pairs(spark):
     for k, t in enumerate(texts):
         gone = []
         for n, line in enumerate((t or "").split("\n")):
-            if len(line) >= lines.MIN_CHARS:
-                if any(abs(len(o) - len(line)) <= 2 and distance(o, line) <= 2 for o in seen):
+            if line.strip():
+                near = len(line) >= lines.MIN_CHARS
+                if line in seen or near and any(len(o) >= lines.MIN_CHARS and abs(len(o) - len(line)) <= 2 and distance(o, line) <= 2 for o in seen):
                     gone.append(n)
                 seen.append(line)
         assert got[k]["removed"] == gone, (k, t)
@@ -203,6 +246,17 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, short, block):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_jaccard_of_repeated_ids_does_not_depend_on_order(spark):
+    w = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(w[:20]), " ".join(w[20:40]), " ".join(w[40:])
+    rows = [(1, a), (1, b), (1, c), (2, f"{b} more"), (3, f"{c} more"), (4, "alone in its set of words"), (5, None), (5, a), (6, a)]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 1}
+    for order in (rows, rows[::-1], [*rows[3:], *rows[:3]]):
+        got = jaccard.join(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), threshold=(4, 5)).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 @pytest.mark.parametrize("edges_per_task", [300_000, 4])
 def test_min_label(spark, monkeypatch, edges_per_task):
     monkeypatch.setattr(common, "EDGES", edges_per_task)
@@ -226,6 +280,47 @@ def test_decontamination(spark):
     assert decontam.matches(docs(spark, texts).where("false"), items).count() == 0
 
 
+def _windows(text, item):
+    """The best window of ``text`` for ``item`` over all windows: (start, in common, in union)."""
+    grams = lambda ws: collections.Counter(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4)))
+    ws, want, best = text.lower().split(), item.lower().split(), None
+    for k in range(max(0, len(ws) - len(want)) + 1 if ws and want else 0):
+        a, b = grams(ws[k : k + len(want)]), grams(want)
+        both = sum((a & b).values())
+        either = sum(a.values()) + sum(b.values()) - both
+        if 5 * both >= 4 * either and (best is None or both / either > best[1] / best[2]):
+            best = (k, both, either)
+    return best
+
+
+def test_decontamination_against_all_windows(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 4)
+    items = [[word() for _ in range(n)] for n in (60, 60, 25, 3, 4, 5, 600)] + [["x"] * 30]
+    items.append([*items[0][:50], *[word() for _ in range(10)]])
+    texts = []
+    for ws in items * 6:
+        ws = list(ws)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(ws))
+            ws[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 2)
+        half = len(ws) // 2 if rng.random() < 0.3 else 0
+        ws = ws[half:] + ws[:half]
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 20))] + ws + [word() for _ in range(rng.randint(0, 20))]))
+    texts += ["x " * 40, " ".join(items[1][:50]), " ".join(f"{' '.join(items[2])} y" for _ in range(3))]
+    table = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["window_start"], r["in_common"], r["in_union"]) for r in decontam.matches(docs(spark, texts), table).collect()}
+    want = {(i, k): m for i, t in enumerate(texts) for k, ws in enumerate(items) if (m := _windows(t, " ".join(ws)))}
+    assert got == want and any(m[0] for m in want.values())
+
+
+def test_swapped_halves_are_found(spark):
+    item = [f"w{k}" for k in range(60)]
+    text = " ".join(item[30:] + item[:30])
+    got = decontam.matches(docs(spark, [text, text]).unionByName(docs(spark, ["other words of the same document"])), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["in_common"], r["in_union"]) for r in got) == [(0, 52, 60), (1, 52, 60)]
+
+
 def test_hamming_blocks_reach_the_radius():
     rng = random.Random(6)
     masks = set(decontam.masks())
@@ -284,7 +379,7 @@ def test_blocks_hold_every_document(spark):
 # language
 
 
-def test_phrases_are_greedy_longest_matches():
+def test_phrases_are_greedy_longest_matches(monkeypatch):
     text = b"abracadabra banana"
     a = langid.Automaton(text)
 
@@ -298,9 +393,11 @@ def test_phrases_are_greedy_longest_matches():
         return n
 
     rng = random.Random(8)
-    parts = sorted(("".join(rng.choices("abcrdnx ", k=rng.randint(1, 30))).encode() for _ in range(200)), key=len, reverse=True)
-    block = np.frombuffer(b"".join(p.ljust(30, b"\0") for p in parts), np.uint8).reshape(-1, 30)
-    assert a.phrases(block, np.array([len(p) for p in parts])).tolist() == [parse(p) for p in parts]
+    texts = [("".join(rng.choices(["abracadabra banana", "a", "b", "cadabra", "n", "x"], k=rng.randint(1, 60)))).encode() for _ in range(80)]
+    for size in (7, 30, 4000):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        got = langid.rates({"a": a}, texts)[:, 0] * [len(t) for t in texts] / a.bits
+        assert got.tolist() == pytest.approx([parse(t) for t in texts])
 
 
 def test_language_accuracy_and_edges(spark):
@@ -312,6 +409,13 @@ def test_language_accuracy_and_edges(spark):
     odd = {r["doc_id"]: r for r in langid.identify(docs(spark, [None, "", "123 ...", "é", "word"]), models).collect()}
     assert [odd[k]["lang_pred"] == "und" for k in range(5)] == [True, True, True, False, False] and all(0 <= r["score"] <= 1 for r in odd.values())
     assert langid.identify(docs(spark, ["word"]), {}).first()["lang_pred"] == "und"
+    again = langid.identify(docs(spark, ["word", "word", "one very long text " * 40_000]).unionByName(docs(spark, ["word"])), models).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in again if r["doc_id"] < 2}) == 1 and len(again) == 4
+    assert langid.identify(docs(spark, ["word"]).where("false"), models).count() == 0
+    tie = langid.fit([("b", b"abc abc"), ("a", b"abc abc")])
+    assert langid.identify(docs(spark, ["abc"]), tie).first()["lang_pred"] == "a"
+    nulls = d.withColumn("lang", F.when(F.col("lang") == "de", None).otherwise(F.col("lang")))
+    assert {lang for lang, _ in langid.training_sample(nulls)} == {"en", "es", "fr"}
     kept = langid.accepted(docs(spark, ["word", "12"], extra=True), models)
     assert kept.columns == docs(spark, [], extra=True).columns and kept.count() == 1
 
@@ -338,31 +442,146 @@ def test_language_sample_takes_short_texts_and_whole_ones(spark):
 # language model
 
 
+def _model(texts, seed=0):
+    """Counts of ``texts``, all of which train, and weights away from the first ones."""
+    path = packing.tokenizer_file()
+    cutter = lm.subwords(path)
+    numbers, lengths = lm.cut_texts(texts, cutter)
+    got = lm.Texts.of(numbers, lengths, cutter.arrays())
+    often = collections.Counter(w for t in texts for w in common.words_of(t))
+    pairs = np.zeros((lm.VOCAB, lm.VOCAB), np.int64)
+    for t in texts:
+        np.add.at(pairs, tuple(np.array(list(itertools.pairwise([lm.END, *_ids(t), lm.END]))).T), 1)
+    flat = lm.start() + np.random.default_rng(seed).normal(0, 0.2, lm.LENGTH).astype(np.float32)
+    return got, lm.spelling(pairs.ravel(), often, len(texts), path), flat
+
+
+def _cut(word):
+    cutter = lm.subwords(packing.tokenizer_file())
+    (n,) = cutter.numbers([word]).tolist()
+    _, flat, ends = cutter.arrays()
+    return tuple(flat[ends[n] : ends[n + 1]].tolist())
+
+
+def _ids(text):
+    return [y for word in common.words_of(text) for y in _cut(word)]
+
+
+def _some_texts(n=40, seed=5):
+    rng = random.Random(seed)
+    return [" ".join(rng.choices(["the", "cat", "satisfied", "zwölf", "unbelievably", "on", f"w{k}", "the the"], k=rng.randint(0, 40))) for k in range(n)]
+
+
+def test_packed_texts_come_back():
+    for texts in (["", None], [], ["a"], _some_texts()):
+        got, _, _ = _model(texts)
+        again = lm.Texts.unpacked(got.packed())
+        assert all(np.array_equal(getattr(got, k), getattr(again, k)) for k in ("lengths", "which", "hashes", "flat", "ends", "token"))
+        assert got.ids_of.tolist() == [len(_ids(t)) + 1 for t in texts]
+
+
 def test_gradient():
-    rng = np.random.default_rng(0)
-    prior = lm.Priors(rng.integers(0, 3, lm.SIDE**4).astype(float))
-    ids = rng.integers(0, 1024, 60)
-    keys, targets, valid, _ = lm.blocks(ids, np.array([41, 19]))
-    flat = lm.start() + rng.normal(0, 0.1, lm.LENGTH).astype(np.float32)
-    _, g = lm.forward(lm.weights(flat), prior, keys, targets, valid, train=True)
-    for k in np.argsort(-abs(g))[:8]:
-        step = np.zeros(lm.LENGTH, np.float32)
-        step[k] = 3e-2
-        up, down = (-lm.forward(lm.weights(f), prior, keys, targets, valid).sum() for f in (flat + step, flat - step))
-        assert (up - down) / 6e-2 == pytest.approx(g[k], rel=0.02)
-
-
-def test_probabilities_sum_to_one_and_blocks_score_each_id_once():
-    prior = lm.Priors(np.random.default_rng(1).integers(0, 3, lm.SIDE**4).astype(float))
-    sizes = np.array([1, 16, 17, 40])
-    ids = np.arange(sizes.sum()) % 1024
-    keys, targets, valid, owner = lm.blocks(ids, sizes)
-    assert np.bincount(owner, valid.sum(1)).tolist() == sizes.tolist() and (targets[valid] == ids).all()
-    every = np.repeat(keys[-1:], 1024, 0)
-    at = np.zeros((1024, lm.BLOCK), np.int64)
-    at[:, 0] = np.arange(1024)
-    p = lm.forward(lm.weights(lm.start()), prior, every, at, np.ones_like(at, bool))[:, 0]
-    assert np.exp(p).sum() == pytest.approx(1, rel=1e-5)
+    got, counts, flat = _model(_some_texts())
+    rows = lm.Blocks(got, counts, 1)
+    total = lambda f: sum(lm.forward(lm.weights(f), rows, p, k, True)[0].sum() for k, p in rows.batches(7))
+    g = sum(lm.forward(lm.weights(flat), rows, p, k, True)[1].astype(float) for k, p in rows.batches(7))
+    parts = np.cumsum([0, *(np.prod(shape) for shape in lm.SHAPES.values())])
+    for a, b in itertools.pairwise(parts):
+        for k in a + np.argsort(-abs(g[a:b]))[:4]:
+            step = np.zeros(lm.LENGTH, np.float32)
+            step[k] = 2e-2
+            assert (total(flat + step) - total(flat - step)) / 4e-2 == pytest.approx(g[k], rel=0.03, abs=0.02)
+
+
+def _plain(texts, trains, flat):
+    """Every text's log10 probability, one token after another."""
+    w, c = lm.weights(flat.astype(float)), collections.Counter
+    starts = lm.subwords(packing.tokenizer_file()).starts
+    begin, whole, firsts, pair, memory, context = c(), c(), c(), c(), c(), c()
+    for t in itertools.compress(texts, trains):
+        for word in common.words_of(t):
+            ids = _cut(word)
+            begin.update(ids[:k] for k in range(1, len(ids) + 1))
+            whole[ids] += 1
+            firsts[ids[0]] += 1
+        firsts[lm.END] += 1
+        pair.update(itertools.pairwise([lm.END, *_ids(t), lm.END]))
+        ws = [*common.words_of(t), b""]
+        for k in range(3, len(ws)):
+            memory[tuple(ws[k - 3 : k + 1])] += 1
+            context[tuple(ws[k - 3 : k])] += 1
+    alone, after, known = c(), c(), c()
+    for (a, b), n in pair.items():
+        alone[b] += n
+        after[a] += n
+        known[a] += n if starts[b] else 0
+    every, begun = sum(alone.values()), sum(firsts.values()) + 0.5 * starts.sum()
+    one = lambda y: (alone[y] + 0.5) / (every + 0.5 * lm.VOCAB)
+    two = lambda a, y: (pair[a, y] + 8 * one(y)) / (after[a] + 8)
+    stop = {}
+
+    def spelled(before, ids):
+        a, y = before[-1], ids[0]
+        p = (pair[a, y] + 8 * (firsts[y] + 0.5) / begun) / (known[a] + 8)
+        if ids == (lm.END,):
+            return p
+        for k in range(1, len(ids)):
+            p *= (begin[ids[: k + 1]] + 2 * two(ids[k - 1], ids[k])) / (begin[ids[:k]] + 2)
+        if ids[-1] not in stop:
+            stop[ids[-1]] = sum(two(ids[-1], y) for y in np.flatnonzero(starts).tolist())
+        return p * (whole[ids] + 2 * stop[ids[-1]]) / (begin[ids] + 2)
+
+    def row(ids):
+        return w["first"][ids[0]] + w["last"][ids[-1]]
+
+    def model(tokens, t):
+        of = lambda j: tokens[j - 1] if j else (lm.END,)
+        seen = np.log1p(whole[of(t)] if of(t) != (lm.END,) else firsts[lm.END]) / 10
+        slots = [(max(0.05, 1 + (row(of(t))[-1] + seen * w["seen"][0]) / 8) ** 8, spelled(of(t), tokens[t]))]
+        for j in range(max(0, t // lm.BLOCK - 1) * lm.BLOCK, t):
+            x = 1 + w["place"][t % lm.BLOCK, j - (t // lm.BLOCK - 1) * lm.BLOCK] / 8
+            x += row(of(t))[: lm.WIDTH] @ row(of(j))[lm.WIDTH : 2 * lm.WIDTH] * lm.WIDTH**-0.5 / 8
+            slots.append((max(0, x) ** 8, float(tokens[j] == tokens[t])))
+        return sum(a * p for a, p in slots) / sum(a for a, _ in slots)
+
+    out = []
+    for text in texts:
+        ws = [*common.words_of(text), b""]
+        tokens = [_cut(x) for x in ws[:-1]] + [(lm.END,)]
+        total = 0.0
+        for k in range(len(ws)):
+            p, n = model(tokens, k), context[tuple(ws[k - 3 : k])] if k >= 3 else 0
+            total += math.log10((memory[tuple(ws[k - 3 : k + 1])] + 0.25 * p) / (n + 0.25) if n else p)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_those_of_one_token_after_another(spark, monkeypatch):
+    texts = [*ODD[:7], *_some_texts(30), "same three words here again and same three words here too " * 3, "x" * 200]
+    _, _, flat = _model(["x"], 3)
+    monkeypatch.setattr(lm, "train", lambda *_: flat)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs(spark, texts, extra=True)).collect()}
+    want = _plain(texts, [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))], flat)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+
+
+def test_spelling_is_a_distribution():
+    _, counts, _ = _model(_some_texts())
+    first = np.exp(counts.first.reshape(lm.VOCAB, lm.VOCAB).astype(float))
+    assert first.sum(1) == pytest.approx(np.ones(lm.VOCAB), rel=1e-4) and not first[:, ~counts.starts].any()
+    known = _cut(b"unbelievably")
+    for some in (known[:1], known[:2], known, _cut(b"never") + (5,)):
+        ids = [*some]
+        more = [[*ids, y] for y in range(lm.VOCAB) if not counts.starts[y]]
+        every = [ids, *more]
+        got = lm.Texts(np.array([len(every)]), np.arange(len(every)), np.arange(len(every), dtype=np.uint64), np.array([y for x in every for y in x], np.uint16), np.cumsum([0, *map(len, every)]))
+        h = lm.beginnings(got.flat, got.ends)
+        at = got.ends[1:] - 1
+        begun, last = counts._of(h)[at], got.flat[at]
+        a = float(counts.WEIGHTS[0])
+        go_on = (begun[1:] + a * counts.pair[ids[-1], last[1:]]) / (begun[0] + a)
+        over = (counts._of(counts._closed(h[at[:1]]))[0] + a * counts.stop[ids[-1]]) / (begun[0] + a)
+        assert go_on.sum() + over == pytest.approx(1, rel=1e-4)
 
 
 def test_base_scores(spark):
@@ -382,20 +601,38 @@ def test_base_scores(spark):
 
 
 def test_weights_learn_from_every_training_document(spark):
-    rng = random.Random(9)
-    texts = [" ".join(rng.choices(["the", "cat", "sat", f"w{k % 50}", "on"], k=6)) for k in range(3800)]
-    path = packing.tokenizer_file()
-    cutter = lm.subwords(path)
-    got = lm.Texts([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], cutter)
-    prior = lm.Priors(np.bincount(np.r_[lm.END, got.ids[:-1]] * lm.SIDE**2 + got.ids, minlength=lm.SIDE**4).astype(float))
-    flat = lm.start()
-    for _ in range(lm.ROUNDS):
-        flat = lm.trained(flat, prior, [got])[0]
-    every = lm.Texts(texts, cutter)
-    keys, targets, valid, owner = lm.blocks(every.ids, every.sizes)
-    want = np.bincount(owner, lm.forward(lm.weights(flat), prior, keys, targets, valid).sum(1), len(texts)) / math.log(10)
-    scores = {r["doc_id"]: r["score"] for r in lm.score(docs(spark, texts).coalesce(1).orderBy("doc_id").coalesce(1)).collect()}
-    assert [scores[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-3)
+    texts = _some_texts(300)
+    table = lm.by_class(lm.gathered(docs(spark, texts), packing.tokenizer_file()).where("block is not null"))
+    rows = [(r["class"], [i for i, _ in np.frombuffer(r["head"], np.int64).reshape(-1, 2).tolist()]) for r in table.collect()]
+    assert sorted(i for k, ids in rows if k >= 0 for i in ids) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sorted(i for _, ids in rows for i in ids) == list(range(300))
+    _, counts, _ = _model(texts)
+    adam, flat = lm.Adam(lm.start()), lm.start()
+    for c in range(lm.CLASSES):
+        if some := [texts[i] for k, ids in rows if k == c for i in ids]:
+            got, _, _ = _model(some)
+            blocked = lm.Blocks(got, counts, 1)
+            flat = adam(sum(lm.forward(lm.weights(flat), blocked, p, k, True)[1].astype(float) for k, p in blocked.batches()) / len(got.token))
+    got = lm.train(table, spark.sparkContext.broadcast(counts))
+    assert np.abs(got - flat).max() < 1e-2 and np.abs(got - lm.start()).max() > 0.1
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    texts = [*_some_texts(200), *_some_texts(20)]
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(docs(spark, texts).repartition(n)).collect()} for n in (1, 7))
+    assert all(many[i] == pytest.approx(one[i], rel=1e-4) for i in one)
+
+
+def test_rows_with_null_ids_and_repeated_rows_are_scored(spark):
+    rows = [(None, "null id here", "en", "s", 0), (None, None, "en", "s", 0), (1, "twice the same row", "en", "s", 0), (1, "twice the same row", "en", "s", 0)]
+    got = [(r["doc_id"], r["n_tokens"], r["train_tokens"]) for r in lm.score(spark.createDataFrame(rows, DOC)).collect()]
+    n = sum(k for i, k in ((None, 4), (None, 1), (1, 5), (1, 5)) if common.crc_mod(i, 7) != 2)
+    assert sorted(got, key=str) == sorted([(None, 4, n), (None, 1, n), (1, 5, n), (1, 5, n)], key=str)
+
+
+def test_held_out_scores_beat_word_counts(spark):
+    got = lm.score(common.documents(spark, "/root/testdata/sf0.001")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
 
 
 # quality

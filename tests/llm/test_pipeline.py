@@ -58,8 +58,8 @@ def _brute(texts, items):
     for i, t in left.items():
         good = []
         for line in t.split("\n"):
-            near = len(line) >= 20 and any(abs(len(o) - len(line)) <= 2 and _distance(o, line) <= 2 for o in seen)
-            seen += [line] if len(line) >= 20 else []
+            near = line.strip() and (line in seen or len(line) >= 20 and any(len(o) >= 20 and abs(len(o) - len(line)) <= 2 and _distance(o, line) <= 2 for o in seen))
+            seen.append(line)
             good += [] if near else [line]
         if len(good) == len(t.split("\n")) or "".join(good).strip():
             kept[i] = "\n".join(good)
