@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -35,19 +36,25 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/atlaswright-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends here,
-    and a lost executor costs only the tasks that read it. The shuffle files of the write
-    go with it, rather than when the driver happens to collect its garbage."""
-    spark = df.sparkSession
-    path = shared_path(spark)
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in it drop their shuffle files as soon as they have ended, rather than
+    when the driver happens to collect its garbage."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends here,
+    and a lost executor costs only the tasks that read it."""
+    path = shared_path(df.sparkSession)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,14 +52,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, hashing
 from .blocks import pack, unpack
-from .common import crc_mod, cut, shared_path, words_of
+from .common import crc_mod, cut, shared_path, tidy, words_of
 from .packing import tokenizer_file
 
 SUBWORDS = 1023
@@ -98,11 +97,10 @@ class Subwords:
     def _forget(self) -> None:
         self._known = _Numbers(self)
         self.words: list[bytes] = []
-        self._flat, self._ends, self._hashes = array("H"), array("q", [0]), array("Q")
+        self._flat, self._ends = array("H"), array("q", [0])
 
     def add(self, word: bytes) -> int:
         self.words.append(word)
-        self._hashes.append(xxhash.xxh3_64_intdigest(word))
         if len(word) <= 64:
             self._flat.extend(self._cut(b" " + word))
         else:  # the merge loop's cost grows with the square of a word
@@ -118,9 +116,9 @@ class Subwords:
             self._forget()
         return np.fromiter(map(self._known.__getitem__, ws), np.int64, len(ws))
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the known words; their ids, strung together; and where those start and end."""
-        return np.array(self._hashes, np.uint64), np.array(self._flat, np.uint16), np.array(self._ends, np.int64)
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the known words, strung together, and where each one's start and end."""
+        return np.array(self._flat, np.uint16), np.array(self._ends, np.int64)
 
 
 class _Numbers(dict):
@@ -139,39 +137,42 @@ def subwords(path: str) -> Subwords:
 
 class Texts:
     """Texts as tokens: ``lengths`` counts each one's words, ``token`` says of every token (the
-    words and the end, ``END_TOKEN``, of one text after another) which of the different words it is;
-    of those there are the ``hashes``, the ids strung together in ``flat``, and their ``ends``."""
-
-    def __init__(self, lengths: np.ndarray, which: np.ndarray, hashes: np.ndarray, flat: np.ndarray, ends: np.ndarray):
-        self.lengths, self.which, self.hashes, self.flat, self.ends = lengths, which, hashes, flat, ends
+    words and the ``end`` of one text after another) which of the different words it is; of those
+    there are the ids strung together in ``flat``, where they start and end (``ends``), the hashes of
+    their beginnings in ``begun``, and of the whole words in ``hashes``."""
+
+    def __init__(self, lengths: np.ndarray, which: np.ndarray, flat: np.ndarray, ends: np.ndarray):
+        self.lengths, self.which, self.flat, self.ends = lengths, which, flat, ends
+        self.begun = beginnings(flat, ends)
+        self.hashes = closed(self.begun[ends[1:] - 1])
         self.sizes = lengths + 1
-        self.end = len(hashes)  # stands for the end of a text
+        self.end = len(self.hashes)  # stands for the end of a text
         self.token = np.insert(which, np.cumsum(lengths), self.end)
         self.ids_of = np.bincount(np.repeat(np.arange(len(lengths)), lengths), np.diff(ends)[which], len(lengths)).astype(np.int64) + 1
 
     @staticmethod
-    def of(numbers: np.ndarray, lengths: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Texts:
-        hashes, flat, ends = known
-        some, which = np.unique(numbers, return_inverse=True)
+    def of(numbers: np.ndarray, lengths: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> Texts:
+        flat, ends = known
+        used = np.zeros(len(ends) - 1, bool)
+        used[numbers] = True
+        some = np.flatnonzero(used)
         size = ends[some + 1] - ends[some]
         stop = np.cumsum(size)
         at = np.repeat(ends[some] - (stop - size), size) + np.arange(int(size.sum()))
-        return Texts(lengths, which, hashes[some], flat[at], np.r_[0, stop])
+        return Texts(lengths, (np.cumsum(used) - 1)[numbers], flat[at], np.r_[0, stop])
 
     def packed(self) -> bytes:
-        lengths = [np.array([len(x) for x in (self.lengths, self.which, self.hashes, self.flat)], np.int64)]
-        return pack(*lengths, self.hashes, self.lengths.astype(np.uint32), self.which.astype(np.uint32), np.diff(self.ends).astype(np.uint32), self.flat)
+        n = np.array([len(self.lengths), len(self.which), len(self.ends) - 1, len(self.flat)], np.int64)
+        return pack(n, self.lengths.astype(np.uint32), self.which.astype(np.uint32), np.diff(self.ends).astype(np.uint32), self.flat)
 
     @staticmethod
     def unpacked(blob: bytes) -> Texts:
-        raw, at = unpack(blob), 32
-        n = np.frombuffer(raw, np.int64, 4).tolist()
-        out = []
-        for size, kind in ((n[2], np.uint64), (n[0], np.uint32), (n[1], np.uint32), (n[2], np.uint32), (n[3], np.uint16)):
+        raw, at, out = unpack(blob), 32, []
+        for size, kind in zip(np.frombuffer(raw, np.int64, 4).tolist(), (np.uint32, np.uint32, np.uint32, np.uint16), strict=True):
             out.append(np.frombuffer(raw, kind, size, at))
             at += out[-1].nbytes
-        hashes, lengths, which, sizes, flat = out
-        return Texts(lengths.astype(np.int64), which.astype(np.int64), hashes, flat, np.r_[0, np.cumsum(sizes, dtype=np.int64)])
+        lengths, which, sizes, flat = out
+        return Texts(lengths.astype(np.int64), which.astype(np.int64), flat, np.r_[0, np.cumsum(sizes, dtype=np.int64)])
 
 
 def cut_texts(texts: list[str | None], cutter: Subwords) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +193,11 @@ def beginnings(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return hashing.mixed((sums[1:] - sums[first]) * down[first])
 
 
+def closed(h: np.ndarray) -> np.ndarray:
+    """The hash of a whole word, by that of its ids as a beginning."""
+    return hashing.mixed(h ^ np.uint64(hashing.BASE))
+
+
 class Counts:
     """How words are spelled: how often words begin with given ids (by the hash of those), and
     how often an id follows another in the texts."""
@@ -200,7 +206,10 @@ class Counts:
 
     def __init__(self, pairs: np.ndarray, flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, texts: int, starts: np.ndarray):
         h = beginnings(flat, ends)
-        keys, at = np.unique(np.r_[h, self._closed(h[ends[1:] - 1])], return_inverse=True)
+        keys, at = np.unique(np.r_[h, closed(h[ends[1:] - 1])], return_inverse=True)
+        self.bits = max(1, int(len(keys)).bit_length() + 1)
+        self.table = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        self.table = np.r_[self.table, len(keys)].astype(np.int32)
         self.keys, self.counts = keys, np.bincount(at, np.r_[np.repeat(counts, np.diff(ends)), counts], len(keys))
         self.firsts = np.bincount(flat[ends[:-1]], counts, VOCAB)
         self.firsts[END] = texts
@@ -218,15 +227,20 @@ class Counts:
         with np.errstate(divide="ignore"):
             self.first = np.log(after).astype(np.float32).ravel()
 
-    @staticmethod
-    def _closed(h: np.ndarray) -> np.ndarray:
-        return hashing.mixed(h ^ np.uint64(hashing.BASE))
-
     def _of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.counts[at], 0)
+        """The counts of hashes; those with the same first bits as a key lie together."""
+        out = np.zeros(len(h))
+        first = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop = self.table[first], self.table[first + 1]
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            k = at[left]
+            met = self.keys[k] == h[left]
+            out[left[met]] = self.counts[k[met]]
+            left = left[~met]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        return out
 
     def spelled(self, texts: Texts, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the different words, the log probability of all but the first id, and of the end
@@ -234,8 +248,7 @@ class Counts:
         flat, ends = texts.flat, texts.ends
         if not len(flat):
             return np.zeros(0), np.zeros(0)
-        h = beginnings(flat, ends)
-        begun, whole = self._of(h), self._of(self._closed(h[ends[1:] - 1]))
+        begun, whole = self._of(texts.begun), self._of(texts.hashes)
         less = lambda x: np.maximum(x - own, 0)
         a = self.WEIGHTS[0]
         p = (less(begun[1:]) + a * self.pair[flat[:-1], flat[1:]]) / (less(begun[:-1]) + a)
@@ -417,24 +430,33 @@ def class_of(doc_id) -> int:
     return zlib.crc32(b"class" + (b"" if doc_id is None else str(doc_id).encode())) % CLASSES
 
 
-_GATHERED = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("class", pa.int32()), ("block", pa.string()), ("head", pa.binary()), ("body", pa.binary())])
+#: Values of ``class`` of rows that are no blocks.
+WORD, PAIRS = -2, -3
+_SCHEMA = "class int, slot int, h long, word binary, n long, part int, blob binary, block string, head binary, body binary"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+_GATHERED = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _SCHEMA.split(", ")])
 _SPAN = VOCAB**2 // RANGES
 
 
-def _gathered(size: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _GATHERED], schema=_GATHERED)
+def _gathered(kind: list[int], slot: list[int], **columns) -> pa.RecordBatch:
+    columns |= {"class": kind, "slot": slot}
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(kind), f.type) for f in _GATHERED], schema=_GATHERED)
 
 
 def gathered(docs: DataFrame, path: str) -> DataFrame:
     """In one pass, ``block`` rows of all documents, cut and dealt by class, and what those that
     train say: counts ``n`` of words (the empty word is the end), and packed counts of pairs
-    of ids in ``RANGES`` parts."""
+    of ids in ``RANGES`` parts. They are written class by class, each in several slots."""
+    spark = docs.sparkSession
+    slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
-    def said(cutter_words: list[bytes], hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def said(cutter_words: list[bytes], known: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hashes = closed(beginnings(*known)[known[1][1:] - 1])
         at = np.flatnonzero(n)
         for k in range(0, len(at), 100_000):
             some = at[k : k + 100_000]
-            yield _gathered(len(some), h=hashes[some].view(np.int64), word=[cutter_words[j] for j in some.tolist()], n=n[some])
+            h = hashes[some]
+            yield _gathered([WORD] * len(some), (h % np.uint64(slots)).astype(np.int32), h=h.view(np.int64), word=[cutter_words[j] for j in some.tolist()], n=n[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = subwords(path)
@@ -445,7 +467,7 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
                 ids = part.column(0).to_pylist()
                 numbers, lengths = cut_texts(part.column(1).to_pylist(), cutter)
                 if cutter.words is not vocabulary:  # the cutter has started anew
-                    yield from said(vocabulary, known[0], words)
+                    yield from said(vocabulary, known, words)
                     vocabulary, words = cutter.words, np.zeros(0, np.int64)
                 known = cutter.arrays()
                 klass = np.array([class_of(i) for i in ids])
@@ -468,16 +490,20 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
                 n = np.bincount(numbers[(klass >= 0)[owner]], minlength=len(vocabulary))
                 n[: len(words)] += words
                 words = n
-                yield _gathered(len(rows), **{"class": [r[0] for r in rows], "block": [r[1] for r in rows], "head": [r[2] for r in rows], "body": [r[3] for r in rows]})
-        yield from said(vocabulary, known[0], words)
+                kinds, names, heads, bodies = zip(*rows, strict=True)
+                yield _gathered(list(kinds), [zlib.crc32(x.encode()) % slots for x in names], block=names, head=heads, body=bodies)
+        yield from said(vocabulary, known, words)
         if texts:
-            yield _gathered(1, h=[0], word=[b""], n=[texts])
+            yield _gathered([WORD], [0], h=[0], word=[b""], n=[texts])
         for k in range(RANGES):
             at = np.flatnonzero(pairs[k * _SPAN : (k + 1) * _SPAN])
             if len(at):
-                yield _gathered(1, part=[k], blob=[pack(at, pairs[k * _SPAN + at])])
+                yield _gathered([PAIRS], [k % slots], part=[k], blob=[pack(at, pairs[k * _SPAN + at])])
 
-    return docs.mapInArrow(run, "h long, word binary, n long, part int, blob binary, class int, block string, head binary, body binary")
+    at = shared_path(spark)
+    with tidy(spark):
+        docs.mapInArrow(run, _SCHEMA).repartition("class", "slot").drop("slot").write.partitionBy("class").parquet(at)
+    return spark.read.schema(_SCHEMA.replace("class int, slot int, ", "") + ", class int").parquet(at)
 
 
 def pair_counts(parts: DataFrame) -> np.ndarray:
@@ -493,28 +519,20 @@ def pair_counts(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack(x) for x in total.values()], pa.binary())], ["part", "blob"])
 
     out = np.zeros(VOCAB**2, np.int64)
-    for part, blob in parts.select("part", "blob").repartition(RANGES, "part").mapInArrow(add, "part int, blob binary").collect():  # VOCAB**2 numbers
+    with tidy(parts.sparkSession):
+        got = parts.select("part", "blob").repartition(RANGES, "part").mapInArrow(add, "part int, blob binary").collect()  # VOCAB**2 numbers
+    for part, blob in got:
         out[part * _SPAN : (part + 1) * _SPAN] = np.frombuffer(unpack(blob), np.int64)
     return out
 
 
-def by_class(table: DataFrame) -> DataFrame:
-    """The blocks, written class by class."""
-    spark = table.sparkSession
-    path = shared_path(spark)
-    slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // CLASSES)
-    slot = F.pmod(F.xxhash64("block"), F.lit(slots))
-    table.select("class", "block", "head", "body").repartition("class", slot).write.partitionBy("class").parquet(path)
-    return spark.read.schema("block string, head binary, body binary, class int").parquet(path)
-
-
 def train(table: DataFrame, counts: Broadcast) -> np.ndarray:
     """The weights after a step for each class of the blocks."""
     schema = "blob binary, n long"
 
     def packed(total: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["blob", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n])], ["blob", "n"])
 
     def gradient(batches: Iterator[pa.RecordBatch], flat: np.ndarray) -> Iterator[pa.RecordBatch]:
         w, total, n = weights(flat), np.zeros(LENGTH), 0
@@ -531,15 +549,16 @@ def train(table: DataFrame, counts: Broadcast) -> np.ndarray:
         total, n = np.zeros(LENGTH), 0
         for batch in batches:
             for blob, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                total, n = total + np.frombuffer(blob.as_py()), n + k
+                total, n = total + np.frombuffer(blob.as_py(), np.float32), n + k
         yield from packed(total, n)
 
     adam, flat = Adam(start()), start()
     for c in range(CLASSES):
         sums = table.where(F.col("class") == c).select("body").mapInArrow(functools.partial(gradient, flat=flat), schema)
-        got = sums.repartition(RANGES).mapInArrow(add, schema).collect()  # RANGES rows at most
+        with tidy(table.sparkSession):
+            got = sums.repartition(RANGES).mapInArrow(add, schema).collect()  # RANGES rows at most
         if got:
-            flat = adam(sum(np.frombuffer(r["blob"]) for r in got) / sum(r["n"] for r in got))
+            flat = adam(sum(np.frombuffer(r["blob"], np.float32).astype(np.float64) for r in got) / sum(r["n"] for r in got))
     return flat
 
 
@@ -547,7 +566,7 @@ def train(table: DataFrame, counts: Broadcast) -> np.ndarray:
 
 
 class Contexts:
-    """The different (``MEMORY`` words, next token) of texts: hashes of the ``context`` and 32 bits
+    """The different (``MEMORY`` words, next token) of texts: hashes of the ``context`` and 16 bits
     of the ``token``, and which of them stands at which of the ``places``."""
 
     def __init__(self, texts: Texts):
@@ -559,7 +578,21 @@ class Contexts:
             context = hashing.mixed(context * np.uint64(hashing.BASE) + words[self.places - k])
         word = words[self.places]
         _, first, self.which = np.unique(hashing.mixed(context * np.uint64(hashing.BASE) + word), return_index=True, return_inverse=True)
-        self.context, self.token = context[first], (word[first] >> np.uint64(32)).astype(np.uint32)
+        self.context, self.token = context[first], (word[first] >> np.uint64(48)).astype(np.uint16)
+
+
+def _by_context(items: Contexts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the items by bucket and what is left of the hash; both in that order."""
+    bucket, rest = items.context % np.uint64(buckets), items.context // np.uint64(buckets) & np.uint64(0xFFFFFFFF)
+    key = bucket << np.uint64(32) | rest
+    order = np.argsort(key)
+    return order, bucket[order].astype(np.int64), rest[order].astype(np.uint32)
+
+
+def _received(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32), np.frombuffer(raw, np.uint16, n, 8 + 4 * n), np.frombuffer(raw, np.uint32, n, 8 + 6 * n)
 
 
 def remembered(table: DataFrame, buckets: int) -> DataFrame:
@@ -570,23 +603,26 @@ def remembered(table: DataFrame, buckets: int) -> DataFrame:
         for row in blocks.rows_of(batches):
             items = Contexts(Texts.unpacked(row["body"]))
             n = np.bincount(items.which, minlength=len(items.token)).astype(np.uint32) * np.uint32(row["class"] >= 0)
-            order, bucket, rest = blocks.by_bucket(items.context, buckets)
-            sent = [rest, items.token[order], n[order]]
-            out = [(row["block"], b, pack(*(x[lo:hi] for x in sent))) for b, lo, hi in blocks.runs(bucket)]
+            order, bucket, rest = _by_context(items, buckets)
+            token, n = items.token[order], n[order]
+            out = []
+            for b, lo, hi in blocks.runs(bucket):
+                steps = np.diff(rest[lo:hi], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T  # byte by byte, the high ones mostly zeros
+                out.append((row["block"], b, pack(np.array([hi - lo]), np.ascontiguousarray(steps), token[lo:hi], n[lo:hi])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "bucket", "sent"])
 
     def compare(rows: list[dict]) -> list[tuple]:
-        sent = [np.frombuffer(unpack(r["sent"]), np.uint32).reshape(3, -1) for r in rows]
-        context, token, n = np.concatenate(sent, 1)
-        key = context.astype(np.uint64) << np.uint64(32) | token
+        sent = [_received(unpack(r["sent"])) for r in rows]
+        context, token, n = (np.concatenate(x) for x in zip(*sent, strict=True))
+        key = context.astype(np.uint64) << np.uint64(16) | token
         order = np.argsort(key)
         key, n = key[order], n[order].astype(np.int64)
         out = np.empty((2, len(key)), np.uint32)
-        for k, x in enumerate((key, key >> np.uint64(32))):
+        for k, x in enumerate((key, key >> np.uint64(16))):
             first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
             out[k, order] = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(x)]))
-        ends = np.cumsum([0, *(x.shape[1] for x in sent)])
+        ends = np.cumsum([0, *(len(x[0]) for x in sent)])
         return [(r["block"], r["bucket"], pack(out[0, a:b], out[1, a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
 
     return blocks.answered(table, blocks.answers(table.mapInArrow(send, blocks.SENT), buckets, compare), "said")
@@ -594,7 +630,7 @@ def remembered(table: DataFrame, buckets: int) -> DataFrame:
 
 def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np.ndarray:
     """Natural-log probabilities of tokens, those of the model mixed with the memory's."""
-    order, bucket, _ = blocks.by_bucket(items.context, buckets)
+    order, bucket, _ = _by_context(items, buckets)
     said = np.zeros((2, len(order)))
     of = {a["bucket"]: a["answer"] for a in row["said"] or []}
     for b, lo, hi in blocks.runs(bucket):
@@ -609,7 +645,7 @@ def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np
 def spelling(pairs: np.ndarray, frequent: dict[bytes, int], texts: int, path: str) -> Counts:
     cutter = Subwords(path)
     cutter.numbers(list(frequent))
-    _, flat, ends = cutter.arrays()
+    flat, ends = cutter.arrays()
     return Counts(pairs, flat, ends, np.array(list(frequent.values()), np.int64), texts, cutter.starts)
 
 
@@ -617,16 +653,16 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords)``."""
     path = path or tokenizer_file()
     spark = docs.sparkSession
-    raw = cut(gathered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path))
-    table = by_class(raw.where("block is not null"))
-    words = cut(raw.where("word is not null").groupBy("h", "word").agg(F.sum("n").alias("n")))
+    raw = gathered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path)
+    table = raw.where(F.col("class") > WORD).select("block", "head", "body", "class")
+    words = cut(raw.where(F.col("class") == WORD).groupBy("h", "word").agg(F.sum("n").alias("n")))
     ends = F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))
     n_all, n_words, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), ends).first()
     short = F.when(F.length("word") <= WORD_BYTES, F.col("word")).alias("word")
     often = words.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(FREQUENT).select("h", short, "n").toArrow().sort_by("h")
     h, n = (often.column(c).to_numpy() for c in ("h", "n"))
     frequent = {w: k for w, k in zip(often.column("word").to_pylist(), n.tolist(), strict=True) if w is not None}
-    counts = spark.sparkContext.broadcast(spelling(pair_counts(raw.where("part is not null")), frequent, end, path))  # of bounded size
+    counts = spark.sparkContext.broadcast(spelling(pair_counts(raw.where(F.col("class") == PAIRS)), frequent, end, path))  # of bounded size
     flat = train(table, counts)
     sent = spark.sparkContext.broadcast((flat, h, n))
     less = math.log10(n_all + n_words + 1)
