@@ -23,8 +23,8 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"]))
+    feats = quality.featured(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"])
+    return quality.score(feats, quality.learn(feats, ["quality", "toxic"]))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
