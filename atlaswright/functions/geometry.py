@@ -59,6 +59,31 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(crosses, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def _edges(ring: Column) -> Column:
+    """The edges of a ring, closed or not, as ``struct<p,q>``."""
+    return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def turn(p: Column, q: Column, r: Column) -> Column:
+    """Twice the signed area of a triangle: above 0 where ``r`` is left of the line from ``p`` to ``q``."""
+    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+
+def on_ring(ring: Column, p: Column) -> Column:
+    """Whether a point is on an edge of a ring."""
+    between = lambda a, b, c: (c >= F.least(a, b)) & (c <= F.greatest(a, b))
+    return F.exists(_edges(ring), lambda e: (turn(e["p"], e["q"], p) == 0) & between(e["p"]["x"], e["q"]["x"], p["x"]) & between(e["p"]["y"], e["q"]["y"], p["y"]))
+
+
+def ring_inside(inner: Column, outer: Column, proper: bool = False) -> Column:
+    """Whether a ring lies in another (``proper``: without touching it): its corners do, and no
+    edges cross."""
+    cross = lambda e, f: (F.signum(turn(e["p"], e["q"], f["p"])) * F.signum(turn(e["p"], e["q"], f["q"])) < 0) & (F.signum(turn(f["p"], f["q"], e["p"])) * F.signum(turn(f["p"], f["q"], e["q"])) < 0)
+    at = lambda p: contains_point(outer, p["x"], p["y"])
+    corners = F.forall(inner, (lambda p: at(p) & ~on_ring(outer, p)) if proper else (lambda p: at(p) | on_ring(outer, p)))
+    return corners & ~F.exists(_edges(inner), lambda e: F.exists(_edges(outer), lambda f: cross(e, f)))
+
+
 # An affine map is the six columns (a, b, d, e, tx, ty): x' = a x + b y + tx, y' = d x + e y + ty.
 Affine = tuple[Column, Column, Column, Column, Column, Column]
 

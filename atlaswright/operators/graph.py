@@ -6,18 +6,34 @@ round changes nothing.
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut through the folder that executors share."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; where a session on one machine
+    names none, a new temporary one. A cluster has no such default: an executor's own folder
+    would hide data from the others."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-atlaswright-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-atlaswright-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage cut by a table in the folder that executors share."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/atlaswright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -136,15 +152,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def closure(subclass: DataFrame) -> DataFrame:
     """GR-12: ``(child, ancestor, level)`` of ``subclass(child, parent)``, the least level of each
-    pair; paths double in length every round."""
-    step = cut(subclass.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("level", F.lit(1)))
-    all_ = step
-    while True:
-        n = all_.count()
-        longer = all_.alias("p").join(all_.alias("q"), F.col("p.ancestor") == F.col("q.child")).select("p.child", "q.ancestor", (F.col("p.level") + F.col("q.level")).alias("level"))
-        all_ = cut(all_.union(longer).groupBy("child", "ancestor").agg(F.min("level").alias("level")))
-        if all_.count() == n:
-            break
+    pair; paths double in length every round, which joins only the pairs new in the last."""
+    new = cut(subclass.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("level", F.lit(1)))
+    all_ = new
+    while not new.isEmpty():
+        longer = new.alias("p").join(all_.alias("q"), F.col("p.ancestor") == F.col("q.child")).select("p.child", "q.ancestor", (F.col("p.level") + F.col("q.level")).alias("level"))
+        new = cut(longer.groupBy("child", "ancestor").agg(F.min("level").alias("level")).join(all_, ["child", "ancestor"], "left_anti"))
+        all_ = all_.union(new)
     return all_
 
 
@@ -172,35 +186,41 @@ def chains(edges: DataFrame) -> DataFrame:
     inner = pairs.groupBy("path", "node").agg(F.count("*").alias("n"), F.min("neighbour").alias("lo"), F.max("neighbour").alias("hi")).where("n = 2").drop("n")
     # a walk stands on ``at`` having come from ``start`` by way of ``via``
     walk = pairs.join(inner.select("path", "node"), ["path", "node"], "left_anti").select("path", F.col("node").alias("start"), F.col("node").alias("last"), F.col("neighbour").alias("at"), F.array().cast("array<long>").alias("via"))
-    walk, done = cut(walk), None
+    walk, done = cut(walk), []
     while True:
         on = walk.join(inner.withColumnRenamed("node", "at"), ["path", "at"], "left")
         ended = on.where("lo is null").select("path", "start", "at", "via")
-        done = cut(ended) if done is None else cut(done.union(ended))
+        done.append(cut(ended))
         walk = cut(on.where("lo is not null").select("path", "start", F.col("at").alias("last"), F.when(F.col("lo") == F.col("last"), F.col("hi")).otherwise(F.col("lo")).alias("next"), F.array_append("via", F.col("at")).alias("via")).withColumnRenamed("next", "at").select("path", "start", "last", "at", "via"))
         if walk.isEmpty():
             break
-    return done.where("start < at or (start = at and (size(via) = 0 or via[0] <= via[size(via) - 1]))").select("path", F.col("start").alias("a"), F.col("at").alias("b"), F.col("via").alias("inner")).distinct()
+    return functools.reduce(DataFrame.union, done).where("start < at or (start = at and (size(via) = 0 or via[0] <= via[size(via) - 1]))").select("path", F.col("start").alias("a"), F.col("at").alias("b"), F.col("via").alias("inner")).distinct()
 
 
 def between(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """GR-9: the edges on any shortest path between chosen nodes ``(path, node)`` of a path:
-    breadth-first from all of them, level by level."""
-    pairs = cut(ends(edges))
-    front = cut(chosen.select("path", F.col("node").alias("from"), "node").distinct().withColumn("d", F.lit(0)))
-    seen, k = front, 0
+    breadth-first from all of them, level by level, then back from the chosen nodes met, by
+    the edges that led to them."""
+    pairs, ends_ = cut(ends(edges)), cut(chosen.select("path", "node").distinct())
+    front = ends_.select("path", F.col("node").alias("from"), "node")
+    seen, levels = [front], []
     while True:
-        k += 1
-        step = front.join(pairs, ["path", "node"]).select("path", "from", F.col("neighbour").alias("node")).distinct()
-        front = cut(step.join(seen, ["path", "from", "node"], "left_anti").withColumn("d", F.lit(k)))
-        if front.isEmpty():
+        known = functools.reduce(DataFrame.union, seen)
+        step = front.join(pairs, ["path", "node"]).select("path", "from", F.col("neighbour").alias("node"), F.col("node").alias("parent"))
+        level = cut(step.join(known, ["path", "from", "node"], "left_anti"))
+        if level.isEmpty():
             break
-        seen = cut(seen.union(front))
-    far = seen.join(chosen.select("path", "node").distinct(), ["path", "node"], "left_semi").where("node <> from").select("path", "from", F.col("node").alias("to"), F.col("d").alias("all"))
-    a = seen.select("path", "from", F.col("node").alias("a"), F.col("d").alias("da"))
-    b = seen.select("path", F.col("from").alias("to"), F.col("node").alias("b"), F.col("d").alias("db"))
-    on = far.join(a, ["path", "from"]).join(pairs.toDF("path", "a", "b"), ["path", "a"]).join(b, ["path", "to", "b"]).where("da + 1 + db = all")
-    return on.select("path", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        levels.append(level)
+        front = level.select("path", "from", "node").distinct()
+        seen.append(front)
+    found, wanted = [], None
+    for level in reversed(levels):
+        here = level.join(ends_, ["path", "node"], "left_semi").select("path", "from", "node")
+        wanted = here if wanted is None else here.union(wanted)
+        led = cut(level.join(wanted.distinct(), ["path", "from", "node"], "left_semi").select("path", "from", "node", "parent"))
+        found.append(led.select("path", F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")))
+        wanted = led.select("path", "from", F.col("parent").alias("node"))
+    return functools.reduce(DataFrame.union, found).distinct() if found else pairs.where("false").select("path", F.col("node").alias("a"), F.col("neighbour").alias("b"))
 
 
 def occupancy(edges: DataFrame) -> DataFrame:

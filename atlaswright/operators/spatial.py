@@ -1,10 +1,10 @@
 """Spatial joins over boxes and points by grid cells (JN-10..19, AG-6, WN-1, 2, TL-4).
 
-A join of boxes is an equi-join on grid cells followed by exact predicates; a pair that
-shares several cells is kept only in the cell of its common lower-left corner. Boxes that
-would cover more than ``MOST`` cells go to a coarser level, doubling until they do not, and
-the other side probes every level that is in use, so that no box is dealt to a number of
-cells that grows with its size.
+A join of boxes is an equi-join on grid cells followed by exact predicates. Every box has
+a level of its own, at which it spans a few cells; a pair is joined at the coarser level of
+its two boxes, to which the other is dealt as well, and is kept only in the cell of its
+common lower-left corner. So no box is dealt to a number of cells that grows with its size.
+Where both sides have a ``ring`` (``array<struct<x,y>>``), it decides behind the boxes.
 """
 
 from __future__ import annotations
@@ -15,62 +15,69 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 
 CELL = 100
-MOST = 16
-LEVELS = 12
+LEVELS = 40
 
 
 def _level(cell: int) -> Column:
-    """The finest level at which the longer side spans at most four cells."""
-    side = F.greatest(g.width(), g.height())
-    out = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        out = F.when(side <= 3 * cell * 2**k, k).otherwise(out)
-    return out
+    """The finest level at which the longer side spans at most about four cells."""
+    side = F.greatest(g.width(), g.height()) / (3 * cell)
+    return F.when(side <= 1, 0).otherwise(F.least(F.ceil(F.log2(side)), F.lit(LEVELS))).cast("int")
 
 
-def _cells(df: DataFrame, level: Column, cell: int) -> DataFrame:
-    size = F.lit(cell) * F.call_function("shiftleft", F.lit(1), level)
-    at = lambda c: F.floor(F.col(c) / size).cast("long")
-    df = df.withColumn("level", level)
-    df = df.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1"))))
-    return df.withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+def _size(cell: int) -> Column:
+    """The side of a cell of ``level``."""
+    return F.lit(cell).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+
+
+def _dealt(boxes: DataFrame, cell: int, prefix: str) -> DataFrame:
+    """``boxes`` of a ``level`` in each cell they touch there, their own columns under ``prefix``."""
+    at = lambda c: F.floor(F.col(c) / _size(cell)).cast("long")
+    out = boxes.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    return out.select("level", "cx", "cy", *[F.col(c).alias(f"{prefix}{c}") for c in boxes.columns if c not in ("level", "own")])
 
 
 def box_pairs(small: DataFrame, large: DataFrame, cell: int = CELL) -> DataFrame:
     """Pairs of boxes that meet: all columns of ``small`` under ``a_``, of ``large`` under
-    ``b_``. Both have ``x0, y0, x1, y1``; each large box lies in cells of its own level, and
-    small ones probe the levels from the finest to the coarsest that large ones use."""
-    coarse = _cells(large, _level(cell), cell)
-    used = large.select(_level(cell).alias("level")).distinct()
-    # at its level a large box covers few cells; a small one is dealt to each level in use,
-    # where it may span more cells only if it is the longer of the two, so sides are clipped
-    probe = small.crossJoin(F.broadcast(used)).withColumnRenamed("level", "probe_level")  # at most LEVELS rows
-    probe = _cells(probe, F.col("probe_level"), cell)
-    a = probe.select("level", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in small.columns])
-    b = coarse.select("level", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in large.columns])
-    joined = a.join(b, ["level", "cx", "cy"]).where(g.meets("a_", "b_"))
-    size = F.lit(cell) * F.call_function("shiftleft", F.lit(1), F.col("level"))
-    corner = (F.col("cx") == F.floor(F.greatest("a_x0", "b_x0") / size)) & (F.col("cy") == F.floor(F.greatest("a_y0", "b_y0") / size))
+    ``b_``. Both have ``x0, y0, x1, y1``."""
+    a, b = (df.withColumn("own", _level(cell)) for df in (small, large))
+    levels = lambda df: F.broadcast(df.select(F.col("own").alias("level")).distinct())  # noqa: E731  # at most LEVELS + 1 rows
+    own = lambda df: df.withColumn("level", F.col("own"))
+    upper = _dealt(a.join(levels(b), F.col("level") >= F.col("own")), cell, "a_").join(_dealt(own(b), cell, "b_"), ["level", "cx", "cy"])
+    lower = _dealt(own(a), cell, "a_").join(_dealt(b.join(levels(a), F.col("level") > F.col("own")), cell, "b_"), ["level", "cx", "cy"])
+    joined = upper.unionByName(lower).where(g.meets("a_", "b_"))
+    corner = (F.col("cx") == F.floor(F.greatest("a_x0", "b_x0") / _size(cell))) & (F.col("cy") == F.floor(F.greatest("a_y0", "b_y0") / _size(cell)))
     return joined.where(corner).drop("level", "cx", "cy")
 
 
+def _within(pairs: DataFrame, proper: bool = False) -> Column:
+    """Whether ``a`` is in ``b``: by their rings where both have one."""
+    boxes = g.inside("a_", "b_", proper=proper)
+    return boxes & g.ring_inside(F.col("a_ring"), F.col("b_ring"), proper) if {"a_ring", "b_ring"} <= set(pairs.columns) else boxes
+
+
+def _area(pairs: DataFrame, side: str) -> Column:
+    return F.abs(g.ring_area(F.col(f"{side}ring"))) if f"{side}ring" in pairs.columns else g.area(side)
+
+
 def covering(features: DataFrame, polygons: DataFrame) -> DataFrame:
     """JN-10: per feature the polygons that contain it, the smallest first."""
-    pairs = box_pairs(features, polygons).where(g.inside("a_", "b_") & (F.col("a_id") != F.col("b_id")))
-    found = F.array_sort(F.collect_list(F.struct(g.area("b_").alias("area"), F.col("b_id").alias("id"))))
+    pairs = box_pairs(features, polygons)
+    pairs = pairs.where(_within(pairs) & (F.col("a_id") != F.col("b_id")))
+    found = F.array_sort(F.collect_list(F.struct(_area(pairs, "b_").alias("area"), F.col("b_id").alias("id"))))
     return pairs.groupBy(F.col("a_id").alias("id")).agg(F.transform(found, lambda s: s["id"]).alias("covering"))
 
 
 def inside(polygons: DataFrame, features: DataFrame) -> DataFrame:
-    """JN-11: per polygon the features that lie in it, by id."""
-    pairs = box_pairs(features, polygons).where(g.inside("a_", "b_") & (F.col("a_id") != F.col("b_id")))
-    return pairs.groupBy(F.col("b_id").alias("id")).agg(F.array_sort(F.collect_list("a_id")).alias("inside"))
+    """JN-11: a row ``(id, feature)`` for each feature that lies in a polygon."""
+    pairs = box_pairs(features, polygons)
+    return pairs.where(_within(pairs) & (F.col("a_id") != F.col("b_id"))).select(F.col("b_id").alias("id"), F.col("a_id").alias("feature"))
 
 
 def smallest_parent(shapes: DataFrame, parents: DataFrame) -> DataFrame:
     """JN-12, WN-1: per shape the smallest of the others that properly contain it."""
-    pairs = box_pairs(shapes, parents).where(g.inside("a_", "b_", proper=True) & (F.col("a_id") != F.col("b_id")))
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.min_by("b_id", F.struct(g.area("b_").alias("area"), "b_id")).alias("parent"))
+    pairs = box_pairs(shapes, parents)
+    pairs = pairs.where(_within(pairs, proper=True) & (F.col("a_id") != F.col("b_id")))
+    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.min_by("b_id", F.struct(_area(pairs, "b_").alias("area"), "b_id")).alias("parent"))
 
 
 def overlap_parents(shapes: DataFrame, parents: DataFrame, share: float = 0.2) -> DataFrame:
