@@ -82,7 +82,7 @@ RANGES = 8
 class Subwords:
     """Words to runs of subword ids, each distinct word cut once while it is remembered."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, path: str):
         import tiktoken
@@ -502,7 +502,7 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
 
     at = shared_path(spark)
     with tidy(spark):
-        docs.mapInArrow(run, _SCHEMA).repartition("class", "slot").drop("slot").write.partitionBy("class").parquet(at)
+        docs.mapInArrow(run, _SCHEMA).repartition("class", "slot").drop("slot").write.partitionBy("class").option("parquet.block.size", 16 << 20).parquet(at)  # rows are large
     return spark.read.schema(_SCHEMA.replace("class int, slot int, ", "") + ", class int").parquet(at)
 
 
