@@ -109,3 +109,8 @@ def appended(values: Column, value: Column) -> Column:
     """``value`` added to a list that may be null; a null value adds nothing."""
     base = F.coalesce(values, F.array().cast("array<string>"))
     return F.when(value.isNull(), base).otherwise(F.array_append(base, value))
+
+
+def tag(markup: str, name: str) -> Column:
+    """SC-6: the text of ``name(...)`` in a markup, empty where there is none."""
+    return F.regexp_extract(markup, rf"\b{name}\(([^)]*)\)", 1)

@@ -187,3 +187,19 @@ def terminal_order(terminals: DataFrame) -> DataFrame:
     turn = F.struct(rank.alias("k"), F.when(rank == 1, F.col("distance")).otherwise(F.lit(0.0)).alias("d"), "node")
     ordered = terminals.groupBy("path").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     return ordered.select("path", F.posexplode("t").alias("turn", "t")).select("path", "turn", "t.node")
+
+
+def assembled_routes(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """GR-17: ``(path, a, b, type, source)`` of the edges ``(path, src, dst, source)`` found in turn: an edge
+    that several turns found has the type and source of the first; loops are left out."""
+    rows = [df.select("path", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(k).alias("turn"), F.lit(name).alias("type"), "source") for k, (name, df) in enumerate(parts)]
+    every = functools.reduce(DataFrame.union, rows).where("a <> b")
+    return every.groupBy("path", "a", "b").agg(F.min(F.struct("turn", "source", "type")).alias("m")).select("path", "a", "b", "m.type", "m.source")
+
+
+def rendered(edges: DataFrame, ends: DataFrame, nerves: DataFrame) -> DataFrame:
+    """GR-27: per path what is drawn of it: its edges (GR-4), their nodes, and those of its ends and nerves that are among them."""
+    nodes = edges.select("path", F.col("src").alias("node")).union(edges.select("path", "dst")).distinct()
+    held = lambda df, c: df.join(nodes.withColumnRenamed("node", c), ["path", c], "left_semi").groupBy("path").agg(F.array_sort(F.collect_set(c)).alias(f"{c}s"))
+    counts = edges.groupBy("path").agg(F.count("*").alias("n_edges")).join(nodes.groupBy("path").agg(F.count("*").alias("n_nodes")), "path")
+    return counts.join(held(ends, "node").withColumnRenamed("nodes", "ends"), "path", "left").join(held(nerves, "nerve"), "path", "left")

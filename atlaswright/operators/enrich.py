@@ -118,3 +118,8 @@ def painted(shapes: DataFrame) -> DataFrame:
 def hyperlinks(shapes: DataFrame) -> DataFrame:
     """FLT-14: hyperlinks of each parent, ``(id, url)`` in order."""
     return shapes.where("kind = 'hyperlink'").groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("id", "url"))).alias("hyperlinks"))
+
+
+def filled_labels(terms: DataFrame, knowledge: DataFrame, unknown: str = "UNKNOWN") -> DataFrame:
+    """JN-39: the label of each term of a map, by ``knowledge(entity, label)``; unknown ones are marked."""
+    return terms.join(knowledge.toDF("term", "label"), "term", "left").select("term", F.coalesce("label", F.lit(unknown)).alias("label"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +84,24 @@ def lanes(edges: DataFrame) -> DataFrame:
 
 def text_clusters(texts: DataFrame, gap: float) -> DataFrame:
     """WN-8: numbers of text clusters in drawing order: a new one begins where the baseline
-    is further than ``gap`` from that of its cluster's first."""
-    rows = texts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("baseline").cast("double").alias("baseline")))).alias("ts"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("head"), F.array().cast("array<struct<seq:bigint,cluster:int>>").alias("out"))
-
-    def fold(acc: Column, t: Column) -> Column:
-        new = acc["head"].isNull() | (F.abs(t["baseline"] - acc["head"]) > gap)
-        n = acc["n"] + new.cast("int")
-        return F.struct(n.alias("n"), F.when(new, t["baseline"]).otherwise(acc["head"]).alias("head"), F.array_append(acc["out"], F.struct(t["seq"].cast("bigint").alias("seq"), n.alias("cluster"))).alias("out"))
-
-    return rows.select("group", F.inline(F.aggregate("ts", start, fold, lambda acc: acc["out"])))
+    is further than ``gap`` from that of its cluster's first. A task reads a group's rows in
+    order and holds none of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = head = None
+        number = 0
+        for batch in batches:
+            numbers = []
+            for g, baseline in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != group:
+                    group, head, number = g, None, 0
+                if head is None or abs(baseline - head) > gap:
+                    head, number = baseline, number + 1
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int32())], ["group", "seq", "cluster"])
+
+    rows = texts.select(F.col("group").cast("string").alias("group"), F.col("seq").cast("long").alias("seq"), F.col("baseline").cast("double").alias("baseline"))
+    return rows.repartition("group").sortWithinPartitions("group", "seq").mapInArrow(run, "group string, seq long, cluster int")
 
 
 def segments(nodes: DataFrame, branches: DataFrame) -> DataFrame:

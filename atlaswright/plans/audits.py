@@ -104,13 +104,13 @@ WN4 = with_frames("features", body=" SELECT id, model, (row_number() OVER (PARTI
 
 def tk2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names (orders) of one or two phrases, each with the best scored parts of its lines."""
-    n = frames.path_nodes(spark, sf_dir).where("path % 5 = 0")
+    n = frames.path_nodes(spark, sf_dir)
     s = n.select(F.col("path").alias("name"), (F.col("pos") % 2).alias("phrase"), (F.col("node") % 300).alias("term"), (F.col("node") % 97 / 97).alias("s")).groupBy("name", "phrase", "term").agg(F.round(F.max("s"), 4).alias("score"))
     w = Window.partitionBy("name", "phrase").orderBy(F.desc("score"), "term")
     return align.phrase_candidates(s.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r"), 3)
 
 
-TK2 = with_frames("path_nodes", body=""", g AS (SELECT path AS name, pos % 2 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score FROM path_nodes WHERE path % 5 = 0 GROUP BY path, pos % 2, node % 300),
+TK2 = with_frames("path_nodes", body=""", g AS (SELECT path AS name, pos % 2 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score FROM path_nodes GROUP BY path, pos % 2, node % 300),
 s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name, phrase ORDER BY score DESC, term) <= 3),
 c AS (SELECT name, term::VARCHAR AS node, score FROM s WHERE phrase = 0 AND name NOT IN (SELECT name FROM s WHERE phrase = 1)
 UNION ALL SELECT a.name, CASE WHEN a.term = b.term THEN a.term::VARCHAR ELSE a.term || '/' || b.term END, round((a.score + b.score) / 2, 6) FROM s a JOIN s b ON a.name = b.name AND a.phrase = 0 AND b.phrase = 1),

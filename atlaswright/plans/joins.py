@@ -57,17 +57,17 @@ SRC7 = with_frames("aliases", body=" SELECT alias, canonical, (SELECT arg_min(ca
 
 def jn7_node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes (part, its two layers) to features, by layers that have some and by place."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     nodes = p.select(k.alias("node"), (k % 97).alias("term"), F.array(k % 53 + 100, k % 29 + 200).alias("layers"))
-    f = table(spark, sf_dir, "part").select(F.explode(F.array(k % 89, k % 31 + 100, k % 23 + 200)).alias("model"), k.alias("feature")).where("feature % 3 = 0")
+    f = table(spark, sf_dir, "part").select(F.explode(F.array(k % 89, k % 31 + 100, k % 23 + 200)).alias("model"), k.alias("feature"))
     nerves = spark.range(205, 210).select(F.col("id").alias("model"))
     inside = f.select("feature", F.col("model").alias("layer")).where("(feature + layer) % 2 = 0").distinct()
     return terms.node_features(nodes, f.distinct(), nerves, inside)
 
 
-JN7 = """WITH n AS (SELECT p_partkey AS node, p_partkey % 97 AS term, [p_partkey % 53 + 100, p_partkey % 29 + 200] AS layers FROM part WHERE p_partkey % 4 = 0),
-f AS (SELECT DISTINCT unnest([p_partkey % 89, p_partkey % 31 + 100, p_partkey % 23 + 200]) AS model, p_partkey AS feature FROM part WHERE p_partkey % 3 = 0),
+JN7 = """WITH n AS (SELECT p_partkey AS node, p_partkey % 97 AS term, [p_partkey % 53 + 100, p_partkey % 29 + 200] AS layers FROM part),
+f AS (SELECT DISTINCT unnest([p_partkey % 89, p_partkey % 31 + 100, p_partkey % 23 + 200]) AS model, p_partkey AS feature FROM part),
 l AS (SELECT node, layers[i] AS layer, i - 1 AS pos FROM n, (SELECT unnest([1, 2]) AS i) WHERE layers[i] IN (SELECT model FROM f) AND layers[i] NOT BETWEEN 205 AND 209),
 u AS (SELECT node, term, -1 AS pos FROM n WHERE term IN (SELECT model FROM f) UNION ALL SELECT n.node, arg_min(layer, pos), min(pos) FROM n JOIN l USING (node) WHERE term NOT IN (SELECT model FROM f) GROUP BY n.node),
 r AS (SELECT l.node, layer FROM l JOIN u USING (node) WHERE l.pos > u.pos), c AS (SELECT DISTINCT node, feature FROM u JOIN f ON f.model = u.term),
@@ -78,11 +78,13 @@ SELECT node, feature FROM x QUALIFY NOT held OR fits OR (NOT bool_or(fits) OVER
 
 def jn9_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames.features(spark, sf_dir).select("id", (F.col("id") % 40).alias("model"))
-    d = spark.range(0, 80).select(F.col("id").alias("feature"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), ((F.col("id") * 3) % 60).alias("proxy")), F.struct(F.lit(1).alias("ord"), ((F.col("id") * 7) % 60).alias("proxy")))).alias("e")).select("feature", "e.ord", "e.proxy")
+    k = F.col("s_suppkey")
+    proxies = F.array((k * 3) % 60, (k * 7) % 60)
+    d = table(spark, sf_dir, "supplier").select(k.alias("feature"), F.posexplode(proxies).alias("ord", "proxy"))
     return terms.proxy_features(d, f)
 
 
-JN9 = with_frames("features", body=""", f AS (SELECT id, id % 40 AS model FROM features), d AS (SELECT feature, ord, CASE ord WHEN 0 THEN feature * 3 % 60 ELSE feature * 7 % 60 END AS proxy FROM (SELECT unnest(range(0, 80)) AS feature), (SELECT unnest([0, 1]) AS ord))
+JN9 = with_frames("features", body=""", f AS (SELECT id, id % 40 AS model FROM features), d AS (SELECT feature, ord, CASE ord WHEN 0 THEN feature * 3 % 60 ELSE feature * 7 % 60 END AS proxy FROM (SELECT s_suppkey AS feature FROM supplier), (SELECT unnest([0, 1]) AS ord))
 SELECT feature, id AS host, (row_number() OVER (PARTITION BY id ORDER BY feature, ord) - 1)::INTEGER AS seq FROM d JOIN f ON f.model = proxy WHERE feature NOT IN (SELECT model FROM f)""")
 
 

@@ -134,14 +134,15 @@ JOIN s x ON x.path = p.path AND x.f = p.f JOIN e ON e.path = p.path AND e.node =
 
 
 def gr10_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of parts that orders of three urgent priorities tie together."""
-    urgent = frames.table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("path"))
-    e = frames.path_edges(spark, sf_dir).join(urgent, "path").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    """Components of the orders' parts, told apart by the discount that their lines have."""
+    line = frames.table(spark, sf_dir, "lineitem")
+    at = lambda c, k: F.concat(F.lit(c), k)
+    e = line.select(at("O", F.col("l_orderkey")).alias("a"), at("P", F.concat_ws("/", F.col("l_partkey") % 1000, F.col("l_suppkey"), F.round(F.col("l_discount") * 100).cast("int"), F.col("l_quantity").cast("int"))).alias("b"))
     return graph.components(e)
 
 
-GR10 = with_frames("path_edges", recursive=True, body=""", e AS (SELECT src AS a, dst AS b FROM path_edges WHERE path % 40 = 0 UNION SELECT dst, src FROM path_edges WHERE path % 40 = 0),
-r AS (SELECT DISTINCT a AS id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b)
+GR10 = with_frames("path_edges", recursive=True, body=""", x AS (SELECT 'O' || l_orderkey AS a, 'P' || l_partkey % 1000 || '/' || l_suppkey || '/' || round(l_discount * 100)::INTEGER || '/' || l_quantity::INTEGER AS b FROM lineitem),
+e AS (SELECT a, b FROM x UNION SELECT b, a FROM x), r AS (SELECT DISTINCT a AS id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b)
 SELECT id, min(m) AS component FROM r GROUP BY id""")
 
 
@@ -172,12 +173,12 @@ SELECT n || '/C:' || c_custkey AS node, n AS parent FROM n UNION SELECT n, r FRO
 
 
 def gr24_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = frames.path_nodes(spark, sf_dir).where("pos = 0")
+    p = frames.path_nodes(spark, sf_dir)
     parts = F.array(F.col("node").cast("string"), F.lit("mid"), F.lit("outer"))
     return graph.suffixes(p.select("path", "node", parts.alias("parts")))
 
 
-GR24 = with_frames("path_nodes", body=""" SELECT path, node, k::INTEGER AS dropped, [node || '/mid/outer', 'mid/outer', 'outer'][k + 1] AS suffix FROM path_nodes, (SELECT unnest(range(0, 3)) AS k) WHERE pos = 0""")
+GR24 = with_frames("path_nodes", body=""" SELECT path, node, k::INTEGER AS dropped, [node || '/mid/outer', 'mid/outer', 'outer'][k + 1] AS suffix FROM path_nodes, (SELECT unnest(range(0, 3)) AS k)""")
 
 
 def ag16_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
