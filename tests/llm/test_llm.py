@@ -459,7 +459,7 @@ def _model(texts, seed=0):
 def _cut(word):
     cutter = lm.subwords(packing.tokenizer_file())
     (n,) = cutter.numbers([word]).tolist()
-    _, flat, ends = cutter.arrays()
+    flat, ends = cutter.arrays()
     return tuple(flat[ends[n] : ends[n + 1]].tolist())
 
 
@@ -476,7 +476,7 @@ def test_packed_texts_come_back():
     for texts in (["", None], [], ["a"], _some_texts()):
         got, _, _ = _model(texts)
         again = lm.Texts.unpacked(got.packed())
-        assert all(np.array_equal(getattr(got, k), getattr(again, k)) for k in ("lengths", "which", "hashes", "flat", "ends", "token"))
+        assert all(np.array_equal(getattr(got, k), getattr(again, k)) for k in ("lengths", "which", "hashes", "begun", "flat", "ends", "token"))
         assert got.ids_of.tolist() == [len(_ids(t)) + 1 for t in texts]
 
 
@@ -500,6 +500,8 @@ def _plain(texts, trains, flat):
     begin, whole, firsts, pair, memory, context = c(), c(), c(), c(), c(), c()
     for t in itertools.compress(texts, trains):
         for word in common.words_of(t):
+            if len(word) > lm.WORD_BYTES:
+                continue
             ids = _cut(word)
             begin.update(ids[:k] for k in range(1, len(ids) + 1))
             whole[ids] += 1
@@ -574,13 +576,12 @@ def test_spelling_is_a_distribution():
         ids = [*some]
         more = [[*ids, y] for y in range(lm.VOCAB) if not counts.starts[y]]
         every = [ids, *more]
-        got = lm.Texts(np.array([len(every)]), np.arange(len(every)), np.arange(len(every), dtype=np.uint64), np.array([y for x in every for y in x], np.uint16), np.cumsum([0, *map(len, every)]))
-        h = lm.beginnings(got.flat, got.ends)
+        got = lm.Texts(np.array([len(every)]), np.arange(len(every)), np.array([y for x in every for y in x], np.uint16), np.cumsum([0, *map(len, every)]))
         at = got.ends[1:] - 1
-        begun, last = counts._of(h)[at], got.flat[at]
+        begun, last = counts._of(got.begun)[at], got.flat[at]
         a = float(counts.WEIGHTS[0])
         go_on = (begun[1:] + a * counts.pair[ids[-1], last[1:]]) / (begun[0] + a)
-        over = (counts._of(counts._closed(h[at[:1]]))[0] + a * counts.stop[ids[-1]]) / (begun[0] + a)
+        over = (counts._of(got.hashes[:1])[0] + a * counts.stop[ids[-1]]) / (begun[0] + a)
         assert go_on.sum() + over == pytest.approx(1, rel=1e-4)
 
 
@@ -602,7 +603,7 @@ def test_base_scores(spark):
 
 def test_weights_learn_from_every_training_document(spark):
     texts = _some_texts(300)
-    table = lm.by_class(lm.gathered(docs(spark, texts), packing.tokenizer_file()).where("block is not null"))
+    table = lm.gathered(docs(spark, texts), packing.tokenizer_file()).where(F.col("class") > lm.WORD)
     rows = [(r["class"], [i for i, _ in np.frombuffer(r["head"], np.int64).reshape(-1, 2).tolist()]) for r in table.collect()]
     assert sorted(i for k, ids in rows if k >= 0 for i in ids) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2]
     assert sorted(i for _, ids in rows for i in ids) == list(range(300))
@@ -638,11 +639,15 @@ def test_held_out_scores_beat_word_counts(spark):
 # quality
 
 
+def _scored(d, labels, targets=("quality", "toxic")):
+    feats = quality.featured(d, labels, list(targets))
+    return quality.score(feats, quality.learn(feats, list(targets)))
+
+
 def test_quality_on_held_back_labels(spark):
     d = common.documents(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    models = quality.learn(d, labels.where("doc_id % 2 = 0"), ["quality", "toxic"])
-    got = quality.score(d, models).withColumnsRenamed({"quality": "q", "toxic": "t"}).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    got = _scored(d, labels.where("doc_id % 2 = 0")).withColumnsRenamed({"quality": "q", "toxic": "t"}).join(labels.where("doc_id % 2 = 1"), "doc_id")
     n = got.count()
     assert got.where("(q >= 0.5) = (quality = 1)").count() / n > 0.95 and got.where("(t >= 0.5) = (toxic = 1)").count() / n > 0.96
 
@@ -650,6 +655,38 @@ def test_quality_on_held_back_labels(spark):
 def test_quality_edges(spark):
     d = docs(spark, ODD, extra=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = quality.score(d, quality.learn(d, none, ["quality", "toxic"])).collect()
+    got = _scored(d, none).collect()
     assert len(got) == len(ODD) and {r["quality"] for r in got} == {0.5}
-    assert quality.score(d.where("false"), quality.learn(d, none, ["quality"])).count() == 0
+    assert _scored(d.where("false"), none, ["quality"]).count() == 0
+    labels = spark.createDataFrame([(0, None, None, "x"), (1, 7, 0, "x"), (2, 0, 0, "x"), (2, 1, 0, "x"), (None, 1, 1, "x"), (99, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    rows = {r["doc_id"]: (r["quality"], r["toxic"]) for r in _scored(d, labels).collect()}
+    assert set(rows.values()) == {(1.0, 0.0)}  # one kind of label each, of documents that exist
+
+
+def test_views_hand_over_the_surest_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "GROW", 4)
+    rng = random.Random(3)
+    rows = []
+    for k in range(600):
+        good = k % 2
+        words = rng.choices(["fine", "clear", "sound"] if good else ["junk", "spam", "trash"], k=rng.randint(1, 30)) + rng.choices(["and", "the", "of"], k=20)
+        rows.append((k, " ".join(words), "en", "good" if good else "bad", 0))
+    d = spark.createDataFrame([*rows, *rows[-20:]], DOC).repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    feats = quality.featured(d, labels, ["quality"])
+    seen = []
+    monkeypatch.setattr(quality.Pupil, "learn", lambda self, view, some, before=quality.Pupil.learn: (seen.append((view, some, self.models[1 - view])), before(self, view, some)))
+    models = quality.learn(feats, ["quality"])
+    every = [r for r in feats.collect() if r["quality"] is None]
+    taught = [set(), set()]
+    assert len(seen) == 2 * quality.ROUNDS
+    for view, some, (w, b) in seen:
+        margin = {r["key"]: quality._sparse([[r["words"]], [r["page"]]])[1 - view].dot(w)[0] + b for r in every}
+        want = set()
+        for y in (0, 1):
+            sure = sorted((-(m if y else -m), k) for k, m in margin.items() if k not in taught[view] and (m if y else -m) > 1)
+            want |= {(y, k) for _, k in sure[:4]}
+        assert {(r[0], r[1]) for r in some} == want and len(some) == len(want)
+        taught[view] |= {r[1] for r in some}
+    got = quality.score(feats, models).where("doc_id >= 200").collect()
+    assert len(got) == 420 and sum((r["quality"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got) > 400
