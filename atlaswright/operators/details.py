@@ -3,11 +3,13 @@ GR-16, SC-22, 23, 25, 29, 33, 38, 40, WN-9)."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import spatial
+from . import graph, spatial
 
 
 def connected_only(paths: DataFrame, disconnected: bool = False) -> DataFrame:
@@ -57,17 +59,19 @@ def unit_children(units: DataFrame, children: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).where("rank is not null").groupBy("unit").agg(F.min(F.struct("rank", "child")).alias("m")).select("unit", "m.child", "m.rank")
 
 
-def ensured_systems(parents: DataFrame, kinds: DataFrame, depth: int = 20) -> DataFrame:
+def ensured_systems(parents: DataFrame, kinds: DataFrame) -> DataFrame:
     """GR-16: ``(id, system)`` of the components whose way up ``parents(id, parent)`` meets a system before
-    any unit or organ: the first system on it. Containment is at most ``depth`` deep, or it is a cycle."""
+    any unit or organ: the first system on it. A step up a round, until nobody is on the way; containment
+    that runs in a circle is an error."""
     kind = kinds.select("id", "kind")
-    here, found = parents.select("id", F.col("parent").alias("at")), None
-    for _ in range(depth):
-        at = here.join(kind.withColumnRenamed("id", "at"), "at", "left")
-        hit = at.where("kind = 'system'").select("id", F.col("at").alias("system"))
-        found = hit if found is None else found.union(hit)
-        here = at.where("kind is null or kind not in ('system', 'unit', 'organ')").join(parents.toDF("at", "up"), "at").select("id", F.col("up").alias("at"))
-    return found
+    here, found, deepest = graph.cut(parents.select("id", F.col("parent").alias("at"))), [], parents.count()
+    while not here.isEmpty():
+        if len(found) > deepest:
+            raise ValueError("components contain each other in a circle")
+        at = graph.cut(here.join(kind.withColumnRenamed("id", "at"), "at", "left"))
+        found.append(at.where("kind = 'system'").select("id", F.col("at").alias("system")))
+        here = graph.cut(at.where("kind is null or kind not in ('system', 'unit', 'organ')").join(parents.toDF("at", "up"), "at").select("id", F.col("up").alias("at")))
+    return functools.reduce(DataFrame.union, found)
 
 
 def attached_details(features: DataFrame, details: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlaswright.functions import colour, geometry, markup, pathtype, text
-from atlaswright.operators import classify, enrich, graph, rollups
+from atlaswright.operators import classify, details, enrich, graph, rollups, spatial
 from atlaswright.sources import documents, sinks
 from atlaswright.streaming import monitor
 
@@ -158,3 +158,52 @@ def test_streams(spark, tmp_path):
 def test_triples(spark):
     rows = spark.createDataFrame([("a", "K", "L", "l", None, "t")], "id string, kind string, label string, name string, source string, target string")
     assert {(r["p"], r["o"]) for r in sinks.shape_triples(rows).collect()} == {("type", "K"), ("label", "L"), ("hasTarget", "t")}
+
+
+def test_boxes_of_any_size_meet_once_and_are_dealt_to_few_cells(spark):
+    rng = random.Random(1)
+    def box(k):
+        x, y = rng.randint(-2000, 2000), rng.randint(-2000, 2000)
+        size = rng.choice([0, 3, 40, 400, 5000, 300_000])
+        return k, x, y, x + rng.randint(0, size), y + rng.randint(0, size)
+    left, right = [box(k) for k in range(60)], [box(k) for k in range(80)]
+    left.append((60, -10_000_000, -10_000_000, 10_000_000, 10_000_000))
+    a, b = (spark.createDataFrame(rows, "id int, x0 long, y0 long, x1 long, y1 long") for rows in (left, right))
+    got = sorted((r["a_id"], r["b_id"]) for r in spatial.box_pairs(a, b).collect())
+    assert got == sorted((p[0], q[0]) for p in left for q in right if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    huge, points = a.where("id = 60"), b.where("x1 - x0 < 5 and y1 - y0 < 5")
+    dealt = spatial._dealt(points.withColumn("own", spatial._level(100)).crossJoin(huge.select(spatial._level(100).alias("level"))), 100, "b_")
+    assert dealt.count() <= 4 * points.count() and spatial._dealt(huge.withColumn("level", spatial._level(100)), 100, "a_").count() <= 49
+
+
+def test_rings_inside_rings(spark):
+    ring = lambda *points: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
+    bay = ring((0, 0), (10, 0), (10, 10), (6, 10), (6, 4), (4, 4), (4, 10), (0, 10))  # open between two arms
+    inside, across, touching = ring((1, 1), (3, 1), (3, 9), (1, 9)), ring((1, 5), (9, 5), (9, 6), (1, 6)), ring((0, 0), (4, 0), (4, 4), (0, 4))
+    found = one(spark, *[geometry.ring_inside(r, bay, proper) for r in (inside, across, touching) for proper in (False, True)])
+    assert list(found) == [True, True, False, False, True, False]
+
+
+def test_chains_against_a_walk(spark):
+    rng = random.Random(2)
+    edges = {(path, *sorted(rng.sample(range(14), 2))) for path in range(12) for _ in range(13)}
+    want = set()
+    for path in range(12):
+        near = {n: {b if a == n else a for p, a, b in edges if p == path and n in (a, b)} for n in range(14)}
+        for start in (n for n in near if near[n] and len(near[n]) != 2):
+            for at in near[start]:
+                last, via = start, []
+                while len(near[at]) == 2:
+                    via.append(at)
+                    last, at = at, next(iter(near[at] - {last}))
+                forms = ((start, at, tuple(via)), (at, start, tuple(reversed(via))))
+                want.add((path, *min(forms)))
+    got = graph.chains(spark.createDataFrame(sorted(edges), "path int, src long, dst long")).collect()
+    assert {(r["path"], *min(((r["a"], r["b"], tuple(r["inner"])), (r["b"], r["a"], tuple(reversed(r["inner"])))))) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_a_circle_of_components_is_an_error(spark):
+    parents = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id int, parent int")
+    with pytest.raises(ValueError):
+        details.ensured_systems(parents, spark.createDataFrame([(9, "system")], "id int, kind string"))
