@@ -585,7 +585,8 @@ def test_spelling_is_a_distribution():
         assert go_on.sum() + over == pytest.approx(1, rel=1e-4)
 
 
-def test_base_scores(spark):
+def test_base_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "train", lambda *_: lm.start())
     texts = [*ODD, *(f"a b c w{k} {'x ' * k}" for k in range(30))]
     got = {r["doc_id"]: r for r in lm.score(docs(spark, texts, extra=True)).collect()}
     c = collections.Counter()
@@ -624,7 +625,8 @@ def test_scores_do_not_depend_on_the_layout(spark):
     assert all(many[i] == pytest.approx(one[i], rel=1e-4) for i in one)
 
 
-def test_rows_with_null_ids_and_repeated_rows_are_scored(spark):
+def test_rows_with_null_ids_and_repeated_rows_are_scored(spark, monkeypatch):
+    monkeypatch.setattr(lm, "train", lambda *_: lm.start())
     rows = [(None, "null id here", "en", "s", 0), (None, None, "en", "s", 0), (1, "twice the same row", "en", "s", 0), (1, "twice the same row", "en", "s", 0)]
     got = [(r["doc_id"], r["n_tokens"], r["train_tokens"]) for r in lm.score(spark.createDataFrame(rows, DOC)).collect()]
     n = sum(k for i, k in ((None, 4), (None, 1), (1, 5), (1, 5)) if common.crc_mod(i, 7) != 2)
