@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,19 @@ def join_copies(rows: DataFrame, table: DataFrame, keys: list[str], copies: str,
     return known.where(F.col(new[0]).isNotNull()).unionByName(rest)
 
 
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with ``place`` from 1 in the order of ``order``: sorted by range over all tasks, numbered
+    inside each, and shifted by the counts of the tasks before (one number a task). Rows come back
+    from the shared folder, so a number once given stays."""
+    inside = F.col("in_task").bitwiseAND((1 << 33) - 1)  # the task's own part of the id
+    here = rows.orderBy(*order).select(F.struct(*rows.columns).alias("row"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("in_task"))
+    here = cut(here)
+    counts = here.groupBy("task").count()
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    skips = counts.select("task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
+    return here.join(F.broadcast(skips), "task").select("row.*", (F.col("skip") + inside + 1).alias("place"))
+
+
 #: Edges that one task joins up on its own before tasks exchange any.
 EDGES = 300_000
 

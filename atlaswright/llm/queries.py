@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lines, lm, media, packing, quality, substrings
+from . import chat, decontam, importance, jaccard, langid, lines, lm, media, packing, quality, substrings
 from .common import documents
 
 
@@ -53,5 +53,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op7_substrings, op8_chat, op9_language, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL}
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op7_substrings, op8_chat, op9_language, op10_packing, op12_importance)}
+ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL, "op12_importance": importance.SQL}
