@@ -89,6 +89,22 @@ def join_copies(rows: DataFrame, table: DataFrame, keys: list[str], copies: str,
     return known.where(F.col(new[0]).isNotNull()).unionByName(rest)
 
 
+def join_left(rows: DataFrame, table: DataFrame, key: str, copies: str, spread, meant) -> DataFrame:
+    """``rows`` joined to the left of ``table`` (one row per ``key``, shared by ``copies`` rows). Keys with
+    more than a ``FREQUENT``-th of the rows, so no more than ``FREQUENT`` of them, are broadcast. Rows that have found theirs, or
+    are not ``meant`` to find any, are dealt out by ``spread`` in the join of the rest."""
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    often = F.col(copies) > max(1000, total // FREQUENT)
+    new = [c for c in table.columns if c not in (key, copies)]
+    hot = table.where(often).select(key, F.struct(*new).alias("_hot"))
+    rare = table.where(~often).select(F.col(key).alias("_key"), F.struct(*new).alias("_rare"))
+    known = rows.join(F.broadcast(hot), key, "left")
+    open_ = F.col("_hot").isNull() & meant
+    known = known.withColumn("_key", F.when(open_, F.col(key)).otherwise(spread.cast("string"))).join(rare, "_key", "left")
+    found = [F.coalesce(F.when(meant, F.col(f"_hot.{c}")), F.col(f"_rare.{c}")).alias(c) for c in new]
+    return known.select(*rows.columns, *found)
+
+
 def placed(rows: DataFrame, *order) -> DataFrame:
     """``rows`` with ``place`` from 1 in the order of ``order``: sorted by range over all tasks, numbered
     inside each, and shifted by the counts of the tasks before (one number a task). Rows come back

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, importance, jaccard, langid, lines, lm, media, packing, quality, substrings
+from . import chat, decontam, importance, jaccard, langid, lines, lm, media, negatives, packing, quality, substrings, warc
 from .common import documents
 
 
@@ -53,9 +53,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op7_substrings, op8_chat, op9_language, op10_packing, op12_importance)}
-ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL, "op12_importance": importance.SQL}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.read(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_scores, op2_lines, op3_jaccard, op4_quality, op5_media, op6_decontamination, op7_substrings, op8_chat, op9_language, op10_packing, op11_negatives, op12_importance, op13_warc)}
+ORACLE_SQL: dict[str, str] = {"op2_lines": lines.SQL, "op6_decontamination": decontam.SQL, "op8_chat": chat.SQL, "op11_negatives": negatives.SQL, "op12_importance": importance.SQL, "op13_warc": warc.SQL}
