@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -261,7 +262,7 @@ def _row(name: str, record: dict) -> dict:
         head, _, payload = block.partition(b"\r\n\r\n")
         row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
         if told and told != _sha1(payload):
-            row["error"] = "payload digest differs"
+            row.setdefault("error", "payload digest differs")
     elif kind == "revisit":
         fields = _head(iter(block.split(b"\n")[1:] + [b""]))
         row |= {"payload_bytes": int(fields["content-length"]) if "content-length" in fields else None}
@@ -287,7 +288,7 @@ def read(files: DataFrame) -> DataFrame:
                 with fs.open_input_file(at) as raw:
                     packed = raw.read(2) == b"\x1f\x8b"
                     raw.seek(0)
-                    for record in parse(gzip.GzipFile(fileobj=raw) if packed else raw):
+                    for record in parse(gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw)):
                         rows.append(_row(name, record))
                         size += len(record["block"])
                         if size >= _BATCH or len(rows) >= 10_000:
