@@ -77,19 +77,35 @@ def circuits(edges: DataFrame) -> DataFrame:
 
 
 def end_chains(segments: DataFrame, reach: int = 500) -> DataFrame:
-    """GR-26: ``(id, chain, closed)`` of ``segments(id, x0, y0, x1, y1)``: those with ends within
-    ``reach`` of each other make a chain; it is closed if both ends of each meet another."""
+    """GR-26: ``(id, chain, place, reversed, closed)`` of ``segments(id, x0, y0, x1, y1)``. Ends of two segments that lie within ``reach`` are
+    joined where each is the other's nearest, the least id of equals. A chain is named by its least segment; ``place`` counts along it from 0,
+    and a ``reversed`` segment is passed from its second end to its first. An open chain begins at that of its two end segments with
+    the lesser id, a lone segment at its first end, a closed one with its least segment the right way round."""
     at = lambda c: F.floor(F.col(c) / reach)
     near = F.array(*map(F.lit, (-1, 0, 1)))
     ends = segments.select("id", F.inline(F.array(F.struct(F.lit(0).alias("end"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")))))
-    index = ends.select(F.col("id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), at("x").alias("gx"), at("y").alias("gy"))
+    index = ends.select(F.col("id").alias("id2"), F.col("end").alias("end2"), F.col("x").alias("u"), F.col("y").alias("v"), at("x").alias("gx"), at("y").alias("gy"))
     probe = ends.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("id", "end", "x", "y", (at("x") + F.col("dx")).alias("gx"), (at("y") + F.col("dy")).alias("gy"))
     square = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))
-    pairs = graph.cut(probe.join(index, ["gx", "gy"]).where((F.col("id") != F.col("other")) & (square <= reach * reach)).select("id", "end", "other").distinct())
-    chain = segments.select("id").join(graph.components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
-    met = pairs.groupBy("id").agg(F.countDistinct("end").alias("met"))
-    every = chain.join(met, "id", "left").withColumn("whole", F.coalesce("met", F.lit(0)) == 2)
-    return every.join(every.groupBy("chain").agg(F.bool_and("whole").alias("closed")), "chain").select("id", "chain", "closed")
+    met = probe.join(index, ["gx", "gy"]).where((F.col("id") != F.col("id2")) & (square <= reach * reach))
+    best = met.groupBy("id", "end").agg(F.min(F.struct(square.alias("d2"), "id2", "end2")).alias("m")).select("id", "end", "m.id2", "m.end2")
+    best = graph.cut(best)
+    joints = graph.cut(best.join(best.toDF("id2", "end2", "id", "end"), ["id", "end", "id2", "end2"]))
+    chain = segments.select("id").join(graph.components(joints.select(F.col("id").alias("a"), F.col("id2").alias("b"))), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
+    free = chain.join(joints.groupBy("id").agg(F.count("*").alias("n")), "id", "left").groupBy("chain").agg(F.count_if(F.coalesce("n", F.lit(0)) < 2).alias("free"))
+    chain = graph.cut(chain.join(free, "chain").select("id", "chain", (F.col("free") == 0).alias("closed")))
+    # a closed chain is cut before its least segment
+    heads = chain.where("closed and id = chain").select("id", F.lit(0).alias("end"))
+    open_ = joints.join(heads, ["id", "end"], "left_anti").join(heads.toDF("id2", "end2"), ["id2", "end2"], "left_anti")
+    # a segment passed one way or the other leads on to the one at the end it is left by
+    ways = chain.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
+    leads = open_.select("id", (1 - F.col("end")).alias("way"), F.struct(F.col("id2").alias("id"), F.col("end2").alias("way")).alias("next"))
+    ranks = graph.to_ends(ways.join(leads, ["id", "way"], "left").select(F.struct("id", "way").alias("key"), "next"))
+    ranks = graph.cut(ranks.select("key.id", "key.way", F.col("last.id").alias("last"), "steps").join(chain, "id"))
+    # of a chain's two lists that which does not end at the lesser of its two end segments begins there
+    whole = ranks.groupBy("chain").agg(F.max("steps").alias("n"), F.max("last").alias("tail"))
+    every = ranks.join(whole, "chain").where("last = tail and (n > 0 or way = 0)")
+    return every.select("id", "chain", (F.col("n") - F.col("steps")).alias("place"), (F.col("way") == 1).alias("reversed"), "closed")
 
 
 def container_segments(containers: DataFrame, segments: DataFrame, buffer: int = 20) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Many small connectivity graphs at once (GR-1..15, 19, 22..24, AG-9, 16, SO-4).
+"""Many small connectivity graphs at once (GR-1..15, 18, 19, 22..24, AG-9, 16, SO-4).
 
 Edges are rows ``(path, src, dst)``; all loops run over every path together, and stop when a
 round changes nothing.
@@ -10,7 +10,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -178,23 +178,78 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select("node").distinct(), pairs.where("parent is not null")
 
 
-def chains(edges: DataFrame) -> DataFrame:
-    """GR-8: runs of nodes with two neighbours become one edge ``(path, a, b, inner)``; ends
-    are nodes of any other number of neighbours, cycles without one are left out. All
-    walks take a step a round."""
-    pairs = ends(edges)
-    inner = pairs.groupBy("path", "node").agg(F.count("*").alias("n"), F.min("neighbour").alias("lo"), F.max("neighbour").alias("hi")).where("n = 2").drop("n")
-    # a walk stands on ``at`` having come from ``start`` by way of ``via``
-    walk = pairs.join(inner.select("path", "node"), ["path", "node"], "left_anti").select("path", F.col("node").alias("start"), F.col("node").alias("last"), F.col("neighbour").alias("at"), F.array().cast("array<long>").alias("via"))
-    walk, done = cut(walk), []
-    while True:
-        on = walk.join(inner.withColumnRenamed("node", "at"), ["path", "at"], "left")
-        ended = on.where("lo is null").select("path", "start", "at", "via")
-        done.append(cut(ended))
-        walk = cut(on.where("lo is not null").select("path", "start", F.col("at").alias("last"), F.when(F.col("lo") == F.col("last"), F.col("hi")).otherwise(F.col("lo")).alias("next"), F.array_append("via", F.col("at")).alias("via")).withColumnRenamed("next", "at").select("path", "start", "last", "at", "via"))
-        if walk.isEmpty():
+def to_ends(links: DataFrame) -> DataFrame:
+    """List ranking: ``(key, last, steps)`` of ``links(key, next)``, where ``next`` is null at the end of a list: the end that
+    each key leads to, and how far it is. Pointers double every round, so the rounds grow with
+    the logarithm of the longest list. Keys on a circle lead to no end and are left out."""
+    state = cut(links.select("key", F.coalesce("next", "key").alias("at"), F.col("next").isNotNull().cast("long").alias("steps"), F.col("next").isNull().alias("done")))
+    open_ = state.where("not done").count()
+    while open_:
+        on = state.select(F.col("key").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
+        # only those still on their way are joined: ends, to which many lead, are not asked again
+        moved = state.where("not done").join(on, "at").select("key", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("done2").alias("done"))
+        state = cut(state.where("done").unionByName(moved))
+        left = state.where("not done").count()
+        if left == open_:  # within twice the reach of the last round nobody has met an end: circles
             break
-    return functools.reduce(DataFrame.union, done).where("start < at or (start = at and (size(via) = 0 or via[0] <= via[size(via) - 1]))").select("path", F.col("start").alias("a"), F.col("at").alias("b"), F.col("via").alias("inner")).distinct()
+        open_ = left
+    return state.where("done").select("key", F.col("at").alias("last"), "steps")
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """GR-8: runs of nodes with two neighbours become one edge ``(path, a, b, inner)``, several between
+    the same ends apart; ends are nodes of any other number of neighbours, circles without one are left out.
+    Every edge in either direction leads on to the next of its run, so a run is a list; its ends and the places in it come by list ranking."""
+    pairs = cut(ends(edges))
+    inner = pairs.groupBy("path", "node").agg(F.count("*").alias("n"), F.min("neighbour").alias("lo"), F.max("neighbour").alias("hi")).where("n = 2")
+    on = pairs.join(inner.select("path", F.col("node").alias("neighbour"), "lo", "hi"), ["path", "neighbour"], "left")
+    following = F.when(F.col("lo").isNotNull(), F.struct("path", F.col("neighbour").alias("node"), F.when(F.col("lo") == F.col("node"), F.col("hi")).otherwise(F.col("lo")).alias("neighbour")))
+    ranks = cut(to_ends(on.select(F.struct("path", "node", "neighbour").alias("key"), following.alias("next"))))
+    # with what the edge back leads to, both ends of the run are known, and the place in it
+    back = ranks.select(F.struct(F.col("key.path").alias("path"), F.col("key.neighbour").alias("node"), F.col("key.node").alias("neighbour")).alias("key"), F.col("last").alias("first"), F.col("steps").alias("place"))
+    both = ranks.join(back, "key").select("key.path", F.col("first.neighbour").alias("a"), F.col("first.node").alias("via"), F.col("last.node").alias("from"), F.col("last.neighbour").alias("b"), "place", "steps", F.col("key.neighbour").alias("at"))
+    one_way = both.where("a < b or (a = b and via <= from)")
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("steps") > 0, F.struct("place", "at")))), lambda x: x["at"])
+    return one_way.groupBy("path", "a", "via", "from", "b").agg(listed.alias("inner")).select("path", "a", "b", "inner")
+
+
+def simple_paths(edges: DataFrame, pairs: DataFrame, bound: int = 64, most: int = 100_000) -> DataFrame:
+    """All paths without a repeated node between the ends of ``pairs(path, a, b)``: ``(path, a, b, nodes)``. Walks take a
+    step a round, each with the nodes it has visited. More than ``bound`` steps, or more than ``most`` walks of a pair at
+    a time, are an error: such a graph is no route."""
+    both = cut(ends(edges))
+    walks = pairs.select("path", "a", "b", F.array("a").alias("nodes"), F.col("a").alias("node")).distinct()
+    found = [walks.where("a = b").drop("node")]
+    walks = walks.where("a <> b")
+    for _ in range(bound):
+        step = walks.join(both, ["path", "node"]).where(~F.array_contains("nodes", F.col("neighbour")))
+        step = cut(step.select("path", "a", "b", F.array_append("nodes", F.col("neighbour")).alias("nodes"), F.col("neighbour").alias("node")))
+        found.append(step.where("node = b").drop("node"))
+        walks = step.where("node <> b")
+        crowd = walks.groupBy("path", "a", "b").count().agg(F.max("count")).first()[0]
+        if crowd is None:
+            return functools.reduce(DataFrame.union, found)
+        if crowd > most:
+            raise ValueError(f"over {most} walks between two nodes of a route")
+    raise ValueError(f"a route with walks of over {bound} steps")
+
+
+def loop_edges(route: DataFrame, completing: DataFrame, connectivity: DataFrame, features: DataFrame) -> DataFrame:
+    """GR-18: the edges ``(path, a, b)`` of ``route`` to leave out where centrelines that were added to complete it
+    (``completing(path, a, b)``) have closed more loops than the connectivity has. Where exactly two connectivity nodes
+    (``features(path, node, feature)``) lie on the simple paths between the ends of such an edge, and these are more than the
+    simple paths between the two nodes, the shortest go, of equals the last."""
+    pairs = completing.select("path", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = cut(simple_paths(route, pairs))
+    looped = every.join(every.groupBy("path", "a", "b").agg(F.count("*").alias("have")).where("have > 1"), ["path", "a", "b"])
+    on = looped.select("path", "a", "b", F.explode("nodes").alias("feature")).distinct().join(features, ["path", "feature"])
+    held = cut(on.groupBy("path", "a", "b").agg(F.array_sort(F.collect_set("node")).alias("held")).where("size(held) = 2").select("path", "a", "b", F.col("held")[0].alias("m"), F.col("held")[1].alias("n")))
+    needed = simple_paths(connectivity, held.select("path", F.col("m").alias("a"), F.col("n").alias("b"))).groupBy("path", F.col("a").alias("m"), F.col("b").alias("n")).agg(F.count("*").alias("need"))
+    wanted = held.join(needed, ["path", "m", "n"], "left").select("path", "a", "b", F.coalesce("need", F.lit(0)).alias("need"))
+    place = F.row_number().over(Window.partitionBy("path", "a", "b").orderBy(F.desc(F.size("nodes")), "nodes"))
+    extra = looped.join(wanted, ["path", "a", "b"]).withColumn("place", place).where("place > need").select("path", "nodes")
+    steps = F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("x"), F.slice("nodes", 2, F.size("nodes")).alias("y")))
+    return extra.select("path", steps.alias("s")).select("path", F.least("s.x", "s.y").alias("a"), F.greatest("s.x", "s.y").alias("b")).distinct()
 
 
 def between(edges: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -203,16 +258,15 @@ def between(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     the edges that led to them."""
     pairs, ends_ = cut(ends(edges)), cut(chosen.select("path", "node").distinct())
     front = ends_.select("path", F.col("node").alias("from"), "node")
-    seen, levels = [front], []
+    last, levels = front, []
     while True:
-        known = functools.reduce(DataFrame.union, seen)
+        known = front if not levels else front.union(last)  # a neighbour of a level lies in it, before it or behind it
         step = front.join(pairs, ["path", "node"]).select("path", "from", F.col("neighbour").alias("node"), F.col("node").alias("parent"))
         level = cut(step.join(known, ["path", "from", "node"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        front = level.select("path", "from", "node").distinct()
-        seen.append(front)
+        last, front = front, level.select("path", "from", "node").distinct()
     found, wanted = [], None
     for level in reversed(levels):
         here = level.join(ends_, ["path", "node"], "left_semi").select("path", "from", "node")

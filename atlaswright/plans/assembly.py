@@ -87,9 +87,16 @@ def gr26_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GR26 = with_frames("containers", recursive=True, body=""", e AS (SELECT id, 0 AS k, x0 AS x, y0 AS y FROM containers UNION ALL SELECT id, 1, x1, y1 FROM containers),
-p AS (SELECT DISTINCT a.id AS a, a.k, b.id AS b FROM e a JOIN e b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 3600),
-r AS (SELECT id, id AS m FROM containers UNION SELECT p.b, r.m FROM r JOIN p ON p.a = r.id WHERE r.m < p.b), c AS (SELECT id, min(m) AS chain FROM r GROUP BY id)
-SELECT id, chain, bool_and(coalesce((SELECT count(DISTINCT k) FROM p WHERE p.a = c.id), 0) = 2) OVER (PARTITION BY chain) AS closed FROM c""")
+best AS (SELECT a.id, a.k, b.id AS id2, b.k AS k2 FROM e a JOIN e b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 3600
+  QUALIFY row_number() OVER (PARTITION BY a.id, a.k ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id, b.k) = 1),
+j AS (SELECT p.* FROM best p JOIN best q ON q.id = p.id2 AND q.k = p.k2 AND q.id2 = p.id AND q.k2 = p.k),
+r AS (SELECT id, id AS m FROM containers UNION SELECT j.id2, r.m FROM r JOIN j ON j.id = r.id WHERE r.m < j.id2), c AS (SELECT id, min(m) AS chain FROM r GROUP BY id),
+z AS (SELECT chain, bool_and((SELECT count(*) FROM j WHERE j.id = c.id) = 2) AS closed FROM c GROUP BY chain),
+starts AS (SELECT chain, true AS closed, chain AS id, 0 AS way FROM z WHERE closed
+  UNION ALL SELECT * FROM (SELECT c.chain, false, c.id, CASE WHEN EXISTS (SELECT 1 FROM j WHERE j.id = c.id AND j.k = 0) THEN 1 ELSE 0 END AS way FROM c JOIN z ON z.chain = c.chain AND NOT z.closed
+    WHERE (SELECT count(*) FROM j WHERE j.id = c.id) < 2 QUALIFY row_number() OVER (PARTITION BY c.chain ORDER BY c.id) = 1)),
+w AS (SELECT chain, closed, id, way, 0 AS place FROM starts UNION ALL SELECT w.chain, w.closed, j.id2, j.k2, place + 1 FROM w JOIN j ON j.id = w.id AND j.k = 1 - w.way WHERE j.id2 <> w.chain OR NOT w.closed)
+SELECT id, chain, place::BIGINT AS place, way = 1 AS reversed, closed FROM w""")
 
 
 def jn25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

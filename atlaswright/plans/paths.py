@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, rollups
@@ -113,9 +113,48 @@ SELECT path, a AS src, b AS dst, array_to_string(list_sort(list(DISTINCT n)), ',
 
 
 def gr8_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of each path's graph with their number of inner nodes."""
-    c = graph.chains(frames.path_edges(spark, sf_dir))
-    return c.groupBy("path").agg(F.count("*").alias("n_chains"), F.sum(F.size("inner")).alias("n_inner"), F.min("a").alias("least"))
+    """Chains of each path's graph; parts that differ by a multiple of 12 are one node."""
+    return graph.chains(_folded(spark, sf_dir, 12)).withColumn("inner", F.array_join(F.transform("inner", lambda n: n.cast("string")), ","))
+
+
+def _folded(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return frames.path_edges(spark, sf_dir).select("path", (F.col("src") % n).alias("src"), (F.col("dst") % n).alias("dst"))
+
+
+GR8 = with_frames("path_edges", recursive=True, body=""", f AS (SELECT path, src % 12 AS s, dst % 12 AS t FROM path_edges WHERE src % 12 <> dst % 12),
+e AS (SELECT path, s AS node, t AS nb FROM f UNION SELECT path, t, s FROM f), d AS (SELECT path, node, count(*) AS n FROM e GROUP BY ALL),
+w AS (SELECT e.path, e.node AS a, e.node AS last, e.nb AS node, []::BIGINT[] AS via FROM e JOIN d USING (path, node) WHERE d.n <> 2
+  UNION ALL SELECT w.path, w.a, w.node, e.nb, list_append(via, w.node) FROM w JOIN d ON d.path = w.path AND d.node = w.node AND d.n = 2 JOIN e ON e.path = w.path AND e.node = w.node AND e.nb <> w.last)
+SELECT w.path, a, w.node AS b, coalesce(list_aggregate(via, 'string_agg', ','), '') AS "inner" FROM w JOIN d ON d.path = w.path AND d.node = w.node AND d.n <> 2 WHERE a < w.node OR (a = w.node AND via[1] <= via[-1])""")
+
+
+def _route(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Routes over seven features; the parts behind three of them are connectivity nodes; edges whose ends add up to a multiple of 3 are completing ones."""
+    route = graph.undirected(_folded(spark, sf_dir, 7)).select("path", "a", "b")
+    kept = frames.path_nodes(spark, sf_dir).where("node % 7 < 3")
+    following = F.lead("node").over(Window.partitionBy("path").orderBy("pos"))
+    connectivity = kept.select("path", F.col("node").alias("src"), following.alias("dst")).where("dst is not null")
+    return route, route.where("(a + b) % 3 = 0"), connectivity, kept.select("path", "node", (F.col("node") % 7).alias("feature")).distinct()
+
+
+def gr18_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    route, completing, connectivity, features = _route(spark, sf_dir)
+    gone = graph.loop_edges(route.select("path", F.col("a").alias("src"), F.col("b").alias("dst")), completing, connectivity, features)
+    return route.join(gone.withColumn("removed", F.lit(True)), ["path", "a", "b"], "left").select("path", "a", "b", F.coalesce("removed", F.lit(False)).alias("removed"))
+
+
+GR18 = with_frames("path_edges", "path_nodes", recursive=True, body=""", r AS (SELECT DISTINCT path, least(src % 7, dst % 7) AS a, greatest(src % 7, dst % 7) AS b FROM path_edges WHERE src % 7 <> dst % 7),
+re AS (SELECT path, a AS node, b AS nb FROM r UNION ALL SELECT path, b, a FROM r), q AS (SELECT * FROM r WHERE (a + b) % 3 = 0),
+k AS (SELECT path, pos, node FROM path_nodes WHERE node % 7 < 3), cf AS (SELECT path, node AS s, lead(node) OVER (PARTITION BY path ORDER BY pos) AS t FROM k),
+ce AS (SELECT path, s AS node, t AS nb FROM cf WHERE t IS NOT NULL AND s <> t UNION SELECT path, t, s FROM cf WHERE t IS NOT NULL AND s <> t),
+w AS (SELECT path, a, b, [a] AS v FROM q UNION ALL SELECT w.path, w.a, w.b, list_append(v, nb) FROM w JOIN re ON re.path = w.path AND re.node = v[-1] WHERE v[-1] <> w.b AND NOT list_contains(v, nb)),
+sp AS (SELECT path, a, b, v, count(*) OVER (PARTITION BY path, a, b) AS have FROM w WHERE v[-1] = b),
+h AS (SELECT path, a, b, min(k.node) AS m, max(k.node) AS n FROM (SELECT DISTINCT path, a, b, unnest(v) AS f FROM sp WHERE have > 1) JOIN (SELECT DISTINCT path, node FROM k) k USING (path) WHERE k.node % 7 = f GROUP BY ALL HAVING count(DISTINCT k.node) = 2),
+u AS (SELECT DISTINCT path, m, n, [m] AS v FROM h UNION ALL SELECT u.path, u.m, u.n, list_append(v, nb) FROM u JOIN ce ON ce.path = u.path AND ce.node = v[-1] WHERE v[-1] <> u.n AND NOT list_contains(v, nb)),
+need AS (SELECT path, m, n, count(*) AS c FROM u WHERE v[-1] = n GROUP BY ALL),
+x AS (SELECT path, v FROM (SELECT sp.path, sp.v, row_number() OVER (PARTITION BY sp.path, sp.a, sp.b ORDER BY len(sp.v) DESC, sp.v) AS place, coalesce(c, 0) AS c FROM sp JOIN h USING (path, a, b) LEFT JOIN need USING (path, m, n)) WHERE place > c),
+g AS (SELECT DISTINCT path, least(v[i], v[i + 1]) AS a, greatest(v[i], v[i + 1]) AS b FROM (SELECT path, v, unnest(range(1, len(v))) AS i FROM x))
+SELECT r.path, r.a, r.b, g.path IS NOT NULL AS removed FROM r LEFT JOIN g USING (path, a, b)""")
 
 
 def gr9_between(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +308,7 @@ WN12 = with_frames("path_nodes", body=""", l AS (SELECT path, pos, node // 1000
 SELECT path, string_agg(v::VARCHAR, ',' ORDER BY pos) AS v FROM l WHERE b IS NULL OR b <> v GROUP BY path""")
 
 _ALL = {
-    blocked_paths: BLOCKED, ag11_missing_nodes: AG11, gr1_edge_table: GR1, gr2_degrees: GR2, ag9_terminals: AG9, gr3_pruned: GR3, gr4_bypassed: GR4, gr5_contracted: GR5, gr8_chains: None, gr9_between: GR9,
+    blocked_paths: BLOCKED, ag11_missing_nodes: AG11, gr1_edge_table: GR1, gr2_degrees: GR2, ag9_terminals: AG9, gr3_pruned: GR3, gr4_bypassed: GR4, gr5_contracted: GR5, gr8_chains: GR8, gr18_loops: GR18, gr9_between: GR9,
     gr10_components: GR10, gr12_closure: GR12, gr13_two_levels: GR13, gr14_hierarchy: GR14, gr24_suffixes: GR24, ag16_occupancy: AG16, gr19_suppressed: GR19, ag10_completeness: AG10, ag1_resolved: AG1,
     ag2_node_paths: AG2, ag5_cuffs: AG5, wn7_lanes: WN7, wn10_segments: WN10, wn12_runs: WN12,
 }
