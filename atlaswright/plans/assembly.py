@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly, graph
 from . import frames
-from .frames import table, with_frames
+from .frames import part_names, table, with_frames
 
 
 def _text(c: str):
@@ -18,15 +18,8 @@ _ENDS = "ends AS (SELECT path, src AS node, dst AS nb FROM path_edges UNION SELE
 _NAME = "CASE node % 3 WHEN 0 THEN 'R' || node % 2 WHEN 1 THEN 'R' || node % 2 || '/N' || node % 4 ELSE 'R' || node % 2 || '/N' || node % 4 || '/C' || node % 12 END"
 
 
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    region, nation = F.concat(F.lit("R"), k % 2), F.concat(F.lit("/N"), k % 4)
-    name = F.when(k % 3 == 0, region).when(k % 3 == 1, F.concat(region, nation)).otherwise(F.concat(region, nation, F.lit("/C"), k % 12))
-    return table(spark, sf_dir, "part").select(k.alias("node"), name.alias("name"))
-
-
 def gr6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.containing_neighbours(frames.path_edges(spark, sf_dir), _names(spark, sf_dir))
+    return assembly.containing_neighbours(frames.path_edges(spark, sf_dir), part_names(spark, sf_dir))
 
 
 GR6 = with_frames("path_edges", recursive=True, body=f""", {_ENDS}, nm AS (SELECT p_partkey AS node, {_NAME.replace('node', 'p_partkey')} AS name FROM part),

@@ -47,6 +47,14 @@ def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.row_number().over(w) - 1).alias("pos"), F.col("l_partkey").alias("node"))
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slashed names, some of them the beginning of others."""
+    k = F.col("p_partkey")
+    region, nation = F.concat(F.lit("R"), k % 2), F.concat(F.lit("/N"), k % 4)
+    name = F.when(k % 3 == 0, region).when(k % 3 == 1, F.concat(region, nation)).otherwise(F.concat(region, nation, F.lit("/C"), k % 12))
+    return table(spark, sf_dir, "part").select(k.alias("node"), name.alias("name"))
+
+
 def subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     tag = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
