@@ -84,6 +84,79 @@ def ring_inside(inner: Column, outer: Column, proper: bool = False) -> Column:
     return corners & ~F.exists(_edges(inner), lambda e: F.exists(_edges(outer), lambda f: cross(e, f)))
 
 
+def ring_overlap(one: Column, other: Column) -> Column:
+    """Area that two simple rings have in common. A ring is the signed sum of the strips below its edges, so
+    the common area is the signed sum, over pairs of edges, of the area below both: the lower of
+    two straight lines over the common range, which bends at most once."""
+
+    def below(e: Column, f: Column) -> Column:
+        p, q, u, v = e["p"], e["q"], f["p"], f["q"]
+        lo, hi = F.greatest(F.least(p["x"], q["x"]), F.least(u["x"], v["x"])), F.least(F.greatest(p["x"], q["x"]), F.greatest(u["x"], v["x"]))
+        at = lambda a, b, x: a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
+        e0, e1, f0, f1 = at(p, q, lo), at(p, q, hi), at(u, v, lo), at(u, v, hi)
+        plain = (F.least(e0, f0) + F.least(e1, f1)) / 2
+        t = (e0 - f0) / ((e0 - f0) - (e1 - f1))
+        bent = (t * (F.least(e0, f0) + e0 + t * (e1 - e0)) + (1 - t) * (F.least(e1, f1) + e0 + t * (e1 - e0))) / 2
+        sign = F.signum(q["x"] - p["x"]) * F.signum(v["x"] - u["x"])
+        return F.when((lo < hi) & (p["x"] != q["x"]) & (u["x"] != v["x"]), sign * (hi - lo) * F.when((e0 - f0) * (e1 - f1) >= 0, plain).otherwise(bent)).otherwise(0.0)
+
+    total = F.aggregate(_edges(one), F.lit(0.0), lambda s, e: s + F.aggregate(_edges(other), F.lit(0.0), lambda r, f: r + below(e, f)))
+    return F.abs(total)
+
+
+def rings_meet(one: Column, other: Column) -> Column:
+    """Whether two rings have a point in common, if only of their edges."""
+    corner = lambda a, b: F.exists(a, lambda p: contains_point(b, p["x"], p["y"]) | on_ring(b, p))
+    across = lambda e, f: (F.signum(turn(e["p"], e["q"], f["p"])) * F.signum(turn(e["p"], e["q"], f["q"])) < 0) & (F.signum(turn(f["p"], f["q"], e["p"])) * F.signum(turn(f["p"], f["q"], e["q"])) < 0)
+    return corner(one, other) | corner(other, one) | F.exists(_edges(one), lambda e: F.exists(_edges(other), lambda f: across(e, f)))
+
+
+def box_ring(b: str = "") -> Column:
+    """The ring of a box named by its column prefix."""
+    corner = lambda x, y: F.struct(F.col(f"{b}{x}").alias("x"), F.col(f"{b}{y}").alias("y"))
+    return F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
+
+
+def length_inside(points: Column, ring: Column) -> Column:
+    """How much of a polyline lies in a ring or on its edge: each segment is cut where edges cross it or end on
+    it, and the pieces count whose middle is inside."""
+    segments = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def cuts(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+
+        def of(e: Column) -> Column:
+            u, v = e["p"], e["q"]
+            cross = dx * (v["y"] - u["y"]) - dy * (v["x"] - u["x"])
+            t = ((u["x"] - p["x"]) * (v["y"] - u["y"]) - (u["y"] - p["y"]) * (v["x"] - u["x"])) / cross
+            along = lambda c: ((c["x"] - p["x"]) * dx + (c["y"] - p["y"]) * dy) / (dx * dx + dy * dy)
+            return F.when(cross != 0, F.array(t)).otherwise(F.array(along(u), along(v)))
+
+        return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.flatten(F.transform(_edges(ring), of))), lambda t: (t >= 0) & (t <= 1))))
+
+    def inside(p: Column, q: Column) -> Column:
+        at = lambda t: F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        ts = cuts(p, q)
+        pieces = F.zip_with(F.slice(ts, 1, F.size(ts) - 1), F.slice(ts, 2, F.size(ts)), lambda a, b: F.struct(at((a + b) / 2).alias("m"), (b - a).alias("d")))
+        held = F.filter(pieces, lambda x: contains_point(ring, x["m"]["x"], x["m"]["y"]) | on_ring(ring, x["m"]))
+        return F.aggregate(held, F.lit(0.0), lambda s, x: s + x["d"]) * F.hypot(q["x"] - p["x"], q["y"] - p["y"])
+
+    moving = F.filter(segments, lambda s: (s["p"]["x"] != s["q"]["x"]) | (s["p"]["y"] != s["q"]["y"]))
+    return F.aggregate(moving, F.lit(0.0), lambda total, s: total + inside(s["p"], s["q"]))
+
+
+def representative_point(ring: Column) -> Column:
+    """A point well inside a ring: the middle of the widest run inside it of a horizontal line, which lies halfway between the
+    corners next above and next below the middle of its height."""
+    ys = F.transform(ring, lambda p: p["y"].cast("double"))
+    middle = (F.array_min(ys) + F.array_max(ys)) / 2
+    y = (F.array_max(F.filter(ys, lambda v: v <= middle)) + F.array_min(F.filter(ys, lambda v: v > middle))) / 2
+    crossing = F.filter(_edges(ring), lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+    xs = F.array_sort(F.transform(crossing, lambda e: e["p"]["x"] + (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"])))
+    runs = F.transform(F.sequence(F.lit(1), F.floor(F.size(xs) / 2).cast("int")), lambda k: F.struct((F.element_at(xs, 2 * k) - F.element_at(xs, 2 * k - 1)).alias("width"), (-k).alias("first"), ((F.element_at(xs, 2 * k) + F.element_at(xs, 2 * k - 1)) / 2).alias("x")))
+    return F.when(F.array_min(ys) < F.array_max(ys), F.struct(F.array_max(runs)["x"].alias("x"), y.alias("y")))
+
+
 # An affine map is the six columns (a, b, d, e, tx, ty): x' = a x + b y + tx, y' = d x + e y + ty.
 Affine = tuple[Column, Column, Column, Column, Column, Column]
 
@@ -145,6 +218,13 @@ def ring(x: Column, y: Column, radius: Column, sides: int) -> Column:
     return F.transform(turn, lambda t: F.struct((x + radius * F.cos(t)).alias("x"), (y + radius * F.sin(t)).alias("y")))
 
 
+def dashed_ring(x: Column, y: Column, radius: Column, dashes: int = 20, ratio: float = 0.5) -> Column:
+    """Ends of the dashes of a circle, one after the other (SC-28)."""
+    at = lambda t: F.struct((x + radius * F.cos(t)).alias("x"), (y + radius * F.sin(t)).alias("y"))
+    step = 2 * math.pi / dashes
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(dashes - 1)), lambda k: F.array(at(k * step), at(k * step + ratio * step))))
+
+
 def node_radius(own_area: Column) -> Column:
     return F.greatest(F.sqrt(own_area / math.pi), F.lit(6000.0))
 
@@ -162,3 +242,41 @@ def cubic(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
     """A coordinate of a cubic curve at parameter ``t``."""
     u = 1 - t
     return u * u * u * p0 + 3 * u * u * t * p1 + 3 * u * t * t * p2 + t * t * t * p3
+
+
+def at_time(curves: Column, c: str, t: Column) -> Column:
+    """A coordinate, ``x`` or ``y``, of a path of cubic curves (``array<struct<x0 .. y3>>``) at a time from 0 to 1, of which each curve takes an equal share."""
+    n = F.size(curves)
+    k = F.least(F.floor(t * n), n - 1).cast("int")
+    return _let(F.element_at(curves, k + 1), lambda curve: cubic(*[curve[f"{c}{i}"] for i in range(4)], t * n - k))
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once, however often it is named in it."""
+    return F.element_at(F.transform(F.array(value), lambda v: then(v)), 1)
+
+
+def nearest_time(curves: Column, x: Column, y: Column, steps: int = 100, rounds: int = 4) -> Column:
+    """SC-29: ``struct<d2,k,t>`` of the time at which a path of cubic curves comes nearest to a point: all of 0 to 1 in ``steps`` steps, then a step to
+    either side of the best in as many, ``rounds`` times; of equals the first."""
+
+    def search(path: Column, lo: Column, step: float) -> Column:
+        def one(k: Column) -> Column:
+            t = F.least(F.greatest(lo + k * F.lit(step), F.lit(0.0)), F.lit(1.0))
+            square = lambda c, at: _let(at_time(path, c, t) - at, lambda d: d * d)
+            return F.struct((square("x", x) + square("y", y)).alias("d2"), k.alias("k"), t.alias("t"))
+
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(steps)), one))
+
+    def rounds_of(path: Column) -> Column:
+        step = 1.0 / steps
+        best = search(path, F.lit(0.0), step)
+        for _ in range(rounds - 1):
+            before, step = step, 2 * step / steps
+            best = refined(best["t"], path, before, step)
+        return best
+
+    def refined(t: Column, path: Column, before: float, step: float) -> Column:
+        return _let(t - F.lit(before), lambda lo: search(path, lo, step))
+
+    return _let(curves, rounds_of)

@@ -1,4 +1,4 @@
-"""Tile arithmetic of the web-mercator pyramid (TL-1, 2, 3, 7, 8)."""
+"""Tile arithmetic of the web-mercator pyramid (TL-1, 2, 3, 7)."""
 
 from __future__ import annotations
 
@@ -37,3 +37,28 @@ def tile_bounds(x: Column, y: Column, zoom: int) -> tuple[Column, Column, Column
     n = 1 << zoom
     lat = lambda row: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * row / n))))
     return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+#: Pixels of a tile's side.
+PIXELS = 512
+#: How far inside its east and south edges an extent ends, in degrees.
+_EDGE = 1e-11
+
+
+def extent_tiles(west: Column, south: Column, east: Column, north: Column, zoom: int) -> Column:
+    """TL-1: the first and last tile of an extent: ``struct<x0,y0,x1,y1>``."""
+    return F.struct(tile_x(west, zoom).alias("x0"), tile_y(north, zoom).alias("y0"), tile_x(east - _EDGE, zoom).alias("x1"), tile_y(south + _EDGE, zoom).alias("y1"))
+
+
+def metres_to_pixels(x: Column, y: Column, first_x: Column, first_y: Column, zoom: int) -> tuple[Column, Column]:
+    """TL-2: world metres to pixels from the upper left corner of a first tile."""
+    side = 2 * math.pi * 6378137.0 / (1 << zoom)
+    half = math.pi * 6378137.0
+    return ((x + half) / side - first_x) * PIXELS, ((half - y) / side - first_y) * PIXELS
+
+
+def pixels_to_metres(px: Column, py: Column, first_x: Column, first_y: Column, zoom: int) -> tuple[Column, Column]:
+    """TL-2 the other way."""
+    side = 2 * math.pi * 6378137.0 / (1 << zoom)
+    half = math.pi * 6378137.0
+    return (px / PIXELS + first_x) * side - half, half - (py / PIXELS + first_y) * side

@@ -27,14 +27,29 @@ def containing_neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
     return up.union(same)
 
 
-def joined_segments(lines: DataFrame, degrees: float = 30.0) -> DataFrame:
-    """GR-20: ``(id, joined)`` of ``lines(id, type, joiners, dx, dy)``: lines of a type that share a joiner
-    and run within so many degrees, through others too, are one, named by its least id."""
-    at = lines.select("id", "type", "dx", "dy", F.explode("joiners").alias("joiner"))
-    a, b = at, at.toDF("other", "type", "du", "dv", "joiner")
-    straight = (F.col("dx") * F.col("du") + F.col("dy") * F.col("dv")) >= math.cos(math.radians(degrees)) * F.hypot("dx", "dy") * F.hypot("du", "dv")
-    pairs = a.join(b, ["joiner", "type"]).where((F.col("id") < F.col("other")) & straight).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    return lines.select("id").join(graph.components(pairs), "id", "left").select("id", F.coalesce("component", "id").alias("joined"))
+def merged_lines(lines: DataFrame, degrees: float = 30.0) -> DataFrame:
+    """GR-20: ``lines(id, type, joiners, points)``, where ``joiners`` holds the joining connectors at the first and at the last point (null: none there),
+    merged at joiners. Of the lines at a joiner the first two by id are one if they have the same type and the one goes on from the
+    other within so many degrees. Rows ``(id, members, joiners, points)``: named by its least line, a merged line has the points of its members one after
+    the other, those drawn the other way reversed, and the joiners passed between them, which become intermediate connectors."""
+    near = lambda k, m: F.struct((F.element_at("points", m)["x"] - F.element_at("points", k)["x"]).alias("x"), (F.element_at("points", m)["y"] - F.element_at("points", k)["y"]).alias("y"))
+    ends = lines.where(F.size("points") > 1).select("id", "type", F.inline(F.array(F.struct(F.lit(0).alias("end"), F.col("joiners")[0].alias("joiner"), near(1, 2).alias("away")), F.struct(F.lit(1).alias("end"), F.col("joiners")[1].alias("joiner"), near(-1, -2).alias("away")))))
+    met = ends.where("joiner is not null").groupBy("joiner").agg(F.min(F.struct("id", "end", "type", "away")).alias("p"))
+    others = ends.join(met.select("joiner", "p"), "joiner").where((F.col("id") != F.col("p.id")) | (F.col("end") != F.col("p.end")))
+    second = others.groupBy("joiner").agg(F.min(F.struct("id", "end", "type", "away")).alias("q"))
+    pairs = met.select("joiner", "p").join(second, "joiner").where("p.id <> q.id and p.type = q.type")
+    length = lambda v: F.hypot(v["x"], v["y"])
+    p, q = F.col("p.away"), F.col("q.away")
+    # what leaves the joiner along one goes on where the other came from
+    straight = -(p["x"] * q["x"] + p["y"] * q["y"]) >= math.cos(math.radians(degrees)) * length(p) * length(q)
+    one = graph.cut(pairs.where(straight & (length(p) > 0) & (length(q) > 0)).select("joiner", F.col("p.id").alias("id"), F.col("p.end").alias("end"), F.col("q.id").alias("id2"), F.col("q.end").alias("end2")))
+    joints = one.select("id", "end", "id2", "end2").union(one.select("id2", "end2", "id", "end"))
+    placed = ordered(lines.select("id"), joints).join(lines.select("id", "points"), "id")
+    way = F.when(F.col("reversed"), F.reverse("points")).otherwise(F.col("points"))
+    rolled = placed.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("place", "id", way.alias("points")))).alias("m"))
+    passed = one.join(placed.select("id", "chain"), "id").groupBy("chain").agg(F.array_sort(F.collect_set("joiner")).alias("joiners"))
+    empty = F.array().cast(passed.schema["joiners"].dataType)
+    return rolled.join(passed, "chain", "left").select(F.col("chain").alias("id"), F.col("m.id").alias("members"), F.coalesce("joiners", empty).alias("joiners"), F.flatten("m.points").alias("points"))
 
 
 def upstream(edges: DataFrame, starts: DataFrame, used: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -91,7 +106,12 @@ def end_chains(segments: DataFrame, reach: int = 500) -> DataFrame:
     best = met.groupBy("id", "end").agg(F.min(F.struct(square.alias("d2"), "id2", "end2")).alias("m")).select("id", "end", "m.id2", "m.end2")
     best = graph.cut(best)
     joints = graph.cut(best.join(best.toDF("id2", "end2", "id", "end"), ["id", "end", "id2", "end2"]))
-    chain = segments.select("id").join(graph.components(joints.select(F.col("id").alias("a"), F.col("id2").alias("b"))), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
+    return ordered(segments.select("id"), joints)
+
+
+def ordered(segments: DataFrame, joints: DataFrame) -> DataFrame:
+    """``(id, chain, place, reversed, closed)`` of segments ``(id)`` whose ends are joined two by two: ``joints(id, end, id2, end2)``, both ways."""
+    chain = segments.join(graph.components(joints.select(F.col("id").alias("a"), F.col("id2").alias("b"))), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
     free = chain.join(joints.groupBy("id").agg(F.count("*").alias("n")), "id", "left").groupBy("chain").agg(F.count_if(F.coalesce("n", F.lit(0)) < 2).alias("free"))
     chain = graph.cut(chain.join(free, "chain").select("id", "chain", (F.col("free") == 0).alias("closed")))
     # a closed chain is cut before its least segment
@@ -109,11 +129,15 @@ def end_chains(segments: DataFrame, reach: int = 500) -> DataFrame:
 
 
 def container_segments(containers: DataFrame, segments: DataFrame, buffer: int = 20) -> DataFrame:
-    """JN-25: for each container the segment of its centreline with which its box, widened by
-    ``buffer``, has most in common, the least of equals: both ``(id, centreline, x0, y0, x1, y1)``."""
-    wide = segments.select("id", "centreline", *[(F.col(c) - buffer).alias(c) for c in ("x0", "y0")], *[(F.col(c) + buffer).alias(c) for c in ("x1", "y1")])
+    """JN-25: for each container the segment of its centreline of which most lies in it, the least of equals; one that only comes within
+    ``buffer`` of its box counts for nothing, but is taken where there is no other. ``containers(id, centreline, x0 .. y1)`` with a ``ring`` or without,
+    ``segments(id, centreline, points)``."""
+    wide = spatial.boxed(segments)
+    wide = wide.select("id", "centreline", "points", *[(F.col(c) - buffer).alias(c) for c in ("x0", "y0")], *[(F.col(c) + buffer).alias(c) for c in ("x1", "y1")])
     pairs = spatial.box_pairs(containers, wide).where("a_centreline = b_centreline")
-    best = F.min(F.struct((-spatial.g.overlap("a_", "b_")).alias("less"), "b_id"))
+    ring = F.col("a_ring") if "a_ring" in pairs.columns else spatial.g.box_ring("a_")
+    length = F.round(spatial.g.length_inside(F.col("b_points"), ring), 6)
+    best = F.min(F.struct((-length).alias("less"), "b_id"))
     return pairs.groupBy(F.col("a_id").alias("id")).agg(best.alias("m")).select("id", F.col("m.b_id").alias("segment"), (-F.col("m.less")).alias("common"))
 
 

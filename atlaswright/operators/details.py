@@ -82,18 +82,26 @@ def attached_details(features: DataFrame, details: DataFrame, connections: DataF
     return opened.select("id", "details"), tagged
 
 
-def replicated(hosts: DataFrame, members: DataFrame, depth: int = 5) -> DataFrame:
-    """JN-36: copies ``(host, path, id, x, y)`` of the members ``(layer, id, x, y, details)`` of the detail layer of
-    each host ``(host, layer, a, tx, ty)``, moved by ``a x + tx, a y + ty``; a member that has a detail layer itself
-    (half as large, at its place) brings that too, at most ``depth`` deep."""
-    level = hosts.select("host", F.lit("").alias("path"), "layer", "a", "tx", "ty")
-    out = None
-    for _ in range(depth):
-        placed = level.join(members, "layer").select("host", F.concat_ws("/", "path", F.col("id").cast("string")).alias("path"), "id", (F.col("a") * F.col("x") + F.col("tx")).alias("x"), (F.col("a") * F.col("y") + F.col("ty")).alias("y"), "details", (F.col("a") / 2).alias("a"))
-        rows = placed.select("host", "path", "id", "x", "y")
-        out = rows if out is None else out.union(rows)
-        level = placed.where("details is not null").select("host", "path", F.col("details").alias("layer"), "a", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return out
+def replicated(hosts: DataFrame, boundaries: DataFrame, members: DataFrame) -> DataFrame:
+    """JN-36: copies ``(host, path, id, x0, y0, x1, y1)`` of the members of the detail layer that each host opens, fitted from the box of the
+    layer's boundary to the host's: ``hosts(host, layer, x0 .. y1)``, ``boundaries(layer, x0 .. y1)``, ``members(layer, id, x0 .. y1, details)``. A member that opens a
+    layer itself is the host of it where it has been put, to any depth; a layer that opens itself again, by way of others or not, is an error."""
+    c = F.col
+    edge = boundaries.select("layer", *[c(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")])
+    inner = members.select("layer", "id", "details", *[c(k).alias(f"m_{k}") for k in ("x0", "y0", "x1", "y1")])
+    level, out = hosts.select("host", F.lit("").alias("path"), "layer", F.array("layer").alias("opened"), "x0", "y0", "x1", "y1"), []
+    while True:
+        at = level.join(edge, "layer").join(inner, "layer")
+        fit = lambda k, d: (c(f"{d}0") + (c(f"m_{d}{k}") - c(f"b_{d}0")) * (c(f"{d}1") - c(f"{d}0")) / (c(f"b_{d}1") - c(f"b_{d}0"))).alias(f"{d}{k}")
+        placed = graph.cut(at.select("host", F.concat_ws("/", "path", c("id").cast("string")).alias("path"), "id", "details", "opened", fit(0, "x"), fit(0, "y"), fit(1, "x"), fit(1, "y")))
+        out.append(placed.select("host", "path", "id", "x0", "y0", "x1", "y1"))
+        level = placed.where("details is not null").select("host", "path", c("details").alias("layer"), "opened", "x0", "y0", "x1", "y1")
+        deeper, circles = level.agg(F.count("*"), F.count_if(F.array_contains("opened", c("layer")))).first()
+        if circles:
+            raise ValueError("detail layers open each other in a circle")
+        if not deeper:
+            return functools.reduce(DataFrame.union, out)
+        level = level.withColumn("opened", F.array_append("opened", c("layer")))
 
 
 def layer_offsets(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -179,15 +187,25 @@ def line_tests(pairs: DataFrame) -> DataFrame:
     return pairs.where((la > 0) & (lb > 0)).select("a", "b", meets.alias("crosses"), parallel.alias("parallel"), F.round(F.greatest(F.least(hi, la) - F.greatest(lo, F.lit(0.0)), F.lit(0.0)), 6).alias("overlap"), F.round(apart, 6).alias("separation"))
 
 
-def metres_per_pixel(zoom: Column) -> Column:
-    """SC-25: world metres of a pixel at whole zooms."""
-    return F.lit(2 * 3.141592653589793 * g.EARTH / 512) / F.pow(F.lit(2.0), F.floor(zoom))
+#: The longer side of a map in world metres, the pixels that maps are measured by, and what those beyond all count as.
+MAP_METRES, PIXEL_STEPS, PIXELS_BEYOND = 5_000_000, (50, 100, 200, 500, 1000, 2000, 5000, 10_000), 20_000
+#: Pixels between a detailed map and the edge of its background.
+BORDER = 50
+
+
+def metres_per_pixel(w: Column, h: Column) -> Column:
+    """SC-25: world metres of a pixel of a drawing: its map's side over the first step above its longer side in pixels."""
+    side = F.greatest(w, h)
+    step = F.lit(PIXELS_BEYOND)
+    for pixels in reversed(PIXEL_STEPS):
+        step = F.when(side < pixels, pixels).otherwise(step)
+    return MAP_METRES / step
 
 
 def fitted_scale(rule: Column, w: Column, h: Column, own_w: Column, own_h: Column) -> Column:
-    """SC-25: how much a detail layer is scaled to fit its feature, by rule."""
+    """SC-25: how much a detail layer is scaled to fit its feature, by rule; by the larger where no rule says otherwise."""
     a, b = w / own_w, h / own_h
-    return F.when(rule == "width", a).when(rule == "height", b).when(rule == "mean", (a + b) / 2).when(rule == "smallest", F.least(a, b)).when(rule == "largest", F.greatest(a, b))
+    return F.when(rule == "width", a).when(rule == "height", b).when(rule == "mean", F.hypot(a, b)).when(rule == "smallest", F.least(a, b)).otherwise(F.greatest(a, b))
 
 
 def sampled(curves: DataFrame, samples: int = 100) -> DataFrame:
@@ -206,11 +224,12 @@ def property_changes(changes: DataFrame) -> DataFrame:
     return kept.groupBy("id", "prop").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("v")).select("id", "prop", F.to_json("v.value").alias("value"))
 
 
-def margin_boxes(features: DataFrame, margin: float = 0.1) -> DataFrame:
-    """SC-38: for each layer the box behind its features, wider by a share of its longer side."""
-    box = features.groupBy("layer").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    m = F.greatest(g.width(), g.height()) * margin
-    return box.select("layer", (F.col("x0") - m).alias("x0"), (F.col("y0") - m).alias("y0"), (F.col("x1") + m).alias("x1"), (F.col("y1") + m).alias("y1"))
+def margin_boxes(layers: DataFrame) -> DataFrame:
+    """SC-38: the box behind each functional detail layer ``(layer, kind, metres, x0 .. y1)``: the bounds, drawn in by the border (``BORDER`` pixels of ``metres`` each) at
+    all sides but the lower, where they are let out by it, then let out by twice the border all round."""
+    m = BORDER * F.col("metres")
+    rows = layers.where("kind = 'functional'")
+    return rows.select("layer", (F.col("x0") - m).alias("x0"), (F.col("y0") - 3 * m).alias("y0"), (F.col("x1") + m).alias("x1"), (F.col("y1") + m).alias("y1"))
 
 
 def directed(lines: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -119,11 +119,21 @@ def bond_triples(shapes: DataFrame, connections: DataFrame, kinds: DataFrame) ->
     return nodes.select(F.concat(F.lit("N"), "id").alias("s"), F.lit("type").alias("p"), F.col("kind").alias("o")).union(row("hasSource", "source")).union(row("hasTarget", "target"))
 
 
-def zoom_hints(features: DataFrame, lowest: int, highest: int) -> DataFrame:
-    """TL-8: the zooms at which features ``(id, layer, minzoom, scale)`` show, and those of each detail layer."""
-    low = F.greatest(F.coalesce("minzoom", F.floor("scale").cast("int"), F.lit(lowest)), F.lit(lowest))
-    rows = features.select("id", "layer", F.least(low, F.lit(highest)).alias("minzoom"))
-    return rows.join(rows.groupBy("layer").agg(F.min("minzoom").alias("layer_minzoom")), "layer").select("id", "layer", "minzoom", "layer_minzoom", F.lit(highest).alias("maxzoom"))
+#: Levels by which the images of a map with a base feature begin earlier.
+BASE_OFFSET = 2
+
+
+def zoom_hints(features: DataFrame, layers: DataFrame, map_area: float) -> DataFrame:
+    """TL-8: ``(id, scale, minzoom, maxzoom, image_minzoom)`` of ``features(id, layer, area, group, minzoom, maxzoom)``: a feature's own hints; else the level before its layer's
+    first; else 4 for one outside all groups that is over 2**6 times shorter than the map; else none. ``scale`` is that ratio's
+    logarithm, 10 without an area. ``layers(layer, minzoom, detail, based)``: its images begin at its first level, one later
+    in a detail layer, ``BASE_OFFSET`` earlier where the map has a base feature."""
+    own = layers.select("layer", F.col("minzoom").alias("first"), "detail", "based")
+    rows = features.join(own, "layer", "left")
+    scale = F.when(F.col("area") > 0, F.log2(F.sqrt(map_area / F.col("area"))))
+    low = F.coalesce("minzoom", F.when(F.col("first").isNotNull(), F.greatest(F.col("first") - 1, F.lit(0))), F.when((scale > 6) & F.col("group").isNull(), 4))
+    images = F.col("first") + F.when(F.col("detail"), 1).otherwise(0) - F.when(F.col("based"), BASE_OFFSET).otherwise(0)
+    return rows.select("id", F.round(F.coalesce(scale, F.lit(10.0)), 9).alias("scale"), low.cast("int").alias("minzoom"), F.col("maxzoom").cast("int").alias("maxzoom"), images.cast("int").alias("image_minzoom"))
 
 
 def by_status(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -73,39 +73,70 @@ def inside(polygons: DataFrame, features: DataFrame) -> DataFrame:
     return pairs.where(_within(pairs) & (F.col("a_id") != F.col("b_id"))).select(F.col("b_id").alias("id"), F.col("a_id").alias("feature"))
 
 
-def smallest_parent(shapes: DataFrame, parents: DataFrame) -> DataFrame:
-    """JN-12, WN-1: per shape the smallest of the others that properly contain it."""
+def _common(pairs: DataFrame) -> Column:
+    """The area of a pair's overlap: of their rings where both have one."""
+    rings = {"a_ring", "b_ring"} <= set(pairs.columns)
+    return g.ring_overlap(F.col("a_ring"), F.col("b_ring")) if rings else g.overlap("a_", "b_")
+
+
+def smallest_parent(shapes: DataFrame, parents: DataFrame, inside: float = 0.8) -> DataFrame:
+    """JN-12, WN-1: per shape the smallest of the others that properly contain it. Where there is a column ``text``, texts are
+    nobody's parent, and are also in what more than ``inside`` of their area is in."""
     pairs = box_pairs(shapes, parents)
-    pairs = pairs.where(_within(pairs, proper=True) & (F.col("a_id") != F.col("b_id")))
+    held = _within(pairs, proper=True)
+    if "a_text" in pairs.columns:
+        pairs = pairs.where("not b_text")
+        held = F.when(F.col("a_text"), held | (_common(pairs) > inside * _area(pairs, "a_"))).otherwise(held)
+    pairs = pairs.where((F.col("a_id") != F.col("b_id")) & held)
     return pairs.groupBy(F.col("a_id").alias("id")).agg(F.min_by("b_id", F.struct(_area(pairs, "b_").alias("area"), "b_id")).alias("parent"))
 
 
+def _larger(shapes: DataFrame, parents: DataFrame, share: float) -> DataFrame:
+    pairs = box_pairs(shapes, parents)
+    return pairs.withColumn("area", _area(pairs, "b_")).where((F.col("area") > _area(pairs, "a_")) & (_common(pairs) >= share * _area(pairs, "a_")))
+
+
 def overlap_parents(shapes: DataFrame, parents: DataFrame, share: float = 0.2) -> DataFrame:
     """JN-13, WN-2: larger shapes that cover at least ``share`` of a shape, by area."""
-    pairs = box_pairs(shapes, parents).where((g.area("b_") > g.area("a_")) & (g.overlap("a_", "b_") >= share * g.area("a_")))
-    found = F.array_sort(F.collect_list(F.struct(g.area("b_").alias("area"), F.col("b_id").alias("id"))))
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.transform(found, lambda s: s["id"]).alias("parents"))
+    found = F.array_sort(F.collect_list(F.struct("area", F.col("b_id").alias("id"))))
+    return _larger(shapes, parents, share).groupBy(F.col("a_id").alias("id")).agg(F.transform(found, lambda s: s["id"]).alias("parents"))
+
+
+def classified_parents(shapes: DataFrame, share: float = 0.2) -> DataFrame:
+    """JN-13: ``(id, containing, parent)`` of ``shapes(id, kind, ...)``, kinds being ``component``, ``connector``, ``system`` or another:
+    ``containing`` as in ``overlap_parents``. A component's parent is the first of these, but no system; a connector's is the
+    first that is a component or a system, else the last; systems are in nothing. A connector in nothing is left with nulls, which is an error of the drawing."""
+    inner = shapes.where("kind <> 'system'")
+    listed = F.array_sort(F.collect_list(F.struct("area", F.col("b_id").alias("id"), F.col("b_kind").alias("kind"))))
+    found = _larger(inner, shapes, share).groupBy(F.col("a_id").alias("id")).agg(listed.alias("c"))
+    rows = inner.select("id", "kind").join(found, "id", "left")
+    solid = F.filter("c", lambda s: s["kind"].isin("component", "system"))
+    parent = F.when(F.col("kind") == "component", F.when(F.col("c")[0]["kind"] != "system", F.col("c")[0]["id"])).when(F.col("kind") == "connector", F.coalesce(F.try_element_at(solid, F.lit(1))["id"], F.try_element_at("c", F.lit(-1))["id"]))
+    return rows.select("id", F.transform("c", lambda s: s["id"]).alias("containing"), parent.alias("parent"))
 
 
 def nearly_inside(shapes: DataFrame, outer: DataFrame, outside: float = 0.1) -> DataFrame:
     """JN-14: pairs of which at most ``outside`` of the first's area is outside the second."""
-    pairs = box_pairs(shapes, outer).where((g.area("a_") - g.overlap("a_", "b_") <= outside * g.area("a_")) & (F.col("a_id") != F.col("b_id")))
+    pairs = box_pairs(shapes, outer)
+    pairs = pairs.where((_area(pairs, "a_") - _common(pairs) <= outside * _area(pairs, "a_")) & (F.col("a_id") != F.col("b_id")))
     return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("outer_id"))
 
 
 def near_duplicates(layer: DataFrame, base: DataFrame, same: tuple[str, ...] = ("name",)) -> DataFrame:
-    """JN-15: for each layer shape the base shape it repeats and on which ground: 1 where
-    both overlap by 98 %, 2 by 80 %, 3 where they meet and the ``same`` columns agree; the
-    least tier, then the largest overlap, then the least id decides."""
+    """JN-15: for each layer shape the base shape it repeats, on which ground, and the base shape's ``same`` attributes, which it
+    takes over as it is excluded: 1 where both overlap by 98 %, 2 by 80 %, 3 where they meet and the ``same``
+    columns agree; the least tier, then the largest overlap, then the least id decides."""
     pairs = box_pairs(layer, base)
-    common = g.overlap("a_", "b_")
-    both = F.least(common / g.area("a_"), common / g.area("b_"))
+    pairs = pairs.withColumns({"common": _common(pairs), "a_area": _area(pairs, "a_"), "b_area": _area(pairs, "b_")})
+    both = F.least(F.col("common") / F.col("a_area"), F.col("common") / F.col("b_area"))
+    meet = g.rings_meet(F.col("a_ring"), F.col("b_ring")) if "a_ring" in pairs.columns and "b_ring" in pairs.columns else F.lit(True)
     alike = F.lit(True)
     for c in same:
         alike &= F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    tier = F.when(both >= 0.98, 1).when(both >= 0.80, 2).when(alike & (common > 0), 3)
-    ranked = pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("base_id"), tier.alias("tier"), common.alias("common")).where("tier is not null")
-    return ranked.groupBy("id").agg(F.min(F.struct("tier", (-F.col("common")).alias("less"), "base_id")).alias("m")).select("id", "m.base_id", "m.tier")
+    tier = F.when(both >= 0.98, 1).when(both >= 0.80, 2).when(alike & meet, 3)
+    taken = [F.col(f"b_{c}").alias(c) for c in same]
+    ranked = pairs.select(F.col("a_id").alias("id"), tier.alias("tier"), (-F.col("common")).alias("less"), F.col("b_id").alias("base_id"), *taken).where("tier is not null")
+    return ranked.groupBy("id").agg(F.min(F.struct("tier", "less", "base_id", *same)).alias("m")).select("id", "m.base_id", "m.tier", *[f"m.{c}" for c in same])
 
 
 def nearest(ends: DataFrame, connectors: DataFrame, cutoff: int) -> DataFrame:
@@ -137,15 +168,18 @@ def all_nearest(ends: DataFrame, connectors: DataFrame, cutoff: int) -> DataFram
     return found.withColumn("action", F.when(F.size("connectors") == 1, "skip").when(F.size("connectors") == 2, "join").otherwise("flag"))
 
 
+def boxed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``points`` and their bounding boxes."""
+    of = lambda c, f: f(F.transform("points", lambda p: p[c]))
+    return lines.withColumns({"x0": of("x", F.array_min), "y0": of("y", F.array_min), "x1": of("x", F.array_max), "y1": of("y", F.array_max)})
+
+
 def crossed(lines: DataFrame, components: DataFrame) -> DataFrame:
-    """JN-19: components of a line's class that it crosses for longer than the geometric mean
-    of their sides. A line is the diagonal of its box, from ``(x0, y0)`` to ``(x1, y1)``."""
-    pairs = box_pairs(lines, components).where(F.col("a_class") == F.col("b_class"))
-    dx, dy = F.col("a_x1") - F.col("a_x0"), F.col("a_y1") - F.col("a_y0")
-    enter = lambda lo, hi, start, d: (F.when(d != 0, (F.col(lo) - F.col(start)) / d).otherwise(0.0), F.when(d != 0, (F.col(hi) - F.col(start)) / d).otherwise(1.0))
-    tx, ty = enter("b_x0", "b_x1", "a_x0", dx), enter("b_y0", "b_y1", "a_y0", dy)
-    span = F.greatest(F.least(tx[1], ty[1], F.lit(1.0)) - F.greatest(tx[0], ty[0], F.lit(0.0)), F.lit(0.0))
-    return pairs.where((F.col("a_id") != F.col("b_id")) & (span * F.hypot(dx, dy) > F.sqrt(g.area("b_")))).select(F.col("a_id").alias("line"), F.col("b_id").alias("component"))
+    """JN-19: components of a line's class in which more of it lies than the geometric mean of the sides of their box.
+    ``lines(id, class, points)``; components are boxes, with their ``ring`` if they have one."""
+    pairs = box_pairs(boxed(lines), components).where(F.col("a_class") == F.col("b_class"))
+    ring = F.col("b_ring") if "b_ring" in pairs.columns else g.box_ring("b_")
+    return pairs.where((F.col("a_id") != F.col("b_id")) & (g.length_inside(F.col("a_points"), ring) > F.sqrt(g.area("b_")))).select(F.col("a_id").alias("line"), F.col("b_id").alias("component"))
 
 
 def group_bounds(members: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -154,11 +188,14 @@ def group_bounds(members: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.groupBy("group").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count_if(F.col("x0").isNull()).alias("missing"))
 
 
-def smallest_container_of_points(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """JN-34: for each point the least-numbered region that it is in."""
+def smallest_container_of_points(points: DataFrame, regions: DataFrame, passed: tuple[str, ...] = ()) -> DataFrame:
+    """JN-34: for each point the least-numbered region that it is in, by its ``ring`` if it has one, and the region's properties ``passed`` on to it."""
     at = points.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     pairs = box_pairs(at, regions).where(g.inside("a_", "b_"))
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.min("b_id").alias("region"))
+    if "b_ring" in pairs.columns:
+        pairs = pairs.where(g.contains_point(F.col("b_ring"), F.col("a_x0"), F.col("a_y0")))
+    first = F.min(F.struct("b_id", *[F.col(f"b_{c}").alias(c) for c in passed])).alias("m")
+    return pairs.groupBy(F.col("a_id").alias("id")).agg(first).select("id", F.col("m.b_id").alias("region"), *[f"m.{c}" for c in passed])
 
 
 def ordered_neighbours(edges: DataFrame, places: DataFrame) -> DataFrame:

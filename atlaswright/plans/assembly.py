@@ -28,19 +28,6 @@ c AS (SELECT path, node, nb FROM p WHERE starts_with(x, y || '/') UNION SELECT c
 SELECT path, node, nb AS other, 'container' AS flag FROM c UNION ALL SELECT path, node, nb, 'identical' FROM p WHERE x = y AND node < nb""")
 
 
-def gr20_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as lines of three types between joiners."""
-    k = F.col("id")
-    f = frames.features(spark, sf_dir).select("id", (F.col("size") % 3).alias("type"), F.array(k % 701, (k * 7) % 701).alias("joiners"), (k % 60 + 5).alias("dx"), ((k * 7) % 45 - 20).alias("dy"))
-    return assembly.joined_segments(f.withColumn("joiners", F.array_distinct("joiners")))
-
-
-GR20 = with_frames("features", recursive=True, body=""", l AS (SELECT id, size % 3 AS type, unnest(list_distinct([id % 701, id * 7 % 701])) AS j, id % 60 + 5 AS dx, id * 7 % 45 - 20 AS dy FROM features),
-e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM l a JOIN l b ON a.j = b.j AND a.type = b.type AND a.id <> b.id
-  AND a.dx * b.dx + a.dy * b.dy >= cos(radians(30)) * sqrt(a.dx ** 2 + a.dy ** 2) * sqrt(b.dx ** 2 + b.dy ** 2)),
-r AS (SELECT id, id AS m FROM features UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b) SELECT id, min(m) AS joined FROM r GROUP BY id""")
-
-
 def gr21_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first part of each order to the nearest in use; some parts are containers."""
     e, n = frames.path_edges(spark, sf_dir), frames.path_nodes(spark, sf_dir)
@@ -92,17 +79,6 @@ w AS (SELECT chain, closed, id, way, 0 AS place FROM starts UNION ALL SELECT w.c
 SELECT id, chain, place::BIGINT AS place, way = 1 AS reversed, closed FROM w""")
 
 
-def jn25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = ["x0", "y0", "x1", "y1"]
-    c = frames.containers(spark, sf_dir).select("id", (F.col("id") % 7).alias("centreline"), *box)
-    return assembly.container_segments(c, frames.features(spark, sf_dir).select("id", (F.col("id") % 7).alias("centreline"), *box))
-
-
-JN25 = with_frames("containers", "features", body=""", p AS (SELECT c.id, f.id AS segment, greatest(least(c.x1, f.x1 + 20) - greatest(c.x0, f.x0 - 20), 0) * greatest(least(c.y1, f.y1 + 20) - greatest(c.y0, f.y0 - 20), 0) AS common
-FROM containers c JOIN features f ON c.id % 7 = f.id % 7 AND c.x0 <= f.x1 + 20 AND f.x0 - 20 <= c.x1 AND c.y0 <= f.y1 + 20 AND f.y0 - 20 <= c.y1)
-SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, segment) = 1""")
-
-
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' lines against orders of their type."""
     n = frames.path_nodes(spark, sf_dir)
@@ -249,7 +225,7 @@ TK6 = with_frames("path_edges", body=f""", {_ENDS}, n AS (SELECT DISTINCT path,
 SELECT path, (row_number() OVER (PARTITION BY path ORDER BY CASE node % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN node % 4 = 1 THEN node % 17 ELSE 0 END, node) - 1)::INTEGER AS turn, node FROM n""")
 
 _ALL = {
-    gr6_containers: GR6, gr20_joined: GR20, gr21_upstream: GR21, gr22_centrelines: GR22, gr25_circuits: GR25, gr26_chains: GR26, jn25_segments: JN25, jn29_validated: JN29, jn30_extra: JN30, jn31_terms: JN31,
+    gr6_containers: GR6, gr21_upstream: GR21, gr22_centrelines: GR22, gr25_circuits: GR25, gr26_chains: GR26, jn29_validated: JN29, jn30_extra: JN30, jn31_terms: JN31,
     jn40_remapped: JN40, jn40_errors: JN40E, jn42_properties: JN42, jn43_models: JN43, jn44_segments: JN44, ag15_indexes: AG15, ag23_repeated: AG23, tk6_terminals: TK6,
 }
 QUERIES = {f.__name__: f for f in _ALL}

@@ -112,20 +112,21 @@ t AS (SELECT DISTINCT l_orderkey AS connection, d FROM o JOIN m USING (d) JOIN l
 
 
 def jn36_replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as hosts of detail layers of parts, some of which open the next layer."""
-    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    p, j = _part(spark, sf_dir)
-    hosts = s.select(k.alias("host"), (k % 10).alias("layer"), (F.lit(1.0) / (1 + k % 4)).alias("a"), (k * 3).cast("double").alias("tx"), (k * 5).cast("double").alias("ty"))
-    member = p.select((j % 10).alias("layer"), j.alias("id"), (j % 100).cast("double").alias("x"), (j % 50).cast("double").alias("y"), F.when((j % 29 == 0) & (j % 10 < 9), j % 10 + 1).alias("details"))
-    rows = details.replicated(hosts, member, depth=3)
-    return rows.select("host", "path", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Suppliers as hosts of detail layers of parts, some of which open the next layer, to the last."""
+    s, k = frames.containers(spark, sf_dir), F.col("id")
+    f = frames.features(spark, sf_dir).withColumn("layer", k % 10)
+    member = f.select("layer", "id", F.when((k % 29 == 0) & (k % 10 < 9), k % 10 + 1).alias("details"), *BOX)
+    edge = f.groupBy("layer").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    rows = details.replicated(s.select(k.alias("host"), (k % 10).alias("layer"), *BOX), edge, member)
+    return rows.select("host", "path", "id", *[F.round(c, 6).alias(c) for c in BOX])
 
 
-JN36 = """WITH RECURSIVE m AS (SELECT p_partkey % 10 AS layer, p_partkey AS id, p_partkey % 100 AS x, p_partkey % 50 AS y, CASE WHEN p_partkey % 29 = 0 AND p_partkey % 10 < 9 THEN p_partkey % 10 + 1 END AS d FROM part),
-r AS (SELECT s_suppkey AS host, '/' || id AS path, id, x / (1 + s_suppkey % 4)::DOUBLE + s_suppkey * 3 AS x, y / (1 + s_suppkey % 4)::DOUBLE + s_suppkey * 5 AS y, d, 0.5 / (1 + s_suppkey % 4)::DOUBLE AS a, 1 AS k
-  FROM supplier JOIN m ON layer = s_suppkey % 10
-  UNION ALL SELECT host, path || '/' || m.id, m.id, a * m.x + r.x, a * m.y + r.y, m.d, a / 2, k + 1 FROM r JOIN m ON m.layer = r.d WHERE k < 3)
-SELECT host, path, id, round(x, 6) AS x, round(y, 6) AS y FROM r"""
+JN36 = with_frames("features", "containers", recursive=True, body=""", m AS (SELECT id % 10 AS layer, id, CASE WHEN id % 29 = 0 AND id % 10 < 9 THEN id % 10 + 1 END AS d, x0, y0, x1, y1 FROM features),
+e AS (SELECT layer, min(x0) AS p, min(y0) AS q, (max(x1) - min(x0))::DOUBLE AS w, (max(y1) - min(y0))::DOUBLE AS h FROM m GROUP BY layer),
+r AS (SELECT id AS host, '' AS path, id, id % 10 AS d, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, 0 AS k FROM containers
+  UNION ALL SELECT host, path || '/' || m.id, m.id, m.d, r.x0 + (m.x0 - p) * (r.x1 - r.x0) / w, r.y0 + (m.y0 - q) * (r.y1 - r.y0) / h, r.x0 + (m.x1 - p) * (r.x1 - r.x0) / w, r.y0 + (m.y1 - q) * (r.y1 - r.y0) / h, k + 1
+  FROM r JOIN m ON m.layer = r.d JOIN e ON e.layer = r.d)
+SELECT host, path, id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM r WHERE k > 0""")
 
 
 def jn37_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,13 +218,16 @@ abs(c) < 1e-3 * la * lb AS parallel, round(greatest(least(greatest(u, v), la) -
 
 
 def sc25_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings of up to 25,000 pixels; every seventh has no rule."""
     p, k = _part(spark, sf_dir)
-    scale = details.fitted_scale(_pick(("width", "height", "mean", "smallest", "largest"), k), (k % 60 + 5).cast("double"), (k % 45 + 5).cast("double"), F.lit(20.0), F.lit(30.0))
-    return p.select(k.alias("id"), F.round(details.metres_per_pixel((k % 40) / 4), 6).alias("metres"), F.round(scale, 6).alias("scale"))
+    rule = F.when(k % 7 > 0, _pick(("width", "height", "mean", "smallest", "largest"), k))
+    scale = details.fitted_scale(rule, (k % 60 + 5).cast("double"), (k % 45 + 5).cast("double"), F.lit(20.0), F.lit(30.0))
+    return p.select(k.alias("id"), F.round(details.metres_per_pixel(k * 7919 % 25_000, k * 31 % 9000), 6).alias("metres"), F.round(scale, 6).alias("scale"))
 
 
-SC25 = """WITH p AS (SELECT p_partkey AS k, (p_partkey % 60 + 5) / 20.0::DOUBLE AS a, (p_partkey % 45 + 5) / 30.0::DOUBLE AS b FROM part)
-SELECT k AS id, round(2 * pi() * 6378137.0::DOUBLE / 512 / pow(2, floor((k % 40) / 4.0)), 6) AS metres, round([a, b, (a + b) / 2, least(a, b), greatest(a, b)][k % 5 + 1], 6) AS scale FROM p"""
+SC25 = """WITH p AS (SELECT p_partkey AS k, (p_partkey % 60 + 5) / 20.0::DOUBLE AS a, (p_partkey % 45 + 5) / 30.0::DOUBLE AS b, greatest(p_partkey * 7919 % 25000, p_partkey * 31 % 9000) AS side FROM part)
+SELECT k AS id, round(5000000 / coalesce(list_min(list_filter([50, 100, 200, 500, 1000, 2000, 5000, 10000], lambda s: s > side)), 20000)::DOUBLE, 6) AS metres,
+round(CASE WHEN k % 7 = 0 THEN greatest(a, b) ELSE [a, b, sqrt(a * a + b * b), least(a, b), greatest(a, b)][k % 5 + 1] END, 6) AS scale FROM p"""
 
 
 def sc29_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,11 +256,13 @@ SELECT id, prop, '["' || string_agg(value, '","' ORDER BY seq) || '"]' AS value
 
 
 def sc38_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.margin_boxes(frames.features(spark, sf_dir).select(F.col("class").alias("layer"), *BOX), 0.25)
+    """Suppliers' boxes as detail layers, two in three functional, drawn at so many metres a pixel."""
+    k = F.col("id")
+    return details.margin_boxes(frames.containers(spark, sf_dir).select(k.alias("layer"), _pick(("functional", "anatomical", "functional"), k).alias("kind"), (k % 9 / 2).alias("metres"), *BOX))
 
 
-SC38 = with_frames("features", body=""", b AS (SELECT class AS layer, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM features GROUP BY class), m AS (SELECT *, greatest(x1 - x0, y1 - y0) * 0.25::DOUBLE AS m FROM b)
-SELECT layer, x0 - m AS x0, y0 - m AS y0, x1 + m AS x1, y1 + m AS y1 FROM m""")
+SC38 = with_frames("containers", body=""", m AS (SELECT *, 50 * (id % 9 / 2.0::DOUBLE) AS m FROM containers WHERE id % 3 <> 1),
+inner_box AS (SELECT id, m, x0 + m AS a, y0 - m AS b, x1 - m AS c, y1 - m AS d FROM m) SELECT id AS layer, a - 2 * m AS x0, b - 2 * m AS y0, c + 2 * m AS x1, d + 2 * m AS y1 FROM inner_box""")
 
 
 def sc40_directions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,12 +146,20 @@ UNION ALL SELECT 'L' || s_suppkey, 'hasTarget', coalesce('N' || k, 'MISSING') FR
 
 
 def tl8_zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the layers of their brands, some of which begin at a zoom."""
     k = F.col("p_partkey")
-    return exports.zoom_hints(table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("layer"), F.when(k % 3 == 0, k % 14).cast("int").alias("minzoom"), F.when(k % 2 == 0, (k % 40) / 4).alias("scale")), 2, 10)
-
-
-TL8 = """WITH z AS (SELECT p_partkey AS id, p_brand AS layer, least(greatest(coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 14 END, CASE WHEN p_partkey % 2 = 0 THEN floor((p_partkey % 40) / 4.0)::BIGINT END, 2), 2), 10)::INTEGER AS minzoom FROM part)
-SELECT *, min(minzoom) OVER (PARTITION BY layer) AS layer_minzoom, 10 AS maxzoom FROM z"""
+    part = table(spark, sf_dir, "part")
+    features = part.select(k.alias("id"), F.col("p_brand").alias("layer"), F.when(k % 5 > 0, 1000.0 / (1 + k % 300)).otherwise(0.0).alias("area"), F.when(k % 7 == 0, "g").alias("group"), F.when(k % 9 == 0, k % 14).alias("minzoom"), F.when(k % 8 == 0, F.lit(9)).alias("maxzoom"))
+    n = F.length("layer") + F.ascii(F.substring("layer", -1, 1))
+    layers = part.select(F.col("p_brand").alias("layer")).distinct().select("layer", F.when(n % 3 > 0, n % 5).alias("minzoom"), (n % 2 == 0).alias("detail"), (n % 4 == 1).alias("based"))
+    rows = exports.zoom_hints(features, layers, 1e6)
+    return rows.select("id", "scale", *[F.col(c).cast("string").alias(c) for c in ("minzoom", "maxzoom", "image_minzoom")])
+
+
+TL8 = """WITH b AS (SELECT DISTINCT p_brand AS brand, length(p_brand) + ascii(right(p_brand, 1)) AS n FROM part),
+p AS (SELECT p_partkey AS k, n, CASE WHEN n % 3 > 0 THEN n % 5 END AS first, CASE WHEN p_partkey % 5 > 0 THEN log2(sqrt(1e6::DOUBLE / (1000.0::DOUBLE / (1 + p_partkey % 300)))) END AS s FROM part JOIN b ON brand = p_brand)
+SELECT k AS id, round(coalesce(s, 10), 9) AS scale, (CASE WHEN k % 9 = 0 THEN k % 14 WHEN first IS NOT NULL THEN greatest(first - 1, 0) WHEN s > 6 AND k % 7 <> 0 THEN 4 END)::VARCHAR AS minzoom,
+CASE WHEN k % 8 = 0 THEN '9' END AS maxzoom, (first + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN n % 4 = 1 THEN 2 ELSE 0 END)::VARCHAR AS image_minzoom FROM p"""
 
 
 def tk7_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,12 +166,12 @@ def jn15_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames.features(spark, sf_dir).select("id", "x0", "y0", "x1", "y1", F.col("class").alias("name"))
     d = F.col("id") % 4
     layer = f.where("id % 2 = 0").select("id", (F.col("x0") + d).alias("x0"), "y0", (F.col("x1") + d).alias("x1"), "y1", "name")
-    return spatial.near_duplicates(layer, f)
+    return spatial.near_duplicates(layer, f).select("id", "base_id", "tier")
 
 
 JN15 = with_frames("features", body=f""", a AS (SELECT id, x0 + id % 4 AS x0, y0, x1 + id % 4 AS x1, y1, class FROM features WHERE id % 2 = 0),
 p AS (SELECT a.id, b.id AS base_id, {_OVER} AS c, least({_OVER} / ({_AREA.format('a')})::DOUBLE, {_OVER} / ({_AREA.format('b')})::DOUBLE) AS s, a.class = b.class AS same FROM a JOIN features b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
-t AS (SELECT *, CASE WHEN s >= 0.98 THEN 1 WHEN s >= 0.8 THEN 2 WHEN same AND c > 0 THEN 3 END AS tier FROM p)
+t AS (SELECT *, CASE WHEN s >= 0.98 THEN 1 WHEN s >= 0.8 THEN 2 WHEN same THEN 3 END AS tier FROM p)
 SELECT id, base_id, tier::INTEGER AS tier FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, c DESC, base_id) = 1""")
 
 

@@ -259,7 +259,8 @@ JN11 = with_frames("features", "containers", body=" SELECT b.id + 10000000 AS id
 
 def jn19_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' diagonals across parts of their class."""
-    c = frames.containers(spark, sf_dir).select((F.col("id") + 10_000_000).alias("id"), (F.col("id") % 3).alias("class"), "x0", "y0", "x1", "y1")
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    c = frames.containers(spark, sf_dir).select((F.col("id") + 10_000_000).alias("id"), (F.col("id") % 3).alias("class"), F.array(corner("x0", "y0"), corner("x1", "y1")).alias("points"))
     return spatial.crossed(c, frames.features(spark, sf_dir).select("id", (F.col("id") % 3).alias("class"), "x0", "y0", "x1", "y1"))
 
 

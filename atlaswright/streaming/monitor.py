@@ -25,6 +25,13 @@ def monitor(log: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataF
     return windowed(log.withWatermark("ts", late), size)
 
 
+def keep_windows(log: DataFrame, path: str, checkpoint: str, size: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
+    """STR-1 as a stream: appends windows to a table of Parquet files once the watermark has passed their end; takes what files there are
+    and ends. Started again with the same checkpoint it goes on from there, and leaves out rows of windows that have ended."""
+    rows = monitor(log, size, late).select(F.col("window.start").alias("start"), "map_id", "type", "level", "n")
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def new_missing_nodes(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """STR-2: each map's missing nodes once, within the watermark that bounds the state."""
     missing = log.where(F.col("msg").startswith("Cannot find feature")).withWatermark("ts", late)
