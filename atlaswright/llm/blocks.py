@@ -7,12 +7,12 @@ an item rather than a row."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,7 @@ def blocks(docs: DataFrame, size: int = BLOCK_BYTES, nulls: bool = False) -> Dat
     the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, named = TaskContext.get().partitionId(), 0  # names by place: a task that is run again names its blocks as before
         for batch in batches:
             ids, texts, total = [], [], 0
             out = []
@@ -43,8 +44,8 @@ def blocks(docs: DataFrame, size: int = BLOCK_BYTES, nulls: bool = False) -> Dat
                 total += len(texts[-1])
                 if total >= size or k + 1 == batch.num_rows:
                     head = np.array([[i or 0 for i in ids], [len(t) for t in texts], [i is None for i in ids]], np.int64).tobytes()
-                    out.append((uuid.uuid4().hex, len(ids), head, pack(np.frombuffer(b"".join(texts), np.uint8))))
-                    ids, texts, total = [], [], 0
+                    out.append((f"{task}-{named}", len(ids), head, pack(np.frombuffer(b"".join(texts), np.uint8))))
+                    ids, texts, total, named = [], [], 0, named + 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "n", "head", "body"])
 

@@ -1,7 +1,7 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
 For every language, pieces of labelled training documents, ``SAMPLE_BYTES`` bytes together
-(or, of many languages, an even share of ``ALL_BYTES``), are strung into one text whose
+(or, of more than six languages, an even share of ``ALL_BYTES``: at least 1,600 bytes), are strung into one text whose
 suffix automaton accepts exactly its substrings. Documents of any length take part in the
 order of their hashes, each with a piece (of up to a ``SAMPLE_DOCS``-th of these bytes) from
 a hashed place of its text; further pieces of the same documents follow only where that
@@ -13,8 +13,9 @@ every segment is entered again in the state in which the one before it ends, unt
 makes no difference, so the phrases are those of the whole text.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; ties go to the
-language first in the alphabet; labels that are null are not learned; more than
-``MOST_LABELS`` labels are an error, not languages; without any learned language everything
+language first in the alphabet; labels that are null are not learned; where
+there are more than ``MOST_LABELS`` labels, those of the most training texts are learned as languages (of equals the first
+in the alphabet), as the bytes of all automata are bounded; the others are never predicted; without any learned language everything
 is ``und``; very long texts are parsed whole; repeated rows give repeated rows; an empty table
 gives none. Only ``doc_id``, ``text`` and, for learning, ``lang`` are read.
 """
@@ -35,7 +36,7 @@ SAMPLE_DOCS = 60
 SAMPLE_BYTES = 60_000
 #: Bytes that all automata are built from: what bounds their tables, which go to every task.
 ALL_BYTES = 400_000
-MOST_LABELS = 2_000
+MOST_LABELS = 250
 SEGMENT = 512
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -224,10 +225,10 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list[tuple[
     sample, the same for the same rows. A text's pieces are drawn from a hashed one on."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     rows = rows.where(~is_held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    labels = rows.agg(F.countDistinct("lang")).first()[0]
-    if labels > MOST_LABELS:
-        raise ValueError(f"{labels} labels: no more than {MOST_LABELS} can be languages")
-    most = bytes_each(labels)
+    counts = rows.groupBy("lang").count()
+    labels = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()]
+    rows = rows.where(F.col("lang").isin(labels)) if len(labels) == MOST_LABELS else rows
+    most = bytes_each(len(labels))
     each = max(1, most // per_lang)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

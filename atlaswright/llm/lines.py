@@ -20,7 +20,8 @@ Edge cases: null and empty texts have no lines; lines of blanks alone are never
 documents without ``doc_id`` are left out; rows that repeat a ``doc_id`` count as one
 document, so a line does not remove its own copy at the same place there; lines of any
 length are compared whole; an empty table gives no rows; other columns are ignored whatever
-their names.
+their names. ``without`` keeps rows without ``doc_id`` as they are, and takes the same lines out of
+all rows that repeat an id.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_copies
+from .common import cut, join_copies, unused
 
 DISTANCE = 2
 #: Shorter lines go as copies only: two edits make another word of them.
@@ -231,12 +232,13 @@ def per_document(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN
 def without(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the lines removed from ``text``; documents of which no line that holds a
     word is left, though they had some, go."""
-    gone = removals(docs, distance, min_chars).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("__gone", k)), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    left = left.withColumn("__text", kept).where(F.col("__gone").isNull() | F.col("__text").rlike(r"\S"))
-    return left.select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    own, numbers, cleaned = unused(docs, "own", "numbers", "cleaned")
+    gone = removals(docs, distance, min_chars).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(numbers))
+    left = docs.join(gone, docs["doc_id"] == F.col(own), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(numbers, k)), "\n")
+    kept = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept)
+    left = left.withColumn(cleaned, kept).where(F.col(numbers).isNull() | F.col(cleaned).rlike(r"\S"))
+    return left.select(*[F.col(cleaned).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 _LETTERS = "etanhosri"  # an edit changes the count of any letter by one at most

@@ -9,8 +9,9 @@ of the token before it, meets the keys (of the same kind) of the places before i
 bias by distance. Each of those places votes for the token that stood there; one more slot,
 with a logit by the same two ids and by how often their word was seen, votes for every token
 as it is spelled: a first id after the last one, further ids, and the end of the word, by
-the counts of all training text of how words begin (the ``FREQUENT`` most frequent words),
-backing off to pairs of ids. All slots are weighed together (by ``(1 + x/8)**8``, close to
+the counts of how words begin (of the ``FREQUENT`` most frequent words of up to ``WORD_BYTES`` bytes,
+which is the model's lexicon: its size is bounded, as it goes to every task),
+backing off to pairs of ids, which all words are counted in. All slots are weighed together (by ``(1 + x/8)**8``, close to
 ``exp(x)`` and much cheaper) and mixed, so the probabilities of all tokens add to one. Texts
 are scored in windows of two blocks of ``BLOCK`` tokens that overlap by one: the tokens of
 the second block are scored, once each, with those of the first as context, in batches
@@ -25,7 +26,8 @@ All counts, and the attention weights, learn from all training documents. Docume
 the hash of their id into ``CLASSES`` classes; each class is one step of gradient ascent
 (Adam), its gradient summed over all its documents on the executors, so that the weights
 do not depend on how the table is split. In training every token's own occurrence is taken
-off the counts. Words are told apart by 64 bits of hash.
+off the counts; in scoring a document that the counts hold, its own occurrence of a word, and all that the
+document itself has put into the memory. Words are told apart by 64 bits of hash.
 
 For the base model's word counts, the ``FREQUENT`` most frequent words (a few megabytes at
 any size of corpus) go to every task; the counts of all others are joined to the documents
@@ -44,7 +46,6 @@ import base64
 import functools
 import math
 import random
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -52,7 +53,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -462,6 +463,8 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
         cutter = subwords(path)
         pairs, words, texts = np.zeros(VOCAB**2, np.int64), np.zeros(0, np.int64), 0
         vocabulary, known = cutter.words, cutter.arrays()
+        # names by place: a task that is run again deals its blocks as before
+        task, named = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in _slices(batch, 8_000_000):
                 ids = part.column(0).to_pylist()
@@ -477,7 +480,8 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
                     mine = klass == c
                     got = Texts.of(numbers[mine[owner]], lengths[mine], known)
                     head = np.array([[(i or 0, i is None) for i, m in zip(ids, mine, strict=True) if m]], np.int64).tobytes()
-                    rows.append((c, uuid.uuid4().hex, head, got.packed()))
+                    rows.append((c, f"{task}-{named}", head, got.packed()))
+                    named += 1
                     if c >= 0:
                         texts += int(mine.sum())
                         flat, at = got.flat.astype(np.int64), got.ends
@@ -580,6 +584,12 @@ class Contexts:
         _, first, self.which = np.unique(hashing.mixed(context * np.uint64(hashing.BASE) + word), return_index=True, return_inverse=True)
         self.context, self.token = context[first], (word[first] >> np.uint64(48)).astype(np.uint16)
 
+    def own(self, kind: np.ndarray) -> np.ndarray:
+        """How often what is of a place's ``kind`` stands in the text of the place."""
+        key = self.text[self.places].astype(np.int64) * (int(kind.max(initial=0)) + 1) + kind
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        return n[at]
+
 
 def _by_context(items: Contexts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the items by bucket and what is left of the hash; both in that order."""
@@ -636,6 +646,8 @@ def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np
     for b, lo, hi in blocks.runs(bucket):
         said[:, order[lo:hi]] = np.frombuffer(unpack(of[b]), np.uint32).reshape(2, -1)
     c, n = said[:, items.which]
+    if row["class"] >= 0:  # the document's own share of what its block has sent
+        c, n = c - items.own(items.which), n - items.own(np.unique(items.context, return_inverse=True)[1][items.which])
     out = log_p.copy()
     with np.errstate(divide="ignore"):
         out[items.places] = np.logaddexp(np.log(c), math.log(MEMORY_WEIGHT) + log_p[items.places]) - np.log(n + MEMORY_WEIGHT)
@@ -674,7 +686,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         for row in blocks.rows_of(batches):
             got = Texts.unpacked(row["body"])
             ids, null = np.frombuffer(row["head"], np.int64).reshape(-1, 2).T.tolist()
-            rows = Blocks(got, counts.value)
+            rows = Blocks(got, counts.value, int(row["class"] >= 0))
             log_p = np.concatenate([forward(w, rows, part, lead)[lead:] for lead, part in rows.batches()]).ravel()[rows.slot]
             items = Contexts(got)
             total = np.bincount(items.text, by_memory(log_p, items, row, buckets), len(ids))

@@ -493,6 +493,12 @@ def test_gradient():
             assert (total(flat + step) - total(flat - step)) / 4e-2 == pytest.approx(g[k], rel=0.03, abs=0.02)
 
 
+def _runs(text, more=1):
+    """Three words and what follows them (or not), at every place."""
+    ws = [*common.words_of(text), b""]
+    return collections.Counter(tuple(ws[k - 3 : k + more]) for k in range(3, len(ws)))
+
+
 def _plain(texts, trains, flat):
     """Every text's log10 probability, one token after another."""
     w, c = lm.weights(flat.astype(float)), collections.Counter
@@ -508,10 +514,8 @@ def _plain(texts, trains, flat):
             firsts[ids[0]] += 1
         firsts[lm.END] += 1
         pair.update(itertools.pairwise([lm.END, *_ids(t), lm.END]))
-        ws = [*common.words_of(t), b""]
-        for k in range(3, len(ws)):
-            memory[tuple(ws[k - 3 : k + 1])] += 1
-            context[tuple(ws[k - 3 : k])] += 1
+        for m, x in ((memory, _runs(t)), (context, _runs(t, 0))):
+            m.update(x)
     alone, after, known = c(), c(), c()
     for (a, b), n in pair.items():
         alone[b] += n
@@ -522,24 +526,24 @@ def _plain(texts, trains, flat):
     two = lambda a, y: (pair[a, y] + 8 * one(y)) / (after[a] + 8)
     stop = {}
 
-    def spelled(before, ids):
+    def spelled(before, ids, own):
         a, y = before[-1], ids[0]
         p = (pair[a, y] + 8 * (firsts[y] + 0.5) / begun) / (known[a] + 8)
         if ids == (lm.END,):
             return p
         for k in range(1, len(ids)):
-            p *= (begin[ids[: k + 1]] + 2 * two(ids[k - 1], ids[k])) / (begin[ids[:k]] + 2)
+            p *= (max(begin[ids[: k + 1]] - own, 0) + 2 * two(ids[k - 1], ids[k])) / (max(begin[ids[:k]] - own, 0) + 2)
         if ids[-1] not in stop:
             stop[ids[-1]] = sum(two(ids[-1], y) for y in np.flatnonzero(starts).tolist())
-        return p * (whole[ids] + 2 * stop[ids[-1]]) / (begin[ids] + 2)
+        return p * (max(whole[ids] - own, 0) + 2 * stop[ids[-1]]) / (max(begin[ids] - own, 0) + 2)
 
     def row(ids):
         return w["first"][ids[0]] + w["last"][ids[-1]]
 
-    def model(tokens, t):
+    def model(tokens, t, own):
         of = lambda j: tokens[j - 1] if j else (lm.END,)
         seen = np.log1p(whole[of(t)] if of(t) != (lm.END,) else firsts[lm.END]) / 10
-        slots = [(max(0.05, 1 + (row(of(t))[-1] + seen * w["seen"][0]) / 8) ** 8, spelled(of(t), tokens[t]))]
+        slots = [(max(0.05, 1 + (row(of(t))[-1] + seen * w["seen"][0]) / 8) ** 8, spelled(of(t), tokens[t], own))]
         for j in range(max(0, t // lm.BLOCK - 1) * lm.BLOCK, t):
             x = 1 + w["place"][t % lm.BLOCK, j - (t // lm.BLOCK - 1) * lm.BLOCK] / 8
             x += row(of(t))[: lm.WIDTH] @ row(of(j))[lm.WIDTH : 2 * lm.WIDTH] * lm.WIDTH**-0.5 / 8
@@ -547,13 +551,15 @@ def _plain(texts, trains, flat):
         return sum(a * p for a, p in slots) / sum(a for a, _ in slots)
 
     out = []
-    for text in texts:
+    for text, own in zip(texts, trains, strict=True):
         ws = [*common.words_of(text), b""]
         tokens = [_cut(x) for x in ws[:-1]] + [(lm.END,)]
+        mine, around = (_runs(text), _runs(text, 0)) if own else (c(), c())
         total = 0.0
         for k in range(len(ws)):
-            p, n = model(tokens, k), context[tuple(ws[k - 3 : k])] if k >= 3 else 0
-            total += math.log10((memory[tuple(ws[k - 3 : k + 1])] + 0.25 * p) / (n + 0.25) if n else p)
+            p, at = model(tokens, k, int(own)), tuple(ws[k - 3 : k]) if k >= 3 else ()
+            n = context[at] - around[at] if k >= 3 else 0
+            total += math.log10((memory[(*at, ws[k])] - mine[(*at, ws[k])] + 0.25 * p) / (n + 0.25) if n else p)
         out.append(total)
     return out
 
