@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def since_last_marker(log: DataFrame, marker: str = "Using knowledge source") -> DataFrame:
     """SRC-16, WN-16: each map's log rows after its last marker; without one, all."""
@@ -26,6 +28,66 @@ def blockers(needed: DataFrame, missing: DataFrame, suppressed: DataFrame) -> Da
     return rows.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.array_sort(F.collect_set("map_id")).alias("maps"))
 
 
+def missing_reports(log: DataFrame, edges: DataFrame, phenotypes: DataFrame) -> DataFrame:
+    """AG-8, SNK-9: ``(report, key, nodes, paths, phenotypes, maps)`` of build logs: of each path that was not drawn the terminals that are missing
+    (``paths_minimal``), these with the paths, phenotypes and maps that need them (``node_minimal``), and every missing node with all
+    paths it is on (``node_complete``): ``edges(path, src, dst)``, ``phenotypes(path, phenotype)``."""
+    lost = log.where(F.col("msg").startswith("Cannot find feature")).select("node", "map_id").distinct()
+    undrawn = log.where(F.col("msg").startswith("Path suppressed")).select("path").distinct()
+    paths = undrawn.join(edges.select("path").distinct(), "path", "left_semi")
+    needed = graph.terminals(edges).join(paths, "path", "left_semi").join(lost.select("node").distinct(), "node", "left_semi").select("path", "node")
+    kinds = phenotypes.select("path", "phenotype").distinct()
+    listed = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    none = F.array().cast("array<long>")
+    minimal = paths.join(needed.groupBy("path").agg(listed("node")), "path", "left").join(kinds.groupBy("path").agg(listed("phenotype")), "path", "left")
+    minimal = minimal.select(F.lit("paths_minimal").alias("report"), F.col("path").alias("key"), F.coalesce("nodes", none).alias("nodes"), F.array("path").alias("paths"), "phenotypes", none.alias("maps"))
+
+    def by_node(rows: DataFrame, report: str, maps: bool) -> DataFrame:
+        rolled = rows.join(kinds, "path", "left").groupBy("node").agg(listed("path"), listed("phenotype"))
+        found = rolled.join(lost.groupBy("node").agg(F.array_sort(F.collect_set("map_id")).alias("maps")), "node")
+        return found.select(F.lit(report).alias("report"), F.col("node").alias("key"), F.array("node").alias("nodes"), "paths", "phenotypes", (F.col("maps") if maps else none).alias("maps"))
+
+    on = edges.select("path", F.col("src").alias("node")).union(edges.select("path", "dst")).distinct()
+    return minimal.unionByName(by_node(needed, "node_minimal", True)).unionByName(by_node(on, "node_complete", False))
+
+
+def connectivity_document(models: DataFrame, nodes: DataFrame, lines: DataFrame, nerves: DataFrame, kinds: DataFrame, drawn: DataFrame) -> DataFrame:
+    """SNK-6 as rows ``(section, key, value)``, values being JSON: ``paths`` with their lines, nodes and nerves, ``node-paths``, ``type-paths``, and ``models`` with
+    those of their paths that are rendered; models without any are left out. ``models(model, path)``, ``nodes(path, node)``, ``lines(path, line)``,
+    ``nerves(path, nerve)``, ``kinds(path, kind)``; connections that were drawn are added, ``drawn(model, path, kind, line, nodes)`` (AG-4)."""
+    part = lambda df, what, c: df.select("path", F.lit(what).alias("what"), F.col(c).cast("long").alias("id"))
+    parts = part(lines, "lines", "line").union(part(drawn, "lines", "line")).union(part(nodes, "nodes", "node")).union(drawn.select("path", F.lit("nodes"), F.explode("nodes"))).union(part(nerves, "nerves", "nerve"))
+    parts = graph.cut(parts.distinct())
+    kept = lambda what: F.array_sort(F.collect_set(F.when(F.col("what") == what, F.col("id")))).alias(what)
+    paths = parts.groupBy("path").agg(kept("lines"), kept("nodes"), kept("nerves"))
+    rendered = paths.select("path")
+    text = lambda c: F.to_json(F.array_sort(F.collect_set(c))).alias("value")
+    row = lambda section, df, key: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), "value")
+    of_kinds = kinds.select("kind", "path").union(drawn.select("kind", "path")).join(rendered, "path", "left_semi")
+    of_models = models.select("model", "path").union(drawn.select("model", "path")).join(rendered, "path", "left_semi")
+    return (
+        row("paths", paths.withColumn("value", F.to_json(F.struct("lines", "nodes", "nerves"))), "path")
+        .union(row("node-paths", parts.where("what = 'nodes'").groupBy("id").agg(text("path")), "id"))
+        .union(row("type-paths", of_kinds.groupBy("kind").agg(text("path")), "kind"))
+        .union(row("models", of_models.groupBy("model").agg(text("path")), "model"))
+    )
+
+
+def rendered_lists(edges: DataFrame, same: DataFrame, phenotypes: DataFrame, forward: DataFrame, nerves: DataFrame, available: DataFrame) -> DataFrame:
+    """GR-27, AG-1: per path what is drawn of its knowledge: ``connectivity`` (``edges(path, src, dst)`` after GR-4), the nodes of each phenotype that are left,
+    ``forward`` connections to rendered paths, the ``nerves`` among the ``available(node)``, and ``mappings`` from the node that each stands for as (drawn, known):
+    ``same(node, into)``, ``phenotypes(path, phenotype, node)``, ``forward(path, target)``, ``nerves(path, node)``. Lists that would be empty are null."""
+    into = same.select("node", "into")
+    nodes = graph.cut(edges.select("path", F.col("src").alias("node")).union(edges.select("path", "dst")).distinct().join(into, "node", "left").select("path", "node", F.coalesce("into", "node").alias("as")))
+    named = lambda c: nodes.select("path", F.col("node").alias(c), F.col("as").alias(f"{c}_as"))
+    links = edges.join(named("src"), ["path", "src"]).join(named("dst"), ["path", "dst"]).groupBy("path").agg(F.array_sort(F.collect_set(F.struct("src_as", "dst_as"))).alias("connectivity"))
+    left = phenotypes.join(nodes, ["path", "node"]).groupBy("path", "phenotype").agg(F.array_sort(F.collect_set("as")).alias("nodes")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("phenotype", "nodes"))).alias("phenotypes"))
+    on = forward.join(edges.select(F.col("path").alias("target")).distinct(), "target", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("target")).alias("forward"))
+    held = nerves.join(available.select("node").distinct(), "node", "left_semi").join(into, "node", "left").groupBy("path").agg(F.array_sort(F.collect_set(F.coalesce("into", "node"))).alias("nerves"))
+    maps = nodes.groupBy("path").agg(F.array_sort(F.collect_set(F.struct("as", "node"))).alias("mappings"))
+    return maps.join(links, "path", "left").join(left, "path", "left").join(on, "path", "left").join(held, "path", "left")
+
+
 def resolved_paths(nodes: DataFrame, edges: DataFrame, nerves: DataFrame) -> DataFrame:
     """AG-1, SNK-6: per path its nodes, edges and nerves; lists that would be empty are null."""
     n = nodes.groupBy("path").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
@@ -124,18 +186,33 @@ def without_repeats(values: Column) -> Column:
     return F.filter(values, lambda x, i: (i == 0) | (x != F.get(values, i - 1)))
 
 
+def numbered(rows: DataFrame, partition: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """``rows`` numbered from 1 in each group, in two levels: all rows are sorted by range over all tasks, numbered within task and group, and
+    shifted by what the tasks before hold of the group, so that no group meets in one task."""
+    here = graph.cut(rows.orderBy(*partition, *order).select(F.struct(*rows.columns).alias("row"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")))
+    keys = [F.col(f"row.{c}").alias(f"key{k}") for k, c in enumerate(partition)]
+    names = [f"key{k}" for k in range(len(partition))]
+    here = here.select("*", *keys)
+    counts = here.groupBy(*names, "task").count()
+    before = Window.partitionBy(*names).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    skips = counts.select(*names, "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
+    inside = F.row_number().over(Window.partitionBy(*names, "task").orderBy("at"))
+    return here.withColumn("inside", inside).join(skips, [*names, "task"]).select("row.*", (F.col("skip") + F.col("inside")).alias(name))
+
+
 def dense_ids(rows: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
     """WN-4: numbers from 1 in input order."""
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    return numbered(rows, partition, order).withColumn("number", F.col("number").cast("int"))
 
 
 def unique_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """WN-14: ``class-n`` for each row of a class in order, skipping names that are taken."""
-    per = rows.groupBy("class").agg(F.count("*").alias("n"))
-    used = taken.join(per, F.substring_index("name", "-", 1) == F.col("class"), "left_semi").groupBy(F.regexp_replace("name", r"-\d+$", "").alias("class")).agg(F.count("*").alias("m"))
-    names = per.join(used, "class", "left").select("class", F.explode(F.sequence(F.lit(1), F.col("n") + F.coalesce("m", F.lit(0)))).alias("k")).withColumn("name", F.concat_ws("-", "class", "k")).join(taken, "name", "left_anti")
-    free = names.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("k")))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).join(free, ["class", "r"]).select("id", "class", "name")
+    """WN-14: ``class-n`` for each row of a class in order, skipping names that are taken. The r-th free number is r plus the taken ones below it: of
+    the taken numbers, in order, the j-th has ``number - j`` free ones below, so merged with the rows by that every row's place is its number."""
+    used = taken.select(F.regexp_extract("name", r"^(.*)-(\d+)$", 1).alias("class"), F.regexp_extract("name", r"-(\d+)$", 1).try_cast("long").alias("n")).where("n > 0").distinct()
+    used = numbered(used, ["class"], ["n"], "j").select("class", (F.col("n") - F.col("j")).alias("key"), F.lit(1).alias("taken"), F.lit(None).cast("long").alias("id"))
+    own = numbered(rows.select("id", "class"), ["class"], ["id"], "key").select("class", "key", F.lit(0).alias("taken"), F.col("id").cast("long").alias("id"))
+    placed = numbered(own.unionByName(used), ["class"], ["key", "taken", "id"], "place").where("taken = 0")
+    return placed.select("id", "class", F.concat_ws("-", "class", F.col("place").cast("string")).alias("name"))
 
 
 def cosine(a: Column, b: Column) -> Column:

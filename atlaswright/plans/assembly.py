@@ -121,19 +121,19 @@ JN31 = with_frames("path_nodes", body=" SELECT path, string_agg((node % 30)::VAR
 
 def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts of routes named by number; some numbers are classes of one part or two."""
-    routes = frames.path_nodes(spark, sf_dir).select(F.col("path").alias("route"), "pos", F.concat(F.lit("c"), F.col("node") % 100).alias("name"))
+    routes = frames.path_nodes(spark, sf_dir).select(F.col("path").alias("route"), "pos", F.concat(F.lit("c"), F.floor(F.col("node") / 2)).alias("name"))
     k = F.col("p_partkey")
-    return routes, table(spark, sf_dir, "part").where("p_partkey % 100 < 40 and p_partkey < 140").select(F.concat(F.lit("c"), k % 100).alias("name"), F.concat(F.lit("e"), k).alias("element"))
+    return routes, table(spark, sf_dir, "part").where("p_partkey % 5 < 2").select(F.concat(F.lit("c"), F.floor(k / 2)).alias("name"), F.concat(F.lit("e"), k).alias("element"))
 
 
-_CLASSES = "c AS (SELECT 'c' || p_partkey % 100 AS name, min('e' || p_partkey) AS element, count(*) AS n FROM part WHERE p_partkey % 100 < 40 AND p_partkey < 140 GROUP BY 1)"
+_CLASSES = "c AS (SELECT 'c' || p_partkey // 2 AS name, min('e' || p_partkey) AS element, count(*) AS n FROM part WHERE p_partkey % 5 < 2 GROUP BY 1)"
 
 
 def jn40_remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.remapped(*_classes(spark, sf_dir))[0].withColumn("elements", F.array_join("elements", ","))
 
 
-JN40 = with_frames("path_nodes", body=f", {_CLASSES} SELECT path AS route, string_agg(coalesce(element, 'c' || node % 100), ',' ORDER BY pos) AS elements FROM path_nodes LEFT JOIN c ON name = 'c' || node % 100 GROUP BY path")
+JN40 = with_frames("path_nodes", body=f", {_CLASSES} SELECT path AS route, string_agg(coalesce(element, 'c' || node // 2), ',' ORDER BY pos) AS elements FROM path_nodes LEFT JOIN c ON name = 'c' || node // 2 GROUP BY path")
 
 
 def jn40_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,19 +166,19 @@ CASE WHEN role = 'line' THEN nerves END AS nerves, CASE WHEN role = 'line' THEN
 def _centrelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as centrelines; one in four has a model."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 4 == 0, k % 50).alias("model"), (k % 90).alias("container"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 4 == 0, k % 50).alias("model"), F.floor(k / 3).alias("container"))
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    nerves = table(spark, sf_dir, "part").where("p_partkey < 90 and p_partkey % 3 = 0").select(k.alias("container"), (k + 1000).alias("model"))
+    nerves = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(k.alias("container"), (k + 1000).alias("model"))
     rules = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(k.alias("id"), (k + 2000).alias("model"))
     return assembly.centreline_models(_centrelines(spark, sf_dir), nerves, rules)
 
 
 _MODELS = """m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 50 WHEN n.k IS NOT NULL THEN n.k + 1000 WHEN p_partkey % 7 = 0 THEN p_partkey + 2000 END AS model,
 CASE WHEN p_partkey % 4 = 0 THEN 'own' WHEN n.k IS NOT NULL THEN 'nerve' WHEN p_partkey % 7 = 0 THEN 'rule' ELSE 'label' END AS source
-FROM part LEFT JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey < 90 AND p_partkey % 3 = 0) n ON n.k = p_partkey % 90)"""
+FROM part LEFT JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 = 0) n ON n.k = p_partkey // 3)"""
 
 
 def jn43_models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,13 +119,24 @@ SELECT name, node, score, (row_number() OVER (PARTITION BY name ORDER BY score D
 
 
 def tk3_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ancestor on the map for each customer."""
+    """An ancestor on the map for each customer that has a vector, by cosine to the vectors of nations and regions."""
     up = graph.two_levels(frames.subclass(spark, sf_dir)).where("child like 'C:%'")
-    scores = up.select("child", "ancestor", F.round(F.crc32(F.concat("child", "ancestor").cast("binary")) % 1000 / 1000, 6).alias("score"))
-    on_map = up.where("ancestor like 'R:%' or ancestor in ('N:1', 'N:2', 'N:3', 'N:4')").select("ancestor")
-    return align.ancestor_choice(up, on_map, scores, 0.1)
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    named = lambda prefix, base, most: v.where(f"vec_id between {base} and {base + most}").select(F.concat(F.lit(prefix), F.col("vec_id") - base).alias("ancestor"), F.col("embedding").alias("b"))
+    above = named("N:", 0, 24).union(named("R:", 100, 4))
+    pairs = up.join(v.select(F.concat(F.lit("C:"), "vec_id").alias("child"), F.col("embedding").alias("a")), "child").join(above, "ancestor")
+    scores = pairs.select("child", "ancestor", F.round(rollups.cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    on_map = up.where("ancestor like 'R:%' or ancestor rlike '^N:[0-9]?[0-4]$'").select("ancestor")
+    return align.ancestor_choice(up, on_map, scores, 0.05)
 
 
-_ALL = {qa_references: QA_REFERENCES, qa18_sequence: QA18, gr15_systems: GR15, ag7_counts: AG7, ag4_connections: AG4, so1_merged: SO1, wn6_latest: WN6, wn4_numbers: WN4, tk2_phrases: TK2, tk3_ancestors: None}
+TK3 = """WITH n AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey),
+a AS (SELECT k, 'N:' || n AS ancestor, 1 AS level, n AS v FROM n WHERE n % 10 < 5 UNION ALL SELECT k, 'R:' || r, 2, r + 100 FROM n),
+s AS (SELECT k, ancestor, level, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(x.embedding, lambda p: p::DOUBLE ** 2)) * list_sum(list_transform(y.embedding, lambda p: p::DOUBLE ** 2))), 6) AS score
+  FROM a JOIN embeddings x ON x.vec_id = k JOIN embeddings y ON y.vec_id = v)
+SELECT 'C:' || k AS child, ancestor, level FROM s WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score + level, ancestor) = 1"""
+
+
+_ALL = {qa_references: QA_REFERENCES, qa18_sequence: QA18, gr15_systems: GR15, ag7_counts: AG7, ag4_connections: AG4, so1_merged: SO1, wn6_latest: WN6, wn4_numbers: WN4, tk2_phrases: TK2, tk3_ancestors: TK3}
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL.items() if sql}

@@ -61,15 +61,15 @@ FROM points p JOIN features f ON f.x0 <= p.x + 10 AND f.x1 >= p.x - 10 AND f.y0
 
 
 def jn20_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    lines = o.select(k.alias("line"), (k % 97).alias("source"), (k * 7 % 97).alias("target"))
+    lines = frames.path_edges(spark, sf_dir).groupBy(F.col("path").alias("line")).agg(F.min("src").alias("source"), F.max("dst").alias("target"))
     p, j = _part(spark, sf_dir)
-    return details.line_classes(lines, p.where("p_partkey < 97").select(j.alias("id"), F.when(j % 4 > 0, _pick(("symp", "para"), j)).alias("class")))
+    return details.line_classes(lines, p.where("p_partkey % 10 < 9").select(j.alias("id"), F.when(j % 4 > 0, _pick(("symp", "para"), j)).alias("class")))
 
 
-JN20 = """WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN ['symp', 'para'][p_partkey % 2 + 1] END AS c FROM part WHERE p_partkey < 97)
-SELECT o_orderkey AS line, CASE WHEN a.c IS NULL OR b.c IS NULL OR a.c = b.c THEN coalesce(a.c, b.c) END AS class, CASE WHEN a.c <> b.c THEN a.c || ' and ' || b.c END AS issue
-FROM orders LEFT JOIN c a ON a.id = o_orderkey % 97 LEFT JOIN c b ON b.id = o_orderkey * 7 % 97"""
+JN20 = with_frames("path_edges", body=""", c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN ['symp', 'para'][p_partkey % 2 + 1] END AS c FROM part WHERE p_partkey % 10 < 9),
+l AS (SELECT path AS line, min(src) AS s, max(dst) AS t FROM path_edges GROUP BY path)
+SELECT line, CASE WHEN a.c IS NULL OR b.c IS NULL OR a.c = b.c THEN coalesce(a.c, b.c) END AS class, CASE WHEN a.c <> b.c THEN a.c || ' and ' || b.c END AS issue
+FROM l LEFT JOIN c a ON a.id = s LEFT JOIN c b ON b.id = t""")
 
 
 def jn28_children(spark: SparkSession, sf_dir: str) -> DataFrame:

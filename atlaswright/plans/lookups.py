@@ -286,12 +286,12 @@ ag21_segment_paths, AG21 = _inverted("ag21_segment_paths", "l_suppkey", "l_partk
 
 def ag30_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = _part(spark, sf_dir)
-    rows = lambda where: p.where(where).select(k.alias("id"), F.concat(F.lit("T:"), k % 40).alias("term"))
-    labels = p.where("p_partkey < 30").select(F.concat(F.lit("T:"), k).alias("term"), F.upper("p_name").alias("label"))
+    rows = lambda where: p.where(where).select(k.alias("id"), F.concat(F.lit("T:"), F.floor(k / 4)).alias("term"))
+    labels = p.where("p_partkey % 4 > 0").select(F.concat(F.lit("T:"), k).alias("term"), F.upper("p_name").alias("label"))
     return terms.vocabulary([rows("p_size > 10"), rows("p_size < 5")], table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")), labels)
 
 
-AG30 = """SELECT DISTINCT 'T:' || p.p_partkey % 40 AS term, coalesce(lower(n.p_name), 't:' || p.p_partkey % 40) AS label FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey % 40 AND n.p_partkey < 30
+AG30 = """SELECT DISTINCT 'T:' || p.p_partkey // 4 AS term, coalesce(lower(n.p_name), 't:' || p.p_partkey // 4) AS label FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey // 4 AND n.p_partkey % 4 > 0
 WHERE (p.p_size > 10 OR p.p_size < 5) AND p.p_partkey IN (SELECT l_partkey FROM lineitem)"""
 
 

@@ -58,12 +58,21 @@ def connectivity(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("uri"), F.explode("paths").alias("p")).select("uri", F.col("p.id").alias("path"), "p.models", "p.nodes")
 
 
+#: Maps that are sent to all paths at a time.
+MAPS = 50_000
+
+
 def resolved(sources: DataFrame, paths: DataFrame, whole: str = "NPO") -> DataFrame:
     """SRC-11: ``(map_id, path)`` of ``sources(map_id, uri)``: a model's paths by its uri, and once a
     map all of ``paths(uri, path)`` where it names the ``whole``."""
     by_uri = sources.where(F.col("uri") != whole).join(paths.select("uri", "path"), "uri").select("map_id", "path")
-    everything = sources.where(F.col("uri") == whole).select("map_id").distinct().withColumn("all", F.lit(1)).join(paths.select("path").distinct().withColumn("all", F.lit(1)), "all")
-    return by_uri.union(everything.select("map_id", "path")).distinct()
+    wanting = sources.where(F.col("uri") == whole).select("map_id").distinct()
+    known, out = paths.select("path").distinct(), by_uri
+    blocks = -(-wanting.count() // MAPS)
+    for k in range(blocks):  # one row of so many map ids at most, sent to all paths
+        ids = wanting.where(F.pmod(F.xxhash64("map_id"), F.lit(blocks)) == k).agg(F.collect_list("map_id").alias("map_ids"))
+        out = out.union(known.crossJoin(F.broadcast(ids)).select(F.explode("map_ids").alias("map_id"), "path"))
+    return out.distinct()
 
 
 def contours(texts: DataFrame, scale: float) -> DataFrame:
