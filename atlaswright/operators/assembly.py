@@ -154,6 +154,26 @@ def validated(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.union(both(nodes, 2).join(first, "line", "left_anti"))
 
 
+def validated_by_terms(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """JN-29 whole: like ``validated`` with ends of ``lines(line, type, a, a_organ, b, b_organ)`` that are terms, in an organ or none, against ``nodes(path, type, terms, is_end)``,
+    whose terms are each followed by the layers it is in. An end is met by a term of the path if there is no organ, or the term is somewhere the last of a node, or the organ is among the
+    layers behind it; or by the organ itself as a term."""
+    parts = nodes.select("type", "path", "is_end", F.explode(F.transform(F.sequence(F.lit(1), F.size("terms")), lambda k: F.slice("terms", k, F.size("terms")))).alias("t"))
+    parts = graph.cut(parts.select("type", "path", "is_end", F.col("t")[0].alias("term"), F.slice("t", 2, F.size("t")).alias("layers")).distinct())
+
+    def met(of: DataFrame, end: str) -> DataFrame:
+        asked = lines.select("line", "type", F.col(end).alias("term"), F.col(f"{end}_organ").alias("organ"))
+        by_term = asked.join(of, ["type", "term"]).where((F.size("layers") == 0) | F.col("organ").isNull() | F.array_contains("layers", F.col("organ")))
+        by_organ = asked.where("organ is not null").select("line", "type", F.col("organ").alias("term")).join(of, ["type", "term"])
+        return by_term.select("line", "path").union(by_organ.select("line", "path")).distinct()
+
+    def both(of: DataFrame, tier: int) -> DataFrame:
+        return met(of, "a").join(met(of, "b"), ["line", "path"]).select("line", "path", F.lit(tier).alias("tier"))
+
+    first = graph.cut(both(parts.where("is_end"), 1))
+    return first.union(both(parts, 2).join(first.select("line").distinct(), "line", "left_anti"))
+
+
 def extra_lines(matches: DataFrame) -> DataFrame:
     """JN-30: ``(line, number, path)``: one more line for each match of a line after its first."""
     listed = matches.groupBy("line").agg(F.array_sort(F.collect_set("path")).alias("paths")).where("size(paths) > 1")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quality, rollups
+from ..operators import assembly, quality, rollups
+from ..sources import sinks
 from . import frames, paths
 from .frames import table, with_frames
 
@@ -102,6 +103,66 @@ def tk4_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TK4 = with_frames("log_events", body=""" SELECT map_id, 'log' AS type, 'LOG' AS code, node::VARCHAR AS location, msg || ' ' || seq AS issue, row_number() OVER (PARTITION BY map_id ORDER BY node::VARCHAR, msg || ' ' || seq) AS number FROM log_events WHERE level <> 'info'""")
 
-_ALL = {ag8_reports: AG8, snk6_document: SNK6, gr27_lists: GR27L, ag25_used: AG25, ag28_publications: AG28, tk4_issues: TK4}
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as points, lines and boxes with some of the properties that are written; every 17th is excluded."""
+    f, k = frames.features(spark, sf_dir), F.col("id")
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    points = F.when(k % 3 == 0, F.array(p("x0", "y0"))).when(k % 3 == 1, F.array(p("x0", "y1"), p("x1", "y0"))).otherwise(F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")))
+    own = {
+        "centreline": F.when(k % 5 == 0, True), "class": F.col("class"), "group": F.when(k % 4 == 0, "g"), "hyperlinks": F.when(k % 6 == 0, F.array(F.struct(F.lit("pmr").alias("id"), F.lit("u").alias("url")))),
+        "kind": F.when(k % 5 == 0, "centreline"), "label": F.when(k % 7 > 0, F.col("name")).otherwise(""), "maxzoom": F.when(k % 8 == 0, F.lit(9)), "minzoom": F.when(k % 9 == 0, F.lit(3)), "tile-layer": F.lit("main/features"), "hidden": F.lit("x"),
+    }
+    return f.select("id", F.lit("base/one").alias("layer"), points.alias("points"), (k % 3 == 1).alias("open"), (k % 17 == 0).alias("exclude"), *[v.alias(c) for c, v in own.items()])
+
+
+def snk1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.feature_documents(_drawn(spark, sf_dir), 4e6)
+
+
+_CORNERS = "[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || ']"
+_DRAWN = """, f AS (SELECT id, class, name, x0, y0, CASE WHEN id % 3 = 0 THEN x0 ELSE x1 END AS x1, CASE WHEN id % 3 = 0 THEN y0 ELSE y1 END AS y1 FROM features WHERE id % 17 <> 0),
+a AS (SELECT *, CASE WHEN id % 3 = 2 THEN (x1 - x0) * (y1 - y0) ELSE 0 END::DOUBLE AS area FROM f), s AS (SELECT *, CASE WHEN area > 0 THEN round(log2(sqrt(4e6::DOUBLE / area)), 6) ELSE 10::DOUBLE END AS scale FROM a)"""
+SNK1D = with_frames("features", body=_DRAWN + f"""
+SELECT 'base_one_main_features' AS tile_layer, id, '{{"type":"Feature","id":' || id || ',"tippecanoe":{{"layer":"base_one_main_features"' || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' WHEN area > 0 AND scale > 6 AND id % 4 > 0 THEN ',"minzoom":4' ELSE '' END
+|| '}},"geometry":{{"type":' || CASE id % 3 WHEN 0 THEN '"Point","coordinates":[' || x0 || ',' || y0 || ']' WHEN 1 THEN '"LineString","coordinates":[[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || ']]' ELSE '"Polygon","coordinates":[[{_CORNERS},[' || x0 || ',' || y0 || ']]]' END
+|| '}},"properties":{{"bounds":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || '],"area":' || area || ',"length":' || CASE id % 3 WHEN 0 THEN 0::DOUBLE WHEN 1 THEN round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) ELSE (2 * (x1 - x0 + y1 - y0))::DOUBLE END || ',"layer":"base/one","scale":' || scale
+|| CASE WHEN id % 5 = 0 THEN ',"centreline":true' ELSE '' END || ',"class":"' || class || '"' || CASE WHEN id % 4 = 0 THEN ',"group":"g"' ELSE '' END || CASE WHEN id % 6 = 0 THEN ',"hyperlinks":[{{"id":"pmr","url":"u"}}]' ELSE '' END || CASE WHEN id % 5 = 0 THEN ',"kind":"centreline"' ELSE '' END
+|| CASE WHEN id % 7 > 0 THEN ',"label":"' || name || '"' ELSE '' END || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' ELSE '' END || ',"tile-layer":"main/features"}}}}' AS feature FROM s""")
+
+
+def snk2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations in a map of centrelines; parts of orders are the nodes that used them."""
+    n = table(spark, sf_dir, "lineitem").where("l_partkey % 4 > 0").select(F.col("l_partkey").alias("id"), F.to_json(F.array(F.concat(F.lit("T:"), F.col("l_suppkey") % 3))).alias("node"))
+    return sinks.feature_annotations(_drawn(spark, sf_dir), n, centreline_map=True)
+
+
+SNK2D = with_frames("features", body=_DRAWN + """, u AS (SELECT id, string_agg(j, ',' ORDER BY j) AS used FROM (SELECT DISTINCT l_partkey AS id, '["T:' || l_suppkey % 3 || '"]' AS j FROM lineitem WHERE l_partkey % 4 > 0) GROUP BY id)
+SELECT id, '{' || CASE WHEN id % 5 = 0 THEN '"centreline":true,' ELSE '' END || '"class":"' || class || '"' || CASE WHEN id % 4 = 0 THEN ',"group":"g"' ELSE '' END || CASE WHEN id % 6 = 0 THEN ',"hyperlinks":"[{\\"id\\":\\"pmr\\",\\"url\\":\\"u\\"}]"' ELSE '' END || CASE WHEN id % 5 = 0 THEN ',"kind":"centreline"' ELSE '' END
+|| CASE WHEN id % 7 > 0 THEN ',"label":"' || name || '"' ELSE '' END || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' ELSE '' END || ',"tile-layer":"main/features","bounds":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1
+|| '],"markerPosition":[' || ((x0 + x1) / 2)::DOUBLE || ',' || ((y0 + y1) / 2)::DOUBLE || '],"geometry":"' || ['Point', 'LineString', 'Polygon'][id % 3 + 1] || '","layer":"base/one"'
+|| CASE WHEN id % 3 = 1 THEN ',"pathStartPosition":[' || x0 || ',' || y1 || '],"pathEndPosition":[' || x1 || ',' || y0 || ']' || CASE WHEN id % 5 = 0 THEN ',"coordinates":[[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || ']]' ELSE '' END ELSE '' END
+|| coalesce(',"anatomical-nodes":[' || used || ']', '') || '}' AS annotation FROM s LEFT JOIN u USING (id)""")
+
+
+def jn29_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' lines between terms in organs, against orders whose parts have up to three terms."""
+    n = frames.path_nodes(spark, sf_dir)
+    last = n.groupBy("path").agg(F.max("pos").alias("last"))
+    k = F.col("node")
+    terms = F.slice(F.array(k % 60, k % 9 + 100, k % 4 + 200), 1, (k % 3 + 1).cast("int"))
+    nodes = n.join(last, "path").select("path", (F.col("path") % 3).alias("type"), terms.alias("terms"), ((F.col("pos") == 0) | (F.col("pos") == F.col("last"))).alias("is_end"))
+    s = F.col("s_suppkey")
+    lines = table(spark, sf_dir, "supplier").select(s.alias("line"), (s % 3).alias("type"), (s * 7 % 60).alias("a"), F.when(s % 2 == 0, s % 9 + 100).alias("a_organ"), (s * 11 % 60).alias("b"), F.when(s % 5 > 1, s % 4 + 200).alias("b_organ"))
+    return assembly.validated_by_terms(lines, nodes)
+
+
+JN29T = with_frames("path_nodes", body=""", n AS (SELECT path, path % 3 AS type, [node % 60, node % 9 + 100, node % 4 + 200][1:node % 3 + 1] AS t, pos = 0 OR pos = max(pos) OVER (PARTITION BY path) AS e FROM path_nodes),
+p AS (SELECT path, type, e, t[i] AS term, t[i + 1:] AS layers FROM n, range(1, 4) r(i) WHERE i <= len(t)), l AS (SELECT s_suppkey AS line, s_suppkey % 3 AS type, s_suppkey * 7 % 60 AS a, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 9 + 100 END AS ao, s_suppkey * 11 % 60 AS b, CASE WHEN s_suppkey % 5 > 1 THEN s_suppkey % 4 + 200 END AS bo FROM supplier),
+x AS (SELECT DISTINCT line, path, e FROM l JOIN p ON p.type = l.type AND ((term = a AND (len(layers) = 0 OR ao IS NULL OR list_contains(layers, ao))) OR term = ao)),
+y AS (SELECT DISTINCT line, path, e FROM l JOIN p ON p.type = l.type AND ((term = b AND (len(layers) = 0 OR bo IS NULL OR list_contains(layers, bo))) OR term = bo)),
+one AS (SELECT DISTINCT line, path FROM x JOIN y USING (line, path) WHERE x.e AND y.e)
+SELECT line, path, 1 AS tier FROM one UNION ALL SELECT DISTINCT line, path, 2 FROM x JOIN y USING (line, path) WHERE line NOT IN (SELECT line FROM one)""")
+
+_ALL = {snk1_documents: SNK1D, snk2_documents: SNK2D, jn29_terms: JN29T, ag8_reports: AG8, snk6_document: SNK6, gr27_lists: GR27L, ag25_used: AG25, ag28_publications: AG28, tk4_issues: TK4}
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL.items()}
