@@ -234,6 +234,23 @@ def centreline_index(centrelines: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, parts)
 
 
+def unit_index(nodes: DataFrame) -> DataFrame:
+    """AG-15: ``(unit, nodes)`` of network nodes ``nodes(node, unit, feature)``: those named as parts of a unit, and those that are the unit itself."""
+    own = nodes.where("unit is not null").select("unit", "node")
+    whole = nodes.where("unit is null").select(F.col("feature").alias("unit"), "node").join(own.select("unit").distinct(), "unit", "left_semi")
+    return own.union(whole).groupBy("unit").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+
+
+def network_properties(centrelines: DataFrame, cuffs: DataFrame, known: DataFrame) -> DataFrame:
+    """JN-43: what centrelines ``(id, model, nodes)`` say of features: ``(feature, prop, value)`` with the ``nerve`` cuff of a centreline's model
+    (``cuffs(model, cuff)``, of several the least), that it is a ``centreline``, and that a node without model and label (``known(feature, model, label)``) is a ``node``."""
+    nerve = centrelines.join(cuffs.groupBy("model").agg(F.min("cuff").alias("cuff")), "model").select(F.col("id").alias("feature"), F.lit("nerve").alias("prop"), F.col("cuff").cast("string").alias("value"))
+    drawn = centrelines.select(F.col("id").alias("feature"), F.lit("centreline"), F.lit("true"))
+    nodes = centrelines.select(F.explode("nodes").alias("feature")).distinct()
+    plain = nodes.join(known.where("model is not null or label is not null").select("feature"), "feature", "left_anti").select("feature", F.lit("node"), F.lit("true"))
+    return nerve.union(drawn).union(plain).distinct()
+
+
 def repeated_intermediates(nodes: DataFrame) -> DataFrame:
     """AG-23: inner nodes that a path passes more than once."""
     inner = nodes.join(nodes.groupBy("path").agg(F.max("pos").alias("last")), "path").where("pos > 0 and pos < last")

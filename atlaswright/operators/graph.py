@@ -282,6 +282,13 @@ def occupancy(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
+def occupancy_apart(edges: DataFrame) -> DataFrame:
+    """AG-16 whole: ``(a, b, terminal, paths)`` of ``edges(path, src, dst, type)``: the paths on each edge, those that only end along it (edges of type ``terminal`` or
+    ``upstream``) kept apart from those that run along it."""
+    ends_here = F.col("type").isin("terminal", "upstream").alias("terminal")
+    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), ends_here).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
 def suppressed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-19, SO-4: paths of ``nodes(path, node, role)`` with a source or destination that no edge covers."""
     need = nodes.where(F.col("role").isin("source", "destination")).select("path", "node")

@@ -42,13 +42,14 @@ FROM supplier, range(0, 3) t(o) WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 > 0 AN
 def src4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' property documents, in the new layout and the old one."""
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    new = F.concat(F.lit('{"classes": {"c'), k % 3, F.lit('": {"label": "L'), k, F.lit('"}}, "features": {"f '), k % 4, F.lit('": {"type": "T'), k, F.lit('"}}}'))
+    new = F.concat(F.lit('{"classes": {"c'), k % 3, F.lit('": {"label": "L'), k, F.lit('"}}, "features": {"f '), k % 4, F.lit('": {"type": "T'), k, F.lit('", "associated-details": '), F.when(k % 4 == 0, '"one"').otherwise('["one","two"]'), F.lit("}}}"))
     old = F.concat(F.lit('{"features": [{"id": "f '), k % 4, F.lit('", "properties": {"type": "T'), k, F.lit('"}}, {"class": "c'), k % 3, F.lit('", "properties": {"label": "L'), k, F.lit('"}}]}'))
     return documents.property_rules(s.select(F.col("s_nationkey").alias("map_id"), k.alias("seq"), F.when(k % 2 == 0, new).otherwise(old).alias("json")))
 
 
 SRC4 = """SELECT s_nationkey AS map_id, 'class' AS scope, 'c' || s_suppkey % 3 AS key, 'label' AS prop, 'L' || max(s_suppkey) AS value FROM supplier GROUP BY s_nationkey, s_suppkey % 3
-UNION ALL SELECT s_nationkey, 'id', 'f_' || s_suppkey % 4, 'type', 'T' || max(s_suppkey) FROM supplier GROUP BY s_nationkey, s_suppkey % 4"""
+UNION ALL SELECT s_nationkey, 'id', 'f_' || s_suppkey % 4, 'type', 'T' || max(s_suppkey) FROM supplier GROUP BY s_nationkey, s_suppkey % 4
+UNION ALL SELECT s_nationkey, 'id', 'f_' || s_suppkey % 4, 'associated-details', CASE WHEN max(s_suppkey) % 4 = 0 THEN '["one"]' ELSE '["one","two"]' END FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY s_nationkey, s_suppkey % 4"""
 
 
 def src13_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

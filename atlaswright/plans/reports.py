@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import assembly, quality, rollups
-from ..sources import sinks
+from ..operators import assembly, graph, quality, rollups
+from ..sources import documents, sinks
 from . import frames, paths
 from .frames import table, with_frames
 
@@ -163,6 +163,73 @@ y AS (SELECT DISTINCT line, path, e FROM l JOIN p ON p.type = l.type AND ((term
 one AS (SELECT DISTINCT line, path FROM x JOIN y USING (line, path) WHERE x.e AND y.e)
 SELECT line, path, 1 AS tier FROM one UNION ALL SELECT DISTINCT line, path, 2 FROM x JOIN y USING (line, path) WHERE line NOT IN (SELECT line FROM one)""")
 
-_ALL = {snk1_documents: SNK1D, snk2_documents: SNK2D, jn29_terms: JN29T, ag8_reports: AG8, snk6_document: SNK6, gr27_lists: GR27L, ag25_used: AG25, ag28_publications: AG28, tk4_issues: TK4}
+def src13_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts drawn in their brand's drawing, in a group of their size."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    style = F.when(k % 3 == 0, F.concat(F.lit(' style="stroke:none; fill:#'), k % 10, F.lit('"'))).when(k % 3 == 1, ' fill="red" stroke="blue"').otherwise("")
+    rect = F.concat(F.lit('<rect id="r'), k, F.lit('" width="'), k % 9, F.lit('"'), style, F.lit("><title>.id(P"), k, F.lit(")</title></rect>"))
+    groups = p.groupBy("p_brand", "p_size").agg(F.array_join(F.array_sort(F.collect_list(rect)), "").alias("inner")).select("p_brand", F.concat(F.lit('<g id="s'), "p_size", F.lit('"><g>'), "inner", F.lit("</g></g>")).alias("g"))
+    drawings = groups.groupBy(F.col("p_brand").alias("doc")).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.array_sort(F.collect_list("g")), ""), F.lit("</svg>")).alias("xml"))
+    return documents.drawing_tree(drawings).select("doc", "tag", "id", "title", "depth", "group", "fill", "stroke", F.try_element_at("attributes", F.lit("width")).alias("width"))
+
+
+SRC13T = """WITH s AS (SELECT DISTINCT p_brand, p_size FROM part)
+SELECT p_brand AS doc, 'svg' AS tag, NULL AS id, NULL AS title, 0 AS depth, NULL AS "group", NULL AS fill, NULL AS stroke, NULL AS width FROM (SELECT DISTINCT p_brand FROM part)
+UNION ALL SELECT p_brand, 'g', 's' || p_size, NULL, 1, NULL, NULL, NULL, NULL FROM s UNION ALL SELECT p_brand, 'g', NULL, NULL, 2, 's' || p_size, NULL, NULL, NULL FROM s
+UNION ALL SELECT p_brand, 'rect', 'r' || p_partkey, '.id(P' || p_partkey || ')', 3, 's' || p_size, CASE p_partkey % 3 WHEN 0 THEN '#' || p_partkey % 10 WHEN 1 THEN 'red' END, CASE WHEN p_partkey % 3 = 1 THEN 'blue' END, (p_partkey % 9)::VARCHAR FROM part"""
+
+
+def src2_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as maps, their parts as sources."""
+    n, k = frames.path_nodes(spark, sf_dir), F.col("node")
+    kinds = F.element_at(F.array(*map(F.lit, ("base", "details", "image", "slides", "functional"))), (k % 5 + 1).cast("int"))
+    listed = n.groupBy(F.col("path").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", kinds.alias("kind"), F.concat(F.lit("s"), "pos").alias("id")))), lambda s: F.struct(s["id"].alias("id"), s["kind"].alias("kind"))).alias("sources"))
+    return documents.base_errors(documents.ordered_sources(listed))
+
+
+SRC2 = with_frames("path_nodes", body=""", k AS (SELECT path AS map_id, 's' || pos AS id, ['base', 'details', 'image', 'slides', 'functional'][node % 5 + 1] AS kind, pos FROM path_nodes),
+o AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY CASE WHEN kind IN ('base', 'slides') THEN 0 ELSE 1 END, kind, pos) AS r FROM k)
+SELECT map_id, id, CASE WHEN r = 1 THEN 'Details layer cannot be the base map' ELSE 'Can only have a single base map' END AS error FROM o WHERE (r = 1 AND kind = 'details') OR (r > 1 AND kind IN ('base', 'slides'))""")
+
+
+def ag16_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders over 30 nodes, first steps upstream ones, last ones terminal."""
+    n = frames.path_nodes(spark, sf_dir)
+    w = Window.partitionBy("path").orderBy("pos")
+    e = n.select("path", "pos", F.col("node") % 30, F.lead(F.col("node") % 30).over(w), F.lead("node", 2).over(w)).toDF("path", "pos", "src", "dst", "more").where("dst is not null")
+    kind = F.when(F.col("more").isNull(), "terminal").when(F.col("pos") == 0, "upstream").otherwise("centreline")
+    return graph.occupancy_apart(e.withColumn("type", kind)).withColumn("paths", _text("paths"))
+
+
+AG16A = with_frames("path_nodes", body=""", e AS (SELECT path, pos, node % 30 AS s, lead(node % 30) OVER w AS t, lead(node, 2) OVER w AS m FROM path_nodes WINDOW w AS (PARTITION BY path ORDER BY pos)),
+d AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b, m IS NULL OR pos = 0 AS terminal, path FROM e WHERE t IS NOT NULL) SELECT a, b, terminal, string_agg(path::VARCHAR, ',' ORDER BY path) AS paths FROM d GROUP BY a, b, terminal""")
+
+
+def ag15_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as network nodes, two in three of them parts of a unit."""
+    k = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("n"), k).alias("node"), F.when(k % 3 > 0, F.floor(k / 6)).alias("unit"), k.alias("feature"))
+    return assembly.unit_index(nodes).withColumn("nodes", _text("nodes"))
+
+
+AG15U = """WITH n AS (SELECT 'n' || p_partkey AS node, p_partkey // 6 AS unit FROM part WHERE p_partkey % 3 > 0), a AS (SELECT unit, node FROM n UNION SELECT p_partkey, 'n' || p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey IN (SELECT unit FROM n))
+SELECT unit, string_agg(node, ',' ORDER BY node) AS nodes FROM a GROUP BY unit"""
+
+
+def jn43_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as centrelines, customers as their models, suppliers as cuffs."""
+    nodes = frames.path_nodes(spark, sf_dir).groupBy("path").agg(F.collect_set("node").alias("nodes"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 200).alias("model")).join(nodes, "path").select((F.col("path") + 10**9).alias("id"), "model", "nodes")
+    cuffs = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3 % 200).alias("model"), F.concat(F.lit("cuff"), F.col("s_suppkey") % 1000).alias("cuff"))
+    k = F.col("p_partkey")
+    known = table(spark, sf_dir, "part").select(k.alias("feature"), F.when(k % 4 == 0, k).alias("model"), F.when(k % 5 == 0, F.col("p_name")).alias("label"))
+    return assembly.network_properties(lines, cuffs, known)
+
+
+JN43N = with_frames("path_nodes", body=""", c AS (SELECT s_suppkey * 3 % 200 AS m, min('cuff' || s_suppkey % 1000) AS cuff FROM supplier GROUP BY 1), o AS (SELECT o_orderkey AS k, o_custkey AS m FROM orders WHERE o_orderkey IN (SELECT path FROM path_nodes))
+SELECT k + 1000000000 AS feature, 'nerve' AS prop, cuff AS value FROM o JOIN c ON c.m = o.m % 200 WHERE o.m % 2 = 0 UNION ALL SELECT k + 1000000000, 'centreline', 'true' FROM o
+UNION ALL SELECT DISTINCT node, 'node', 'true' FROM path_nodes WHERE node NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0)""")
+
+_ALL = {src13_tree: SRC13T, src2_bases: SRC2, ag16_apart: AG16A, ag15_units: AG15U, jn43_network: JN43N, snk1_documents: SNK1D, snk2_documents: SNK2D, jn29_terms: JN29T, ag8_reports: AG8, snk6_document: SNK6, gr27_lists: GR27L, ag25_used: AG25, ag28_publications: AG28, tk4_issues: TK4}
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL.items()}

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +60,62 @@ def property_rules(documents: DataFrame) -> DataFrame:
     old = old.where("f.properties is not null").select("map_id", "seq", F.when(F.col("f.class").isNotNull(), "class").otherwise("id").alias("scope"), F.coalesce("f.class", "f.id").alias("key"), F.col("f.properties").alias("props"))
     rows = by("class", "classes").unionByName(by("id", "features")).unionByName(old)
     rows = rows.select("map_id", "seq", "scope", F.when(F.col("scope") == "id", F.replace("key", F.lit(" "), F.lit("_"))).otherwise(F.col("key")).alias("key"), F.explode("props").alias("prop", "value"))
+    # one associated detail is a list of one; lists come as JSON
+    rows = rows.withColumn("value", F.when((F.col("prop") == "associated-details") & ~F.col("value").startswith("["), F.to_json(F.array("value"))).otherwise(F.col("value")))
     return rows.groupBy("map_id", "scope", "key", "prop").agg(F.max_by("value", "seq").alias("value"))
 
 
+#: Kinds of sources that go with a base map; fixed values.
+BESIDES = ("details", "image", "layer", "anatomical", "functional")
+
+
+def base_errors(sources: DataFrame) -> DataFrame:
+    """SRC-2: what is wrong with the bases of maps in ``ordered_sources``: the first source is the base map, which details cannot be; any later one
+    that does not go with a base map is a second one."""
+    error = F.when((F.col("ordinal") == 0) & (F.col("kind") == "details"), "Details layer cannot be the base map").when((F.col("ordinal") > 0) & ~F.col("kind").isin(*BESIDES), "Can only have a single base map")
+    return sources.select("map_id", "id", error.alias("error")).where("error is not null")
+
+
+_TREE = "doc string, seq long, tag string, id string, title string, depth int, group string, fill string, stroke string, attributes map<string,string>"
+_PAINT = re.compile(r"(?:^|;)\s*(fill|stroke)\s*:\s*([^;]*)")
+
+
+def drawing_tree(drawings: DataFrame) -> DataFrame:
+    """SRC-13 whole: of ``drawings(doc, xml)`` a row per element in document order, with its depth, the id of the nearest element around it that has one, its title, and
+    its paint, from ``style`` before the attributes. ``none`` is no paint. A drawing that is no XML has a row with the error as ``tag``."""
+
+    def local(name: str) -> str:
+        return name.rpartition("}")[2]
+
+    def rows(doc: str, xml: str) -> Iterator[tuple]:
+        open_: list[tuple] = []
+        for n, (event, e) in enumerate(ElementTree.iterparse(io.BytesIO(xml.encode()), ("start", "end"))):
+            if event == "start":
+                open_.append((n, e))
+                continue
+            start, _ = open_.pop()
+            if local(e.tag) == "title":
+                continue
+            style = {k: v.strip() for k, v in _PAINT.findall(e.get("style") or "")}
+            paint = [None if (c := style.get(k, e.get(k))) in (None, "", "none") else c for k in ("fill", "stroke")]
+            title = next((c.text for c in e if local(c.tag) == "title"), None)
+            group = next((a.get("id") for _, a in reversed(open_) if a.get("id")), None)
+            yield doc, start, local(e.tag), e.get("id"), title, len(open_), group, *paint, list({local(k): v for k, v in e.attrib.items()}.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
+        for batch in batches:
+            for doc, xml in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found = sorted(rows(doc, xml or ""), key=lambda r: r[1])
+                except ElementTree.ParseError as e:
+                    found = [(doc, 0, f"error: {e}", *[None] * 6, [])]
+                found = [(r[0], k, *r[2:]) for k, r in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], [c.split()[0] for c in _TREE.split(", ")])
+
+    return drawings.select(F.col("doc").cast("string"), F.col("xml").cast("string")).mapInArrow(run, _TREE)
+
+
 def drawing_elements(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     """SRC-13: elements of XML drawings, a row each, with the file they are in."""
     return spark.read.format("xml").option("rowTag", row_tag).load(path).withColumn("file", F.input_file_name())
