@@ -4,14 +4,15 @@ Every 50-byte window has one *anchor*, the 24-byte string in it of the least has
 equal windows have equal anchors. Three passes over blocks of documents:
 
 1. Each block's distinct anchors go, four bytes each, to the bucket of their hash, which
-   answers one bit for each: whether another block (or another document of the block) has it.
+   answers two bits for each: whether another block (or another document of the block) has it, and whether more than ``HOT`` blocks do.
 2. Of the shared anchors' surroundings (the union of the windows that belong to one
    anchor), a block sends each different one once, with the least document that holds it.
    A bucket finds all equal 50-byte windows among its surroundings with a Burrows-Wheeler
    transform: intervals of equal prefixes are extended backwards, breadth first, which
    yields common-prefix lengths by increasing value; at the window length it stops, and the
    boundaries found so far part the windows into classes. The answer is a bit per window:
-   whether a lesser document has it.
+   whether a lesser document has it. The windows of an anchor that very many blocks have are told apart further: by the ``SIDE`` bytes before the anchor
+   where a window has so many there, else by those behind it, so that equal windows still meet, but not all of an anchor's.
 3. The block marks the bytes of those windows, and of the windows whose surroundings an
    earlier document of the block shares.
 
@@ -38,6 +39,10 @@ from .common import cut
 
 LENGTH = 50
 ANCHOR = 24
+#: A window has so many bytes before its anchor, or else behind it.
+SIDE = (LENGTH - ANCHOR) // 2
+#: Blocks that may share an anchor before its windows are told apart by the bytes at its side.
+HOT = 100
 
 
 class Block:
@@ -84,15 +89,32 @@ class Block:
         np.maximum.at(high, number, self.doc)
         return values, low < high, number
 
-    def shared(self, flags: np.ndarray, number: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors flagged: the different surroundings, the least id that has each,
-        the anchors, and the number of each anchor's surroundings."""
+    def pieces(self, flags: np.ndarray, hot: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the anchors flagged: runs ``first .. last`` of windows, the document of each, and the hash they meet under. Those of a hot anchor are
+        parted where the bytes before it become too few."""
         pick = np.flatnonzero(flags[number])
+        first, last, doc, key = self.first[pick], self.last[pick], self.doc[pick], self.hash[pick]
+        often = hot[number[pick]]
+        if not often.any():
+            return first, last, doc, key
+        x, at = np.frombuffer(self.raw, np.uint8), self.at[pick]
+        out = [(first[~often], last[~often], doc[~often], key[~often])]
+        for before in (True, False):
+            lo, hi = (first, np.minimum(last, at - SIDE)) if before else (np.maximum(first, at - SIDE + 1), last)
+            some = np.flatnonzero(often & (lo <= hi))
+            side = at[some] - SIDE if before else at[some] + ANCHOR
+            out.append((lo[some], hi[some], doc[some], hashing.mixed(key[some] * np.uint64(hashing.BASE) + hashing.of_ranges(x, side, side + SIDE) + np.uint64(before))))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def shared(self, flags: np.ndarray, hot: np.ndarray, number: np.ndarray) -> tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+        """The different texts of the ``pieces``, the least id that has each, the pieces, and
+        the number of each one's text."""
+        pieces = first, last, doc, _ = self.pieces(flags, hot, number)
         raw, known = self.raw, {}
-        of = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(self.first[pick].tolist(), (self.last[pick] + self.length).tolist(), strict=True)], np.int64)
+        of = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(first.tolist(), (last + self.length).tolist(), strict=True)], np.int64)
         least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, of, self.ids[self.doc[pick]])
-        return list(known), least, pick, of
+        np.minimum.at(least, of, self.ids[doc])
+        return list(known), least, pieces, of
 
     def digests(self, removed: np.ndarray) -> Iterator[tuple]:
         """``(n_removed, n_spans, kept_sha256)`` of each document; ``removed`` flags bytes."""
@@ -198,14 +220,17 @@ def _opened(row: dict) -> Block:
     return Block(ids, raw, sizes)
 
 
-def _shared_flags(block: Block, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which distinct anchors are shared, and each anchor's number."""
+def _shared_flags(block: Block, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which distinct anchors are shared, which are hot, and each anchor's number."""
     values, flags, number = block.distinct()
+    hot = np.zeros(len(flags), bool)
     order, bucket, _ = blocks.by_bucket(values, buckets)
     of = {a["bucket"]: a["answer"] for a in answers or []}
     for b, lo, hi in blocks.runs(bucket):
-        flags[order[lo:hi]] |= _flags(of[b], hi - lo)
-    return flags, number
+        n = hi - lo
+        flags[order[lo:hi]] |= _flags(of[b], n)
+        hot[order[lo:hi]] = _flags(of[b][-(-n // 8) :], n)
+    return flags, hot, number
 
 
 def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -226,17 +251,16 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     def compare_anchors(rows: list[dict]) -> list[tuple]:
         sent = [np.frombuffer(r["sent"], np.uint32) for r in rows]
         values, number, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-        flags = counts[number] > 1
+        flags, hot = counts[number] > 1, counts[number] > HOT
         ends = np.cumsum([0, *map(len, sent)])
-        return [(r["block"], r["bucket"], _bits(flags[a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
+        return [(r["block"], r["bucket"], _bits(flags[a:b]) + _bits(hot[a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
 
     def send_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in blocks.rows_of(batches):
             block = _opened(row)
-            flags, number = _shared_flags(block, row["anchors"], buckets)
-            strings, least, pick, of = block.shared(flags, number)
+            strings, least, pieces, of = block.shared(*_shared_flags(block, row["anchors"], buckets))
             hashes = np.zeros(len(strings), np.uint64)
-            hashes[of] = block.hash[pick]
+            hashes[of] = pieces[3]
             order, bucket, rest = blocks.by_bucket(hashes, buckets)
             out = []
             for b, lo, hi in blocks.runs(bucket):
@@ -283,22 +307,21 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         for row in blocks.rows_of(batches):
             block = _opened(row)
             removed = np.zeros(len(block.raw) + 1, np.int32)
-            flags, number = _shared_flags(block, row["anchors"], buckets)
-            strings, least, pick, of = block.shared(flags, number)
+            strings, least, (first, last, doc, key), of = block.shared(*_shared_flags(block, row["anchors"], buckets))
             if len(strings):
                 hashes = np.zeros(len(strings), np.uint64)
-                hashes[of] = block.hash[pick]
+                hashes[of] = key
                 order, bucket, _ = blocks.by_bucket(hashes, buckets)
                 lesser = np.zeros((len(strings), width), bool)
                 answers = {a["bucket"]: a["answer"] for a in row["windows"] or []}
                 for b, lo, hi in blocks.runs(bucket):
                     got = np.frombuffer(blocks.unpack(answers[b]), np.uint8).reshape(hi - lo, -1)
                     lesser[order[lo:hi]] = np.unpackbits(got, axis=1, count=width)
-                gone = lesser[of] | (block.ids[block.doc[pick]] > least[of])[:, None]
-                windows = block.last[pick] - block.first[pick] + 1
+                gone = lesser[of] | (block.ids[doc] > least[of])[:, None]
+                windows = last - first + 1
                 gone &= np.arange(width)[None] < windows[:, None]
                 k, shift = np.nonzero(gone)
-                start = block.first[pick][k] + shift
+                start = first[k] + shift
                 np.add.at(removed, start, 1)
                 np.add.at(removed, start + LENGTH, -1)
             digests = list(block.digests(np.cumsum(removed[:-1]) > 0))

@@ -1,5 +1,7 @@
 """Further cases of the training-data operators: clashing names, many labels, ids that are null or repeat."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,38 @@ def test_null_and_repeated_ids_in_substrings(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got if r["doc_id"] is not None) == [(1, 0), (2, len(text)), (3, 0)]
 
 
+def brute_removed(texts, length=50):
+    """Removed bytes of each document, by every window's least holder."""
+    first = {}
+    for i, t in sorted(texts.items()):
+        for k in range(len(t) - length + 1):
+            first.setdefault(t[k : k + length], i)
+    out = {}
+    for i, t in texts.items():
+        gone = [False] * len(t)
+        for k in range(len(t) - length + 1):
+            if first[t[k : k + length]] < i:
+                gone[k : k + length] = [True] * length
+        out[i] = sum(gone)
+    return out
+
+
+def test_one_anchor_in_many_contexts(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    middle = b"the same passage of thirty"
+    around = [word(40) for _ in range(40)]
+    texts = {k: word(rng.randrange(5)) + rng.choice(around)[-rng.randrange(1, 40) :] + middle + rng.choice(around)[: rng.randrange(1, 40)] for k in range(10_000)}
+    want = brute_removed(texts)
+    d = docs(spark, [(i, t.decode()) for i, t in texts.items()])
+    for hot in (0, 3, 10**9):  # every shared anchor, some, none
+        monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings.blocks, "BLOCK_BYTES", 20_000)
+        monkeypatch.setattr(substrings.blocks.blocks, "__defaults__", (20_000, False))
+        got = {r["doc_id"]: r["n_removed"] for r in substrings.remove(d, buckets=5).collect()}
+        assert got == want and sum(want.values()) > 100_000
+
+
 def test_null_ids_and_items_in_decontamination(spark):
     item = " ".join(f"word{k}" for k in range(30))
     bench = spark.createDataFrame([(1, item), (None, "other " * 20), (2, None)], "item_id long, text string")
