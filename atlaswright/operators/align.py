@@ -20,6 +20,33 @@ def phrase_candidates(scores: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def phrases(names: DataFrame) -> DataFrame:
+    """TK-2: ``(name, phrase, text)`` of names split at ``in`` and ``of`` between words, in any case, blank parts left out."""
+    parts = F.filter(F.transform(F.split(F.col("name"), r"(?i)\s+(?:in|of)\s+"), lambda p: F.trim(p)), lambda p: p != "")
+    return names.select("name").distinct().select("name", F.posexplode(parts).alias("phrase", "text"))
+
+
+def all_phrase_candidates(scores: DataFrame, k: int) -> DataFrame:
+    """TK-2 whole: the ``k`` best nodes for each name of any number of phrases: ``scores(name, phrase, term, score)`` holds the best terms of each phrase, from 0 on; a node
+    takes one term a phrase, a term once, and has their mean score; of equal nodes the best counts. A step for each phrase joins the candidates so far
+    with its terms (a few each)."""
+    n = scores.groupBy("name").agg(F.max("phrase").alias("last"))
+    most = n.agg(F.max("last")).first()[0]
+    out, so_far = None, None
+    for p in range((most if most is not None else -1) + 1):
+        here = scores.where(F.col("phrase") == p).select("name", F.col("term").alias("t"), F.col("score").alias("s"))
+        if so_far is None:
+            so_far = here.select("name", F.array("t").alias("terms"), F.col("s").alias("total"))
+        else:
+            so_far = so_far.join(here, "name").select("name", F.when(F.array_contains("terms", F.col("t")), F.col("terms")).otherwise(F.array_append("terms", F.col("t"))).alias("terms"), (F.col("total") + F.col("s")).alias("total"))
+        done = so_far.join(n.where(F.col("last") == p), "name").select("name", F.concat_ws("/", F.col("terms").cast("array<string>")).alias("node"), F.round(F.col("total") / (p + 1), 6).alias("score"))
+        out = done if out is None else out.union(done)
+    out = out if out is not None else scores.where("false").select("name", F.col("term").cast("string").alias("node"), "score")
+    best = out.groupBy("name", "node").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "node")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def ancestor_choice(ancestors: DataFrame, on_map: DataFrame, scores: DataFrame, cutoff: float) -> DataFrame:
     """TK-3: for each child the ancestor on the map whose similarity reaches the cutoff, of
     least score plus level."""

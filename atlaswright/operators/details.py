@@ -41,6 +41,23 @@ def end_components(ends: DataFrame, components: DataFrame, buffer: int) -> DataF
     return pairs.groupBy(F.col("a_line").alias("line"), F.col("a_end").alias("end")).agg(first.alias("m"), F.count("*").alias("touched")).select("line", "end", F.col("m.b_id").alias("terminal"), "touched")
 
 
+def touching(ends: DataFrame, components: DataFrame, buffer: int) -> DataFrame:
+    """JN-18, the other way round: the lines that touch each component with an end: ``(component, lines)``."""
+    boxes = ends.select(F.concat_ws("/", "line", "end").alias("id"), "line", *[(F.col(c) + d * buffer).alias(n) for n, c, d in (("x0", "x", -1), ("y0", "y", -1), ("x1", "x", 1), ("y1", "y", 1))])
+    pairs = spatial.box_pairs(boxes, components)
+    return pairs.groupBy(F.col("b_id").alias("component")).agg(F.array_sort(F.collect_set("a_line")).alias("lines"))
+
+
+def connection_nodes(connectors: DataFrame, parents: DataFrame, components: DataFrame, intermediates: DataFrame) -> DataFrame:
+    """AG-29: ``(connection, nodes, free_end)``: the connectors of a connection ``(connection, connector, kind)``, their parents ``(connector, parent)``, the
+    components ``(connection, component)`` it crosses and the connectors ``(connection, connector)`` it passes; whether one of its own is a free end or a joiner."""
+    up = connectors.join(parents, "connector").select("connection", F.col("parent").alias("node"))
+    every = connectors.select("connection", F.col("connector").alias("node")).union(up).union(components.select("connection", "component")).union(intermediates.select("connection", "connector"))
+    nodes = every.groupBy("connection").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    free = connectors.groupBy("connection").agg(F.bool_or(F.col("kind").isin("free-end", "joiner")).alias("free_end"))
+    return nodes.join(free, "connection", "left").select("connection", "nodes", F.coalesce("free_end", F.lit(False)).alias("free_end"))
+
+
 def line_classes(lines: DataFrame, connectors: DataFrame) -> DataFrame:
     """JN-20: ``(line, class, issue)``: a line has the class of its ends; one end without a class takes
     the other's, two different ones are an issue: ``lines(line, source, target)``, ``connectors(id, class)``."""

@@ -71,22 +71,26 @@ def _runs(pairs: DataFrame) -> DataFrame:
 def pruned(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """GR-3: leaves that are not in ``keep(node)`` go, again and again. After ``PLAIN`` rounds
     a leaf takes the whole run of such nodes of two neighbours with it, so that the rounds
-    do not grow with the length of runs."""
+    do not grow with the length of runs. A round writes one table; it was the last if no row is gone."""
+    kept = keep.select("node").distinct()
     pairs, k = cut(ends(edges)), 0
-    while True:
-        free = pairs.groupBy("path", "node").agg(F.count("*").alias("n")).where("n <= 2").join(keep.select("node").distinct(), "node", "left_anti").select("path", "node", "n")
-        free = cut(free)
-        leaves = free.where("n <= 1").select("path", "node")
-        if leaves.isEmpty():
-            break
-        loose = leaves
-        if k >= PLAIN:
+    left = pairs.count()
+    while left:
+        free = pairs.groupBy("path", "node").agg(F.count("*").alias("n")).where("n <= 2").join(kept, "node", "left_anti").select("path", "node", "n")
+        if k < PLAIN:
+            loose = free.where("n <= 1").select("path", "node")
+        else:
+            free = cut(free)
+            leaves = free.where("n <= 1").select("path", "node")
             inside = pairs.join(free.select("path", "node"), ["path", "node"], "left_semi").join(free.select("path", F.col("node").alias("neighbour")), ["path", "neighbour"], "left_semi")
             runs = cut(_runs(inside))
             ended = runs.join(leaves, ["path", "node"], "left_semi").select("path", "run").distinct()
             loose = cut(leaves.union(runs.join(ended, ["path", "run"], "left_semi").select("path", "node")).distinct())
-        pairs = pairs.join(loose, ["path", "node"], "left_anti").join(loose.withColumnRenamed("node", "neighbour"), ["path", "neighbour"], "left_anti")
-        pairs, k = cut(pairs.select("path", "node", "neighbour")), k + 1
+        after = pairs.join(loose, ["path", "node"], "left_anti").join(loose.withColumnRenamed("node", "neighbour"), ["path", "neighbour"], "left_anti")
+        pairs, before, k = cut(after.select("path", "node", "neighbour")), left, k + 1
+        left = pairs.count()
+        if left == before:
+            break
     return pairs.where("node < neighbour").select("path", F.col("node").alias("a"), F.col("neighbour").alias("b"))
 
 

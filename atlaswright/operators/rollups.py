@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pathtype
 from . import graph
 
 
@@ -215,6 +216,26 @@ def unique_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return placed.select("id", "class", F.concat_ws("-", "class", F.col("place").cast("string")).alias("name"))
 
 
+def path_types(rows: DataFrame) -> DataFrame:
+    """WN-13: ``(path, code)`` of ``rows(path, pos, phenotype)``: the first phenotype that names a type, with the bits of the first that names an order."""
+    known = F.create_map(*[F.lit(x) for kv in pathtype.PHENOTYPES.items() for x in kv])
+    coded = rows.select("path", "pos", F.try_element_at(known, F.col("phenotype")).alias("code"))
+    first = lambda want: F.min_by(F.when(want, F.col("code")), F.when(want, F.col("pos")))
+    kind, order = first(F.col("code") <= pathtype.TYPE_MASK), first(F.col("code") > pathtype.TYPE_MASK)
+    return coded.groupBy("path").agg(F.coalesce(kind, F.lit(1)).bitwiseOR(F.coalesce(order, F.lit(0))).alias("code"))
+
+
+def rendered(mapped: DataFrame, missing: DataFrame, keys: list[str]) -> DataFrame:
+    """SO-2, SNK-10: ``mapped`` rows, nodes or edges by ``keys``, with whether they are rendered or among the ``missing``."""
+    gone = missing.select(*keys).distinct().withColumn("gone", F.lit(True))
+    return mapped.select(*keys).distinct().join(gone, keys, "left").select(*keys, F.coalesce("gone", F.lit(False)).alias("missing"))
+
+
+def in_all_maps(issues: DataFrame) -> DataFrame:
+    """SO-3: the issues ``(map_id, issue)`` that every map has."""
+    return common_issues(issues).where("common").select("issue")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

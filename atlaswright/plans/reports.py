@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import assembly, graph, quality, rollups
-from ..sources import documents, sinks
+from ..functions import pathtype
+from ..operators import align, assembly, details, graph, quality, rollups, terms
+from ..sources import documents, scans, sinks
+from ..sources.scans import staged
 from . import frames, paths
 from .frames import table, with_frames
 
@@ -230,6 +232,175 @@ JN43N = with_frames("path_nodes", body=""", c AS (SELECT s_suppkey * 3 % 200 AS
 SELECT k + 1000000000 AS feature, 'nerve' AS prop, cuff AS value FROM o JOIN c ON c.m = o.m % 200 WHERE o.m % 2 = 0 UNION ALL SELECT k + 1000000000, 'centreline', 'true' FROM o
 UNION ALL SELECT DISTINCT node, 'node', 'true' FROM path_nodes WHERE node NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0)""")
 
-_ALL = {src13_tree: SRC13T, src2_bases: SRC2, ag16_apart: AG16A, ag15_units: AG15U, jn43_network: JN43N, snk1_documents: SNK1D, snk2_documents: SNK2D, jn29_terms: JN29T, ag8_reports: AG8, snk6_document: SNK6, gr27_lists: GR27L, ag25_used: AG25, ag28_publications: AG28, tk4_issues: TK4}
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model documents: customers' orders as paths with drawn lines, nerves and routes, some of them misspelt."""
+    nodes = frames.path_nodes(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("node").cast("string").alias("node")))).alias("n"))
+    o = table(spark, sf_dir, "orders").join(nodes, F.col("o_orderkey") == F.col("path"))
+    k = F.col("path")
+    first, last = F.element_at("n.node", 1), F.element_at("n.node", -1)
+    lines = F.when(k % 4 == 0, F.concat_ws(" ,", first, last)).when(k % 4 == 1, F.concat(first, F.lit(", ")))
+    route = F.when(k % 3 == 0, F.concat(F.lit("("), first, F.lit(", x:"), first, F.lit("), "), last)).when(k % 3 == 1, F.concat(F.lit("("), first))
+    path = F.struct(F.concat(F.lit("p"), k).alias("id"), F.col("o_orderpriority").alias("models"), F.when(k % 5 == 0, F.concat(F.lit("n/"), last)).alias("nerves"), lines.alias("path"), route.alias("route"), F.col("n.node").alias("nodes"))
+    traced = F.collect_list(F.when(k % 6 == 0, F.concat(F.lit("p"), k))).alias("traced-paths")
+    return o.groupBy(F.concat(F.lit("m"), F.col("o_custkey")).alias("id")).agg(F.collect_list(path).alias("paths"), traced, F.concat(F.lit("s"), F.first("o_custkey")).alias("source"))
+
+
+def src10_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = scans.model_paths(spark, staged(_models(spark, sf_dir), "json"))
+    return good.select("id", "source", "path", "models", F.size("nodes").alias("n_nodes"), F.array_join("lines", ",").alias("lines"), F.array_join("nerves", ",").alias("nerves"), F.array_join(F.transform("route", lambda g: F.array_join(g, "+")), ",").alias("route"), "traced")
+
+
+_ENDS_OF = "o AS (SELECT path AS k, arg_min(node, pos) AS a, arg_max(node, pos) AS b, count(*) AS n FROM path_nodes GROUP BY path)"
+SRC10P = with_frames("path_nodes", body=f""", {_ENDS_OF} SELECT 'm' || o_custkey AS id, 's' || o_custkey AS source, 'p' || k AS path, o_orderpriority AS models, n::INTEGER AS n_nodes, CASE WHEN k % 4 = 0 THEN a || ',' || b END AS lines,
+CASE WHEN k % 5 = 0 THEN 'n/' || b END AS nerves, CASE WHEN k % 3 = 0 THEN a || '+x:' || a || ',' || b END AS route, k % 6 = 0 AS traced FROM o JOIN orders ON o_orderkey = k""")
+
+
+def src10_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.model_paths(spark, staged(_models(spark, sf_dir), "json"))[1]
+
+
+SRC10E = with_frames("path_nodes", body=f""", {_ENDS_OF} SELECT 'm' || o_custkey AS id, 'p' || k AS path, 'Syntax error in path lines list: ' || a || ', ' AS error FROM o JOIN orders ON o_orderkey = k WHERE k % 4 = 1
+UNION ALL SELECT 'm' || o_custkey, 'p' || k, 'Syntax error in route node list: (' || a FROM o JOIN orders ON o_orderkey = k WHERE k % 3 = 1""")
+
+def src12_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers as entities; parts of a size are known, with their orders as paths."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("E:"), c)
+    on = frames.path_nodes(spark, sf_dir).groupBy("node").agg(F.collect_set("path").alias("paths"))
+    known = p.where("p_size > 20").join(on, k == F.col("node"), "left").select(name(k).alias("entity"), F.when(k % 4 > 0, F.col("p_name")).alias("label"), "paths")
+    return terms.knowledge_labels(p.select(name(k).alias("entity")).union(table(spark, sf_dir, "supplier").select(name(F.col("s_suppkey") * 7))), known)
+
+
+SRC12 = with_frames("path_nodes", body=""", e AS (SELECT p_partkey AS k FROM part UNION SELECT s_suppkey * 7 FROM supplier)
+SELECT 'E:' || k AS entity, CASE WHEN p_size > 20 AND k % 4 > 0 THEN p_name ELSE 'E:' || k END AS label, CASE WHEN p_size > 20 THEN (SELECT count(DISTINCT path) FROM path_nodes WHERE node = k) ELSE 0 END::INTEGER AS n_paths, coalesce(p_size > 20, false) AS known FROM e LEFT JOIN part ON p_partkey = k""")
+
+
+def ag13_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part types as keys of brands; some are taken."""
+    p = table(spark, sf_dir, "part")
+    keys = p.where("p_size < 6").select(F.concat_ws(" ", "p_type", F.col("p_partkey") % 5).alias("key"), F.when(F.col("p_partkey") % 7 > 0, F.col("p_brand")).alias("term"))
+    return terms.unambiguous(keys, p.where("p_size = 50").select(F.concat_ws(" ", "p_type", F.col("p_partkey") % 5).alias("key")))
+
+
+AG13 = """SELECT p_type || ' ' || p_partkey % 5 AS key, min(p_brand) AS term FROM part WHERE p_size < 6 AND p_partkey % 7 > 0 AND p_type || ' ' || p_partkey % 5 NOT IN (SELECT p_type || ' ' || p_partkey % 5 FROM part WHERE p_size = 50) GROUP BY 1 HAVING count(DISTINCT p_brand) = 1"""
+
+
+def ag24_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    layers = table(spark, sf_dir, "part").select(k.alias("node"), F.array(F.concat(F.lit("T:"), F.floor(k / 2)), F.concat(F.lit("L:"), k % 13)).alias("terms"))
+    nodes, named = terms.knowledge_terms(frames.path_edges(spark, sf_dir), layers)
+    return nodes.select(F.lit("node").alias("kind"), F.col("node").cast("string").alias("value")).union(named.select(F.lit("term"), "term"))
+
+
+AG24 = with_frames("path_edges", body=""", n AS (SELECT src AS k FROM path_edges UNION SELECT dst FROM path_edges)
+SELECT 'node' AS kind, k::VARCHAR AS value FROM n UNION ALL SELECT DISTINCT 'term', unnest(['T:' || k // 2, 'L:' || k % 13]) FROM n WHERE k IN (SELECT p_partkey FROM part)""")
+
+
+def ag29_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as connections: their first two parts are their connectors, the third a component, further ones are passed."""
+    n, k = frames.path_nodes(spark, sf_dir), F.col("node")
+    kind = F.when(k % 10 == 0, "free-end").when(k % 10 == 1, "joiner").otherwise("port")
+    rows = details.connection_nodes(
+        n.where("pos < 2").select(F.col("path").alias("connection"), k.alias("connector"), kind.alias("kind")), table(spark, sf_dir, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("connector"), (F.col("p_partkey") + 10**6).alias("parent")),
+        n.where("pos = 2").select(F.col("path").alias("connection"), k.alias("component")), n.where("pos > 2").select(F.col("path").alias("connection"), k.alias("connector")),
+    )
+    return rows.withColumn("nodes", _text("nodes"))
+
+
+AG29 = with_frames("path_nodes", body=""", e AS (SELECT path, node FROM path_nodes UNION SELECT path, node + 1000000 FROM path_nodes WHERE pos < 2 AND node % 3 > 0 AND node IN (SELECT p_partkey FROM part)), f AS (SELECT path, bool_or(node % 10 < 2) AS f FROM path_nodes WHERE pos < 2 GROUP BY path)
+SELECT path AS connection, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes, any_value(f) AS free_end FROM e JOIN f USING (path) GROUP BY path""")
+
+
+def jn18_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = frames.points(spark, sf_dir).select(F.floor(F.col("id") / 2).alias("line"), (F.col("id") % 2).alias("end"), "x", "y")
+    return details.touching(ends, frames.features(spark, sf_dir).select("id", "x0", "y0", "x1", "y1"), 10).withColumn("lines", _text("lines"))
+
+
+JN18T = with_frames("points", "features", body=""" SELECT component, string_agg(l::VARCHAR, ',' ORDER BY l) AS lines FROM (SELECT DISTINCT f.id AS component, p.id // 2 AS l
+FROM points p JOIN features f ON f.x0 <= p.x + 10 AND f.x1 >= p.x - 10 AND f.y0 <= p.y + 10 AND f.y1 >= p.y - 10) GROUP BY component""")
+
+
+def so2_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of orders, rendered or missing (SO-2, SNK-10)."""
+    e = frames.path_edges(spark, sf_dir)
+    lost = frames.missing_nodes(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
+    edges = rollups.rendered(e, e.join(lost.toDF("src"), "src", "left_semi").unionByName(e.join(lost.toDF("dst"), "dst", "left_semi").select("dst", "path", "src")), ["path", "src", "dst"])
+    by = lambda df, what: df.groupBy("missing").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "missing", "n")
+    return by(rollups.rendered(nodes, lost, ["node"]), "node").union(by(edges, "edge"))
+
+
+SO2 = with_frames("path_edges", "missing_nodes", body=""" SELECT 'node' AS what, node IN (SELECT node FROM missing_nodes) AS missing, count(*) AS n FROM (SELECT src AS node FROM path_edges UNION SELECT dst FROM path_edges) GROUP BY ALL
+UNION ALL SELECT 'edge', src IN (SELECT node FROM missing_nodes) OR dst IN (SELECT node FROM missing_nodes), count(*) FROM (SELECT DISTINCT * FROM path_edges) GROUP BY ALL""")
+
+
+def so3_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = frames.log_events(spark, sf_dir).where("level <> 'info'")
+    return rollups.in_all_maps(log.select("map_id", F.concat_ws(" ", "msg", F.col("node") % 12).alias("issue")))
+
+
+SO3 = with_frames("log_events", body=" SELECT msg || ' ' || node % 12 AS issue FROM log_events WHERE level <> 'info' GROUP BY 1 HAVING count(DISTINCT map_id) = (SELECT count(DISTINCT map_id) FROM log_events WHERE level <> 'info')")
+
+
+def so4_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and destinations of orders, of which some are not in their connectivity (SO-4, GR-19)."""
+    n = frames.path_nodes(spark, sf_dir)
+    roles = n.where("pos < 2").select("path", (F.col("node") + F.when(F.col("path") % 13 == 0, 1).otherwise(0)).alias("node"), F.when(F.col("pos") == 0, "source").otherwise("via").alias("role"))
+    return graph.suppressed(roles, frames.path_edges(spark, sf_dir)).withColumn("uncovered", _text("uncovered"))
+
+
+SO4 = with_frames("path_nodes", "path_edges", body=""", r AS (SELECT path, node + CASE WHEN path % 13 = 0 THEN 1 ELSE 0 END AS node FROM path_nodes WHERE pos = 0), c AS (SELECT path, src AS node FROM path_edges UNION SELECT path, dst FROM path_edges)
+SELECT path, string_agg(node::VARCHAR, ',' ORDER BY node) AS uncovered FROM (SELECT DISTINCT * FROM r ANTI JOIN c USING (path, node)) GROUP BY path""")
+
+
+def wn13_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of orders as phenotypes in order."""
+    names = F.array(*map(F.lit, ["ilxtr:Other", *pathtype.PHENOTYPES]))
+    rows = frames.path_nodes(spark, sf_dir).select("path", "pos", F.element_at(names, (F.col("node") % 14 + 1).cast("int")).alias("phenotype"))
+    return rollups.path_types(rows)
+
+
+WN13 = with_frames("path_nodes", body=""", c AS (SELECT path, pos, [NULL, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 32, 64][node % 14 + 1] AS c FROM path_nodes)
+SELECT path, (coalesce(arg_min(c, pos) FILTER (c <= 31), 1) | coalesce(arg_min(c, pos) FILTER (c > 31), 0))::INTEGER AS code FROM c GROUP BY path""")
+
+
+def wn16_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each map's log what comes after its last marker."""
+    kept = rollups.since_last_marker(frames.log_events(spark, sf_dir))
+    return kept.groupBy("map_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+WN16 = with_frames("log_events", body=""", m AS (SELECT map_id, max(seq) AS last FROM log_events WHERE msg = 'Using knowledge source' GROUP BY map_id)
+SELECT map_id, count(*) AS n, min(seq) AS first, max(seq) AS last FROM log_events LEFT JOIN m USING (map_id) WHERE m.last IS NULL OR seq > m.last GROUP BY map_id""")
+
+
+def tk2_all_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names (orders) of up to four phrases, each with the best scored parts of its lines."""
+    n = frames.path_nodes(spark, sf_dir)
+    s = n.select(F.col("path").alias("name"), (F.col("pos") % 4).alias("phrase"), (F.col("node") % 300).alias("term"), (F.col("node") % 97 / 97).alias("s")).groupBy("name", "phrase", "term").agg(F.round(F.max("s"), 4).alias("score"))
+    return align.all_phrase_candidates(s, 3)
+
+
+TK2A = with_frames("path_nodes", body=""", s AS (SELECT path AS name, pos % 4 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score FROM path_nodes GROUP BY path, pos % 4, node % 300), l AS (SELECT name, max(phrase) AS last FROM s GROUP BY name),
+a AS (SELECT name, [term] AS t, score AS z FROM s WHERE phrase = 0), b AS (SELECT a.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM a JOIN s ON s.name = a.name AND phrase = 1),
+c AS (SELECT b.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM b JOIN s ON s.name = b.name AND phrase = 2), d AS (SELECT c.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM c JOIN s ON s.name = c.name AND phrase = 3),
+e AS (SELECT *, 0 AS p FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c UNION ALL SELECT *, 3 FROM d), m AS (SELECT name, array_to_string(t, '/') AS node, max(round(z / (p + 1), 6)) AS score FROM e JOIN l USING (name) WHERE p = last GROUP BY ALL)
+SELECT name, node, score, (row_number() OVER (PARTITION BY name ORDER BY score DESC, node))::INTEGER AS rank FROM m QUALIFY rank <= 3""")
+
+
+def tk2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of names made of part names."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.concat("p_name", F.when(k % 3 > 0, F.concat(F.lit(" IN  "), "p_type")).otherwise(""), F.when(k % 4 == 0, F.concat(F.lit(" of "), "p_brand")).otherwise(""), F.when(k % 5 == 0, " in ").otherwise(""))
+    return align.phrases(p.select(name.alias("name")))
+
+
+TK2S = r"""WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 > 0 THEN ' IN  ' || p_type ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' of ' || p_brand ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' in ' ELSE '' END AS name FROM part),
+l AS (SELECT name, list_filter(list_transform(regexp_split_to_array(name, '(?i)\s+(?:in|of)\s+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM n) SELECT name, (i - 1)::INTEGER AS phrase, p[i] AS text FROM l, range(1, 9) r(i) WHERE i <= len(p)"""
+
+_ALL = {
+    src12_labels: SRC12, ag13_keys: AG13, ag24_terms: AG24, ag29_nodes: AG29, jn18_touching: JN18T, so2_rendered: SO2, so3_common: SO3, so4_uncovered: SO4, wn13_types: WN13, wn16_slices: WN16, tk2_all_phrases: TK2A, tk2_split: TK2S,
+    src10_paths: SRC10P, src10_errors: SRC10E, src13_tree: SRC13T, src2_bases: SRC2, ag16_apart: AG16A, ag15_units: AG15U, jn43_network: JN43N, snk1_documents: SNK1D, snk2_documents: SNK2D, jn29_terms: JN29T, ag8_reports: AG8, snk6_document: SNK6, gr27_lists: GR27L, ag25_used: AG25, ag28_publications: AG28, tk4_issues: TK4,
+}
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL.items()}
