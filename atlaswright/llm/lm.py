@@ -433,23 +433,23 @@ def class_of(doc_id) -> int:
 
 #: Values of ``class`` of rows that are no blocks.
 WORD, PAIRS = -2, -3
-_SCHEMA = "class int, slot int, h long, word binary, n long, part int, blob binary, block string, head binary, body binary"
+_SCHEMA = "class int, h long, word binary, n long, part int, blob binary, block string, head binary, body binary"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 _GATHERED = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _SCHEMA.split(", ")])
 _SPAN = VOCAB**2 // RANGES
 
 
-def _gathered(kind: list[int], slot: list[int], **columns) -> pa.RecordBatch:
-    columns |= {"class": kind, "slot": slot}
+def _gathered(kind: list[int], **columns) -> pa.RecordBatch:
+    columns |= {"class": kind}
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(kind), f.type) for f in _GATHERED], schema=_GATHERED)
 
 
 def gathered(docs: DataFrame, path: str) -> DataFrame:
     """In one pass, ``block`` rows of all documents, cut and dealt by class, and what those that
     train say: counts ``n`` of words (the empty word is the end), and packed counts of pairs
-    of ids in ``RANGES`` parts. They are written class by class, each in several slots."""
+    of ids in ``RANGES`` parts. Every task writes its own rows, sorted by class, so that a step reads only the pages of its
+    class, and nothing is shuffled."""
     spark = docs.sparkSession
-    slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
     def said(cutter_words: list[bytes], known: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         hashes = closed(beginnings(*known)[known[1][1:] - 1])
@@ -457,7 +457,7 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
         for k in range(0, len(at), 100_000):
             some = at[k : k + 100_000]
             h = hashes[some]
-            yield _gathered([WORD] * len(some), (h % np.uint64(slots)).astype(np.int32), h=h.view(np.int64), word=[cutter_words[j] for j in some.tolist()], n=n[some])
+            yield _gathered([WORD] * len(some), h=h.view(np.int64), word=[cutter_words[j] for j in some.tolist()], n=n[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = subwords(path)
@@ -495,19 +495,20 @@ def gathered(docs: DataFrame, path: str) -> DataFrame:
                 n[: len(words)] += words
                 words = n
                 kinds, names, heads, bodies = zip(*rows, strict=True)
-                yield _gathered(list(kinds), [zlib.crc32(x.encode()) % slots for x in names], block=names, head=heads, body=bodies)
+                yield _gathered(list(kinds), block=names, head=heads, body=bodies)
         yield from said(vocabulary, known, words)
         if texts:
-            yield _gathered([WORD], [0], h=[0], word=[b""], n=[texts])
+            yield _gathered([WORD], h=[0], word=[b""], n=[texts])
         for k in range(RANGES):
             at = np.flatnonzero(pairs[k * _SPAN : (k + 1) * _SPAN])
             if len(at):
-                yield _gathered([PAIRS], [k % slots], part=[k], blob=[pack(at, pairs[k * _SPAN + at])])
+                yield _gathered([PAIRS], part=[k], blob=[pack(at, pairs[k * _SPAN + at])])
 
     at = shared_path(spark)
     with tidy(spark):
-        docs.mapInArrow(run, _SCHEMA).repartition("class", "slot").drop("slot").write.partitionBy("class").option("parquet.block.size", 16 << 20).parquet(at)  # rows are large
-    return spark.read.schema(_SCHEMA.replace("class int, slot int, ", "") + ", class int").parquet(at)
+        sizes = {"parquet.block.size": 16 << 20, "parquet.page.size": 1 << 18, "parquet.enable.dictionary": "false"}  # rows are large
+        docs.mapInArrow(run, _SCHEMA).sortWithinPartitions("class").write.options(**sizes).parquet(at)
+    return spark.read.schema(_SCHEMA).parquet(at)
 
 
 def pair_counts(parts: DataFrame) -> np.ndarray:
@@ -635,7 +636,8 @@ def remembered(table: DataFrame, buckets: int) -> DataFrame:
         ends = np.cumsum([0, *(len(x[0]) for x in sent)])
         return [(r["block"], r["bucket"], pack(out[0, a:b], out[1, a:b])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
 
-    return blocks.answered(table, blocks.answers(table.mapInArrow(send, blocks.SENT), buckets, compare), "said")
+    got = cut(blocks.answers(table.mapInArrow(send, blocks.SENT), buckets, compare))  # the messages' shuffle files go before the answers travel
+    return blocks.answered(table, got, "said")
 
 
 def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np.ndarray:
