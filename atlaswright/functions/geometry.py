@@ -245,7 +245,8 @@ def cubic(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
 
 
 def at_time(curves: Column, c: str, t: Column) -> Column:
-    """A coordinate, ``x`` or ``y``, of a path of cubic curves (``array<struct<x0 .. y3>>``) at a time from 0 to 1, of which each curve takes an equal share."""
+    """A coordinate, ``x`` or ``y``, of a path of cubic curves (``array<struct<x0 .. y3>>``) at a time from 0 to 1, of which each
+    curve takes an equal share."""
     n = F.size(curves)
     k = F.least(F.floor(t * n), n - 1).cast("int")
     return _let(F.element_at(curves, k + 1), lambda curve: cubic(*[curve[f"{c}{i}"] for i in range(4)], t * n - k))
@@ -257,8 +258,8 @@ def _let(value: Column, then) -> Column:
 
 
 def nearest_time(curves: Column, x: Column, y: Column, steps: int = 100, rounds: int = 4) -> Column:
-    """SC-29: ``struct<d2,k,t>`` of the time at which a path of cubic curves comes nearest to a point: all of 0 to 1 in ``steps`` steps, then a step to
-    either side of the best in as many, ``rounds`` times; of equals the first."""
+    """SC-29: ``struct<d2,k,t>`` of the time at which a path of cubic curves comes nearest to a point: all of 0 to 1 in ``steps``
+    steps, then a step to either side of the best in as many, ``rounds`` times; of equals the first."""
 
     def search(path: Column, lo: Column, step: float) -> Column:
         def one(k: Column) -> Column:

@@ -27,9 +27,9 @@ def phrases(names: DataFrame) -> DataFrame:
 
 
 def all_phrase_candidates(scores: DataFrame, k: int) -> DataFrame:
-    """TK-2 whole: the ``k`` best nodes for each name of any number of phrases: ``scores(name, phrase, term, score)`` holds the best terms of each phrase, from 0 on; a node
-    takes one term a phrase, a term once, and has their mean score; of equal nodes the best counts. A step for each phrase joins the candidates so far
-    with its terms (a few each)."""
+    """TK-2 whole: the ``k`` best nodes for each name of any number of phrases: ``scores(name, phrase, term, score)`` holds the
+    best terms of each phrase, from 0 on; a node takes one term a phrase, a term once, and has their mean score; of equal nodes
+    the best counts. A step for each phrase joins the candidates so far with its terms (a few each)."""
     n = scores.groupBy("name").agg(F.max("phrase").alias("last"))
     most = n.agg(F.max("last")).first()[0]
     out, so_far = None, None

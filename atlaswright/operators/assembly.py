@@ -28,10 +28,11 @@ def containing_neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def merged_lines(lines: DataFrame, degrees: float = 30.0) -> DataFrame:
-    """GR-20: ``lines(id, type, joiners, points)``, where ``joiners`` holds the joining connectors at the first and at the last point (null: none there),
-    merged at joiners. Of the lines at a joiner the first two by id are one if they have the same type and the one goes on from the
-    other within so many degrees. Rows ``(id, members, joiners, points)``: named by its least line, a merged line has the points of its members one after
-    the other, those drawn the other way reversed, and the joiners passed between them, which become intermediate connectors."""
+    """GR-20: ``lines(id, type, joiners, points)``, where ``joiners`` holds the joining connectors at the first and at the last
+    point (null: none there), merged at joiners. Of the lines at a joiner the first two by id are one if they have the same type
+    and the one goes on from the other within so many degrees. Rows ``(id, members, joiners, points)``: named by its least line, a
+    merged line has the points of its members one after the other, those drawn the other way reversed, and the joiners passed
+    between them, which become intermediate connectors."""
     near = lambda k, m: F.struct((F.element_at("points", m)["x"] - F.element_at("points", k)["x"]).alias("x"), (F.element_at("points", m)["y"] - F.element_at("points", k)["y"]).alias("y"))
     ends = lines.where(F.size("points") > 1).select("id", "type", F.inline(F.array(F.struct(F.lit(0).alias("end"), F.col("joiners")[0].alias("joiner"), near(1, 2).alias("away")), F.struct(F.lit(1).alias("end"), F.col("joiners")[1].alias("joiner"), near(-1, -2).alias("away")))))
     met = ends.where("joiner is not null").groupBy("joiner").agg(F.min(F.struct("id", "end", "type", "away")).alias("p"))
@@ -92,10 +93,11 @@ def circuits(edges: DataFrame) -> DataFrame:
 
 
 def end_chains(segments: DataFrame, reach: int = 500) -> DataFrame:
-    """GR-26: ``(id, chain, place, reversed, closed)`` of ``segments(id, x0, y0, x1, y1)``. Ends of two segments that lie within ``reach`` are
-    joined where each is the other's nearest, the least id of equals. A chain is named by its least segment; ``place`` counts along it from 0,
-    and a ``reversed`` segment is passed from its second end to its first. An open chain begins at that of its two end segments with
-    the lesser id, a lone segment at its first end, a closed one with its least segment the right way round."""
+    """GR-26: ``(id, chain, place, reversed, closed)`` of ``segments(id, x0, y0, x1, y1)``. Ends of two segments that lie within
+    ``reach`` are joined where each is the other's nearest, the least id of equals. A chain is named by its least segment;
+    ``place`` counts along it from 0, and a ``reversed`` segment is passed from its second end to its first. An open chain begins
+    at that of its two end segments with the lesser id, a lone segment at its first end, a closed one with its least segment the
+    right way round."""
     at = lambda c: F.floor(F.col(c) / reach)
     near = F.array(*map(F.lit, (-1, 0, 1)))
     ends = segments.select("id", F.inline(F.array(F.struct(F.lit(0).alias("end"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")))))
@@ -110,7 +112,8 @@ def end_chains(segments: DataFrame, reach: int = 500) -> DataFrame:
 
 
 def ordered(segments: DataFrame, joints: DataFrame) -> DataFrame:
-    """``(id, chain, place, reversed, closed)`` of segments ``(id)`` whose ends are joined two by two: ``joints(id, end, id2, end2)``, both ways."""
+    """``(id, chain, place, reversed, closed)`` of segments ``(id)`` whose ends are joined two by two: ``joints(id, end, id2,
+    end2)``, both ways."""
     chain = segments.join(graph.components(joints.select(F.col("id").alias("a"), F.col("id2").alias("b"))), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
     free = chain.join(joints.groupBy("id").agg(F.count("*").alias("n")), "id", "left").groupBy("chain").agg(F.count_if(F.coalesce("n", F.lit(0)) < 2).alias("free"))
     chain = graph.cut(chain.join(free, "chain").select("id", "chain", (F.col("free") == 0).alias("closed")))
@@ -129,9 +132,9 @@ def ordered(segments: DataFrame, joints: DataFrame) -> DataFrame:
 
 
 def container_segments(containers: DataFrame, segments: DataFrame, buffer: int = 20) -> DataFrame:
-    """JN-25: for each container the segment of its centreline of which most lies in it, the least of equals; one that only comes within
-    ``buffer`` of its box counts for nothing, but is taken where there is no other. ``containers(id, centreline, x0 .. y1)`` with a ``ring`` or without,
-    ``segments(id, centreline, points)``."""
+    """JN-25: for each container the segment of its centreline of which most lies in it, the least of equals; one that only comes
+    within ``buffer`` of its box counts for nothing, but is taken where there is no other. ``containers(id, centreline, x0 ..
+    y1)`` with a ``ring`` or without, ``segments(id, centreline, points)``."""
     wide = spatial.boxed(segments)
     wide = wide.select("id", "centreline", "points", *[(F.col(c) - buffer).alias(c) for c in ("x0", "y0")], *[(F.col(c) + buffer).alias(c) for c in ("x1", "y1")])
     pairs = spatial.box_pairs(containers, wide).where("a_centreline = b_centreline")
@@ -155,9 +158,10 @@ def validated(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def validated_by_terms(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """JN-29 whole: like ``validated`` with ends of ``lines(line, type, a, a_organ, b, b_organ)`` that are terms, in an organ or none, against ``nodes(path, type, terms, is_end)``,
-    whose terms are each followed by the layers it is in. An end is met by a term of the path if there is no organ, or the term is somewhere the last of a node, or the organ is among the
-    layers behind it; or by the organ itself as a term."""
+    """JN-29 whole: like ``validated`` with ends of ``lines(line, type, a, a_organ, b, b_organ)`` that are terms, in an organ or
+    none, against ``nodes(path, type, terms, is_end)``, whose terms are each followed by the layers it is in. An end is met by a
+    term of the path if there is no organ, or the term is somewhere the last of a node, or the organ is among the layers behind
+    it; or by the organ itself as a term."""
     parts = nodes.select("type", "path", "is_end", F.explode(F.transform(F.sequence(F.lit(1), F.size("terms")), lambda k: F.slice("terms", k, F.size("terms")))).alias("t"))
     parts = graph.cut(parts.select("type", "path", "is_end", F.col("t")[0].alias("term"), F.slice("t", 2, F.size("t")).alias("layers")).distinct())
 
@@ -235,15 +239,17 @@ def centreline_index(centrelines: DataFrame) -> DataFrame:
 
 
 def unit_index(nodes: DataFrame) -> DataFrame:
-    """AG-15: ``(unit, nodes)`` of network nodes ``nodes(node, unit, feature)``: those named as parts of a unit, and those that are the unit itself."""
+    """AG-15: ``(unit, nodes)`` of network nodes ``nodes(node, unit, feature)``: those named as parts of a unit, and those that
+    are the unit itself."""
     own = nodes.where("unit is not null").select("unit", "node")
     whole = nodes.where("unit is null").select(F.col("feature").alias("unit"), "node").join(own.select("unit").distinct(), "unit", "left_semi")
     return own.union(whole).groupBy("unit").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
 
 
 def network_properties(centrelines: DataFrame, cuffs: DataFrame, known: DataFrame) -> DataFrame:
-    """JN-43: what centrelines ``(id, model, nodes)`` say of features: ``(feature, prop, value)`` with the ``nerve`` cuff of a centreline's model
-    (``cuffs(model, cuff)``, of several the least), that it is a ``centreline``, and that a node without model and label (``known(feature, model, label)``) is a ``node``."""
+    """JN-43: what centrelines ``(id, model, nodes)`` say of features: ``(feature, prop, value)`` with the ``nerve`` cuff of a
+    centreline's model (``cuffs(model, cuff)``, of several the least), that it is a ``centreline``, and that a node without model
+    and label (``known(feature, model, label)``) is a ``node``."""
     nerve = centrelines.join(cuffs.groupBy("model").agg(F.min("cuff").alias("cuff")), "model").select(F.col("id").alias("feature"), F.lit("nerve").alias("prop"), F.col("cuff").cast("string").alias("value"))
     drawn = centrelines.select(F.col("id").alias("feature"), F.lit("centreline"), F.lit("true"))
     nodes = centrelines.select(F.explode("nodes").alias("feature")).distinct()

@@ -20,10 +20,11 @@ def _listed(c: str) -> Column:
 
 
 def centreline_checks(centrelines: DataFrame, terms: DataFrame, nerves: DataFrame) -> DataFrame:
-    """QA-17 of ``centrelines(seq, id, models, nodes, containers)`` in order of ``seq``: no id; an id that an earlier one has; fewer than two nodes; another
-    model than the properties give it (``terms(feature, models)``); containers without a term, that model another nerve than the
-    centreline (``nerves(feature, models)``), or that are an end of a centreline; nodes inside several centrelines, or inside one and at the end of several.
-    Those without an id, or with one that is taken, are checked no further."""
+    """QA-17 of ``centrelines(seq, id, models, nodes, containers)`` in order of ``seq``: no id; an id that an earlier one has;
+    fewer than two nodes; another model than the properties give it (``terms(feature, models)``); containers without a term, that
+    model another nerve than the centreline (``nerves(feature, models)``), or that are an end of a centreline; nodes inside
+    several centrelines, or inside one and at the end of several. Those without an id, or with one that is taken, are checked no
+    further."""
     place = lambda text: F.concat_ws("/", "id", text)
     nth = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
     named = centrelines.where("id is not null").withColumn("nth", nth)
@@ -52,7 +53,8 @@ def centreline_checks(centrelines: DataFrame, terms: DataFrame, nerves: DataFram
 
 
 def nerve_checks(properties: DataFrame) -> DataFrame:
-    """QA-19 of ``properties(seq, feature, type, models)`` in order: a nerve's term that an earlier feature has, and a feature that an earlier row has given a term."""
+    """QA-19 of ``properties(seq, feature, type, models)`` in order: a nerve's term that an earlier feature has, and a feature
+    that an earlier row has given a term."""
     rows = properties.where("type = 'nerve' and models is not null")
     again = lambda key: rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).where("nth > 1")
     q = functools.partial(issue, kind="nerve", code="QA-19")
@@ -63,9 +65,9 @@ def nerve_checks(properties: DataFrame) -> DataFrame:
 
 
 def functional_checks(shapes: DataFrame, parents: DataFrame, connections: DataFrame) -> DataFrame:
-    """QA-22 of ``shapes(id, name, class, kind)``, whose ``parents(id, parent)``, and ``connections(id, source, target, colour_kind)``, null being an end that meets
-    no connector. Connectors have the class ``neural`` or ``vascular`` and as ``kind`` what their colour stands for; others are organs, units, regions
-    and so on."""
+    """QA-22 of ``shapes(id, name, class, kind)``, whose ``parents(id, parent)``, and ``connections(id, source, target,
+    colour_kind)``, null being an end that meets no connector. Connectors have the class ``neural`` or ``vascular`` and as
+    ``kind`` what their colour stands for; others are organs, units, regions and so on."""
     of = shapes.select("id", "name", "class", "kind")
     up = parents.join(of.select(F.col("id").alias("parent"), F.col("class").alias("above")), "parent", "left")
     rows = of.join(up.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("above") == "system").alias("systems"), F.count_if(F.col("above") == "organ").alias("organs"), F.count_if(F.col("above") == "unit").alias("units")), "id", "left").na.fill(0, ["n", "systems", "organs", "units"])
@@ -88,8 +90,8 @@ def functional_checks(shapes: DataFrame, parents: DataFrame, connections: DataFr
 
 
 def proxy_checks(proxies: DataFrame, features: DataFrame) -> DataFrame:
-    """QA-24 of ``proxies(models, host)`` on ``features(id, models, geometry)``: what is proxied is on the map already, and then nothing more is looked at; a
-    host that is not there; a host's feature that is no polygon."""
+    """QA-24 of ``proxies(models, host)`` on ``features(id, models, geometry)``: what is proxied is on the map already, and then
+    nothing more is looked at; a host that is not there; a host's feature that is no polygon."""
     have = features.select("models").distinct()
     on_map = proxies.select("models").distinct().join(have, "models", "left_semi")
     rest = proxies.join(on_map, "models", "left_anti")
@@ -104,8 +106,9 @@ def proxy_checks(proxies: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def layer_checks(layers: DataFrame, features: DataFrame) -> DataFrame:
-    """QA-26 of ``layers(map_id, seq, id, kind, feature, zoom)``, the sources of maps in order, and ``features(map_id, id)``: an id twice on a map; details as the first,
-    which is the base map; a later one that is of no kind for details, images or layers; of details, no feature or an unknown one, and a zoom below 1."""
+    """QA-26 of ``layers(map_id, seq, id, kind, feature, zoom)``, the sources of maps in order, and ``features(map_id, id)``: an
+    id twice on a map; details as the first, which is the base map; a later one that is of no kind for details, images or layers;
+    of details, no feature or an unknown one, and a zoom below 1."""
     details = F.col("kind").isin("details", "anatomical", "functional")
     first = F.row_number().over(Window.partitionBy("map_id").orderBy("seq")) == 1
     again = F.row_number().over(Window.partitionBy("map_id", "id").orderBy("seq"))

@@ -49,8 +49,9 @@ def touching(ends: DataFrame, components: DataFrame, buffer: int) -> DataFrame:
 
 
 def connection_nodes(connectors: DataFrame, parents: DataFrame, components: DataFrame, intermediates: DataFrame) -> DataFrame:
-    """AG-29: ``(connection, nodes, free_end)``: the connectors of a connection ``(connection, connector, kind)``, their parents ``(connector, parent)``, the
-    components ``(connection, component)`` it crosses and the connectors ``(connection, connector)`` it passes; whether one of its own is a free end or a joiner."""
+    """AG-29: ``(connection, nodes, free_end)``: the connectors of a connection ``(connection, connector, kind)``, their parents
+    ``(connector, parent)``, the components ``(connection, component)`` it crosses and the connectors ``(connection, connector)``
+    it passes; whether one of its own is a free end or a joiner."""
     up = connectors.join(parents, "connector").select("connection", F.col("parent").alias("node"))
     every = connectors.select("connection", F.col("connector").alias("node")).union(up).union(components.select("connection", "component")).union(intermediates.select("connection", "connector"))
     nodes = every.groupBy("connection").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
@@ -100,9 +101,10 @@ def attached_details(features: DataFrame, details: DataFrame, connections: DataF
 
 
 def replicated(hosts: DataFrame, boundaries: DataFrame, members: DataFrame) -> DataFrame:
-    """JN-36: copies ``(host, path, id, x0, y0, x1, y1)`` of the members of the detail layer that each host opens, fitted from the box of the
-    layer's boundary to the host's: ``hosts(host, layer, x0 .. y1)``, ``boundaries(layer, x0 .. y1)``, ``members(layer, id, x0 .. y1, details)``. A member that opens a
-    layer itself is the host of it where it has been put, to any depth; a layer that opens itself again, by way of others or not, is an error."""
+    """JN-36: copies ``(host, path, id, x0, y0, x1, y1)`` of the members of the detail layer that each host opens, fitted from the
+    box of the layer's boundary to the host's: ``hosts(host, layer, x0 .. y1)``, ``boundaries(layer, x0 .. y1)``, ``members(layer,
+    id, x0 .. y1, details)``. A member that opens a layer itself is the host of it where it has been put, to any depth; a layer
+    that opens itself again, by way of others or not, is an error."""
     c = F.col
     edge = boundaries.select("layer", *[c(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")])
     inner = members.select("layer", "id", "details", *[c(k).alias(f"m_{k}") for k in ("x0", "y0", "x1", "y1")])
@@ -242,8 +244,9 @@ def property_changes(changes: DataFrame) -> DataFrame:
 
 
 def margin_boxes(layers: DataFrame) -> DataFrame:
-    """SC-38: the box behind each functional detail layer ``(layer, kind, metres, x0 .. y1)``: the bounds, drawn in by the border (``BORDER`` pixels of ``metres`` each) at
-    all sides but the lower, where they are let out by it, then let out by twice the border all round."""
+    """SC-38: the box behind each functional detail layer ``(layer, kind, metres, x0 .. y1)``: the bounds, drawn in by the border
+    (``BORDER`` pixels of ``metres`` each) at all sides but the lower, where they are let out by it, then let out by twice the
+    border all round."""
     m = BORDER * F.col("metres")
     rows = layers.where("kind = 'functional'")
     return rows.select("layer", (F.col("x0") - m).alias("x0"), (F.col("y0") - 3 * m).alias("y0"), (F.col("x1") + m).alias("x1"), (F.col("y1") + m).alias("y1"))

@@ -124,10 +124,11 @@ BASE_OFFSET = 2
 
 
 def zoom_hints(features: DataFrame, layers: DataFrame, map_area: float) -> DataFrame:
-    """TL-8: ``(id, scale, minzoom, maxzoom, image_minzoom)`` of ``features(id, layer, area, group, minzoom, maxzoom)``: a feature's own hints; else the level before its layer's
-    first; else 4 for one outside all groups that is over 2**6 times shorter than the map; else none. ``scale`` is that ratio's
-    logarithm, 10 without an area. ``layers(layer, minzoom, detail, based)``: its images begin at its first level, one later
-    in a detail layer, ``BASE_OFFSET`` earlier where the map has a base feature."""
+    """TL-8: ``(id, scale, minzoom, maxzoom, image_minzoom)`` of ``features(id, layer, area, group, minzoom, maxzoom)``: a
+    feature's own hints; else the level before its layer's first; else 4 for one outside all groups that is over 2**6 times
+    shorter than the map; else none. ``scale`` is that ratio's logarithm, 10 without an area. ``layers(layer, minzoom, detail,
+    based)``: its images begin at its first level, one later in a detail layer, ``BASE_OFFSET`` earlier where the map has a base
+    feature."""
     own = layers.select("layer", F.col("minzoom").alias("first"), "detail", "based")
     rows = features.join(own, "layer", "left")
     scale = F.when(F.col("area") > 0, F.log2(F.sqrt(map_area / F.col("area"))))

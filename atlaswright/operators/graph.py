@@ -201,9 +201,9 @@ def to_ends(links: DataFrame) -> DataFrame:
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """GR-8: runs of nodes with two neighbours become one edge ``(path, a, b, inner)``, several between
-    the same ends apart; ends are nodes of any other number of neighbours, circles without one are left out.
-    Every edge in either direction leads on to the next of its run, so a run is a list; its ends and the places in it come by list ranking."""
+    """GR-8: runs of nodes with two neighbours become one edge ``(path, a, b, inner)``, several between the same ends apart; ends
+    are nodes of any other number of neighbours, circles without one are left out. Every edge in either direction leads on to the
+    next of its run, so a run is a list; its ends and the places in it come by list ranking."""
     pairs = cut(ends(edges))
     inner = pairs.groupBy("path", "node").agg(F.count("*").alias("n"), F.min("neighbour").alias("lo"), F.max("neighbour").alias("hi")).where("n = 2")
     on = pairs.join(inner.select("path", F.col("node").alias("neighbour"), "lo", "hi"), ["path", "neighbour"], "left")
@@ -287,8 +287,8 @@ def occupancy(edges: DataFrame) -> DataFrame:
 
 
 def occupancy_apart(edges: DataFrame) -> DataFrame:
-    """AG-16 whole: ``(a, b, terminal, paths)`` of ``edges(path, src, dst, type)``: the paths on each edge, those that only end along it (edges of type ``terminal`` or
-    ``upstream``) kept apart from those that run along it."""
+    """AG-16 whole: ``(a, b, terminal, paths)`` of ``edges(path, src, dst, type)``: the paths on each edge, those that only end
+    along it (edges of type ``terminal`` or ``upstream``) kept apart from those that run along it."""
     ends_here = F.col("type").isin("terminal", "upstream").alias("terminal")
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), ends_here).agg(F.array_sort(F.collect_set("path")).alias("paths"))
 

@@ -30,9 +30,9 @@ def blockers(needed: DataFrame, missing: DataFrame, suppressed: DataFrame) -> Da
 
 
 def missing_reports(log: DataFrame, edges: DataFrame, phenotypes: DataFrame) -> DataFrame:
-    """AG-8, SNK-9: ``(report, key, nodes, paths, phenotypes, maps)`` of build logs: of each path that was not drawn the terminals that are missing
-    (``paths_minimal``), these with the paths, phenotypes and maps that need them (``node_minimal``), and every missing node with all
-    paths it is on (``node_complete``): ``edges(path, src, dst)``, ``phenotypes(path, phenotype)``."""
+    """AG-8, SNK-9: ``(report, key, nodes, paths, phenotypes, maps)`` of build logs: of each path that was not drawn the terminals
+    that are missing (``paths_minimal``), these with the paths, phenotypes and maps that need them (``node_minimal``), and every
+    missing node with all paths it is on (``node_complete``): ``edges(path, src, dst)``, ``phenotypes(path, phenotype)``."""
     lost = log.where(F.col("msg").startswith("Cannot find feature")).select("node", "map_id").distinct()
     undrawn = log.where(F.col("msg").startswith("Path suppressed")).select("path").distinct()
     paths = undrawn.join(edges.select("path").distinct(), "path", "left_semi")
@@ -53,9 +53,10 @@ def missing_reports(log: DataFrame, edges: DataFrame, phenotypes: DataFrame) ->
 
 
 def connectivity_document(models: DataFrame, nodes: DataFrame, lines: DataFrame, nerves: DataFrame, kinds: DataFrame, drawn: DataFrame) -> DataFrame:
-    """SNK-6 as rows ``(section, key, value)``, values being JSON: ``paths`` with their lines, nodes and nerves, ``node-paths``, ``type-paths``, and ``models`` with
-    those of their paths that are rendered; models without any are left out. ``models(model, path)``, ``nodes(path, node)``, ``lines(path, line)``,
-    ``nerves(path, nerve)``, ``kinds(path, kind)``; connections that were drawn are added, ``drawn(model, path, kind, line, nodes)`` (AG-4)."""
+    """SNK-6 as rows ``(section, key, value)``, values being JSON: ``paths`` with their lines, nodes and nerves, ``node-paths``,
+    ``type-paths``, and ``models`` with those of their paths that are rendered; models without any are left out. ``models(model,
+    path)``, ``nodes(path, node)``, ``lines(path, line)``, ``nerves(path, nerve)``, ``kinds(path, kind)``; connections that were
+    drawn are added, ``drawn(model, path, kind, line, nodes)`` (AG-4)."""
     part = lambda df, what, c: df.select("path", F.lit(what).alias("what"), F.col(c).cast("long").alias("id"))
     parts = part(lines, "lines", "line").union(part(drawn, "lines", "line")).union(part(nodes, "nodes", "node")).union(drawn.select("path", F.lit("nodes"), F.explode("nodes"))).union(part(nerves, "nerves", "nerve"))
     parts = graph.cut(parts.distinct())
@@ -75,9 +76,10 @@ def connectivity_document(models: DataFrame, nodes: DataFrame, lines: DataFrame,
 
 
 def rendered_lists(edges: DataFrame, same: DataFrame, phenotypes: DataFrame, forward: DataFrame, nerves: DataFrame, available: DataFrame) -> DataFrame:
-    """GR-27, AG-1: per path what is drawn of its knowledge: ``connectivity`` (``edges(path, src, dst)`` after GR-4), the nodes of each phenotype that are left,
-    ``forward`` connections to rendered paths, the ``nerves`` among the ``available(node)``, and ``mappings`` from the node that each stands for as (drawn, known):
-    ``same(node, into)``, ``phenotypes(path, phenotype, node)``, ``forward(path, target)``, ``nerves(path, node)``. Lists that would be empty are null."""
+    """GR-27, AG-1: per path what is drawn of its knowledge: ``connectivity`` (``edges(path, src, dst)`` after GR-4), the nodes of
+    each phenotype that are left, ``forward`` connections to rendered paths, the ``nerves`` among the ``available(node)``, and
+    ``mappings`` from the node that each stands for as (drawn, known): ``same(node, into)``, ``phenotypes(path, phenotype,
+    node)``, ``forward(path, target)``, ``nerves(path, node)``. Lists that would be empty are null."""
     into = same.select("node", "into")
     nodes = graph.cut(edges.select("path", F.col("src").alias("node")).union(edges.select("path", "dst")).distinct().join(into, "node", "left").select("path", "node", F.coalesce("into", "node").alias("as")))
     named = lambda c: nodes.select("path", F.col("node").alias(c), F.col("as").alias(f"{c}_as"))
@@ -188,8 +190,8 @@ def without_repeats(values: Column) -> Column:
 
 
 def numbered(rows: DataFrame, partition: list[str], order: list[str], name: str = "number") -> DataFrame:
-    """``rows`` numbered from 1 in each group, in two levels: all rows are sorted by range over all tasks, numbered within task and group, and
-    shifted by what the tasks before hold of the group, so that no group meets in one task."""
+    """``rows`` numbered from 1 in each group, in two levels: all rows are sorted by range over all tasks, numbered within task
+    and group, and shifted by what the tasks before hold of the group, so that no group meets in one task."""
     here = graph.cut(rows.orderBy(*partition, *order).select(F.struct(*rows.columns).alias("row"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")))
     keys = [F.col(f"row.{c}").alias(f"key{k}") for k, c in enumerate(partition)]
     names = [f"key{k}" for k in range(len(partition))]
@@ -207,8 +209,9 @@ def dense_ids(rows: DataFrame, partition: list[str], order: list[str]) -> DataFr
 
 
 def unique_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """WN-14: ``class-n`` for each row of a class in order, skipping names that are taken. The r-th free number is r plus the taken ones below it: of
-    the taken numbers, in order, the j-th has ``number - j`` free ones below, so merged with the rows by that every row's place is its number."""
+    """WN-14: ``class-n`` for each row of a class in order, skipping names that are taken. The r-th free number is r plus the
+    taken ones below it: of the taken numbers, in order, the j-th has ``number - j`` free ones below, so merged with the rows by
+    that every row's place is its number."""
     used = taken.select(F.regexp_extract("name", r"^(.*)-(\d+)$", 1).alias("class"), F.regexp_extract("name", r"-(\d+)$", 1).try_cast("long").alias("n")).where("n > 0").distinct()
     used = numbered(used, ["class"], ["n"], "j").select("class", (F.col("n") - F.col("j")).alias("key"), F.lit(1).alias("taken"), F.lit(None).cast("long").alias("id"))
     own = numbered(rows.select("id", "class"), ["class"], ["id"], "key").select("class", "key", F.lit(0).alias("taken"), F.col("id").cast("long").alias("id"))
@@ -217,7 +220,8 @@ def unique_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def path_types(rows: DataFrame) -> DataFrame:
-    """WN-13: ``(path, code)`` of ``rows(path, pos, phenotype)``: the first phenotype that names a type, with the bits of the first that names an order."""
+    """WN-13: ``(path, code)`` of ``rows(path, pos, phenotype)``: the first phenotype that names a type, with the bits of the
+    first that names an order."""
     known = F.create_map(*[F.lit(x) for kv in pathtype.PHENOTYPES.items() for x in kv])
     coded = rows.select("path", "pos", F.try_element_at(known, F.col("phenotype")).alias("code"))
     first = lambda want: F.min_by(F.when(want, F.col("code")), F.when(want, F.col("pos")))

@@ -103,9 +103,10 @@ def overlap_parents(shapes: DataFrame, parents: DataFrame, share: float = 0.2) -
 
 
 def classified_parents(shapes: DataFrame, share: float = 0.2) -> DataFrame:
-    """JN-13: ``(id, containing, parent)`` of ``shapes(id, kind, ...)``, kinds being ``component``, ``connector``, ``system`` or another:
-    ``containing`` as in ``overlap_parents``. A component's parent is the first of these, but no system; a connector's is the
-    first that is a component or a system, else the last; systems are in nothing. A connector in nothing is left with nulls, which is an error of the drawing."""
+    """JN-13: ``(id, containing, parent)`` of ``shapes(id, kind, ...)``, kinds being ``component``, ``connector``, ``system`` or
+    another: ``containing`` as in ``overlap_parents``. A component's parent is the first of these, but no system; a connector's is
+    the first that is a component or a system, else the last; systems are in nothing. A connector in nothing is left with nulls,
+    which is an error of the drawing."""
     inner = shapes.where("kind <> 'system'")
     listed = F.array_sort(F.collect_list(F.struct("area", F.col("b_id").alias("id"), F.col("b_kind").alias("kind"))))
     found = _larger(inner, shapes, share).groupBy(F.col("a_id").alias("id")).agg(listed.alias("c"))
@@ -189,7 +190,8 @@ def group_bounds(members: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def smallest_container_of_points(points: DataFrame, regions: DataFrame, passed: tuple[str, ...] = ()) -> DataFrame:
-    """JN-34: for each point the least-numbered region that it is in, by its ``ring`` if it has one, and the region's properties ``passed`` on to it."""
+    """JN-34: for each point the least-numbered region that it is in, by its ``ring`` if it has one, and the region's properties
+    ``passed`` on to it."""
     at = points.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     pairs = box_pairs(at, regions).where(g.inside("a_", "b_"))
     if "b_ring" in pairs.columns:

@@ -57,7 +57,8 @@ def gr25_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.circuits(frames.path_edges(spark, sf_dir))
 
 
-GR25 = with_frames("path_edges", body=f""", {_ENDS}, d AS (SELECT path, node, count(*) AS n FROM ends GROUP BY ALL), m AS (SELECT path, path || '/' || min(node) AS component, count(*) FILTER (WHERE n > 2) AS branches FROM d GROUP BY path)
+GR25 = with_frames("path_edges", body=f""", {_ENDS}, d AS (SELECT path, node, count(*) AS n FROM ends GROUP BY ALL), m AS (SELECT path,
+  path || '/' || min(node) AS component, count(*) FILTER (WHERE n > 2) AS branches FROM d GROUP BY path)
 SELECT component, x.node AS a, y.node AS b, branches FROM d x JOIN d y ON x.path = y.path AND x.n = 1 AND y.n = 1 AND x.node < y.node JOIN m ON m.path = x.path""")
 
 
@@ -75,7 +76,8 @@ z AS (SELECT chain, bool_and((SELECT count(*) FROM j WHERE j.id = c.id) = 2) AS
 starts AS (SELECT chain, true AS closed, chain AS id, 0 AS way FROM z WHERE closed
   UNION ALL SELECT * FROM (SELECT c.chain, false, c.id, CASE WHEN EXISTS (SELECT 1 FROM j WHERE j.id = c.id AND j.k = 0) THEN 1 ELSE 0 END AS way FROM c JOIN z ON z.chain = c.chain AND NOT z.closed
     WHERE (SELECT count(*) FROM j WHERE j.id = c.id) < 2 QUALIFY row_number() OVER (PARTITION BY c.chain ORDER BY c.id) = 1)),
-w AS (SELECT chain, closed, id, way, 0 AS place FROM starts UNION ALL SELECT w.chain, w.closed, j.id2, j.k2, place + 1 FROM w JOIN j ON j.id = w.id AND j.k = 1 - w.way WHERE j.id2 <> w.chain OR NOT w.closed)
+w AS (SELECT chain, closed, id, way, 0 AS place FROM starts UNION ALL SELECT w.chain, w.closed, j.id2, j.k2, place + 1 FROM w JOIN j ON j.id = w.id AND j.k = 1 - w.way
+  WHERE j.id2 <> w.chain OR NOT w.closed)
 SELECT id, chain, place::BIGINT AS place, way = 1 AS reversed, closed FROM w""")
 
 
@@ -91,7 +93,8 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATCHES = """n AS (SELECT path, path % 3 AS type, node % 300 AS node, pos = 0 OR pos = max(pos) OVER (PARTITION BY path) AS is_end FROM path_nodes),
 l AS (SELECT s_suppkey AS line, s_suppkey % 3 AS type, s_suppkey * 7 % 300 AS a, s_suppkey * 11 % 300 AS b FROM supplier),
 one AS (SELECT DISTINCT line, x.path FROM l JOIN n x ON x.type = l.type AND x.node = l.a AND x.is_end JOIN n y ON y.path = x.path AND y.node = l.b AND y.is_end),
-m AS (SELECT line, path, 1 AS tier FROM one UNION ALL SELECT DISTINCT line, x.path, 2 FROM l JOIN n x ON x.type = l.type AND x.node = l.a JOIN n y ON y.path = x.path AND y.node = l.b WHERE line NOT IN (SELECT line FROM one))"""
+m AS (SELECT line, path, 1 AS tier FROM one UNION ALL SELECT DISTINCT line, x.path, 2 FROM l JOIN n x ON x.type = l.type AND x.node = l.a JOIN n y ON y.path = x.path
+  AND y.node = l.b WHERE line NOT IN (SELECT line FROM one))"""
 
 
 def jn29_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +158,12 @@ def jn42_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("complete", F.col("complete").cast("string"))
 
 
-JN42 = with_frames("path_nodes", body=""", m AS (SELECT path, string_agg(node::VARCHAR, ',' ORDER BY node) AS missing FROM (SELECT DISTINCT path, node FROM path_nodes WHERE node % 11 = 0) GROUP BY path),
+JN42 = with_frames("path_nodes", body=""", m AS (SELECT path, string_agg(node::VARCHAR, ',' ORDER BY node) AS missing FROM (SELECT DISTINCT path, node FROM path_nodes
+  WHERE node % 11 = 0) GROUP BY path),
 v AS (SELECT path, string_agg(nerve::VARCHAR, ',' ORDER BY nerve) AS nerves FROM (SELECT DISTINCT path, node % 20 AS nerve FROM path_nodes WHERE node % 5 = 0) GROUP BY path),
 d AS (SELECT o_orderkey AS path, o_orderkey * 3 + n AS feature, ['line', 'junction', 'arrow'][n + 1] AS role, o_orderstatus AS s, o_orderpriority AS taxon FROM orders, range(0, 3) t(n))
-SELECT feature, path, CASE role WHEN 'line' THEN CASE s WHEN 'F' THEN 'sensory' WHEN 'O' THEN 'somatic' ELSE 'other' END ELSE role END AS kind, CASE WHEN role = 'line' THEN (missing IS NULL)::VARCHAR END AS complete,
+SELECT feature, path, CASE role WHEN 'line' THEN CASE s WHEN 'F' THEN 'sensory' WHEN 'O' THEN 'somatic' ELSE 'other' END ELSE role END AS kind, CASE
+  WHEN role = 'line' THEN (missing IS NULL)::VARCHAR END AS complete,
 CASE WHEN role = 'line' THEN missing END AS missing, CASE WHEN role = 'line' AND path % 2 = 0 THEN 'female' END AS sex, CASE WHEN role = 'line' AND path % 10 = 0 THEN 'alert' END AS alert,
 CASE WHEN role = 'line' THEN nerves END AS nerves, CASE WHEN role = 'line' THEN 'Path ' || path END AS label, taxon FROM d LEFT JOIN m USING (path) LEFT JOIN v USING (path)""")
 
@@ -222,7 +227,8 @@ def tk6_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TK6 = with_frames("path_edges", body=f""", {_ENDS}, n AS (SELECT DISTINCT path, node FROM ends)
-SELECT path, (row_number() OVER (PARTITION BY path ORDER BY CASE node % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN node % 4 = 1 THEN node % 17 ELSE 0 END, node) - 1)::INTEGER AS turn, node FROM n""")
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY CASE node % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN node % 4 = 1 THEN node % 17 ELSE 0 END,
+  node) - 1)::INTEGER AS turn, node FROM n""")
 
 _ALL = {
     gr6_containers: GR6, gr21_upstream: GR21, gr22_centrelines: GR22, gr25_circuits: GR25, gr26_chains: GR26, jn29_validated: JN29, jn30_extra: JN30, jn31_terms: JN31,

@@ -30,8 +30,10 @@ def qa_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QA_REFERENCES = """WITH i AS (SELECT p_partkey AS id FROM part), u AS (
 SELECT 'drawn' AS type, 'QA-1' AS code, id::VARCHAR AS location, 'Term is not known' AS issue FROM i WHERE id % 3 <> 0 AND id % 5 = 0
-UNION ALL SELECT 'drawn', 'QA-2', id::VARCHAR, 'Not in properties' FROM i WHERE id % 3 <> 0 AND id % 4 = 0 UNION ALL SELECT 'alias', 'QA-6', id::VARCHAR, 'Alias is not known' FROM i WHERE id % 7 = 0 AND id % 5 = 0
-UNION ALL SELECT 'alias', 'QA-7', id::VARCHAR, 'Canonical is not in properties' FROM i WHERE id % 7 = 0 AND id % 4 = 0 UNION ALL SELECT 'feature', 'QA-14', id::VARCHAR, 'Not drawn' FROM i WHERE id % 4 <> 0 AND id % 3 = 0
+UNION ALL SELECT 'drawn', 'QA-2', id::VARCHAR, 'Not in properties' FROM i WHERE id % 3 <> 0 AND id % 4 = 0 UNION ALL SELECT 'alias', 'QA-6', id::VARCHAR,
+  'Alias is not known' FROM i WHERE id % 7 = 0 AND id % 5 = 0
+UNION ALL SELECT 'alias', 'QA-7', id::VARCHAR, 'Canonical is not in properties' FROM i WHERE id % 7 = 0 AND id % 4 = 0 UNION ALL SELECT 'feature', 'QA-14', id::VARCHAR,
+  'Not drawn' FROM i WHERE id % 4 <> 0 AND id % 3 = 0
 UNION ALL SELECT DISTINCT 'class', 'QA-13', p_brand, 'Class is not mapped' FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 10))
 SELECT 0::BIGINT AS map_id, * FROM u"""
 
@@ -110,10 +112,12 @@ def tk2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.phrase_candidates(s.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r"), 3)
 
 
-TK2 = with_frames("path_nodes", body=""", g AS (SELECT path AS name, pos % 2 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score FROM path_nodes GROUP BY path, pos % 2, node % 300),
+TK2 = with_frames("path_nodes", body=""", g AS (SELECT path AS name, pos % 2 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score FROM path_nodes
+  GROUP BY path, pos % 2, node % 300),
 s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name, phrase ORDER BY score DESC, term) <= 3),
 c AS (SELECT name, term::VARCHAR AS node, score FROM s WHERE phrase = 0 AND name NOT IN (SELECT name FROM s WHERE phrase = 1)
-UNION ALL SELECT a.name, CASE WHEN a.term = b.term THEN a.term::VARCHAR ELSE a.term || '/' || b.term END, round((a.score + b.score) / 2, 6) FROM s a JOIN s b ON a.name = b.name AND a.phrase = 0 AND b.phrase = 1),
+UNION ALL SELECT a.name, CASE WHEN a.term = b.term THEN a.term::VARCHAR ELSE a.term || '/' || b.term END, round((a.score + b.score) / 2, 6) FROM s a
+  JOIN s b ON a.name = b.name AND a.phrase = 0 AND b.phrase = 1),
 m AS (SELECT name, node, max(score) AS score FROM c GROUP BY ALL)
 SELECT name, node, score, (row_number() OVER (PARTITION BY name ORDER BY score DESC, node))::INTEGER AS rank FROM m QUALIFY rank <= 3""")
 
@@ -132,7 +136,8 @@ def tk3_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TK3 = """WITH n AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey),
 a AS (SELECT k, 'N:' || n AS ancestor, 1 AS level, n AS v FROM n WHERE n % 10 < 5 UNION ALL SELECT k, 'R:' || r, 2, r + 100 FROM n),
-s AS (SELECT k, ancestor, level, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(x.embedding, lambda p: p::DOUBLE ** 2)) * list_sum(list_transform(y.embedding, lambda p: p::DOUBLE ** 2))), 6) AS score
+s AS (SELECT k, ancestor, level, round(list_sum(list_transform(list_zip(x.embedding, y.embedding),
+  lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(x.embedding, lambda p: p::DOUBLE ** 2)) * list_sum(list_transform(y.embedding, lambda p: p::DOUBLE ** 2))), 6) AS score
   FROM a JOIN embeddings x ON x.vec_id = k JOIN embeddings y ON y.vec_id = v)
 SELECT 'C:' || k AS child, ancestor, level FROM s WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score + level, ancestor) = 1"""
 

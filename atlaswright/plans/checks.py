@@ -33,12 +33,14 @@ def qa17_centrelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.centreline_checks(lines, terms, nerves)
 
 
-QA17 = with_frames("path_nodes", body=""", c AS (SELECT path AS seq, CASE WHEN path % 50 > 0 THEN CASE WHEN path % 40 = 1 THEN path - 1 ELSE path END END AS id, CASE WHEN path % 3 > 0 THEN 'M' || path % 7 END AS models,
+QA17 = with_frames("path_nodes", body=""", c AS (SELECT path AS seq, CASE WHEN path % 50 > 0 THEN CASE WHEN path % 40 = 1 THEN path - 1 ELSE path END END AS id, CASE
+  WHEN path % 3 > 0 THEN 'M' || path % 7 END AS models,
   (SELECT list(node ORDER BY pos) FROM path_nodes n WHERE n.path = o.path) AS nodes FROM (SELECT DISTINCT path FROM path_nodes) o),
 f AS (SELECT * FROM c WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
 i AS (SELECT DISTINCT id, models, l_suppkey AS x FROM f JOIN lineitem ON l_orderkey = seq WHERE l_suppkey % 3 > 0),
 t AS (SELECT p_partkey AS x, 'M' || p_partkey % 6 AS m FROM part WHERE p_partkey % 4 > 0), v AS (SELECT p_partkey AS x, 'M' || p_partkey % 5 AS m FROM part WHERE p_partkey % 8 = 1),
-e AS (SELECT DISTINCT id, x FROM (SELECT id, unnest([nodes[1], nodes[-1]]) AS x FROM f WHERE len(nodes) >= 2)), w AS (SELECT DISTINCT id, x FROM (SELECT id, unnest(nodes[2:-2]) AS x FROM f WHERE len(nodes) >= 2))
+e AS (SELECT DISTINCT id, x FROM (SELECT id, unnest([nodes[1], nodes[-1]]) AS x FROM f WHERE len(nodes) >= 2)), w AS (SELECT DISTINCT id, x FROM (SELECT id,
+  unnest(nodes[2:-2]) AS x FROM f WHERE len(nodes) >= 2))
 """) + _sql([
     ("centreline", "seq", "'Centreline has no id'", "c WHERE id IS NULL"),
     ("centreline", "id || '/' || seq", "'Centreline has a duplicate id'", "c WHERE id IS NOT NULL AND seq NOT IN (SELECT seq FROM f)"),
@@ -59,7 +61,8 @@ def qa19_nerves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.nerve_checks(rows)
 
 
-QA19 = """WITH p AS (SELECT l_orderkey * 1000000 + l_partkey AS seq, 'f' || l_partkey % 90 AS feature, CASE WHEN min(l_suppkey) % 5 > 0 THEN 'M' || min(l_suppkey) END AS models FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_partkey),
+QA19 = """WITH p AS (SELECT l_orderkey * 1000000 + l_partkey AS seq, 'f' || l_partkey % 90 AS feature, CASE
+  WHEN min(l_suppkey) % 5 > 0 THEN 'M' || min(l_suppkey) END AS models FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY models ORDER BY seq) AS a, row_number() OVER (PARTITION BY feature ORDER BY seq) AS b FROM p WHERE models IS NOT NULL)
 """ + _sql([
     ("nerve", "models || '/' || feature", "'Nerve has already been assigned to a feature'", "r WHERE a > 1"),
@@ -80,7 +83,8 @@ def qa22_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.functional_checks(shapes, parents, lines)
 
 
-QA22 = with_frames("path_edges", body=""", s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE '' END AS name, ['organ', 'unit', 'neural', 'region', 'vascular', 'neural', 'system'][p_partkey % 7 + 1] AS class, 'k' || p_partkey % 3 AS kind FROM part),
+QA22 = with_frames("path_edges", body=""", s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE '' END AS name, ['organ', 'unit', 'neural',
+  'region', 'vascular', 'neural', 'system'][p_partkey % 7 + 1] AS class, 'k' || p_partkey % 3 AS kind FROM part),
 u AS (SELECT DISTINCT src AS id, dst AS parent FROM path_edges WHERE path % 2 = 0 AND src % 4 > 0), n AS (SELECT u.id, s.class AS above FROM u LEFT JOIN s ON s.id = u.parent),
 l AS (SELECT path AS id, min(src) AS source, max(dst) AS target, CASE WHEN path % 4 > 0 THEN 'k' || path % 3 END AS ck FROM path_edges WHERE path % 3 = 0 GROUP BY path),
 c AS (SELECT * FROM s WHERE class IN ('neural', 'vascular')), x AS (SELECT l.*, a.class AS ac, a.kind AS ak, b.class AS bc FROM l LEFT JOIN c a ON a.id = l.source LEFT JOIN c b ON b.id = l.target)
@@ -106,7 +110,8 @@ def qa24_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.proxy_checks(proxies, features)
 
 
-QA24 = """WITH p AS (SELECT DISTINCT l_suppkey * 3 AS m, l_partkey * 2 AS h FROM lineitem), f AS (SELECT p_partkey AS id, ['Polygon', 'Polygon', 'LineString'][p_partkey % 3 + 1] AS g FROM part WHERE p_partkey % 4 > 0), r AS (SELECT * FROM p WHERE m NOT IN (SELECT id FROM f))
+QA24 = """WITH p AS (SELECT DISTINCT l_suppkey * 3 AS m, l_partkey * 2 AS h FROM lineitem), f AS (SELECT p_partkey AS id, ['Polygon', 'Polygon',
+  'LineString'][p_partkey % 3 + 1] AS g FROM part WHERE p_partkey % 4 > 0), r AS (SELECT * FROM p WHERE m NOT IN (SELECT id FROM f))
 """ + _sql([
     ("proxy", "m", "'Proxied feature is already on the map'", "(SELECT DISTINCT m FROM p WHERE m IN (SELECT id FROM f))"),
     ("proxy", "m || '/' || h", "'Proxy is missing from the map'", "r WHERE h NOT IN (SELECT id FROM f)"),
@@ -123,7 +128,8 @@ def qa26_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.layer_checks(layers, n.select(F.col("path").alias("map_id"), (k % 20).alias("id")))
 
 
-QA26 = with_frames("path_nodes", body=""", l AS (SELECT path AS m, pos, 'L' || node % 9 AS id, ['base', 'details', 'functional', 'image', 'layer', 'anatomical'][node % 6 + 1] AS kind, CASE WHEN node % 5 > 0 THEN node % 40 END AS f, CASE WHEN node % 11 > 0 THEN node % 4 END AS z FROM path_nodes),
+QA26 = with_frames("path_nodes", body=""", l AS (SELECT path AS m, pos, 'L' || node % 9 AS id, ['base', 'details', 'functional', 'image', 'layer',
+  'anatomical'][node % 6 + 1] AS kind, CASE WHEN node % 5 > 0 THEN node % 40 END AS f, CASE WHEN node % 11 > 0 THEN node % 4 END AS z FROM path_nodes),
 d AS (SELECT * FROM l WHERE kind IN ('details', 'functional', 'anatomical')), f AS (SELECT DISTINCT path AS m, node % 20 AS f FROM path_nodes)
 """) + _sql([
     ("layer", "id", "'Duplicate layer id'", "(SELECT m, id, row_number() OVER (PARTITION BY m, id ORDER BY pos) AS r FROM l) WHERE r > 1"),

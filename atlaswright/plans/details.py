@@ -121,10 +121,12 @@ def jn36_replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("host", "path", "id", *[F.round(c, 6).alias(c) for c in BOX])
 
 
-JN36 = with_frames("features", "containers", recursive=True, body=""", m AS (SELECT id % 10 AS layer, id, CASE WHEN id % 29 = 0 AND id % 10 < 9 THEN id % 10 + 1 END AS d, x0, y0, x1, y1 FROM features),
+JN36 = with_frames("features", "containers", recursive=True, body=""", m AS (SELECT id % 10 AS layer, id, CASE WHEN id % 29 = 0 AND id % 10 < 9 THEN id % 10 + 1 END AS d,
+  x0, y0, x1, y1 FROM features),
 e AS (SELECT layer, min(x0) AS p, min(y0) AS q, (max(x1) - min(x0))::DOUBLE AS w, (max(y1) - min(y0))::DOUBLE AS h FROM m GROUP BY layer),
 r AS (SELECT id AS host, '' AS path, id, id % 10 AS d, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, 0 AS k FROM containers
-  UNION ALL SELECT host, path || '/' || m.id, m.id, m.d, r.x0 + (m.x0 - p) * (r.x1 - r.x0) / w, r.y0 + (m.y0 - q) * (r.y1 - r.y0) / h, r.x0 + (m.x1 - p) * (r.x1 - r.x0) / w, r.y0 + (m.y1 - q) * (r.y1 - r.y0) / h, k + 1
+  UNION ALL SELECT host, path || '/' || m.id, m.id, m.d, r.x0 + (m.x0 - p) * (r.x1 - r.x0) / w, r.y0 + (m.y0 - q) * (r.y1 - r.y0) / h,
+  r.x0 + (m.x1 - p) * (r.x1 - r.x0) / w, r.y0 + (m.y1 - q) * (r.y1 - r.y0) / h, k + 1
   FROM r JOIN m ON m.layer = r.d JOIN e ON e.layer = r.d)
 SELECT host, path, id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM r WHERE k > 0""")
 
@@ -162,7 +164,8 @@ def ag26_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.phenotype_labels(line, labels)
 
 
-AG26 = """WITH s AS (SELECT neuron, string_agg(p, '|' ORDER BY p) AS key, '["' || string_agg(p, '","' ORDER BY p) || '"]' AS j FROM (SELECT DISTINCT l_orderkey AS neuron, 'p' || l_partkey % 3 AS p FROM lineitem) GROUP BY neuron)
+AG26 = """WITH s AS (SELECT neuron, string_agg(p, '|' ORDER BY p) AS key, '["' || string_agg(p, '","' ORDER BY p) || '"]' AS j FROM (SELECT DISTINCT l_orderkey AS neuron,
+  'p' || l_partkey % 3 AS p FROM lineitem) GROUP BY neuron)
 SELECT neuron, coalesce('label ' || (list_position(['p0', 'p1', 'p0|p1', 'p1|p2'], key) - 1), j) AS label FROM s"""
 
 
@@ -183,7 +186,8 @@ def wn9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.label_text(parts, 2.0)
 
 
-WN9 = """WITH p AS (SELECT l_orderkey AS label, l_partkey AS seq, 't' || l_partkey % 10 AS t, min(l_suppkey) % 7 AS b FROM lineitem GROUP BY ALL), q AS (SELECT *, b - first(b) OVER (PARTITION BY label ORDER BY seq) AS r FROM p)
+WN9 = """WITH p AS (SELECT l_orderkey AS label, l_partkey AS seq, 't' || l_partkey % 10 AS t, min(l_suppkey) % 7 AS b FROM lineitem GROUP BY ALL), q AS (SELECT *,
+  b - first(b) OVER (PARTITION BY label ORDER BY seq) AS r FROM p)
 SELECT label, string_agg(CASE WHEN r > 2 THEN '^{' || t || '}' WHEN r < -2 THEN '_{' || t || '}' ELSE t END, '' ORDER BY seq) AS text FROM q GROUP BY label"""
 
 
@@ -196,12 +200,14 @@ def sc22_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.functional_class(shapes, p.where("p_partkey % 10 > 0").select(k.alias("id"), parent.alias("parent")))
 
 
-SC22 = """WITH s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN 'system' WHEN p_partkey % 10 = 0 THEN 'organ' ELSE ['plain', 'vascular', 'nerve', 'vessel'][p_partkey % 4 + 1] END AS paint, p_partkey % 6 = 1 AS port,
+SC22 = """WITH s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN 'system' WHEN p_partkey % 10 = 0 THEN 'organ' ELSE ['plain', 'vascular', 'nerve',
+  'vessel'][p_partkey % 4 + 1] END AS paint, p_partkey % 6 = 1 AS port,
 CASE WHEN p_partkey % 10 > 4 THEN p_partkey - 2 WHEN p_partkey % 10 > 0 THEN p_partkey - p_partkey % 10 END AS parent FROM part),
 u AS (SELECT *, paint <> 'system' AND EXISTS (SELECT 1 FROM s c WHERE c.parent = s.id AND c.port) AS unit FROM s),
 o AS (SELECT *, paint = 'organ' OR (paint <> 'system' AND EXISTS (SELECT 1 FROM u c WHERE c.parent = u.id AND c.unit)) AS organ FROM u),
 r AS (SELECT o.*, EXISTS (SELECT 1 FROM o q WHERE q.id = o.parent AND q.organ AND NOT q.unit AND NOT q.port) AS held FROM o)
-SELECT id, CASE WHEN paint = 'system' THEN 'system' WHEN port THEN 'port' WHEN unit THEN 'unit' WHEN organ THEN 'organ' WHEN paint = 'vascular' AND held THEN 'region' WHEN paint IN ('nerve', 'vessel') THEN paint ELSE 'conduit' END AS class FROM r"""
+SELECT id, CASE WHEN paint = 'system' THEN 'system' WHEN port THEN 'port' WHEN unit THEN 'unit' WHEN organ THEN 'organ' WHEN paint = 'vascular' AND held THEN 'region'
+  WHEN paint IN ('nerve', 'vessel') THEN paint ELSE 'conduit' END AS class FROM r"""
 
 
 def sc23_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,9 +217,12 @@ def sc23_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.line_tests(a.join(b, "a"))
 
 
-SC23 = with_frames("features", body=""", p AS (SELECT f.id AS a, g.id AS b, f.x0 AS p, f.y0 AS q, f.x1 - f.x0 AS dx, f.y1 - f.y0 AS dy, g.x0 AS r, g.y0 AS s, g.x1 - g.x0 AS ex, g.y1 - g.y0 AS ey FROM features f JOIN features g ON g.id + 1 = f.id),
-l AS (SELECT *, sqrt(dx ** 2 + dy ** 2) AS la, sqrt(ex ** 2 + ey ** 2) AS lb, dx * ey - dy * ex AS c, ((r - p) * dx + (s - q) * dy) / sqrt(dx ** 2 + dy ** 2) AS u, ((r + ex - p) * dx + (s + ey - q) * dy) / sqrt(dx ** 2 + dy ** 2) AS v FROM p)
-SELECT a, b, sign(dx * (s - q) - dy * (r - p)) * sign(dx * (s + ey - q) - dy * (r + ex - p)) <= 0 AND sign(ex * (q - s) - ey * (p - r)) * sign(ex * (q + dy - s) - ey * (p + dx - r)) <= 0 AND c <> 0 AS crosses,
+SC23 = with_frames("features", body=""", p AS (SELECT f.id AS a, g.id AS b, f.x0 AS p, f.y0 AS q, f.x1 - f.x0 AS dx, f.y1 - f.y0 AS dy, g.x0 AS r, g.y0 AS s,
+  g.x1 - g.x0 AS ex, g.y1 - g.y0 AS ey FROM features f JOIN features g ON g.id + 1 = f.id),
+l AS (SELECT *, sqrt(dx ** 2 + dy ** 2) AS la, sqrt(ex ** 2 + ey ** 2) AS lb, dx * ey - dy * ex AS c, ((r - p) * dx + (s - q) * dy) / sqrt(dx ** 2 + dy ** 2) AS u,
+  ((r + ex - p) * dx + (s + ey - q) * dy) / sqrt(dx ** 2 + dy ** 2) AS v FROM p)
+SELECT a, b, sign(dx * (s - q) - dy * (r - p)) * sign(dx * (s + ey - q) - dy * (r + ex - p)) <= 0
+  AND sign(ex * (q - s) - ey * (p - r)) * sign(ex * (q + dy - s) - ey * (p + dx - r)) <= 0 AND c <> 0 AS crosses,
 abs(c) < 1e-3 * la * lb AS parallel, round(greatest(least(greatest(u, v), la) - greatest(least(u, v), 0), 0), 6) AS overlap, round(abs((r - p) * dy - (s - q) * dx) / la, 6) AS separation FROM l""")
 
 
@@ -225,7 +234,8 @@ def sc25_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.alias("id"), F.round(details.metres_per_pixel(k * 7919 % 25_000, k * 31 % 9000), 6).alias("metres"), F.round(scale, 6).alias("scale"))
 
 
-SC25 = """WITH p AS (SELECT p_partkey AS k, (p_partkey % 60 + 5) / 20.0::DOUBLE AS a, (p_partkey % 45 + 5) / 30.0::DOUBLE AS b, greatest(p_partkey * 7919 % 25000, p_partkey * 31 % 9000) AS side FROM part)
+SC25 = """WITH p AS (SELECT p_partkey AS k, (p_partkey % 60 + 5) / 20.0::DOUBLE AS a, (p_partkey % 45 + 5) / 30.0::DOUBLE AS b, greatest(p_partkey * 7919 % 25000,
+  p_partkey * 31 % 9000) AS side FROM part)
 SELECT k AS id, round(5000000 / coalesce(list_min(list_filter([50, 100, 200, 500, 1000, 2000, 5000, 10000], lambda s: s > side)), 20000)::DOUBLE, 6) AS metres,
 round(CASE WHEN k % 7 = 0 THEN greatest(a, b) ELSE [a, b, sqrt(a * a + b * b), least(a, b), greatest(a, b)][k % 5 + 1] END, 6) AS scale FROM p"""
 
@@ -250,7 +260,8 @@ def sc33_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.property_changes(changes)
 
 
-SC33 = """WITH c AS (SELECT user_id AS id, event_id AS seq, ['append', 'append', 'set', 'append', 'pop'][event_id * 7 % 11 % 5 + 1] AS op, 'p' || event_id % 2 AS prop, 'v' || event_id % 9 AS value FROM events),
+SC33 = """WITH c AS (SELECT user_id AS id, event_id AS seq, ['append', 'append', 'set', 'append', 'pop'][event_id * 7 % 11 % 5 + 1] AS op, 'p' || event_id % 2 AS prop,
+  'v' || event_id % 9 AS value FROM events),
 l AS (SELECT *, max(seq) FILTER (WHERE op IN ('set', 'pop')) OVER (PARTITION BY id, prop) AS last FROM c)
 SELECT id, prop, '["' || string_agg(value, '","' ORDER BY seq) || '"]' AS value FROM l WHERE (last IS NULL OR seq >= last) AND op <> 'pop' GROUP BY id, prop"""
 
@@ -271,7 +282,8 @@ def sc40_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.directed(lines, f.select("id", F.col("x0").alias("x"), F.col("y0").alias("y")))
 
 
-SC40 = with_frames("features", body=""" SELECT l.id AS line, least((l.x0 - b.x0) ** 2 + (l.y0 - b.y0) ** 2, (l.x1 - a.x0) ** 2 + (l.y1 - a.y0) ** 2) < least((l.x0 - a.x0) ** 2 + (l.y0 - a.y0) ** 2, (l.x1 - b.x0) ** 2 + (l.y1 - b.y0) ** 2) AS reversed
+SC40 = with_frames("features", body=""" SELECT l.id AS line, least((l.x0 - b.x0) ** 2 + (l.y0 - b.y0) ** 2,
+  (l.x1 - a.x0) ** 2 + (l.y1 - a.y0) ** 2) < least((l.x0 - a.x0) ** 2 + (l.y0 - a.y0) ** 2, (l.x1 - b.x0) ** 2 + (l.y1 - b.y0) ** 2) AS reversed
 FROM features l JOIN features a ON a.id = l.id * 3 % 100 JOIN features b ON b.id = l.id * 7 % 100""")
 
 _ALL = {

@@ -65,7 +65,8 @@ def snk5_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.map_documents(n.select(F.col("n_nationkey").alias("map_id"), F.col("n_name").alias("name"), F.concat(F.lit("NCBITaxon:"), "n_regionkey").alias("taxon")), layers, c.select(F.col("c_nationkey").alias("map_id")))
 
 
-SNK5 = """WITH l AS (SELECT k, string_agg('"' || e || '"', ',' ORDER BY e) AS layers FROM (SELECT DISTINCT s_nationkey AS k, 'layer' || s_suppkey % 3 AS e FROM supplier) GROUP BY k), f AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)
+SNK5 = """WITH l AS (SELECT k, string_agg('"' || e || '"', ',' ORDER BY e) AS layers FROM (SELECT DISTINCT s_nationkey AS k, 'layer' || s_suppkey % 3 AS e FROM supplier)
+  GROUP BY k), f AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)
 SELECT n_nationkey AS map_id, '{"id":' || n_nationkey || ',"name":"' || n_name || '","taxon":"NCBITaxon:' || n_regionkey || '","layers":[' || coalesce(layers, '') || '],"features":' || coalesce(n, 0) || '}' AS document
 FROM nation LEFT JOIN l ON l.k = n_nationkey LEFT JOIN f ON f.k = n_nationkey"""
 
@@ -93,7 +94,8 @@ def snk8_neurons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SNK8 = """WITH n AS (SELECT l_orderkey AS neuron, count(DISTINCT l_partkey % 3)::INTEGER AS n_ends FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey % 3) > 1),
-d AS (SELECT l_orderkey AS neuron, arg_max(l_suppkey, (l_shipdate, l_suppkey)) AS e FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1) SELECT neuron, n_ends, e::VARCHAR AS evidence FROM n LEFT JOIN d USING (neuron)"""
+d AS (SELECT l_orderkey AS neuron, arg_max(l_suppkey, (l_shipdate, l_suppkey)) AS e FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1) SELECT neuron, n_ends,
+  e::VARCHAR AS evidence FROM n LEFT JOIN d USING (neuron)"""
 
 
 def snk9_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +129,8 @@ def snk14_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.written_back(sheet, s.where("s_suppkey % 4 <> 1").select(*row))
 
 
-SNK14 = """WITH r AS (SELECT s_suppkey AS k, 'S' || s_suppkey % 5 AS section, CASE WHEN s_suppkey % 2 = 0 THEN 'n' ELSE 'N' END || s_suppkey % 40 AS name, 'p' || s_suppkey % 3 AS parent FROM supplier),
+SNK14 = """WITH r AS (SELECT s_suppkey AS k, 'S' || s_suppkey % 5 AS section, CASE WHEN s_suppkey % 2 = 0 THEN 'n' ELSE 'N' END || s_suppkey % 40 AS name,
+  'p' || s_suppkey % 3 AS parent FROM supplier),
 a AS (SELECT section, name, parent, coalesce(min('T:' || k) FILTER (WHERE k % 3 <> 0), '') AS term FROM r WHERE k % 3 <> 0 OR k % 4 <> 1 GROUP BY ALL)
 SELECT section, (row_number() OVER (PARTITION BY section ORDER BY lower(name), lower(parent), name, parent) - 1)::INTEGER AS "row", name, parent, term FROM a"""
 
@@ -157,7 +160,8 @@ def tl8_zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TL8 = """WITH b AS (SELECT DISTINCT p_brand AS brand, length(p_brand) + ascii(right(p_brand, 1)) AS n FROM part),
-p AS (SELECT p_partkey AS k, n, CASE WHEN n % 3 > 0 THEN n % 5 END AS first, CASE WHEN p_partkey % 5 > 0 THEN log2(sqrt(1e6::DOUBLE / (1000.0::DOUBLE / (1 + p_partkey % 300)))) END AS s FROM part JOIN b ON brand = p_brand)
+p AS (SELECT p_partkey AS k, n, CASE WHEN n % 3 > 0 THEN n % 5 END AS first, CASE
+  WHEN p_partkey % 5 > 0 THEN log2(sqrt(1e6::DOUBLE / (1000.0::DOUBLE / (1 + p_partkey % 300)))) END AS s FROM part JOIN b ON brand = p_brand)
 SELECT k AS id, round(coalesce(s, 10), 9) AS scale, (CASE WHEN k % 9 = 0 THEN k % 14 WHEN first IS NOT NULL THEN greatest(first - 1, 0) WHEN s > 6 AND k % 7 <> 0 THEN 4 END)::VARCHAR AS minzoom,
 CASE WHEN k % 8 = 0 THEN '9' END AS maxzoom, (first + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN n % 4 = 1 THEN 2 ELSE 0 END)::VARCHAR AS image_minzoom FROM p"""
 

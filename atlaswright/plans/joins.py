@@ -22,7 +22,8 @@ def jn1_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.cascade(f, frames.rules(spark, sf_dir))
 
 
-JN1 = with_frames("features", "rules", body=""", c AS (SELECT id, 'Brand#' || (id % 5) AS key, 1 AS p FROM features UNION ALL SELECT id, class, 3 FROM features UNION ALL SELECT id, id::VARCHAR, 9 FROM features)
+JN1 = with_frames("features", "rules", body=""", c AS (SELECT id, 'Brand#' || (id % 5) AS key, 1 AS p FROM features UNION ALL SELECT id, class, 3 FROM features UNION ALL
+  SELECT id, id::VARCHAR, 9 FROM features)
 SELECT id, prop, arg_max(value, p) AS value FROM c JOIN rules r ON r.key = c.key AND (r.scope = 'id') = (p = 9) GROUP BY id, prop""")
 
 
@@ -69,7 +70,8 @@ def jn7_node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 JN7 = """WITH n AS (SELECT p_partkey AS node, p_partkey % 97 AS term, [p_partkey % 53 + 100, p_partkey % 29 + 200] AS layers FROM part),
 f AS (SELECT DISTINCT unnest([p_partkey % 89, p_partkey % 31 + 100, p_partkey % 23 + 200]) AS model, p_partkey AS feature FROM part),
 l AS (SELECT node, layers[i] AS layer, i - 1 AS pos FROM n, (SELECT unnest([1, 2]) AS i) WHERE layers[i] IN (SELECT model FROM f) AND layers[i] NOT BETWEEN 205 AND 209),
-u AS (SELECT node, term, -1 AS pos FROM n WHERE term IN (SELECT model FROM f) UNION ALL SELECT n.node, arg_min(layer, pos), min(pos) FROM n JOIN l USING (node) WHERE term NOT IN (SELECT model FROM f) GROUP BY n.node),
+u AS (SELECT node, term, -1 AS pos FROM n WHERE term IN (SELECT model FROM f) UNION ALL SELECT n.node, arg_min(layer, pos), min(pos) FROM n JOIN l USING (node)
+  WHERE term NOT IN (SELECT model FROM f) GROUP BY n.node),
 r AS (SELECT l.node, layer FROM l JOIN u USING (node) WHERE l.pos > u.pos), c AS (SELECT DISTINCT node, feature FROM u JOIN f ON f.model = u.term),
 x AS (SELECT c.*, EXISTS (SELECT 1 FROM r JOIN f ON f.model = r.layer WHERE r.node = c.node AND f.feature = c.feature AND (c.feature + r.layer) % 2 = 0) AS fits,
   EXISTS (SELECT 1 FROM r WHERE r.node = c.node) AS held FROM c)
@@ -84,7 +86,8 @@ def jn9_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.proxy_features(d, f)
 
 
-JN9 = with_frames("features", body=""", f AS (SELECT id, id % 40 AS model FROM features), d AS (SELECT feature, ord, CASE ord WHEN 0 THEN feature * 3 % 60 ELSE feature * 7 % 60 END AS proxy FROM (SELECT s_suppkey AS feature FROM supplier), (SELECT unnest([0, 1]) AS ord))
+JN9 = with_frames("features", body=""", f AS (SELECT id, id % 40 AS model FROM features), d AS (SELECT feature, ord, CASE ord WHEN 0 THEN feature * 3 % 60
+  ELSE feature * 7 % 60 END AS proxy FROM (SELECT s_suppkey AS feature FROM supplier), (SELECT unnest([0, 1]) AS ord))
 SELECT feature, id AS host, (row_number() OVER (PARTITION BY id ORDER BY feature, ord) - 1)::INTEGER AS seq FROM d JOIN f ON f.model = proxy WHERE feature NOT IN (SELECT model FROM f)""")
 
 
@@ -98,7 +101,8 @@ def jn32_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JN32 = """WITH a AS (SELECT p_type AS name, p_brand AS parent, p_size AS term FROM part WHERE p_size < 20),
 p AS (SELECT list_sort([name, parent]) AS k, min(term) AS t FROM a GROUP BY k HAVING count(DISTINCT term) = 1), s AS (SELECT name, min(term) AS t FROM a GROUP BY name HAVING count(DISTINCT term) = 1)
-SELECT n.name, n.parent, coalesce(p.t, s.t)::VARCHAR AS term FROM (SELECT DISTINCT p_type AS name, p_brand AS parent FROM part) n LEFT JOIN p ON p.k = list_sort([n.name, n.parent]) LEFT JOIN s ON s.name = n.name"""
+SELECT n.name, n.parent, coalesce(p.t, s.t)::VARCHAR AS term FROM (SELECT DISTINCT p_type AS name, p_brand AS parent FROM part) n LEFT JOIN p ON p.k = list_sort([n.name,
+  n.parent]) LEFT JOIN s ON s.name = n.name"""
 
 
 def jn38_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +174,8 @@ def jn15_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JN15 = with_frames("features", body=f""", a AS (SELECT id, x0 + id % 4 AS x0, y0, x1 + id % 4 AS x1, y1, class FROM features WHERE id % 2 = 0),
-p AS (SELECT a.id, b.id AS base_id, {_OVER} AS c, least({_OVER} / ({_AREA.format('a')})::DOUBLE, {_OVER} / ({_AREA.format('b')})::DOUBLE) AS s, a.class = b.class AS same FROM a JOIN features b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+p AS (SELECT a.id, b.id AS base_id, {_OVER} AS c, least({_OVER} / ({_AREA.format('a')})::DOUBLE, {_OVER} / ({_AREA.format('b')})::DOUBLE) AS s, a.class = b.class AS same
+  FROM a JOIN features b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
 t AS (SELECT *, CASE WHEN s >= 0.98 THEN 1 WHEN s >= 0.8 THEN 2 WHEN same THEN 3 END AS tier FROM p)
 SELECT id, base_id, tier::INTEGER AS tier FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, c DESC, base_id) = 1""")
 
@@ -183,7 +188,8 @@ def jn16_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(_ends(spark, sf_dir), frames.points(spark, sf_dir), 40).withColumn("connector", F.col("connector").cast("string"))
 
 
-JN16 = with_frames("features", "points", body=""", p AS (SELECT f.id, p.id AS c, (f.x0 - x) ** 2 + (f.y0 - y) ** 2 AS d FROM features f JOIN points p ON x BETWEEN f.x0 - 40 AND f.x0 + 40 AND y BETWEEN f.y0 - 40 AND f.y0 + 40),
+JN16 = with_frames("features", "points", body=""", p AS (SELECT f.id, p.id AS c, (f.x0 - x) ** 2 + (f.y0 - y) ** 2 AS d FROM features f
+  JOIN points p ON x BETWEEN f.x0 - 40 AND f.x0 + 40 AND y BETWEEN f.y0 - 40 AND f.y0 + 40),
 m AS (SELECT id, c, d FROM p WHERE d < 1600 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)
 SELECT f.id, c::VARCHAR AS connector, round(sqrt(d), 6) AS distance FROM features f LEFT JOIN m USING (id)""")
 
@@ -194,7 +200,8 @@ def jn17_all_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.all_nearest(e, snap, 3).withColumn("connectors", _text("connectors"))
 
 
-JN17 = with_frames("features", "points", body=""", p AS (SELECT f.id, p.id AS c, (f.x0 // 25 - x // 25) ** 2 + (f.y0 // 25 - y // 25) ** 2 AS d FROM features f JOIN points p ON abs(x // 25 - f.x0 // 25) <= 3 AND abs(y // 25 - f.y0 // 25) <= 3),
+JN17 = with_frames("features", "points", body=""", p AS (SELECT f.id, p.id AS c, (f.x0 // 25 - x // 25) ** 2 + (f.y0 // 25 - y // 25) ** 2 AS d FROM features f
+  JOIN points p ON abs(x // 25 - f.x0 // 25) <= 3 AND abs(y // 25 - f.y0 // 25) <= 3),
 m AS (SELECT id, c FROM p WHERE d < 9 QUALIFY d = min(d) OVER (PARTITION BY id))
 SELECT id, string_agg(c::VARCHAR, ',' ORDER BY c) AS connectors, CASE count(*) WHEN 1 THEN 'skip' WHEN 2 THEN 'join' ELSE 'flag' END AS action FROM m GROUP BY id""")
 
@@ -219,7 +226,8 @@ def tl4_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.tiles_of_boxes(frames.features(spark, sf_dir), 64).groupBy("tx", "ty").agg(F.count("*").alias("n"))
 
 
-TL4 = with_frames("features", body=""" SELECT tx::INTEGER AS tx, ty::INTEGER AS ty, count(*) AS n FROM (SELECT tx, unnest(range(y0 // 64, y1 // 64 + 1)) AS ty FROM (SELECT y0, y1, unnest(range(x0 // 64, x1 // 64 + 1)) AS tx FROM features)) GROUP BY ALL""")
+TL4 = with_frames("features", body=""" SELECT tx::INTEGER AS tx, ty::INTEGER AS ty, count(*) AS n FROM (SELECT tx, unnest(range(y0 // 64, y1 // 64 + 1)) AS ty
+  FROM (SELECT y0, y1, unnest(range(x0 // 64, x1 // 64 + 1)) AS tx FROM features)) GROUP BY ALL""")
 
 
 def wn5_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +244,8 @@ def wn8_text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WN8 = """WITH RECURSIVE t AS (SELECT p_brand AS g, p_partkey AS seq, p_size AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, p_size) AS k FROM part),
-r AS (SELECT g, k, seq, b AS head, 1 AS c FROM t WHERE k = 1 UNION ALL SELECT t.g, t.k, t.seq, CASE WHEN abs(t.b - head) > 12 THEN t.b ELSE head END, c + CASE WHEN abs(t.b - head) > 12 THEN 1 ELSE 0 END FROM r JOIN t ON t.g = r.g AND t.k = r.k + 1)
+r AS (SELECT g, k, seq, b AS head, 1 AS c FROM t WHERE k = 1 UNION ALL SELECT t.g, t.k, t.seq, CASE WHEN abs(t.b - head) > 12 THEN t.b ELSE head END, c + CASE
+  WHEN abs(t.b - head) > 12 THEN 1 ELSE 0 END FROM r JOIN t ON t.g = r.g AND t.k = r.k + 1)
 SELECT g AS "group", seq, c::INTEGER AS cluster FROM r"""
 
 
@@ -249,7 +258,8 @@ def wn14_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WN14 = """WITH r AS (SELECT p_partkey AS id, replace(p_brand, '#', '') AS class, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
 t AS (SELECT DISTINCT class || '-' || (id // 10 % 20 + 1) AS name FROM r WHERE id % 10 = 0),
-n AS (SELECT class, class || '-' || i AS name, row_number() OVER (PARTITION BY class ORDER BY i) AS k FROM (SELECT DISTINCT class FROM r), (SELECT unnest(range(1, (SELECT max(k) + 30 FROM r))) AS i) WHERE class || '-' || i NOT IN (SELECT name FROM t))
+n AS (SELECT class, class || '-' || i AS name, row_number() OVER (PARTITION BY class ORDER BY i) AS k FROM (SELECT DISTINCT class FROM r), (SELECT unnest(range(1,
+  (SELECT max(k) + 30 FROM r))) AS i) WHERE class || '-' || i NOT IN (SELECT name FROM t))
 SELECT r.id, r.class, n.name FROM r JOIN n ON n.class = r.class AND n.k = r.k"""
 
 
@@ -259,7 +269,8 @@ def tk1_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.top_k(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector")), 5)
 
 
-TK1 = """WITH s AS (SELECT q.vec_id AS query, t.vec_id AS term, round(list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0)
+TK1 = """WITH s AS (SELECT q.vec_id AS query, t.vec_id AS term, round(list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings q,
+  embeddings t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0)
 SELECT query, term, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, term))::INTEGER AS rank FROM s QUALIFY rank <= 5"""
 
 
@@ -287,7 +298,8 @@ def ag18_merged_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.merged_aliases(lists(a.where("ord = 0"), "first "), lists(a.where("ord = 1 or alias % 3 = 0"), "second ")).withColumn("aliases", _text("aliases"))
 
 
-AG18 = with_frames("aliases", body=""" SELECT canonical AS id, CASE WHEN bool_or(ord = 0) THEN 'first ' ELSE 'second ' END || canonical AS name, array_to_string(list_sort(list(DISTINCT alias)), ',') AS aliases FROM aliases GROUP BY canonical""")
+AG18 = with_frames("aliases", body=""" SELECT canonical AS id, CASE WHEN bool_or(ord = 0) THEN 'first ' ELSE 'second ' END || canonical AS name,
+  array_to_string(list_sort(list(DISTINCT alias)), ',') AS aliases FROM aliases GROUP BY canonical""")
 
 
 def flt1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +338,8 @@ QA = with_frames("features", "aliases", "rules", "markup", body=""", u AS (
 SELECT 'drawn' AS type, 'QA-3' AS code, name AS location, 'Drawn more than once: ' || count(*) AS issue FROM features GROUP BY name HAVING count(*) > 1
 UNION ALL SELECT 'alias', 'QA-5', alias::VARCHAR, 'Alias of several: ' || array_to_string(list_sort(list(DISTINCT canonical)), ', ') FROM aliases GROUP BY alias HAVING count(DISTINCT canonical) > 1
 UNION ALL SELECT DISTINCT 'class', 'QA-4', class, 'Class has no rule' FROM features WHERE class NOT IN (SELECT key FROM rules WHERE scope = 'class' AND value LIKE '%3%')
-UNION ALL SELECT 'markup', 'QA-20', id::VARCHAR, CASE WHEN markup LIKE '% styling%' THEN '''styling'' element can''t have an ''id'' nor ''class''' ELSE 'Syntax error' END FROM markup WHERE markup LIKE '% styling%' OR markup LIKE '%path(%')
+UNION ALL SELECT 'markup', 'QA-20', id::VARCHAR, CASE WHEN markup LIKE '% styling%' THEN '''styling'' element can''t have an ''id'' nor ''class''' ELSE 'Syntax error' END
+  FROM markup WHERE markup LIKE '% styling%' OR markup LIKE '%path(%')
 SELECT 0::BIGINT AS map_id, * FROM u""")
 
 
@@ -337,7 +350,8 @@ def snk1_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.geojson(f.select("id", F.lit("base/main").alias("layer"), "x0", "y0", "x1", "y1", props.alias("props"))).select("tile_layer", "id", "feature")
 
 
-SNK1 = with_frames("features", body=""" SELECT 'base_main_features' AS tile_layer, id, '{"type":"Feature","id":' || id || ',"geometry":{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]},"properties":{"label":"' || name || '","models":"' || model || '"'
+SNK1 = with_frames("features", body=""" SELECT 'base_main_features' AS tile_layer, id,
+  '{"type":"Feature","id":' || id || ',"geometry":{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]},"properties":{"label":"' || name || '","models":"' || model || '"'
  || CASE WHEN size > 25 THEN ',"kind":"organ"' ELSE '' END || '}}' AS feature FROM features""")
 
 

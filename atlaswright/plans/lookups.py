@@ -49,7 +49,8 @@ def src4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SRC4 = """SELECT s_nationkey AS map_id, 'class' AS scope, 'c' || s_suppkey % 3 AS key, 'label' AS prop, 'L' || max(s_suppkey) AS value FROM supplier GROUP BY s_nationkey, s_suppkey % 3
 UNION ALL SELECT s_nationkey, 'id', 'f_' || s_suppkey % 4, 'type', 'T' || max(s_suppkey) FROM supplier GROUP BY s_nationkey, s_suppkey % 4
-UNION ALL SELECT s_nationkey, 'id', 'f_' || s_suppkey % 4, 'associated-details', CASE WHEN max(s_suppkey) % 4 = 0 THEN '["one"]' ELSE '["one","two"]' END FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY s_nationkey, s_suppkey % 4"""
+UNION ALL SELECT s_nationkey, 'id', 'f_' || s_suppkey % 4, 'associated-details', CASE WHEN max(s_suppkey) % 4 = 0 THEN '["one"]' ELSE '["one","two"]' END FROM supplier
+  WHERE s_suppkey % 2 = 0 GROUP BY s_nationkey, s_suppkey % 4"""
 
 
 def src13_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,8 @@ def src13_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("id"), F.array_join(F.transform(shape, lambda p: F.concat_ws(" ", p["x"].cast("long"), p["y"].cast("long"))), ",").alias("vertices"))
 
 
-SRC13 = with_frames("containers", body=""" SELECT id, CASE WHEN id % 4 <> 0 THEN x0 || ' ' || y0 || ',' || x1 || ' ' || y0 || ',' || x1 || ' ' || y1 || ',' || x0 || ' ' || y1 || ',' || x0 || ' ' || y0 END AS vertices FROM containers""")
+SRC13 = with_frames("containers", body=""" SELECT id, CASE
+  WHEN id % 4 <> 0 THEN x0 || ' ' || y0 || ',' || x1 || ' ' || y0 || ',' || x1 || ' ' || y1 || ',' || x0 || ' ' || y1 || ',' || x0 || ' ' || y0 END AS vertices FROM containers""")
 
 
 def snk3_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,8 @@ def snk11_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.publications(o.select(k.alias("path"), cited.alias("publications")), details).withColumn("publication", F.col("publication").cast("string")).select("path", "publication", "title")
 
 
-SNK11 = """SELECT path, x::VARCHAR AS publication, n_name AS title FROM (SELECT o_orderkey AS path, unnest(CASE WHEN o_orderkey % 4 > 0 THEN list_distinct([o_orderkey % 30, o_orderkey % 7]) ELSE [NULL] END) AS x FROM orders) LEFT JOIN nation ON n_nationkey = x"""
+SNK11 = """SELECT path, x::VARCHAR AS publication, n_name AS title FROM (SELECT o_orderkey AS path, unnest(CASE
+  WHEN o_orderkey % 4 > 0 THEN list_distinct([o_orderkey % 30, o_orderkey % 7]) ELSE [NULL] END) AS x FROM orders) LEFT JOIN nation ON n_nationkey = x"""
 
 
 def snk15_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +98,10 @@ def snk15_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.shape_triples(shapes)
 
 
-SNK15 = """WITH s AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS s, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS label, CASE WHEN p_partkey % 4 = 0 THEN upper(p_brand) ELSE p_type END AS name FROM part)
-SELECT s, 'type' AS p, ['component', 'connection'][k % 2 + 1] AS o FROM s UNION ALL SELECT s, 'label', label FROM s WHERE label IS NOT NULL UNION ALL SELECT s, 'comment', name FROM s WHERE lower(name) <> lower(label)
+SNK15 = """WITH s AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS s, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS label, CASE
+  WHEN p_partkey % 4 = 0 THEN upper(p_brand) ELSE p_type END AS name FROM part)
+SELECT s, 'type' AS p, ['component', 'connection'][k % 2 + 1] AS o FROM s UNION ALL SELECT s, 'label', label FROM s WHERE label IS NOT NULL UNION ALL SELECT s, 'comment',
+  name FROM s WHERE lower(name) <> lower(label)
 UNION ALL SELECT s, 'hasSource', (k + 1)::VARCHAR FROM s WHERE k % 2 = 1 UNION ALL SELECT s, 'hasTarget', (k + 2)::VARCHAR FROM s WHERE k % 6 = 1"""
 
 
@@ -169,7 +174,8 @@ def flt11_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLT11 = """WITH g AS (SELECT p_partkey AS k, p_partkey - p_partkey % 10 AS p FROM part)
 SELECT c.k AS id, 'id=' || c.k || ';' || CASE WHEN u.k IS NULL OR u.k % 3 = c.k % 3 THEN 'q' || c.k % 3 || '=v' || c.k
-WHEN u.k % 3 < c.k % 3 THEN 'q' || u.k % 3 || '=v' || u.k || ';q' || c.k % 3 || '=v' || c.k ELSE 'q' || c.k % 3 || '=v' || c.k || ';q' || u.k % 3 || '=v' || u.k END AS props FROM g c LEFT JOIN g u ON u.k = c.p"""
+WHEN u.k % 3 < c.k % 3 THEN 'q' || u.k % 3 || '=v' || u.k || ';q' || c.k % 3 || '=v' || c.k
+  ELSE 'q' || c.k % 3 || '=v' || c.k || ';q' || u.k % 3 || '=v' || u.k END AS props FROM g c LEFT JOIN g u ON u.k = c.p"""
 
 
 def flt12_painted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +207,8 @@ def jn2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JN2 = """WITH a AS (SELECT p_brand AS class, 'T:' || min(p_partkey) AS term FROM part WHERE p_size > 40 GROUP BY 1)
-SELECT p_partkey AS id, p_brand AS class, coalesce(term, '') AS term FROM part LEFT JOIN a ON class = p_brand UNION ALL SELECT DISTINCT -1, p_brand, 'none' FROM part WHERE p_brand NOT IN (SELECT class FROM a)"""
+SELECT p_partkey AS id, p_brand AS class, coalesce(term, '') AS term FROM part LEFT JOIN a ON class = p_brand UNION ALL SELECT DISTINCT -1, p_brand, 'none' FROM part
+  WHERE p_brand NOT IN (SELECT class FROM a)"""
 
 
 def jn4_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +227,11 @@ def jn5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.coalesce(_text("line_paths"), F.lit("")).alias("lines"), F.coalesce(_text("nerve_paths"), F.lit("")).alias("nerves"), F.coalesce("type", F.lit("")).alias("type"))
 
 
-JN5 = with_frames("path_nodes", body=""", d AS (SELECT DISTINCT node, path FROM path_nodes), l AS (SELECT node, string_agg(path::VARCHAR, ',' ORDER BY path) AS l FROM d WHERE path % 5 = 0 GROUP BY node),
+JN5 = with_frames("path_nodes", body=""", d AS (SELECT DISTINCT node, path FROM path_nodes), l AS (SELECT node, string_agg(path::VARCHAR, ',' ORDER BY path) AS l FROM d
+  WHERE path % 5 = 0 GROUP BY node),
 v AS (SELECT node, string_agg(path::VARCHAR, ',' ORDER BY path) AS v FROM d WHERE path % 3 = 0 GROUP BY node)
-SELECT p_partkey AS id, coalesce(l, '') AS lines, coalesce(v, '') AS nerves, CASE WHEN l IS NOT NULL THEN 'line' WHEN v IS NOT NULL THEN 'nerve' ELSE '' END AS type FROM part LEFT JOIN l ON l.node = p_partkey LEFT JOIN v ON v.node = p_partkey""")
+SELECT p_partkey AS id, coalesce(l, '') AS lines, coalesce(v, '') AS nerves, CASE WHEN l IS NOT NULL THEN 'line' WHEN v IS NOT NULL THEN 'nerve' ELSE '' END AS type
+  FROM part LEFT JOIN l ON l.node = p_partkey LEFT JOIN v ON v.node = p_partkey""")
 
 
 def jn8_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +256,8 @@ def jn10_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JN10R = with_frames("features", "containers", body=""" SELECT b.id AS diamond, a.id AS feature FROM features a JOIN containers b ON b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1
-WHERE greatest(abs(2 * a.x0 - b.x0 - b.x1), abs(2 * a.x1 - b.x0 - b.x1)) * (b.y1 - b.y0) + greatest(abs(2 * a.y0 - b.y0 - b.y1), abs(2 * a.y1 - b.y0 - b.y1)) * (b.x1 - b.x0) <= (b.x1 - b.x0) * (b.y1 - b.y0)""")
+WHERE greatest(abs(2 * a.x0 - b.x0 - b.x1), abs(2 * a.x1 - b.x0 - b.x1)) * (b.y1 - b.y0) + greatest(abs(2 * a.y0 - b.y0 - b.y1),
+  abs(2 * a.y1 - b.y0 - b.y1)) * (b.x1 - b.x0) <= (b.x1 - b.x0) * (b.y1 - b.y0)""")
 
 
 def jn11_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +277,8 @@ def jn19_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JN19 = with_frames("features", "containers", body=""", p AS (SELECT b.id + 10000000 AS line, a.id AS component, b.x1 - b.x0 AS dx, b.y1 - b.y0 AS dy, sqrt((a.x1 - a.x0) * (a.y1 - a.y0)) AS size,
 least(least((a.x1 - b.x0) / (b.x1 - b.x0)::DOUBLE, (a.y1 - b.y0) / (b.y1 - b.y0)::DOUBLE), 1) - greatest((a.x0 - b.x0) / (b.x1 - b.x0)::DOUBLE, (a.y0 - b.y0) / (b.y1 - b.y0)::DOUBLE, 0) AS span
-FROM features a JOIN containers b ON a.id % 3 = b.id % 3 AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) SELECT line, component FROM p WHERE greatest(span, 0) * sqrt(dx ** 2 + dy ** 2) > size""")
+FROM features a JOIN containers b ON a.id % 3 = b.id % 3 AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) SELECT line, component FROM p
+  WHERE greatest(span, 0) * sqrt(dx ** 2 + dy ** 2) > size""")
 
 
 def _inverted(name: str, key: str, value: str, by: int):
@@ -292,7 +303,8 @@ def ag30_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.vocabulary([rows("p_size > 10"), rows("p_size < 5")], table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")), labels)
 
 
-AG30 = """SELECT DISTINCT 'T:' || p.p_partkey // 4 AS term, coalesce(lower(n.p_name), 't:' || p.p_partkey // 4) AS label FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey // 4 AND n.p_partkey % 4 > 0
+AG30 = """SELECT DISTINCT 'T:' || p.p_partkey // 4 AS term, coalesce(lower(n.p_name), 't:' || p.p_partkey // 4) AS label FROM part p LEFT
+  JOIN part n ON n.p_partkey = p.p_partkey // 4 AND n.p_partkey % 4 > 0
 WHERE (p.p_size > 10 OR p.p_size < 5) AND p.p_partkey IN (SELECT l_partkey FROM lineitem)"""
 
 
@@ -302,7 +314,8 @@ def wn15_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.ordered_neighbours(e, places).withColumn("neighbours", _text("neighbours"))
 
 
-WN15 = with_frames("path_edges", "features", body=""", d AS (SELECT DISTINCT src % 60 AS a, dst % 60 AS b FROM path_edges WHERE dst > src AND src % 60 <> dst % 60), e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
+WN15 = with_frames("path_edges", "features", body=""", d AS (SELECT DISTINCT src % 60 AS a, dst % 60 AS b FROM path_edges WHERE dst > src AND src % 60 <> dst % 60),
+  e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
 n AS (SELECT e.a AS node, e.b, round(atan2(q.y0 - p.y0, q.x0 - p.x0), 9) AS t FROM e JOIN features p ON p.id = e.a JOIN features q ON q.id = e.b)
 SELECT node, string_agg(b::VARCHAR, ',' ORDER BY CASE WHEN t < 0 THEN t + 6.283185307::DOUBLE ELSE t END, b) AS neighbours FROM n GROUP BY node HAVING count(*) > 2""")
 
@@ -315,8 +328,10 @@ def sc21_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SC21 = """WITH s AS (SELECT p_partkey AS k, p_partkey % 3 = 1 AS multi, p_partkey % 3 = 2 AS line, (p_partkey % 40)::DOUBLE / 20000 AS b, (p_partkey % 101)::DOUBLE / 100 AS c FROM part)
-SELECT k AS id, CASE WHEN k % 23 = 0 THEN 'excluded' WHEN b > 0.001::DOUBLE AND multi THEN 'boundary' WHEN k % 2 = 0 AND c < 0.5::DOUBLE AND b < 0.001::DOUBLE THEN 'excluded' WHEN line OR (c < 0.4::DOUBLE AND NOT multi) THEN 'connection' WHEN k % 6 = 4 THEN 'port'
-WHEN b > 0.001::DOUBLE AND c > 0.9::DOUBLE THEN 'component' WHEN b < 0.0003::DOUBLE AND c > 0.7::DOUBLE AND c <= 0.8::DOUBLE THEN 'annotation' WHEN b < 0.001::DOUBLE AND c > 0.75::DOUBLE THEN 'component' ELSE 'unclassified' END AS type FROM s"""
+SELECT k AS id, CASE WHEN k % 23 = 0 THEN 'excluded' WHEN b > 0.001::DOUBLE AND multi THEN 'boundary' WHEN k % 2 = 0 AND c < 0.5::DOUBLE
+  AND b < 0.001::DOUBLE THEN 'excluded' WHEN line OR (c < 0.4::DOUBLE AND NOT multi) THEN 'connection' WHEN k % 6 = 4 THEN 'port'
+WHEN b > 0.001::DOUBLE AND c > 0.9::DOUBLE THEN 'component' WHEN b < 0.0003::DOUBLE AND c > 0.7::DOUBLE AND c <= 0.8::DOUBLE THEN 'annotation' WHEN b < 0.001::DOUBLE
+  AND c > 0.75::DOUBLE THEN 'component' ELSE 'unclassified' END AS type FROM s"""
 
 
 def sc24_directions(spark: SparkSession, sf_dir: str) -> DataFrame:

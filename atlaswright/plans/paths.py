@@ -49,7 +49,8 @@ def gr1_edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.undirected(frames.path_edges(spark, sf_dir))
 
 
-GR1 = with_frames("path_edges", body=""" SELECT path, least(src, dst) AS a, greatest(src, dst) AS b, (min((src, dst)))[1] AS predecessor, (min((src, dst)))[2] AS successor FROM path_edges GROUP BY path, least(src, dst), greatest(src, dst)""")
+GR1 = with_frames("path_edges", body=""" SELECT path, least(src, dst) AS a, greatest(src, dst) AS b, (min((src, dst)))[1] AS predecessor, (min((src,
+  dst)))[2] AS successor FROM path_edges GROUP BY path, least(src, dst), greatest(src, dst)""")
 
 
 def gr2_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,8 @@ a{k} AS (SELECT b.path, src AS n, -1 AS side FROM b{k} b JOIN p{k} p ON b.path =
 t{k} AS (SELECT path, count(DISTINCT side) = 2 AS through FROM a{k} GROUP BY path),
 b{k + 1} AS (SELECT path, src, dst, bool_or(complete) AS complete FROM (
   SELECT b.path, src, dst, complete FROM b{k} b LEFT JOIN p{k} p USING (path) WHERE node IS NULL OR (src <> node AND dst <> node)
-  UNION ALL SELECT x.path, x.n, y.n, false FROM a{k} x JOIN t{k} t USING (path) JOIN a{k} y ON x.path = y.path WHERE x.n <> y.n AND ((through AND x.side = -1 AND y.side = 1) OR (NOT through AND x.n < y.n))) GROUP BY ALL)"""
+  UNION ALL SELECT x.path, x.n, y.n, false FROM a{k} x JOIN t{k} t USING (path) JOIN a{k} y ON x.path = y.path WHERE x.n <> y.n AND ((through AND x.side = -1
+  AND y.side = 1) OR (NOT through AND x.n < y.n))) GROUP BY ALL)"""
     return out + f" SELECT * FROM b{rounds}"
 
 
@@ -124,12 +126,15 @@ def _folded(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 GR8 = with_frames("path_edges", recursive=True, body=""", f AS (SELECT path, src % 12 AS s, dst % 12 AS t FROM path_edges WHERE src % 12 <> dst % 12),
 e AS (SELECT path, s AS node, t AS nb FROM f UNION SELECT path, t, s FROM f), d AS (SELECT path, node, count(*) AS n FROM e GROUP BY ALL),
 w AS (SELECT e.path, e.node AS a, e.node AS last, e.nb AS node, []::BIGINT[] AS via FROM e JOIN d USING (path, node) WHERE d.n <> 2
-  UNION ALL SELECT w.path, w.a, w.node, e.nb, list_append(via, w.node) FROM w JOIN d ON d.path = w.path AND d.node = w.node AND d.n = 2 JOIN e ON e.path = w.path AND e.node = w.node AND e.nb <> w.last)
-SELECT w.path, a, w.node AS b, coalesce(list_aggregate(via, 'string_agg', ','), '') AS "inner" FROM w JOIN d ON d.path = w.path AND d.node = w.node AND d.n <> 2 WHERE a < w.node OR (a = w.node AND via[1] <= via[-1])""")
+  UNION ALL SELECT w.path, w.a, w.node, e.nb, list_append(via, w.node) FROM w JOIN d ON d.path = w.path AND d.node = w.node AND d.n = 2 JOIN e ON e.path = w.path
+  AND e.node = w.node AND e.nb <> w.last)
+SELECT w.path, a, w.node AS b, coalesce(list_aggregate(via, 'string_agg', ','), '') AS "inner" FROM w JOIN d ON d.path = w.path AND d.node = w.node AND d.n <> 2
+  WHERE a < w.node OR (a = w.node AND via[1] <= via[-1])""")
 
 
 def _route(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Routes over seven features; the parts behind three of them are connectivity nodes; edges whose ends add up to a multiple of 3 are completing ones."""
+    """Routes over seven features; the parts behind three of them are connectivity nodes; edges whose ends add up to a multiple of
+    3 are completing ones."""
     route = graph.undirected(_folded(spark, sf_dir, 7)).select("path", "a", "b")
     kept = frames.path_nodes(spark, sf_dir).where("node % 7 < 3")
     following = F.lead("node").over(Window.partitionBy("path").orderBy("pos"))
@@ -143,16 +148,20 @@ def gr18_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.join(gone.withColumn("removed", F.lit(True)), ["path", "a", "b"], "left").select("path", "a", "b", F.coalesce("removed", F.lit(False)).alias("removed"))
 
 
-GR18 = with_frames("path_edges", "path_nodes", recursive=True, body=""", r AS (SELECT DISTINCT path, least(src % 7, dst % 7) AS a, greatest(src % 7, dst % 7) AS b FROM path_edges WHERE src % 7 <> dst % 7),
+GR18 = with_frames("path_edges", "path_nodes", recursive=True, body=""", r AS (SELECT DISTINCT path, least(src % 7, dst % 7) AS a, greatest(src % 7, dst % 7) AS b
+  FROM path_edges WHERE src % 7 <> dst % 7),
 re AS (SELECT path, a AS node, b AS nb FROM r UNION ALL SELECT path, b, a FROM r), q AS (SELECT * FROM r WHERE (a + b) % 3 = 0),
 k AS (SELECT path, pos, node FROM path_nodes WHERE node % 7 < 3), cf AS (SELECT path, node AS s, lead(node) OVER (PARTITION BY path ORDER BY pos) AS t FROM k),
 ce AS (SELECT path, s AS node, t AS nb FROM cf WHERE t IS NOT NULL AND s <> t UNION SELECT path, t, s FROM cf WHERE t IS NOT NULL AND s <> t),
 w AS (SELECT path, a, b, [a] AS v FROM q UNION ALL SELECT w.path, w.a, w.b, list_append(v, nb) FROM w JOIN re ON re.path = w.path AND re.node = v[-1] WHERE v[-1] <> w.b AND NOT list_contains(v, nb)),
 sp AS (SELECT path, a, b, v, count(*) OVER (PARTITION BY path, a, b) AS have FROM w WHERE v[-1] = b),
-h AS (SELECT path, a, b, min(k.node) AS m, max(k.node) AS n FROM (SELECT DISTINCT path, a, b, unnest(v) AS f FROM sp WHERE have > 1) JOIN (SELECT DISTINCT path, node FROM k) k USING (path) WHERE k.node % 7 = f GROUP BY ALL HAVING count(DISTINCT k.node) = 2),
-u AS (SELECT DISTINCT path, m, n, [m] AS v FROM h UNION ALL SELECT u.path, u.m, u.n, list_append(v, nb) FROM u JOIN ce ON ce.path = u.path AND ce.node = v[-1] WHERE v[-1] <> u.n AND NOT list_contains(v, nb)),
+h AS (SELECT path, a, b, min(k.node) AS m, max(k.node) AS n FROM (SELECT DISTINCT path, a, b, unnest(v) AS f FROM sp WHERE have > 1) JOIN (SELECT DISTINCT path, node
+  FROM k) k USING (path) WHERE k.node % 7 = f GROUP BY ALL HAVING count(DISTINCT k.node) = 2),
+u AS (SELECT DISTINCT path, m, n, [m] AS v FROM h UNION ALL SELECT u.path, u.m, u.n, list_append(v, nb) FROM u JOIN ce ON ce.path = u.path AND ce.node = v[-1]
+  WHERE v[-1] <> u.n AND NOT list_contains(v, nb)),
 need AS (SELECT path, m, n, count(*) AS c FROM u WHERE v[-1] = n GROUP BY ALL),
-x AS (SELECT path, v FROM (SELECT sp.path, sp.v, row_number() OVER (PARTITION BY sp.path, sp.a, sp.b ORDER BY len(sp.v) DESC, sp.v) AS place, coalesce(c, 0) AS c FROM sp JOIN h USING (path, a, b) LEFT JOIN need USING (path, m, n)) WHERE place > c),
+x AS (SELECT path, v FROM (SELECT sp.path, sp.v, row_number() OVER (PARTITION BY sp.path, sp.a, sp.b ORDER BY len(sp.v) DESC, sp.v) AS place, coalesce(c, 0) AS c FROM sp
+  JOIN h USING (path, a, b) LEFT JOIN need USING (path, m, n)) WHERE place > c),
 g AS (SELECT DISTINCT path, least(v[i], v[i + 1]) AS a, greatest(v[i], v[i + 1]) AS b FROM (SELECT path, v, unnest(range(1, len(v))) AS i FROM x))
 SELECT r.path, r.a, r.b, g.path IS NOT NULL AS removed FROM r LEFT JOIN g USING (path, a, b)""")
 
@@ -180,7 +189,8 @@ def gr10_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(e)
 
 
-GR10 = with_frames("path_edges", recursive=True, body=""", x AS (SELECT 'O' || l_orderkey AS a, 'P' || l_partkey % 1000 || '/' || l_suppkey || '/' || round(l_discount * 100)::INTEGER || '/' || l_quantity::INTEGER AS b FROM lineitem),
+GR10 = with_frames("path_edges", recursive=True, body=""", x AS (SELECT 'O' || l_orderkey AS a,
+  'P' || l_partkey % 1000 || '/' || l_suppkey || '/' || round(l_discount * 100)::INTEGER || '/' || l_quantity::INTEGER AS b FROM lineitem),
 e AS (SELECT a, b FROM x UNION SELECT b, a FROM x), r AS (SELECT DISTINCT a AS id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b)
 SELECT id, min(m) AS component FROM r GROUP BY id""")
 
@@ -189,7 +199,8 @@ def gr12_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(frames.subclass(spark, sf_dir))
 
 
-GR12 = with_frames("subclass", recursive=True, body=""", c AS (SELECT child, parent AS ancestor, 1 AS level FROM subclass UNION SELECT c.child, s.parent, level + 1 FROM c JOIN subclass s ON s.child = c.ancestor)
+GR12 = with_frames("subclass", recursive=True, body=""", c AS (SELECT child, parent AS ancestor, 1 AS level FROM subclass UNION SELECT c.child, s.parent, level + 1 FROM c
+  JOIN subclass s ON s.child = c.ancestor)
 SELECT child, ancestor, min(level)::INTEGER AS level FROM c GROUP BY child, ancestor""")
 
 
@@ -197,7 +208,8 @@ def gr13_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.two_levels(frames.subclass(spark, sf_dir))
 
 
-GR13 = with_frames("subclass", body=""" SELECT child, ancestor, max(level)::INTEGER AS level FROM (SELECT child, parent AS ancestor, 1 AS level FROM subclass UNION ALL SELECT p.child, q.parent, 2 FROM subclass p JOIN subclass q ON p.parent = q.child) GROUP BY ALL""")
+GR13 = with_frames("subclass", body=""" SELECT child, ancestor, max(level)::INTEGER AS level FROM (SELECT child, parent AS ancestor, 1 AS level FROM subclass UNION ALL
+  SELECT p.child, q.parent, 2 FROM subclass p JOIN subclass q ON p.parent = q.child) GROUP BY ALL""")
 
 
 def gr14_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +258,8 @@ def ag10_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 AG10 = with_frames("path_edges", body=""", n AS (SELECT path, src AS node FROM path_edges UNION SELECT path, dst FROM path_edges),
 a AS (SELECT path, count(*) AS n_nodes, count(*) FILTER (WHERE node % 11 = 0) AS missing_nodes FROM n GROUP BY path),
 b AS (SELECT path, count(*) AS n_edges, count(*) FILTER (WHERE src % 11 = 0 OR dst % 11 = 0) AS missing_edges FROM (SELECT DISTINCT path, src, dst FROM path_edges) GROUP BY path)
-SELECT path, n_nodes, missing_nodes, n_edges, missing_edges, CASE WHEN missing_nodes = 0 THEN 'Complete' WHEN missing_edges < n_edges THEN 'Partial' ELSE 'None' END AS status FROM a JOIN b USING (path)""")
+SELECT path, n_nodes, missing_nodes, n_edges, missing_edges, CASE WHEN missing_nodes = 0 THEN 'Complete' WHEN missing_edges < n_edges THEN 'Partial'
+  ELSE 'None' END AS status FROM a JOIN b USING (path)""")
 
 
 def ag1_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +270,8 @@ def ag1_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", text("nodes").alias("nodes"), F.array_join(F.transform("connectivity", lambda e: F.concat_ws(">", e["src"], e["dst"])), ",").alias("connectivity"), text("nerves").alias("nerves"))
 
 
-AG1 = with_frames("path_edges", "path_nodes", body=f""", e AS (SELECT path, string_agg(src || '>' || dst, ',' ORDER BY src, dst) AS connectivity FROM (SELECT DISTINCT * FROM path_edges) GROUP BY path),
+AG1 = with_frames("path_edges", "path_nodes", body=f""", e AS (SELECT path, string_agg(src || '>' || dst, ',' ORDER BY src, dst) AS connectivity FROM (SELECT DISTINCT *
+  FROM path_edges) GROUP BY path),
 v AS (SELECT path, {_LIST.format('node')} AS nerves FROM path_nodes JOIN part ON p_partkey = node WHERE p_size > 45 GROUP BY path)
 SELECT path, {_LIST.format('node')} AS nodes, any_value(connectivity) AS connectivity, any_value(nerves) AS nerves FROM path_nodes LEFT JOIN e USING (path) LEFT JOIN v USING (path) GROUP BY path""")
 
@@ -295,7 +309,8 @@ def wn10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WN10 = with_frames("path_nodes", body=""", a AS (SELECT *, node % 4 = 0 AND pos > 0 AND pos < max(pos) OVER (PARTITION BY path) AS c FROM path_nodes),
 k AS (SELECT *, sum(c::INTEGER) OVER (PARTITION BY path ORDER BY pos) AS k FROM a), r AS (SELECT path, pos, node, k FROM k UNION ALL SELECT path, pos, node, k - 1 FROM k WHERE c)
-SELECT path AS line, CASE WHEN (SELECT max(k) FROM k z WHERE z.path = r.path) > 0 THEN path || '/' || (k + 1)::BIGINT ELSE path::VARCHAR END AS segment, string_agg(node::VARCHAR, ',' ORDER BY pos) AS nodes FROM r GROUP BY path, k""")
+SELECT path AS line, CASE WHEN (SELECT max(k) FROM k z WHERE z.path = r.path) > 0 THEN path || '/' || (k + 1)::BIGINT ELSE path::VARCHAR END AS segment,
+  string_agg(node::VARCHAR, ',' ORDER BY pos) AS nodes FROM r GROUP BY path, k""")
 
 
 def wn12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

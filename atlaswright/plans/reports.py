@@ -27,12 +27,18 @@ def ag8_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("report", "key", *[_text(c).alias(c) for c in ("nodes", "paths", "phenotypes", "maps")])
 
 
-AG8 = with_frames("log_events", "path_edges", body=""", e AS (SELECT path, src AS node, dst AS nb FROM path_edges UNION SELECT path, dst, src FROM path_edges), d AS (SELECT path, node, count(*) AS n FROM e GROUP BY ALL),
-t AS (SELECT path, node FROM d QUALIFY n = min(n) OVER (PARTITION BY path)), l AS (SELECT DISTINCT node, map_id FROM log_events WHERE type = 'error'), u AS (SELECT DISTINCT path FROM log_events WHERE type = 'purchase' AND path IN (SELECT path FROM d)),
-k AS (SELECT path, node FROM t WHERE path IN (SELECT path FROM u) AND node IN (SELECT node FROM l)), h AS (SELECT o_orderkey AS path, o_orderpriority AS p FROM orders), m AS (SELECT node, string_agg(map_id::VARCHAR, ',' ORDER BY map_id) AS maps FROM l GROUP BY node)
-SELECT 'paths_minimal' AS report, u.path AS key, coalesce((SELECT string_agg(node::VARCHAR, ',' ORDER BY node) FROM k WHERE k.path = u.path), '') AS nodes, u.path::VARCHAR AS paths, p AS phenotypes, '' AS maps FROM u JOIN h USING (path)
-UNION ALL SELECT 'node_minimal', node, node::VARCHAR, string_agg(path::VARCHAR, ',' ORDER BY path), string_agg(DISTINCT p, ',' ORDER BY p), any_value(maps) FROM k JOIN h USING (path) JOIN m USING (node) GROUP BY node
-UNION ALL SELECT 'node_complete', node, node::VARCHAR, string_agg(path::VARCHAR, ',' ORDER BY path), string_agg(DISTINCT p, ',' ORDER BY p), '' FROM d JOIN h USING (path) JOIN m USING (node) GROUP BY node""")
+AG8 = with_frames("log_events", "path_edges", body=""", e AS (SELECT path, src AS node, dst AS nb FROM path_edges UNION SELECT path, dst, src FROM path_edges),
+  d AS (SELECT path, node, count(*) AS n FROM e GROUP BY ALL),
+t AS (SELECT path, node FROM d QUALIFY n = min(n) OVER (PARTITION BY path)), l AS (SELECT DISTINCT node, map_id FROM log_events WHERE type = 'error'),
+  u AS (SELECT DISTINCT path FROM log_events WHERE type = 'purchase' AND path IN (SELECT path FROM d)),
+k AS (SELECT path, node FROM t WHERE path IN (SELECT path FROM u) AND node IN (SELECT node FROM l)), h AS (SELECT o_orderkey AS path, o_orderpriority AS p FROM orders),
+  m AS (SELECT node, string_agg(map_id::VARCHAR, ',' ORDER BY map_id) AS maps FROM l GROUP BY node)
+SELECT 'paths_minimal' AS report, u.path AS key, coalesce((SELECT string_agg(node::VARCHAR, ',' ORDER BY node) FROM k WHERE k.path = u.path), '') AS nodes,
+  u.path::VARCHAR AS paths, p AS phenotypes, '' AS maps FROM u JOIN h USING (path)
+UNION ALL SELECT 'node_minimal', node, node::VARCHAR, string_agg(path::VARCHAR, ',' ORDER BY path), string_agg(DISTINCT p, ',' ORDER BY p), any_value(maps) FROM k
+  JOIN h USING (path) JOIN m USING (node) GROUP BY node
+UNION ALL SELECT 'node_complete', node, node::VARCHAR, string_agg(path::VARCHAR, ',' ORDER BY path), string_agg(DISTINCT p, ',' ORDER BY p), '' FROM d JOIN h USING (path)
+  JOIN m USING (node) GROUP BY node""")
 
 
 def snk6_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +52,17 @@ def snk6_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.connectivity_document(models, nodes, nodes.select("path", (F.col("node") + 10**6).alias("line")), nodes.where("node % 5 = 0").select("path", (F.col("node") % 20).alias("nerve")), o.select("path", F.col("o_orderpriority").alias("kind")), drawn)
 
 
-SNK6 = with_frames("path_nodes", body=""", n AS (SELECT DISTINCT path, node FROM path_nodes WHERE path % 3 > 0), w AS (SELECT path, o_orderstatus AS s, min(node) AS a, max(node) AS b FROM path_nodes JOIN orders ON o_orderkey = path WHERE path % 7 = 0 GROUP BY ALL),
-i AS (SELECT path, 'nodes' AS w, node AS id FROM n UNION SELECT path, 'lines', node + 1000000 FROM n UNION SELECT path, 'nerves', node % 20 FROM n WHERE node % 5 = 0 UNION SELECT path + 1000000000, 'lines', path FROM w UNION SELECT path + 1000000000, 'nodes', unnest([a, b]) FROM w),
+SNK6 = with_frames("path_nodes", body=""", n AS (SELECT DISTINCT path, node FROM path_nodes WHERE path % 3 > 0), w AS (SELECT path, o_orderstatus AS s, min(node) AS a,
+  max(node) AS b FROM path_nodes JOIN orders ON o_orderkey = path WHERE path % 7 = 0 GROUP BY ALL),
+i AS (SELECT path, 'nodes' AS w, node AS id FROM n UNION SELECT path, 'lines', node + 1000000 FROM n UNION SELECT path, 'nerves', node % 20 FROM n WHERE node % 5 = 0
+  UNION SELECT path + 1000000000, 'lines', path FROM w UNION SELECT path + 1000000000, 'nodes', unnest([a, b]) FROM w),
 r AS (SELECT DISTINCT path FROM i), k AS (SELECT o_orderpriority AS kind, o_orderkey AS path FROM orders WHERE o_orderkey IN (SELECT path FROM r) UNION SELECT s, path + 1000000000 FROM w),
 m AS (SELECT 'm' || o_orderkey % 50 AS model, o_orderkey AS path FROM orders WHERE o_orderkey IN (SELECT path FROM r) UNION SELECT 'drawn' || path % 2, path + 1000000000 FROM w)
-SELECT 'paths' AS section, path::VARCHAR AS key, '{"lines":[' || coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (w = 'lines'), '') || '],"nodes":[' || coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (w = 'nodes'), '') || '],"nerves":[' || coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (w = 'nerves'), '') || ']}' AS value FROM i GROUP BY path
+SELECT 'paths' AS section, path::VARCHAR AS key,
+  '{"lines":[' || coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (w = 'lines'), '') || '],"nodes":[' || coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (w = 'nodes'), '') || '],"nerves":[' || coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (w = 'nerves'), '') || ']}' AS value FROM i GROUP BY path
 UNION ALL SELECT 'node-paths', id::VARCHAR, '[' || string_agg(path::VARCHAR, ',' ORDER BY path) || ']' FROM i WHERE w = 'nodes' GROUP BY id
-UNION ALL SELECT 'type-paths', kind, '[' || string_agg(path::VARCHAR, ',' ORDER BY path) || ']' FROM k GROUP BY kind UNION ALL SELECT 'models', model, '[' || string_agg(path::VARCHAR, ',' ORDER BY path) || ']' FROM m GROUP BY model""")
+UNION ALL SELECT 'type-paths', kind, '[' || string_agg(path::VARCHAR, ',' ORDER BY path) || ']' FROM k GROUP BY kind UNION ALL SELECT 'models', model,
+  '[' || string_agg(path::VARCHAR, ',' ORDER BY path) || ']' FROM m GROUP BY model""")
 
 
 def gr27_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +80,14 @@ def gr27_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AS = "CASE WHEN {0} % 9 = 0 AND {0} > 0 THEN {0} - 1 ELSE {0} END"
-GR27L = f"""WITH b AS ({paths.ORACLE_SQL["gr4_bypassed"]}), n AS (SELECT DISTINCT path, node FROM ({frames.SQL["path_nodes"]})), v AS (SELECT path, src AS node FROM b UNION SELECT path, dst FROM b), w AS (SELECT path, node, {_AS.format('node')} AS a FROM v),
-c AS (SELECT DISTINCT path, {_AS.format('src')} AS s, {_AS.format('dst')} AS t FROM b), h AS (SELECT DISTINCT path, 'ph' || node % 3 AS p, a FROM n JOIN w USING (path, node)), g AS (SELECT path, p, p || ':' || string_agg(a::VARCHAR, '+' ORDER BY a) AS x FROM h GROUP BY path, p),
+GR27L = f"""WITH b AS ({paths.ORACLE_SQL["gr4_bypassed"]}), n AS (SELECT DISTINCT path, node FROM ({frames.SQL["path_nodes"]})), v AS (SELECT path, src AS node FROM b
+  UNION SELECT path, dst FROM b), w AS (SELECT path, node, {_AS.format('node')} AS a FROM v),
+c AS (SELECT DISTINCT path, {_AS.format('src')} AS s, {_AS.format('dst')} AS t FROM b), h AS (SELECT DISTINCT path, 'ph' || node % 3 AS p, a FROM n JOIN w USING (path,
+  node)), g AS (SELECT path, p, p || ':' || string_agg(a::VARCHAR, '+' ORDER BY a) AS x FROM h GROUP BY path, p),
 u AS (SELECT DISTINCT path, {_AS.format('node')} AS a FROM n WHERE node % 10 = 0 AND node IN (SELECT p_partkey FROM part))
 SELECT path, (SELECT string_agg(s || '>' || t, ',' ORDER BY s, t) FROM c WHERE c.path = w.path) AS connectivity, (SELECT string_agg(x, ',' ORDER BY p) FROM g WHERE g.path = w.path) AS phenotypes,
-CASE WHEN path + 2 IN (SELECT path FROM b) THEN (path + 2)::VARCHAR END AS forward, (SELECT string_agg(a::VARCHAR, ',' ORDER BY a) FROM u WHERE u.path = w.path) AS nerves, string_agg(a || '>' || node, ',' ORDER BY a, node) AS mappings FROM w GROUP BY path"""
+CASE WHEN path + 2 IN (SELECT path FROM b) THEN (path + 2)::VARCHAR END AS forward, (SELECT string_agg(a::VARCHAR, ',' ORDER BY a) FROM u
+  WHERE u.path = w.path) AS nerves, string_agg(a || '>' || node, ',' ORDER BY a, node) AS mappings FROM w GROUP BY path"""
 
 
 def ag25_used(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +97,8 @@ def ag25_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.inverted(n.select(F.floor(F.col("node") / 2).alias("feature"), node.alias("node")), "feature", "node").withColumn("nodes", F.array_join("nodes", ";"))
 
 
-AG25 = with_frames("path_nodes", body=""" SELECT feature, string_agg(j, ';' ORDER BY j) AS nodes FROM (SELECT DISTINCT node // 2 AS feature, '["T:' || node || '","L:' || node % 7 || '"]' AS j FROM path_nodes) GROUP BY feature""")
+AG25 = with_frames("path_nodes", body=""" SELECT feature, string_agg(j, ';' ORDER BY j) AS nodes FROM (SELECT DISTINCT node // 2 AS feature,
+  '["T:' || node || '","L:' || node % 7 || '"]' AS j FROM path_nodes) GROUP BY feature""")
 
 
 def ag28_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +117,8 @@ def tk4_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.numbered(rows, ["map_id"], ["location", "issue"])
 
 
-TK4 = with_frames("log_events", body=""" SELECT map_id, 'log' AS type, 'LOG' AS code, node::VARCHAR AS location, msg || ' ' || seq AS issue, row_number() OVER (PARTITION BY map_id ORDER BY node::VARCHAR, msg || ' ' || seq) AS number FROM log_events WHERE level <> 'info'""")
+TK4 = with_frames("log_events", body=""" SELECT map_id, 'log' AS type, 'LOG' AS code, node::VARCHAR AS location, msg || ' ' || seq AS issue,
+  row_number() OVER (PARTITION BY map_id ORDER BY node::VARCHAR, msg || ' ' || seq) AS number FROM log_events WHERE level <> 'info'""")
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as points, lines and boxes with some of the properties that are written; every 17th is excluded."""
@@ -123,13 +138,19 @@ def snk1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CORNERS = "[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || ']"
 _DRAWN = """, f AS (SELECT id, class, name, x0, y0, CASE WHEN id % 3 = 0 THEN x0 ELSE x1 END AS x1, CASE WHEN id % 3 = 0 THEN y0 ELSE y1 END AS y1 FROM features WHERE id % 17 <> 0),
-a AS (SELECT *, CASE WHEN id % 3 = 2 THEN (x1 - x0) * (y1 - y0) ELSE 0 END::DOUBLE AS area FROM f), s AS (SELECT *, CASE WHEN area > 0 THEN round(log2(sqrt(4e6::DOUBLE / area)), 6) ELSE 10::DOUBLE END AS scale FROM a)"""
+a AS (SELECT *, CASE WHEN id % 3 = 2 THEN (x1 - x0) * (y1 - y0) ELSE 0 END::DOUBLE AS area FROM f), s AS (SELECT *, CASE
+  WHEN area > 0 THEN round(log2(sqrt(4e6::DOUBLE / area)), 6) ELSE 10::DOUBLE END AS scale FROM a)"""
 SNK1D = with_frames("features", body=_DRAWN + f"""
-SELECT 'base_one_main_features' AS tile_layer, id, '{{"type":"Feature","id":' || id || ',"tippecanoe":{{"layer":"base_one_main_features"' || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' WHEN area > 0 AND scale > 6 AND id % 4 > 0 THEN ',"minzoom":4' ELSE '' END
-|| '}},"geometry":{{"type":' || CASE id % 3 WHEN 0 THEN '"Point","coordinates":[' || x0 || ',' || y0 || ']' WHEN 1 THEN '"LineString","coordinates":[[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || ']]' ELSE '"Polygon","coordinates":[[{_CORNERS},[' || x0 || ',' || y0 || ']]]' END
-|| '}},"properties":{{"bounds":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || '],"area":' || area || ',"length":' || CASE id % 3 WHEN 0 THEN 0::DOUBLE WHEN 1 THEN round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) ELSE (2 * (x1 - x0 + y1 - y0))::DOUBLE END || ',"layer":"base/one","scale":' || scale
-|| CASE WHEN id % 5 = 0 THEN ',"centreline":true' ELSE '' END || ',"class":"' || class || '"' || CASE WHEN id % 4 = 0 THEN ',"group":"g"' ELSE '' END || CASE WHEN id % 6 = 0 THEN ',"hyperlinks":[{{"id":"pmr","url":"u"}}]' ELSE '' END || CASE WHEN id % 5 = 0 THEN ',"kind":"centreline"' ELSE '' END
-|| CASE WHEN id % 7 > 0 THEN ',"label":"' || name || '"' ELSE '' END || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' ELSE '' END || ',"tile-layer":"main/features"}}}}' AS feature FROM s""")
+SELECT 'base_one_main_features' AS tile_layer, id,
+  '{{"type":"Feature","id":' || id || ',"tippecanoe":{{"layer":"base_one_main_features"' || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' WHEN area > 0 AND scale > 6 AND id % 4 > 0 THEN ',"minzoom":4' ELSE '' END
+|| '}},"geometry":{{"type":' || CASE id % 3 WHEN 0 THEN '"Point","coordinates":[' || x0 || ',' || y0 || ']'
+  WHEN 1 THEN '"LineString","coordinates":[[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || ']]' ELSE '"Polygon","coordinates":[[{_CORNERS},[' || x0 || ',' || y0 || ']]]' END
+|| '}},"properties":{{"bounds":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || '],"area":' || area || ',"length":' || CASE id % 3 WHEN 0 THEN 0::DOUBLE
+  WHEN 1 THEN round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) ELSE (2 * (x1 - x0 + y1 - y0))::DOUBLE END || ',"layer":"base/one","scale":' || scale
+|| CASE WHEN id % 5 = 0 THEN ',"centreline":true' ELSE '' END || ',"class":"' || class || '"' || CASE WHEN id % 4 = 0 THEN ',"group":"g"' ELSE '' END || CASE
+  WHEN id % 6 = 0 THEN ',"hyperlinks":[{{"id":"pmr","url":"u"}}]' ELSE '' END || CASE WHEN id % 5 = 0 THEN ',"kind":"centreline"' ELSE '' END
+|| CASE WHEN id % 7 > 0 THEN ',"label":"' || name || '"' ELSE '' END || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3'
+  ELSE '' END || ',"tile-layer":"main/features"}}}}' AS feature FROM s""")
 
 
 def snk2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +159,14 @@ def snk2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.feature_annotations(_drawn(spark, sf_dir), n, centreline_map=True)
 
 
-SNK2D = with_frames("features", body=_DRAWN + """, u AS (SELECT id, string_agg(j, ',' ORDER BY j) AS used FROM (SELECT DISTINCT l_partkey AS id, '["T:' || l_suppkey % 3 || '"]' AS j FROM lineitem WHERE l_partkey % 4 > 0) GROUP BY id)
+SNK2D = with_frames("features", body=_DRAWN + """, u AS (SELECT id, string_agg(j, ',' ORDER BY j) AS used FROM (SELECT DISTINCT l_partkey AS id,
+  '["T:' || l_suppkey % 3 || '"]' AS j FROM lineitem WHERE l_partkey % 4 > 0) GROUP BY id)
 SELECT id, '{' || CASE WHEN id % 5 = 0 THEN '"centreline":true,' ELSE '' END || '"class":"' || class || '"' || CASE WHEN id % 4 = 0 THEN ',"group":"g"' ELSE '' END || CASE WHEN id % 6 = 0 THEN ',"hyperlinks":"[{\\"id\\":\\"pmr\\",\\"url\\":\\"u\\"}]"' ELSE '' END || CASE WHEN id % 5 = 0 THEN ',"kind":"centreline"' ELSE '' END
-|| CASE WHEN id % 7 > 0 THEN ',"label":"' || name || '"' ELSE '' END || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3' ELSE '' END || ',"tile-layer":"main/features","bounds":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1
+|| CASE WHEN id % 7 > 0 THEN ',"label":"' || name || '"' ELSE '' END || CASE WHEN id % 8 = 0 THEN ',"maxzoom":9' ELSE '' END || CASE WHEN id % 9 = 0 THEN ',"minzoom":3'
+  ELSE '' END || ',"tile-layer":"main/features","bounds":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1
 || '],"markerPosition":[' || ((x0 + x1) / 2)::DOUBLE || ',' || ((y0 + y1) / 2)::DOUBLE || '],"geometry":"' || ['Point', 'LineString', 'Polygon'][id % 3 + 1] || '","layer":"base/one"'
-|| CASE WHEN id % 3 = 1 THEN ',"pathStartPosition":[' || x0 || ',' || y1 || '],"pathEndPosition":[' || x1 || ',' || y0 || ']' || CASE WHEN id % 5 = 0 THEN ',"coordinates":[[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || ']]' ELSE '' END ELSE '' END
+|| CASE WHEN id % 3 = 1 THEN ',"pathStartPosition":[' || x0 || ',' || y1 || '],"pathEndPosition":[' || x1 || ',' || y0 || ']' || CASE
+  WHEN id % 5 = 0 THEN ',"coordinates":[[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || ']]' ELSE '' END ELSE '' END
 || coalesce(',"anatomical-nodes":[' || used || ']', '') || '}' AS annotation FROM s LEFT JOIN u USING (id)""")
 
 
@@ -158,8 +182,10 @@ def jn29_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.validated_by_terms(lines, nodes)
 
 
-JN29T = with_frames("path_nodes", body=""", n AS (SELECT path, path % 3 AS type, [node % 60, node % 9 + 100, node % 4 + 200][1:node % 3 + 1] AS t, pos = 0 OR pos = max(pos) OVER (PARTITION BY path) AS e FROM path_nodes),
-p AS (SELECT path, type, e, t[i] AS term, t[i + 1:] AS layers FROM n, range(1, 4) r(i) WHERE i <= len(t)), l AS (SELECT s_suppkey AS line, s_suppkey % 3 AS type, s_suppkey * 7 % 60 AS a, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 9 + 100 END AS ao, s_suppkey * 11 % 60 AS b, CASE WHEN s_suppkey % 5 > 1 THEN s_suppkey % 4 + 200 END AS bo FROM supplier),
+JN29T = with_frames("path_nodes", body=""", n AS (SELECT path, path % 3 AS type, [node % 60, node % 9 + 100, node % 4 + 200][1:node % 3 + 1] AS t, pos = 0
+  OR pos = max(pos) OVER (PARTITION BY path) AS e FROM path_nodes),
+p AS (SELECT path, type, e, t[i] AS term, t[i + 1:] AS layers FROM n, range(1, 4) r(i) WHERE i <= len(t)), l AS (SELECT s_suppkey AS line, s_suppkey % 3 AS type,
+  s_suppkey * 7 % 60 AS a, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 9 + 100 END AS ao, s_suppkey * 11 % 60 AS b, CASE WHEN s_suppkey % 5 > 1 THEN s_suppkey % 4 + 200 END AS bo FROM supplier),
 x AS (SELECT DISTINCT line, path, e FROM l JOIN p ON p.type = l.type AND ((term = a AND (len(layers) = 0 OR ao IS NULL OR list_contains(layers, ao))) OR term = ao)),
 y AS (SELECT DISTINCT line, path, e FROM l JOIN p ON p.type = l.type AND ((term = b AND (len(layers) = 0 OR bo IS NULL OR list_contains(layers, bo))) OR term = bo)),
 one AS (SELECT DISTINCT line, path FROM x JOIN y USING (line, path) WHERE x.e AND y.e)
@@ -178,7 +204,8 @@ def src13_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC13T = """WITH s AS (SELECT DISTINCT p_brand, p_size FROM part)
 SELECT p_brand AS doc, 'svg' AS tag, NULL AS id, NULL AS title, 0 AS depth, NULL AS "group", NULL AS fill, NULL AS stroke, NULL AS width FROM (SELECT DISTINCT p_brand FROM part)
 UNION ALL SELECT p_brand, 'g', 's' || p_size, NULL, 1, NULL, NULL, NULL, NULL FROM s UNION ALL SELECT p_brand, 'g', NULL, NULL, 2, 's' || p_size, NULL, NULL, NULL FROM s
-UNION ALL SELECT p_brand, 'rect', 'r' || p_partkey, '.id(P' || p_partkey || ')', 3, 's' || p_size, CASE p_partkey % 3 WHEN 0 THEN '#' || p_partkey % 10 WHEN 1 THEN 'red' END, CASE WHEN p_partkey % 3 = 1 THEN 'blue' END, (p_partkey % 9)::VARCHAR FROM part"""
+UNION ALL SELECT p_brand, 'rect', 'r' || p_partkey, '.id(P' || p_partkey || ')', 3, 's' || p_size, CASE p_partkey % 3 WHEN 0 THEN '#' || p_partkey % 10
+  WHEN 1 THEN 'red' END, CASE WHEN p_partkey % 3 = 1 THEN 'blue' END, (p_partkey % 9)::VARCHAR FROM part"""
 
 
 def src2_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +218,8 @@ def src2_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SRC2 = with_frames("path_nodes", body=""", k AS (SELECT path AS map_id, 's' || pos AS id, ['base', 'details', 'image', 'slides', 'functional'][node % 5 + 1] AS kind, pos FROM path_nodes),
 o AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY CASE WHEN kind IN ('base', 'slides') THEN 0 ELSE 1 END, kind, pos) AS r FROM k)
-SELECT map_id, id, CASE WHEN r = 1 THEN 'Details layer cannot be the base map' ELSE 'Can only have a single base map' END AS error FROM o WHERE (r = 1 AND kind = 'details') OR (r > 1 AND kind IN ('base', 'slides'))""")
+SELECT map_id, id, CASE WHEN r = 1 THEN 'Details layer cannot be the base map' ELSE 'Can only have a single base map' END AS error FROM o WHERE (r = 1
+  AND kind = 'details') OR (r > 1 AND kind IN ('base', 'slides'))""")
 
 
 def ag16_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +231,10 @@ def ag16_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.occupancy_apart(e.withColumn("type", kind)).withColumn("paths", _text("paths"))
 
 
-AG16A = with_frames("path_nodes", body=""", e AS (SELECT path, pos, node % 30 AS s, lead(node % 30) OVER w AS t, lead(node, 2) OVER w AS m FROM path_nodes WINDOW w AS (PARTITION BY path ORDER BY pos)),
-d AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b, m IS NULL OR pos = 0 AS terminal, path FROM e WHERE t IS NOT NULL) SELECT a, b, terminal, string_agg(path::VARCHAR, ',' ORDER BY path) AS paths FROM d GROUP BY a, b, terminal""")
+AG16A = with_frames("path_nodes", body=""", e AS (SELECT path, pos, node % 30 AS s, lead(node % 30) OVER w AS t, lead(node, 2) OVER w AS m
+  FROM path_nodes WINDOW w AS (PARTITION BY path ORDER BY pos)),
+d AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b, m IS NULL OR pos = 0 AS terminal, path FROM e WHERE t IS NOT NULL) SELECT a, b, terminal,
+  string_agg(path::VARCHAR, ',' ORDER BY path) AS paths FROM d GROUP BY a, b, terminal""")
 
 
 def ag15_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +244,8 @@ def ag15_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.unit_index(nodes).withColumn("nodes", _text("nodes"))
 
 
-AG15U = """WITH n AS (SELECT 'n' || p_partkey AS node, p_partkey // 6 AS unit FROM part WHERE p_partkey % 3 > 0), a AS (SELECT unit, node FROM n UNION SELECT p_partkey, 'n' || p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey IN (SELECT unit FROM n))
+AG15U = """WITH n AS (SELECT 'n' || p_partkey AS node, p_partkey // 6 AS unit FROM part WHERE p_partkey % 3 > 0), a AS (SELECT unit, node FROM n UNION SELECT p_partkey,
+  'n' || p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey IN (SELECT unit FROM n))
 SELECT unit, string_agg(node, ',' ORDER BY node) AS nodes FROM a GROUP BY unit"""
 
 
@@ -228,7 +259,8 @@ def jn43_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.network_properties(lines, cuffs, known)
 
 
-JN43N = with_frames("path_nodes", body=""", c AS (SELECT s_suppkey * 3 % 200 AS m, min('cuff' || s_suppkey % 1000) AS cuff FROM supplier GROUP BY 1), o AS (SELECT o_orderkey AS k, o_custkey AS m FROM orders WHERE o_orderkey IN (SELECT path FROM path_nodes))
+JN43N = with_frames("path_nodes", body=""", c AS (SELECT s_suppkey * 3 % 200 AS m, min('cuff' || s_suppkey % 1000) AS cuff FROM supplier GROUP BY 1),
+  o AS (SELECT o_orderkey AS k, o_custkey AS m FROM orders WHERE o_orderkey IN (SELECT path FROM path_nodes))
 SELECT k + 1000000000 AS feature, 'nerve' AS prop, cuff AS value FROM o JOIN c ON c.m = o.m % 200 WHERE o.m % 2 = 0 UNION ALL SELECT k + 1000000000, 'centreline', 'true' FROM o
 UNION ALL SELECT DISTINCT node, 'node', 'true' FROM path_nodes WHERE node NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0)""")
 
@@ -251,7 +283,8 @@ def src10_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENDS_OF = "o AS (SELECT path AS k, arg_min(node, pos) AS a, arg_max(node, pos) AS b, count(*) AS n FROM path_nodes GROUP BY path)"
-SRC10P = with_frames("path_nodes", body=f""", {_ENDS_OF} SELECT 'm' || o_custkey AS id, 's' || o_custkey AS source, 'p' || k AS path, o_orderpriority AS models, n::INTEGER AS n_nodes, CASE WHEN k % 4 = 0 THEN a || ',' || b END AS lines,
+SRC10P = with_frames("path_nodes", body=f""", {_ENDS_OF} SELECT 'm' || o_custkey AS id, 's' || o_custkey AS source, 'p' || k AS path, o_orderpriority AS models,
+  n::INTEGER AS n_nodes, CASE WHEN k % 4 = 0 THEN a || ',' || b END AS lines,
 CASE WHEN k % 5 = 0 THEN 'n/' || b END AS nerves, CASE WHEN k % 3 = 0 THEN a || '+x:' || a || ',' || b END AS route, k % 6 = 0 AS traced FROM o JOIN orders ON o_orderkey = k""")
 
 
@@ -259,7 +292,8 @@ def src10_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.model_paths(spark, staged(_models(spark, sf_dir), "json"))[1]
 
 
-SRC10E = with_frames("path_nodes", body=f""", {_ENDS_OF} SELECT 'm' || o_custkey AS id, 'p' || k AS path, 'Syntax error in path lines list: ' || a || ', ' AS error FROM o JOIN orders ON o_orderkey = k WHERE k % 4 = 1
+SRC10E = with_frames("path_nodes", body=f""", {_ENDS_OF} SELECT 'm' || o_custkey AS id, 'p' || k AS path, 'Syntax error in path lines list: ' || a || ', ' AS error FROM o
+  JOIN orders ON o_orderkey = k WHERE k % 4 = 1
 UNION ALL SELECT 'm' || o_custkey, 'p' || k, 'Syntax error in route node list: (' || a FROM o JOIN orders ON o_orderkey = k WHERE k % 3 = 1""")
 
 def src12_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +306,8 @@ def src12_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SRC12 = with_frames("path_nodes", body=""", e AS (SELECT p_partkey AS k FROM part UNION SELECT s_suppkey * 7 FROM supplier)
-SELECT 'E:' || k AS entity, CASE WHEN p_size > 20 AND k % 4 > 0 THEN p_name ELSE 'E:' || k END AS label, CASE WHEN p_size > 20 THEN (SELECT count(DISTINCT path) FROM path_nodes WHERE node = k) ELSE 0 END::INTEGER AS n_paths, coalesce(p_size > 20, false) AS known FROM e LEFT JOIN part ON p_partkey = k""")
+SELECT 'E:' || k AS entity, CASE WHEN p_size > 20 AND k % 4 > 0 THEN p_name ELSE 'E:' || k END AS label, CASE WHEN p_size > 20 THEN (SELECT count(DISTINCT path)
+  FROM path_nodes WHERE node = k) ELSE 0 END::INTEGER AS n_paths, coalesce(p_size > 20, false) AS known FROM e LEFT JOIN part ON p_partkey = k""")
 
 
 def ag13_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +317,8 @@ def ag13_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.unambiguous(keys, p.where("p_size = 50").select(F.concat_ws(" ", "p_type", F.col("p_partkey") % 5).alias("key")))
 
 
-AG13 = """SELECT p_type || ' ' || p_partkey % 5 AS key, min(p_brand) AS term FROM part WHERE p_size < 6 AND p_partkey % 7 > 0 AND p_type || ' ' || p_partkey % 5 NOT IN (SELECT p_type || ' ' || p_partkey % 5 FROM part WHERE p_size = 50) GROUP BY 1 HAVING count(DISTINCT p_brand) = 1"""
+AG13 = """SELECT p_type || ' ' || p_partkey % 5 AS key, min(p_brand) AS term FROM part WHERE p_size < 6 AND p_partkey % 7 > 0
+  AND p_type || ' ' || p_partkey % 5 NOT IN (SELECT p_type || ' ' || p_partkey % 5 FROM part WHERE p_size = 50) GROUP BY 1 HAVING count(DISTINCT p_brand) = 1"""
 
 
 def ag24_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +343,8 @@ def ag29_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("nodes", _text("nodes"))
 
 
-AG29 = with_frames("path_nodes", body=""", e AS (SELECT path, node FROM path_nodes UNION SELECT path, node + 1000000 FROM path_nodes WHERE pos < 2 AND node % 3 > 0 AND node IN (SELECT p_partkey FROM part)), f AS (SELECT path, bool_or(node % 10 < 2) AS f FROM path_nodes WHERE pos < 2 GROUP BY path)
+AG29 = with_frames("path_nodes", body=""", e AS (SELECT path, node FROM path_nodes UNION SELECT path, node + 1000000 FROM path_nodes WHERE pos < 2 AND node % 3 > 0
+  AND node IN (SELECT p_partkey FROM part)), f AS (SELECT path, bool_or(node % 10 < 2) AS f FROM path_nodes WHERE pos < 2 GROUP BY path)
 SELECT path AS connection, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes, any_value(f) AS free_end FROM e JOIN f USING (path) GROUP BY path""")
 
 
@@ -330,7 +367,8 @@ def so2_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by(rollups.rendered(nodes, lost, ["node"]), "node").union(by(edges, "edge"))
 
 
-SO2 = with_frames("path_edges", "missing_nodes", body=""" SELECT 'node' AS what, node IN (SELECT node FROM missing_nodes) AS missing, count(*) AS n FROM (SELECT src AS node FROM path_edges UNION SELECT dst FROM path_edges) GROUP BY ALL
+SO2 = with_frames("path_edges", "missing_nodes", body=""" SELECT 'node' AS what, node IN (SELECT node FROM missing_nodes) AS missing, count(*) AS n
+  FROM (SELECT src AS node FROM path_edges UNION SELECT dst FROM path_edges) GROUP BY ALL
 UNION ALL SELECT 'edge', src IN (SELECT node FROM missing_nodes) OR dst IN (SELECT node FROM missing_nodes), count(*) FROM (SELECT DISTINCT * FROM path_edges) GROUP BY ALL""")
 
 
@@ -349,7 +387,8 @@ def so4_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.suppressed(roles, frames.path_edges(spark, sf_dir)).withColumn("uncovered", _text("uncovered"))
 
 
-SO4 = with_frames("path_nodes", "path_edges", body=""", r AS (SELECT path, node + CASE WHEN path % 13 = 0 THEN 1 ELSE 0 END AS node FROM path_nodes WHERE pos = 0), c AS (SELECT path, src AS node FROM path_edges UNION SELECT path, dst FROM path_edges)
+SO4 = with_frames("path_nodes", "path_edges", body=""", r AS (SELECT path, node + CASE WHEN path % 13 = 0 THEN 1 ELSE 0 END AS node FROM path_nodes WHERE pos = 0),
+  c AS (SELECT path, src AS node FROM path_edges UNION SELECT path, dst FROM path_edges)
 SELECT path, string_agg(node::VARCHAR, ',' ORDER BY node) AS uncovered FROM (SELECT DISTINCT * FROM r ANTI JOIN c USING (path, node)) GROUP BY path""")
 
 
@@ -381,10 +420,14 @@ def tk2_all_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.all_phrase_candidates(s, 3)
 
 
-TK2A = with_frames("path_nodes", body=""", s AS (SELECT path AS name, pos % 4 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score FROM path_nodes GROUP BY path, pos % 4, node % 300), l AS (SELECT name, max(phrase) AS last FROM s GROUP BY name),
-a AS (SELECT name, [term] AS t, score AS z FROM s WHERE phrase = 0), b AS (SELECT a.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM a JOIN s ON s.name = a.name AND phrase = 1),
-c AS (SELECT b.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM b JOIN s ON s.name = b.name AND phrase = 2), d AS (SELECT c.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM c JOIN s ON s.name = c.name AND phrase = 3),
-e AS (SELECT *, 0 AS p FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c UNION ALL SELECT *, 3 FROM d), m AS (SELECT name, array_to_string(t, '/') AS node, max(round(z / (p + 1), 6)) AS score FROM e JOIN l USING (name) WHERE p = last GROUP BY ALL)
+TK2A = with_frames("path_nodes", body=""", s AS (SELECT path AS name, pos % 4 AS phrase, node % 300 AS term, round(max(node % 97 / 97::DOUBLE), 4) AS score
+  FROM path_nodes GROUP BY path, pos % 4, node % 300), l AS (SELECT name, max(phrase) AS last FROM s GROUP BY name),
+a AS (SELECT name, [term] AS t, score AS z FROM s WHERE phrase = 0), b AS (SELECT a.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t,
+  z + score AS z FROM a JOIN s ON s.name = a.name AND phrase = 1),
+c AS (SELECT b.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM b JOIN s ON s.name = b.name AND phrase = 2),
+  d AS (SELECT c.name, CASE WHEN list_contains(t, term) THEN t ELSE t || [term] END AS t, z + score AS z FROM c JOIN s ON s.name = c.name AND phrase = 3),
+e AS (SELECT *, 0 AS p FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c UNION ALL SELECT *, 3 FROM d), m AS (SELECT name, array_to_string(t, '/') AS node,
+  max(round(z / (p + 1), 6)) AS score FROM e JOIN l USING (name) WHERE p = last GROUP BY ALL)
 SELECT name, node, score, (row_number() OVER (PARTITION BY name ORDER BY score DESC, node))::INTEGER AS rank FROM m QUALIFY rank <= 3""")
 
 
@@ -395,8 +438,10 @@ def tk2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.phrases(p.select(name.alias("name")))
 
 
-TK2S = r"""WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 > 0 THEN ' IN  ' || p_type ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' of ' || p_brand ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' in ' ELSE '' END AS name FROM part),
-l AS (SELECT name, list_filter(list_transform(regexp_split_to_array(name, '(?i)\s+(?:in|of)\s+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM n) SELECT name, (i - 1)::INTEGER AS phrase, p[i] AS text FROM l, range(1, 9) r(i) WHERE i <= len(p)"""
+TK2S = r"""WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 > 0 THEN ' IN  ' || p_type ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' of ' || p_brand
+  ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' in ' ELSE '' END AS name FROM part),
+l AS (SELECT name, list_filter(list_transform(regexp_split_to_array(name, '(?i)\s+(?:in|of)\s+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM n) SELECT name,
+  (i - 1)::INTEGER AS phrase, p[i] AS text FROM l, range(1, 9) r(i) WHERE i <= len(p)"""
 
 _ALL = {
     src12_labels: SRC12, ag13_keys: AG13, ag24_terms: AG24, ag29_nodes: AG29, jn18_touching: JN18T, so2_rendered: SO2, so3_common: SO3, so4_uncovered: SO4, wn13_types: WN13, wn16_slices: WN16, tk2_all_phrases: TK2A, tk2_split: TK2S,

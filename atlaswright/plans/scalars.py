@@ -77,7 +77,8 @@ def sc12_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round(text.pixels(F.col("t"), F.lit(200.0)), 6).alias("pixels"), F.round(text.points(F.col("t")), 6).alias("points"))
 
 
-SC12 = """WITH u AS (SELECT p_partkey, p_size * CASE p_partkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 96 WHEN 2 THEN 96 / 2.54::DOUBLE WHEN 3 THEN 96 / 25.4::DOUBLE WHEN 4 THEN 4 / 3::DOUBLE WHEN 5 THEN 16 END AS px,
+SC12 = """WITH u AS (SELECT p_partkey, p_size * CASE p_partkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 96 WHEN 2 THEN 96 / 2.54::DOUBLE WHEN 3 THEN 96 / 25.4::DOUBLE
+  WHEN 4 THEN 4 / 3::DOUBLE WHEN 5 THEN 16 END AS px,
     CASE WHEN p_partkey % 8 = 6 THEN p_size * 2.0::DOUBLE END AS share FROM part)
 SELECT p_partkey, round(coalesce(px, share), 6) AS pixels, round(px * 0.75, 6) AS points FROM u"""
 
@@ -150,7 +151,8 @@ SC18 = with_frames("features", body="""
 , b AS (SELECT *, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM features)
 SELECT id, round(least(w, h) / greatest(w, h), 6) AS aspect, 0.5::DOUBLE AS coverage, round(w * h / 4004000, 6) AS bbox_coverage, round(log2(sqrt(4004000 / (w * h))), 6) AS scale,
   round(CASE WHEN w >= h THEN x0 + (0.8::DOUBLE - 0.15::DOUBLE * (id % 4)) * w ELSE (x0 + x1) / 2.0::DOUBLE END, 6) AS dot_x,
-  round(CASE WHEN w >= h THEN (y0 + y1) / 2.0::DOUBLE ELSE y0 + (0.8::DOUBLE - 0.15::DOUBLE * (id % 4)) * h END, 6) AS dot_y, round(least(greatest(w, h) / 16, 1000), 6) AS dot_r, w + h AS length FROM b""")
+  round(CASE WHEN w >= h THEN (y0 + y1) / 2.0::DOUBLE ELSE y0 + (0.8::DOUBLE - 0.15::DOUBLE * (id % 4)) * h END, 6) AS dot_y, round(least(greatest(w, h) / 16, 1000),
+  6) AS dot_r, w + h AS length FROM b""")
 
 
 def sc15_map_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +162,8 @@ def sc15_map_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SC15 = """WITH d AS (SELECT o_orderkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || ('https://example.org/map/' || o_orderkey)::BLOB) AS h FROM orders)
-SELECT o_orderkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][instr('0123456789abcdef', h[17:17])::INTEGER % 4 + CASE WHEN instr('0123456789abcdef', h[17:17]) % 4 = 0 THEN 4 ELSE 0 END] || h[18:20] || '-' || h[21:32] AS uuid FROM d"""
+SELECT o_orderkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][instr('0123456789abcdef', h[17:17])::INTEGER % 4 + CASE
+  WHEN instr('0123456789abcdef', h[17:17]) % 4 = 0 THEN 4 ELSE 0 END] || h[18:20] || '-' || h[21:32] AS uuid FROM d"""
 
 
 def tl3_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,16 +214,22 @@ _SEVENTH = "sqrt(pow({0}, 7::DOUBLE) / (pow({0}, 7::DOUBLE) + pow(25::DOUBLE, 7:
 _HUE = "CASE WHEN {a} = 0 AND {b} = 0 THEN 0 ELSE (degrees(atan2({b}, {a})) + 360) % 360 END"
 JN24 = f"""WITH u AS (SELECT p_partkey AS id, (p_partkey * 7919 % 256)::DOUBLE AS r, (p_partkey % 16 * 16)::DOUBLE AS g, 35::DOUBLE AS b FROM part),
 e AS (SELECT * FROM (VALUES (0, 255::DOUBLE, 0::DOUBLE, 0::DOUBLE, 'red'), (1, 84, 130, 53, 'green'), (2, 0, 112, 192, 'blue'), (3, 234, 51, 35, 'red')) t(ord, r, g, b, kind)),
-k AS (SELECT DISTINCT -1 AS ord, r AS cr, g AS cg, '' AS kind, r, g, b FROM u UNION ALL SELECT ord, 0, 0, kind, r, g, b FROM e), i AS (SELECT ord, cr, cg, kind, {_linear('r')}, {_linear('g')}, {_linear('b')} FROM k),
-x AS (SELECT *, (0.4124564::DOUBLE * r + 0.3575761::DOUBLE * g + 0.1804375::DOUBLE * b) / 0.95047::DOUBLE AS x, 0.2126729::DOUBLE * r + 0.7151522::DOUBLE * g + 0.0721750::DOUBLE * b AS y, (0.0193339::DOUBLE * r + 0.1191920::DOUBLE * g + 0.9503041::DOUBLE * b) / 1.08883::DOUBLE AS z FROM i),
-f AS (SELECT ord, cr, cg, kind, {_root('x', 'fx')}, {_root('y', 'fy')}, {_root('z', 'fz')} FROM x), lab AS (SELECT ord, cr, cg, kind, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM f),
-p AS (SELECT s.cr, s.cg, t.ord, t.kind, s.l AS l1, t.l AS l2, s.a AS a1, t.a AS a2, s.b AS b1, t.b AS b2, (sqrt(s.a ** 2 + s.b ** 2) + sqrt(t.a ** 2 + t.b ** 2)) / 2 AS m FROM lab s JOIN lab t ON s.ord < 0 AND t.ord >= 0),
+k AS (SELECT DISTINCT -1 AS ord, r AS cr, g AS cg, '' AS kind, r, g, b FROM u UNION ALL SELECT ord, 0, 0, kind, r, g, b FROM e), i AS (SELECT ord, cr, cg, kind,
+  {_linear('r')}, {_linear('g')}, {_linear('b')} FROM k),
+x AS (SELECT *, (0.4124564::DOUBLE * r + 0.3575761::DOUBLE * g + 0.1804375::DOUBLE * b) / 0.95047::DOUBLE AS x,
+  0.2126729::DOUBLE * r + 0.7151522::DOUBLE * g + 0.0721750::DOUBLE * b AS y, (0.0193339::DOUBLE * r + 0.1191920::DOUBLE * g + 0.9503041::DOUBLE * b) / 1.08883::DOUBLE AS z FROM i),
+f AS (SELECT ord, cr, cg, kind, {_root('x', 'fx')}, {_root('y', 'fy')}, {_root('z', 'fz')} FROM x), lab AS (SELECT ord, cr, cg, kind, 116 * fy - 16 AS l,
+  500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM f),
+p AS (SELECT s.cr, s.cg, t.ord, t.kind, s.l AS l1, t.l AS l2, s.a AS a1, t.a AS a2, s.b AS b1, t.b AS b2, (sqrt(s.a ** 2 + s.b ** 2) + sqrt(t.a ** 2 + t.b ** 2)) / 2 AS m
+  FROM lab s JOIN lab t ON s.ord < 0 AND t.ord >= 0),
 q AS (SELECT * EXCLUDE (a1, a2), a1 * (1.5 - 0.5 * {_SEVENTH.format('m')}) AS a1, a2 * (1.5 - 0.5 * {_SEVENTH.format('m')}) AS a2 FROM p),
 h AS (SELECT *, sqrt(a1 ** 2 + b1 ** 2) AS c1, sqrt(a2 ** 2 + b2 ** 2) AS c2, {_HUE.format(a='a1', b='b1')} AS h1, {_HUE.format(a='a2', b='b2')} AS h2 FROM q),
 d AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh, (l1 + l2) / 2 - 50 AS ml, (c1 + c2) / 2 AS mc,
   CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh FROM h),
-w AS (SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32 * cos(radians(3 * mh + 6)) - 0.20 * cos(radians(4 * mh - 63)) AS t, 2 * sqrt(c1 * c2) * sin(radians(dh) / 2) AS big_h FROM d),
-v AS (SELECT cr, cg, ord, kind, (l2 - l1) / (1 + 0.015 * ml * ml / sqrt(20 + ml * ml)) AS x, (c2 - c1) / (1 + 0.045 * mc) AS y, big_h / (1 + 0.015 * mc * t) AS z, -2 * sin(radians(60 * exp(-pow((mh - 275) / 25, 2::DOUBLE)))) * {_SEVENTH.format('mc')} AS r FROM w),
+w AS (SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32 * cos(radians(3 * mh + 6)) - 0.20 * cos(radians(4 * mh - 63)) AS t,
+  2 * sqrt(c1 * c2) * sin(radians(dh) / 2) AS big_h FROM d),
+v AS (SELECT cr, cg, ord, kind, (l2 - l1) / (1 + 0.015 * ml * ml / sqrt(20 + ml * ml)) AS x, (c2 - c1) / (1 + 0.045 * mc) AS y, big_h / (1 + 0.015 * mc * t) AS z,
+  -2 * sin(radians(60 * exp(-pow((mh - 275) / 25, 2::DOUBLE)))) * {_SEVENTH.format('mc')} AS r FROM w),
 n AS (SELECT cr, cg, arg_min(kind, ord) AS kind FROM v WHERE sqrt(x * x + y * y + z * z + r * y * z) < 6 GROUP BY cr, cg)
 SELECT id, coalesce(kind, 'other') AS kind FROM u LEFT JOIN n ON cr = u.r AND cg = u.g"""
 

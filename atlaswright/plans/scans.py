@@ -114,7 +114,8 @@ def src17_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.log_text(spark, staged(e.select(line.alias("value")), "text"), phrases).groupBy("kind", "found").agg(F.count("*").alias("n"))
 
 
-SRC17 = with_frames("log_events", body=""" SELECT CASE type WHEN 'error' THEN 'missing' ELSE 'suppressed' END AS kind, CASE type WHEN 'error' THEN 'N' || node ELSE 'P' || path END AS found, count(*) AS n
+SRC17 = with_frames("log_events", body=""" SELECT CASE type WHEN 'error' THEN 'missing' ELSE 'suppressed' END AS kind, CASE type WHEN 'error' THEN 'N' || node
+  ELSE 'P' || path END AS found, count(*) AS n
 FROM log_events WHERE type IN ('error', 'purchase') GROUP BY ALL""")
 
 

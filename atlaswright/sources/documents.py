@@ -70,8 +70,8 @@ BESIDES = ("details", "image", "layer", "anatomical", "functional")
 
 
 def base_errors(sources: DataFrame) -> DataFrame:
-    """SRC-2: what is wrong with the bases of maps in ``ordered_sources``: the first source is the base map, which details cannot be; any later one
-    that does not go with a base map is a second one."""
+    """SRC-2: what is wrong with the bases of maps in ``ordered_sources``: the first source is the base map, which details cannot
+    be; any later one that does not go with a base map is a second one."""
     error = F.when((F.col("ordinal") == 0) & (F.col("kind") == "details"), "Details layer cannot be the base map").when((F.col("ordinal") > 0) & ~F.col("kind").isin(*BESIDES), "Can only have a single base map")
     return sources.select("map_id", "id", error.alias("error")).where("error is not null")
 
@@ -81,8 +81,9 @@ _PAINT = re.compile(r"(?:^|;)\s*(fill|stroke)\s*:\s*([^;]*)")
 
 
 def drawing_tree(drawings: DataFrame) -> DataFrame:
-    """SRC-13 whole: of ``drawings(doc, xml)`` a row per element in document order, with its depth, the id of the nearest element around it that has one, its title, and
-    its paint, from ``style`` before the attributes. ``none`` is no paint. A drawing that is no XML has a row with the error as ``tag``."""
+    """SRC-13 whole: of ``drawings(doc, xml)`` a row per element in document order, with its depth, the id of the nearest element
+    around it that has one, its title, and its paint, from ``style`` before the attributes. ``none`` is no paint. A drawing that
+    is no XML has a row with the error as ``tag``."""
 
     def local(name: str) -> str:
         return name.rpartition("}")[2]

@@ -67,9 +67,10 @@ _MODEL = "id string, source string, network string, publications array<string>,
 
 
 def model_paths(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-10 whole: of model documents a row per path, the later of an id counting, and what is wrong with them. A path has what it models, its ``nodes`` if they are listed, its
-    drawn ``lines``, its ``nerves``, and its ``route``, a list of nodes or of groups of them in brackets; ``traced`` says whether the document has it traced, ``source`` and ``publications`` are the document's.
-    A list that does not read as one is an error and null."""
+    """SRC-10 whole: of model documents a row per path, the later of an id counting, and what is wrong with them. A path has what
+    it models, its ``nodes`` if they are listed, its drawn ``lines``, its ``nerves``, and its ``route``, a list of nodes or of
+    groups of them in brackets; ``traced`` says whether the document has it traced, ``source`` and ``publications`` are the
+    document's. A list that does not read as one is an error and null."""
     rows = spark.read.schema(_MODEL).json(path).select("id", "source", "network", "publications", F.col("`traced-paths`").alias("traced"), F.posexplode("paths").alias("pos", "p"))
     rows = rows.groupBy("id", F.col("p.id").alias("path")).agg(F.max_by(F.struct("source", "network", "publications", "traced", "p"), "pos").alias("r")).select("id", "path", "r.*")
     names = lambda c: F.regexp_extract_all(c, F.lit(f"({NAME})"), 1)

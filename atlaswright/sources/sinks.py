@@ -37,9 +37,10 @@ def _coordinates() -> tuple[Column, Column, Column]:
 
 
 def feature_documents(features: DataFrame, map_area: float) -> DataFrame:
-    """SNK-1 whole: ``(tile_layer, id, feature)`` of ``features(id, layer, points, open, exclude, "tile-layer", exported ...)``: what is excluded is not written; a document has the
-    geometry, its bounds, area, length and layer, how much longer than it the map is (as a power of two; 10 without an area), the exported
-    properties, and hints for tiles: its zooms, or from zoom 4 on where it is over 2**6 times shorter than the map and in no group."""
+    """SNK-1 whole: ``(tile_layer, id, feature)`` of ``features(id, layer, points, open, exclude, "tile-layer", exported ...)``:
+    what is excluded is not written; a document has the geometry, its bounds, area, length and layer, how much longer than it the
+    map is (as a power of two; 10 without an area), the exported properties, and hints for tiles: its zooms, or from zoom 4 on
+    where it is over 2**6 times shorter than the map and in no group."""
     kind, pairs, ring = _coordinates()
     rows = features.where("not coalesce(exclude, false)").withColumn("geometry", kind)
     polygon = F.col("geometry") == "Polygon"
@@ -59,9 +60,10 @@ def feature_documents(features: DataFrame, map_area: float) -> DataFrame:
 
 
 def feature_annotations(features: DataFrame, nodes: DataFrame, centreline_map: bool = False) -> DataFrame:
-    """SNK-2 whole: ``(id, annotation)``, a JSON document per feature: exported properties (those of ``ENCODED`` as JSON texts), bounds, the place of the marker (inside a polygon, else
-    the middle of the corners), type of geometry and layer; where a line starts and ends, and in maps of centrelines these lines' coordinates; and the anatomical
-    nodes that used it, ``nodes(id, node)`` with ``node`` as JSON."""
+    """SNK-2 whole: ``(id, annotation)``, a JSON document per feature: exported properties (those of ``ENCODED`` as JSON texts),
+    bounds, the place of the marker (inside a polygon, else the middle of the corners), type of geometry and layer; where a line
+    starts and ends, and in maps of centrelines these lines' coordinates; and the anatomical nodes that used it, ``nodes(id,
+    node)`` with ``node`` as JSON."""
     kind, pairs, _ = _coordinates()
     held = nodes.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("used"))
     rows = features.where("not coalesce(exclude, false)").withColumn("geometry", kind).join(held, "id", "left")
