@@ -101,8 +101,8 @@ def bypassed(edges: DataFrame, missing: DataFrame) -> DataFrame:
     one after the other: a round takes those out together that are less than all missing
     neighbours, whose edges nothing taken out before them in that order can change. After
     ``PLAIN`` rounds, hashes order the nodes of runs in which each has one edge in and one
-    out, since any order makes the same edges there."""
-    now = cut(edges.where("src <> dst").groupBy("path", "src", "dst").agg(F.lit(True).alias("complete")))
+    out, since any order makes the same edges there. An edge says which missing nodes (``missing``) it passes over, all of them where several edges fall together."""
+    now = cut(edges.where("src <> dst").groupBy("path", "src", "dst").agg(F.lit(True).alias("complete")).withColumn("missing", F.array().cast("array<long>")))
     gone, free, k = missing.select("node").distinct(), None, 0
     while True:
         at = now.select("path", F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(now.select("path", "dst", F.lit(1), F.lit(0))).groupBy("path", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).join(gone, "node", "left_semi")
@@ -118,14 +118,14 @@ def bypassed(edges: DataFrame, missing: DataFrame) -> DataFrame:
         rank = at.select("path", "node", "rank")
         later = inside.join(rank, ["path", "node"]).join(rank.toDF("path", "neighbour", "other"), ["path", "neighbour"]).where("other < rank or (other = rank and neighbour < node)").select("path", "node").distinct()
         pick = cut(rank.join(later, ["path", "node"], "left_anti").select("path", "node"))
-        before = now.join(pick.withColumnRenamed("node", "dst"), ["path", "dst"]).select("path", F.col("dst").alias("node"), F.col("src").alias("n"), F.lit(-1).alias("side"))
-        after = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"]).select("path", F.col("src").alias("node"), F.col("dst").alias("n"), F.lit(1).alias("side"))
+        before = now.join(pick.withColumnRenamed("node", "dst"), ["path", "dst"]).select("path", F.col("dst").alias("node"), F.col("src").alias("n"), F.lit(-1).alias("side"), "missing")
+        after = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"]).select("path", F.col("src").alias("node"), F.col("dst").alias("n"), F.lit(1).alias("side"), "missing")
         around = before.union(after).distinct()
         both = around.groupBy("path", "node").agg((F.countDistinct("side") == 2).alias("through"))
-        left, right = around.join(both, ["path", "node"]).toDF("path", "node", "src", "s", "through"), around.toDF("path", "node", "dst", "t")
-        made = left.join(right, ["path", "node"]).where("src <> dst and (through and s = -1 and t = 1 or not through and src < dst)").select("path", "src", "dst", F.lit(False).alias("complete"))
-        kept = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"], "left_anti").join(pick.withColumnRenamed("node", "dst"), ["path", "dst"], "left_anti").select("path", "src", "dst", "complete")
-        now, k = cut(kept.union(made).groupBy("path", "src", "dst").agg(F.max("complete").alias("complete"))), k + 1
+        left, right = around.join(both, ["path", "node"]).toDF("path", "node", "src", "s", "over", "through"), around.toDF("path", "node", "dst", "t", "too")
+        made = left.join(right, ["path", "node"]).where("src <> dst and (through and s = -1 and t = 1 or not through and src < dst)").select("path", "src", "dst", F.lit(False).alias("complete"), F.concat("over", "too", F.array(F.col("node").cast("long"))).alias("missing"))
+        kept = now.join(pick.withColumnRenamed("node", "src"), ["path", "src"], "left_anti").join(pick.withColumnRenamed("node", "dst"), ["path", "dst"], "left_anti").select("path", "src", "dst", "complete", "missing")
+        now, k = cut(kept.union(made).groupBy("path", "src", "dst").agg(F.max("complete").alias("complete"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"))), k + 1
     return now
 
 

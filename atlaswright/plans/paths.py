@@ -85,20 +85,20 @@ GR3 = with_frames("path_edges", body=_prune_sql(14))
 
 
 def gr4_bypassed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bypassed(frames.path_edges(spark, sf_dir), frames.missing_nodes(spark, sf_dir))
+    return graph.bypassed(frames.path_edges(spark, sf_dir), frames.missing_nodes(spark, sf_dir)).withColumn("missing", text("missing"))
 
 
 def _bypass_sql(rounds: int) -> str:
-    out = ", b0 AS (SELECT DISTINCT path, src, dst, true AS complete FROM path_edges WHERE src <> dst)"
+    out = ", b0 AS (SELECT DISTINCT path, src, dst, true AS complete, []::BIGINT[] AS m FROM path_edges WHERE src <> dst)"
     for k in range(rounds):
         out += f""", p{k} AS (SELECT path, min(node) AS node FROM (SELECT path, src AS node FROM b{k} UNION SELECT path, dst FROM b{k}) WHERE node IN (SELECT node FROM missing_nodes) GROUP BY path),
-a{k} AS (SELECT b.path, src AS n, -1 AS side FROM b{k} b JOIN p{k} p ON b.path = p.path AND b.dst = p.node UNION SELECT b.path, dst, 1 FROM b{k} b JOIN p{k} p ON b.path = p.path AND b.src = p.node),
+a{k} AS (SELECT b.path, src AS n, -1 AS side, m, p.node FROM b{k} b JOIN p{k} p ON b.path = p.path AND b.dst = p.node UNION SELECT b.path, dst, 1, m, p.node FROM b{k} b JOIN p{k} p ON b.path = p.path AND b.src = p.node),
 t{k} AS (SELECT path, count(DISTINCT side) = 2 AS through FROM a{k} GROUP BY path),
-b{k + 1} AS (SELECT path, src, dst, bool_or(complete) AS complete FROM (
-  SELECT b.path, src, dst, complete FROM b{k} b LEFT JOIN p{k} p USING (path) WHERE node IS NULL OR (src <> node AND dst <> node)
-  UNION ALL SELECT x.path, x.n, y.n, false FROM a{k} x JOIN t{k} t USING (path) JOIN a{k} y ON x.path = y.path WHERE x.n <> y.n AND ((through AND x.side = -1
-  AND y.side = 1) OR (NOT through AND x.n < y.n))) GROUP BY ALL)"""
-    return out + f" SELECT * FROM b{rounds}"
+b{k + 1} AS (SELECT path, src, dst, bool_or(complete) AS complete, list_sort(list_distinct(flatten(list(m)))) AS m FROM (
+  SELECT b.path, src, dst, complete, m FROM b{k} b LEFT JOIN p{k} p USING (path) WHERE node IS NULL OR (src <> node AND dst <> node)
+  UNION ALL SELECT x.path, x.n, y.n, false, x.m || y.m || [x.node] FROM a{k} x JOIN t{k} t USING (path) JOIN a{k} y ON x.path = y.path WHERE x.n <> y.n AND ((through AND x.side = -1
+  AND y.side = 1) OR (NOT through AND x.n < y.n))) GROUP BY path, src, dst)"""
+    return out + f" SELECT path, src, dst, complete, coalesce(list_aggregate(m, 'string_agg', ','), '') AS missing FROM b{rounds}"
 
 
 GR4 = with_frames("path_edges", "missing_nodes", body=_bypass_sql(6))
