@@ -587,9 +587,12 @@ class Contexts:
 
     def own(self, kind: np.ndarray) -> np.ndarray:
         """How often what is of a place's ``kind`` stands in the text of the place."""
-        key = self.text[self.places].astype(np.int64) * (int(kind.max(initial=0)) + 1) + kind
+        out = np.bincount(kind, minlength=1)[kind]
+        some = np.flatnonzero(out > 1)  # what stands once in all texts needs no sorting
+        key = self.text[self.places[some]].astype(np.int64) * (int(kind.max(initial=0)) + 1) + kind[some]
         _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        return n[at]
+        out[some] = n[at]
+        return out
 
 
 def _by_context(items: Contexts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -642,14 +645,16 @@ def remembered(table: DataFrame, buckets: int) -> DataFrame:
 
 def by_memory(log_p: np.ndarray, items: Contexts, row: dict, buckets: int) -> np.ndarray:
     """Natural-log probabilities of tokens, those of the model mixed with the memory's."""
-    order, bucket, _ = _by_context(items, buckets)
+    order, bucket, rest = _by_context(items, buckets)
     said = np.zeros((2, len(order)))
     of = {a["bucket"]: a["answer"] for a in row["said"] or []}
     for b, lo, hi in blocks.runs(bucket):
         said[:, order[lo:hi]] = np.frombuffer(unpack(of[b]), np.uint32).reshape(2, -1)
     c, n = said[:, items.which]
     if row["class"] >= 0:  # the document's own share of what its block has sent
-        c, n = c - items.own(items.which), n - items.own(np.unique(items.context, return_inverse=True)[1][items.which])
+        alike = np.zeros(len(order), np.int64)
+        alike[order] = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1])][: len(order)])
+        c, n = c - items.own(items.which), n - items.own(alike[items.which])
     out = log_p.copy()
     with np.errstate(divide="ignore"):
         out[items.places] = np.logaddexp(np.log(c), math.log(MEMORY_WEIGHT) + log_p[items.places]) - np.log(n + MEMORY_WEIGHT)
