@@ -63,22 +63,35 @@ NAME = r"[A-Za-z0-9][A-Za-z0-9:/_\-.]*"
 _LIST = rf"^\s*{NAME}\s*(,\s*{NAME}\s*)*$"
 _GROUP = rf"\(\s*{NAME}\s*(?:,\s*{NAME}\s*)*\)"
 _ROUTE = rf"^\s*(?:{NAME}|{_GROUP})\s*(,\s*(?:{NAME}|{_GROUP})\s*)*$"
-_MODEL = "id string, source string, network string, publications array<string>, `traced-paths` array<string>, paths array<struct<id:string,models:string,nerves:string,path:string,route:string,nodes:array<string>>>"
+_MODEL = "id string, source string, network string, publications array<string>, `traced-paths` array<string>, paths array<struct<id:string,models:string,nerves:string,path:string,route:string,type:string,connects:array<string>,nodes:array<string>>>"
 
 
 def model_paths(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-10 whole: of model documents a row per path, the later of an id counting, and what is wrong with them. A path has what
-    it models, its ``nodes`` if they are listed, its drawn ``lines``, its ``nerves``, and its ``route``, a list of nodes or of
-    groups of them in brackets; ``traced`` says whether the document has it traced, ``source`` and ``publications`` are the
-    document's. A list that does not read as one is an error and null."""
+    """SRC-10 whole: of model documents a row per path, the later of an id counting, and what is wrong with them. A path has its
+    type, what it models, its ``nodes`` if they are listed, the nodes it ``connects`` (in the form of centrelines; in that of pairs
+    there are none), its drawn ``lines``, its ``nerves``, and its ``route``, a list of nodes or of groups of them. Lists are texts
+    with commas, and brackets around groups, or JSON lists. ``traced`` says whether the document has the path traced, ``source``
+    and ``publications`` are the document's. A list that does not read as one is an error and null."""
     rows = spark.read.schema(_MODEL).json(path).select("id", "source", "network", "publications", F.col("`traced-paths`").alias("traced"), F.posexplode("paths").alias("pos", "p"))
     rows = rows.groupBy("id", F.col("p.id").alias("path")).agg(F.max_by(F.struct("source", "network", "publications", "traced", "p"), "pos").alias("r")).select("id", "path", "r.*")
+
+    def text(name: str) -> Column:
+        """A JSON list as the text that says the same: lists in it become groups, the outer brackets and quotes go."""
+        c = F.col(f"p.{name}")
+        inner = F.translate(F.substring(c, F.lit(2), F.length(c) - 2), '[]"', "()")
+        return F.when(c.startswith("["), inner).otherwise(c).alias(name)
+
+    rows = rows.withColumns({c: text(c) for c in ("nerves", "route")} | {"drawn": text("path")})
     names = lambda c: F.regexp_extract_all(c, F.lit(f"({NAME})"), 1)
     listed = lambda c: F.when(F.col(c).rlike(_LIST), names(F.col(c)))
-    route = F.when(F.col("p.route").rlike(_ROUTE), F.transform(F.regexp_extract_all("p.route", F.lit(f"({_GROUP}|{NAME})"), 1), lambda g: names(g)))
+    route = F.when(F.col("route").rlike(_ROUTE), F.transform(F.regexp_extract_all("route", F.lit(f"({_GROUP}|{NAME})"), 1), lambda g: names(g)))
     wrong = lambda c, pattern, what: F.when(F.col(c).isNotNull() & ~F.col(c).rlike(pattern), F.concat(F.lit(f"Syntax error in {what} list: "), c))
-    good = rows.select("id", "source", "network", "publications", "path", "p.models", "p.nodes", listed("p.path").alias("lines"), listed("p.nerves").alias("nerves"), route.alias("route"), F.coalesce(F.array_contains("traced", F.col("path")), F.lit(False)).alias("traced"))
-    found = F.array_compact(F.array(wrong("p.path", _LIST, "path lines"), wrong("p.nerves", _LIST, "nerve"), wrong("p.route", _ROUTE, "route node")))
+    traced = F.coalesce(F.array_contains("traced", F.col("path")), F.lit(False)).alias("traced")
+    good = rows.select(
+        "id", "source", "network", "publications", "path", "p.type", "p.models", "p.nodes", "p.connects",
+        listed("drawn").alias("lines"), listed("nerves").alias("nerves"), route.alias("route"), traced,
+    )
+    found = F.array_compact(F.array(wrong("drawn", _LIST, "path lines"), wrong("nerves", _LIST, "nerve"), wrong("route", _ROUTE, "route node")))
     return good, rows.select("id", "path", F.explode(found).alias("error"))
 
 

@@ -74,6 +74,21 @@ def test_terms_match_by_layer_or_organ(spark):
     assert got == [(1, "p", 1), (2, "p", 1), (2, "q", 1), (4, "p", 1)]
 
 
+def test_connectivity_documents_in_all_their_forms(spark, tmp_path):
+    paths = [
+        {"id": "a", "models": "M", "path": "l1, l2", "route": "n1, n2, (n3, n4)", "nerves": "v:1"}, {"id": "b", "route": ["n1", ["n2", "n3"]], "path": ["l1"], "type": "motor"},
+        {"id": "c", "connects": ["x", "y"]}, {"id": "d", "path": "l1,", "route": "(n1", "nerves": "a b"}, {"id": "e", "nodes": ["n1"]}, {"id": "e", "nodes": ["n2", "n3"]},
+    ]
+    (tmp_path / "m.json").write_text(json.dumps({"id": "m", "source": "s", "traced-paths": ["c"], "paths": paths}))
+    good, errors = scans.model_paths(spark, str(tmp_path))
+    got = {r["path"]: (r["lines"], r["route"], r["nerves"], r["connects"], r["nodes"], r["traced"]) for r in good.collect()}
+    assert got == {
+        "a": (["l1", "l2"], [["n1"], ["n2"], ["n3", "n4"]], ["v:1"], None, None, False), "b": (["l1"], [["n1"], ["n2", "n3"]], None, None, None, False),
+        "c": (None, None, None, ["x", "y"], None, True), "d": (None, None, None, None, None, False), "e": (None, None, None, None, ["n2", "n3"], False),
+    }
+    assert sorted(r["error"] for r in errors.collect()) == ["Syntax error in nerve list: a b", "Syntax error in path lines list: l1,", "Syntax error in route node list: (n1"]
+
+
 def test_drawings_as_trees(spark):
     xml = '<svg xmlns="http://www.w3.org/2000/svg"><g id="a"><rect id="r" style="fill: none;stroke:#f00" fill="red"><title>.id(X)</title></rect></g><g/></svg>'
     rows = documents.drawing_tree(spark.createDataFrame([("d", xml), ("e", "<svg"), ("f", None)], "doc string, xml string")).collect()
