@@ -146,7 +146,8 @@ def resample(docs: DataFrame, target: DataFrame, width: int = WIDTH, buckets: in
     return draw(score(docs, target, width, buckets, seed), least, percent)
 
 
-#: The same for one-word features; crc32 runs over a table that is built from its polynomial.
+#: The same for one-word features; crc32 runs over a table that is built from its polynomial. Whole numbers that may be null are
+#: doubles here, as which pandas shows those of Spark, too.
 SQL = r"""
 WITH steps AS (
     SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS t
@@ -179,5 +180,5 @@ gain AS (
 ), placed AS (
     SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
 )
-SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, (CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END)::DOUBLE AS rank FROM placed
 """

@@ -312,6 +312,6 @@ def digests(records: DataFrame) -> DataFrame:
 SQL = """
 SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
        CASE WHEN octet_length(payload) >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN octet_length(payload) >= 1000 AND page_id < kept THEN kept END AS refers_to
+       (CASE WHEN octet_length(payload) >= 1000 AND page_id < kept THEN kept END)::DOUBLE AS refers_to
 FROM (SELECT page_id, payload, max(page_id) OVER (PARTITION BY payload) AS kept FROM (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages))
 """
