@@ -318,7 +318,8 @@ def mine(rows: DataFrame, every: int = 100, positives: int = 5, negatives: int =
     asked = own.where(F.size("tops") > 0).select("vec_id", "label", "v", "tops")
     below = _search(index, asked, best_negatives, F.col("tops"), negatives, threshold)
     pairs = own.select("vec_id", F.explode("own").alias("p")).join(below.select("vec_id", "tops", "found"), "vec_id")
-    lists = pairs.select("vec_id", "p", F.try_element_at("found", F.array_position("tops", F.col("p.score")).cast("int")).alias("n"))
+    at = F.nullif(F.array_position("tops", F.col("p.score")), F.lit(0))  # 0: the score is negative and has no window
+    lists = pairs.select("vec_id", "p", F.try_element_at("found", at.cast("int")).alias("n"))
     ranked = lists.where("n is not null").select("vec_id", "p", F.posexplode("n").alias("at", "n"))
     return ranked.select(
         F.col("vec_id").alias("anchor_id"), F.col("p.id").alias("positive_id"), (F.col("at") + 1).cast("int").alias("rank"),

@@ -236,6 +236,13 @@ def test_negatives_of_large_components(spark, small):
     assert sorted(map(tuple, negatives.mine(negatives.whole_vectors(vectors(spark, rows)), every=10).collect())) == brute_mine(whole(rows), every=10)
 
 
+def test_positives_with_negative_scores_have_no_negatives(spark):
+    """Of an anchor's positives one has a window, the other a score below 0."""
+    rows = [(0, [1.0, 0.0], 0), (1, [2.0, 0.0], 1), (2, [-1.0, 0.0], 1), (3, [1.75, 1.0], 2), (4, [-1.0, 1.0], 2)]
+    got = negatives.mine(negatives.whole_vectors(vectors(spark, rows))).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 3, 256 * 512, 256 * 448)]
+
+
 def test_no_vectors_no_negatives(spark):
     assert negatives.mine(negatives.whole_vectors(vectors(spark, []))).count() == 0
     assert negatives.mine(negatives.whole_vectors(vectors(spark, [(0, [1.0], 1)]))).count() == 0
