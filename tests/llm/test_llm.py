@@ -625,6 +625,12 @@ def test_weights_learn_from_every_training_document(spark):
     assert np.abs(got - flat).max() < 1e-2 and np.abs(got - lm.start()).max() > 0.1
 
 
+def test_no_row_for_every_different_word(spark):
+    """A task holds its rows until they are sorted: one a word took more memory than an executor has."""
+    rows = lm.gathered(docs(spark, [" ".join(f"w{k}x{j}" for j in range(100)) for k in range(200)]).repartition(1), packing.tokenizer_file())
+    assert rows.where(F.col("class") <= lm.WORD).count() <= lm.RANGES and rows.count() <= lm.RANGES + lm.CLASSES + 1
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     texts = [*_some_texts(200), *_some_texts(20)]
     one, many = ({r["doc_id"]: r["score"] for r in lm.score(docs(spark, texts).repartition(n)).collect()} for n in (1, 7))
