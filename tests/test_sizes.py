@@ -12,7 +12,7 @@ from atlaswright.operators import details, routing
 def test_many_centrelines_between_the_same_nodes(spark):
     """2,000,000,000 pairs of a path and a centreline; a long path goes out from the centrelines."""
     lines = spark.range(100_000).select("id", F.lit(1).cast("long").alias("start"), F.lit(2).cast("long").alias("stop"))
-    nodes = spark.range(20_000).select(F.col("id").alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("node"))
+    nodes = spark.range(20_000).select(F.col("id").alias("path"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("node"))
     nodes = nodes.union(spark.range(100).select(F.lit(-1).cast("long"), "id"))
     got = routing.completing(nodes, lines, spark.createDataFrame([(3, 2, 1)], "path long, src long, dst long"))
     assert got.agg(F.count("*"), F.max("centreline"), F.count_if(F.col("path") == 3)).first() == (20_000, 0, 0)
@@ -45,3 +45,29 @@ def test_pairs_are_those_of_all_paths(spark):
         best.setdefault((s, b), a)
     got = routing.paired_paths(spark.createDataFrame(list(rows), "source int, type int, path long, order string, node long"))
     assert {(r["source"], r["post"]): r["pre"] for r in got.collect()} == best
+
+
+def test_lines_that_ask_the_same(spark):
+    """3,000 lines ask the same of 30,000 paths, which answers both tiers for all of them at once."""
+    from atlaswright.operators import assembly
+
+    cols = "type int, a long, a_organ long, b long, b_organ long"
+    lines = spark.range(3_000).select(F.col("id").alias("line"), F.from_csv(F.lit("0,1,,2,9"), cols).alias("l")).select("line", "l.*").union(spark.createDataFrame([(5_000, 0, 1, None, 3, None)], "line long, " + cols))
+    nodes = spark.range(30_000).select(F.col("id").alias("path"), F.lit(0).alias("type"), F.explode(F.array(*[F.array(*[F.lit(t).cast("long") for t in ts]) for ts in ((1,), (2, 9), (3, 8))])).alias("terms"))
+    ends = nodes.withColumn("is_end", F.col("path") == 7).where("path < 3 or path = 7 or terms[0] <> 3")
+    got = assembly.validated_by_terms(lines, ends.where("path < 8"))
+    assert got.groupBy("line").agg(F.sum("tier"), F.min("path")).groupBy("sum(tier)", "min(path)").count().collect() == [(1, 7, 3_001)]
+    plain = lines.select("line", "type", "a", "b").where("line < 3000")
+    flat = ends.select("type", "path", F.col("terms")[0].alias("node"), "is_end")
+    got = assembly.validated(plain, flat.where("path < 5"))
+    assert got.agg(F.count("*"), F.min("tier"), F.max("tier")).first() == (15_000, 2, 2)
+
+
+def test_hosts_of_the_same_proxies(spark):
+    """Numbers are those of a host's models, worked out once; a host with two models has one row of numbers."""
+    from atlaswright.operators import terms
+
+    made = spark.createDataFrame([(10, 0, 1), (11, 0, 1), (11, 1, 2), (1, 0, 2)], "feature long, ord int, proxy long")
+    drawn = spark.createDataFrame([(1, 100), (1, 101), (2, 101), (2, 102)], "model long, id long")
+    got = terms.proxy_features(made, drawn)
+    assert sorted(map(tuple, got.collect())) == [(10, 100, 0), (10, 101, 0), (11, 100, 1), (11, 101, 1), (11, 101, 2), (11, 102, 0)]
