@@ -71,3 +71,23 @@ def test_hosts_of_the_same_proxies(spark):
     drawn = spark.createDataFrame([(1, 100), (1, 101), (2, 101), (2, 102)], "model long, id long")
     got = terms.proxy_features(made, drawn)
     assert sorted(map(tuple, got.collect())) == [(10, 100, 0), (10, 101, 0), (11, 100, 1), (11, 101, 1), (11, 101, 2), (11, 102, 0)]
+
+
+def test_nearest_terms_in_matrices(spark):
+    """As the expression has them; 2,000 queries against 20,000 terms of 64 numbers take matrices. What lacks a number comes last."""
+    from pyspark.sql import Window
+
+    from atlaswright.operators import rollups
+
+    vector = lambda n, seed: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.pmod(F.hash("id", k, F.lit(seed)), F.lit(1000)).cast("float") - 300)
+    terms = spark.range(300).select(F.col("id").alias("term"), vector(5, 1).alias("vector"))
+    queries = spark.range(20).select(F.col("id").alias("query"), vector(5, 2).alias("vector"))
+    score = F.round(rollups.cosine(F.col("vector"), F.col("qv")), 6).alias("score")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "term"))
+    want = terms.crossJoin(queries.withColumnRenamed("vector", "qv")).select("query", "term", score).withColumn("rank", rank).where("rank <= 4")
+    assert sorted(map(tuple, rollups.top_k(queries, terms, 4).collect())) == sorted(map(tuple, want.collect()))
+    odd = terms.where("term < 2").union(spark.createDataFrame([(7, None), (5, [1.0]), (6, [1.0, None, 2.0, 3.0, 4.0])], "term long, vector array<float>"))
+    got = rollups.top_k(queries.where("query = 3"), odd, 4).orderBy("rank").collect()
+    assert [r["term"] for r in got][2:] == [5, 6] and [r["score"] is None for r in got] == [False, False, True, True]
+    many = lambda n, name, seed: spark.range(n).select(F.col("id").alias(name), vector(64, seed).alias("vector"))
+    assert rollups.top_k(many(2_000, "query", 3), many(20_000, "term", 4), 5).count() == 10_000
