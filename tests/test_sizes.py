@@ -91,3 +91,14 @@ def test_nearest_terms_in_matrices(spark):
     assert [r["term"] for r in got][2:] == [5, 6] and [r["score"] is None for r in got] == [False, False, True, True]
     many = lambda n, name, seed: spark.range(n).select(F.col("id").alias(name), vector(64, seed).alias("vector"))
     assert rollups.top_k(many(2_000, "query", 3), many(20_000, "term", 4), 5).count() == 10_000
+
+
+def test_walks_of_more_than_thirteen_steps(spark):
+    """The SQL of GR-9 and GR-21 stops after 13 steps, the operators do not."""
+    from atlaswright.operators import assembly, graph
+
+    edges = spark.range(19).select(F.lit(1).cast("long").alias("path"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.between(edges, graph.terminals(edges)).count() == 19
+    ends = spark.createDataFrame([(1, 0)], "path long, node long")
+    got = assembly.upstream(edges, ends, spark.createDataFrame([(19,)], "node long"), spark.createDataFrame([(50,)], "node long"))
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 19, 19)]
